@@ -16,7 +16,7 @@ TABLES = (
 ).split()
 
 MODULES = (
-    "relational aggregates windows"
+    "relational aggregates windows cleaning similarity"
 ).split()
 
 
@@ -45,6 +45,7 @@ def query(name: str, sql: str | None = None):
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
+        run.__wrapped__ = fn
         QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql

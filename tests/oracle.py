@@ -77,7 +77,8 @@ def main(argv):
     root = argv[0]
     catalog.load()
     wanted = argv[1:]
-    names = [n for n in catalog.QUERIES if not wanted or any(n.startswith(w) for w in wanted)]
+    home = {n: f.__wrapped__.__module__.rsplit(".", 1)[-1] for n, f in catalog.QUERIES.items()}
+    names = [n for n in catalog.QUERIES if not wanted or home[n] in wanted or any(n.startswith(w) for w in wanted)]
     spark, con = local_session(), connect(root)
     bad = 0
     for n in names:
