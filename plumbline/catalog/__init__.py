@@ -16,7 +16,7 @@ TABLES = (
 ).split()
 
 MODULES = (
-    "relational aggregates windows cleaning similarity"
+    "relational aggregates windows cleaning similarity profiling layers"
 ).split()
 
 

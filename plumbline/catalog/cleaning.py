@@ -106,7 +106,7 @@ def impute_preview(t):
     return C.impute_preview(dirty(t), "price_amount", ["segment"])
 
 
-FORMATS_SQL = """(SELECT o_orderkey, '$' || CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) || '.50' AS amount,
+FORMATS_SQL = """(SELECT o_orderkey, '$' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.50' AS amount,
    CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%m/%d/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS dt,
    CASE WHEN o_orderkey % 13 = 0 THEN ' N/A' WHEN o_orderkey % 17 = 0 THEN 'Unknown' ELSE o_orderpriority END AS note FROM orders)"""
 
@@ -115,7 +115,7 @@ def formats(t):
     k = F.col("o_orderkey")
     return t.orders.select(
         "o_orderkey",
-        F.concat(F.lit("$"), F.round("o_totalprice").cast("long").cast("string"), F.lit(".50")).alias("amount"),
+        F.concat(F.lit("$"), F.floor("o_totalprice").cast("string"), F.lit(".50")).alias("amount"),
         F.when(k % 2 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("dt"),
         F.when(k % 13 == 0, " N/A").when(k % 17 == 0, "Unknown").otherwise(F.col("o_orderpriority")).alias("note"),
     )
@@ -179,12 +179,12 @@ def unpivot_lines(t):
 
 @query(
     "unpivot_text_as_number",
-    """WITH d AS (SELECT o_orderkey, '$' || CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) AS q1, CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(o_custkey AS VARCHAR) || '%' END AS q2 FROM orders)
+    """WITH d AS (SELECT o_orderkey, '$' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS q1, CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(o_custkey AS VARCHAR) || '%' END AS q2 FROM orders)
        SELECT name, count(*) AS n, sum(value) AS total FROM (SELECT 'q1' AS name, TRY_CAST(replace(q1, '$', '') AS DOUBLE) AS value FROM d UNION ALL SELECT 'q2', TRY_CAST(replace(q2, '%', '') AS DOUBLE) FROM d) WHERE value IS NOT NULL GROUP BY 1""",
 )
 def unpivot_text_as_number(t):
     d = t.orders.select(
-        "o_orderkey", F.concat(F.lit("$"), F.round("o_totalprice").cast("long").cast("string")).alias("q1"),
+        "o_orderkey", F.concat(F.lit("$"), F.floor("o_totalprice").cast("string")).alias("q1"),
         F.when(F.col("o_orderstatus") == "P", "").otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit("%"))).alias("q2"),
     )
     u = R.unpivot(d, ["o_orderkey"], ["q1", "q2"], value_as="double")
@@ -193,7 +193,7 @@ def unpivot_text_as_number(t):
 
 @query(
     "grid_repair",
-    """SELECT o_orderkey + 4 AS row_id, o_custkey AS "Customer / Id", o_orderstatus AS "Order / Status", CAST(CAST(o_totalprice AS BIGINT) AS DOUBLE) + 0.5 AS "Order / Price",
+    """SELECT o_orderkey + 4 AS row_id, o_custkey AS "Customer / Id", o_orderstatus AS "Order / Status", floor(o_totalprice) + 0.5 AS "Order / Price",
        strftime(o_orderdate, '%Y-%m-%d') AS "Order / Date" FROM orders""",
 )
 def grid_repair(t):
@@ -203,7 +203,7 @@ def grid_repair(t):
     body = t.orders.select(
         (F.col("o_orderkey") + 4).alias("row_id"),
         cells(F.concat(F.lit(" "), F.col("o_custkey").cast("string")), F.col("o_orderstatus"), F.lit(""),
-              F.concat(F.round("o_totalprice").cast("long").cast("string"), F.lit(".5")), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("cells"),
+              F.concat(F.floor("o_totalprice").cast("string"), F.lit(".5")), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("cells"),
     )
     spark = t.spark
     head = spark.createDataFrame(

