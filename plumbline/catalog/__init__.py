@@ -16,7 +16,7 @@ TABLES = (
 ).split()
 
 MODULES = (
-    "relational aggregates windows cleaning similarity profiling layers statistics drift privacy"
+    "relational aggregates windows cleaning similarity profiling layers statistics drift privacy sources streams audit"
 ).split()
 
 

@@ -139,13 +139,13 @@ def status_flips(t):
 
 @query(
     "new_alerts",
-    """WITH m AS (SELECT date_trunc('month', o_orderdate) AS at, o_orderpriority AS source, CASE WHEN avg(o_totalprice) > 250000 THEN 'warn' ELSE 'pass' END AS severity FROM orders GROUP BY 1, 2), p AS (SELECT *, lag(severity) OVER (PARTITION BY source ORDER BY at) AS b FROM m)
-       SELECT CAST(CAST(at AS DATE) AS VARCHAR) AS at, source, severity FROM p WHERE severity = 'warn' AND b IS DISTINCT FROM severity""",
+    """WITH m AS (SELECT date_trunc('month', o_orderdate) AS seen, o_orderpriority AS source, CASE WHEN avg(o_totalprice) > 250000 THEN 'warn' ELSE 'pass' END AS severity FROM orders GROUP BY 1, 2), p AS (SELECT *, lag(severity) OVER (PARTITION BY source ORDER BY seen) AS b FROM m)
+       SELECT CAST(CAST(seen AS DATE) AS VARCHAR) AS seen, source, severity FROM p WHERE severity = 'warn' AND b IS DISTINCT FROM severity""",
 )
 def new_alerts(t):
-    m = t.orders.groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("at"), F.col("o_orderpriority").alias("source")).agg(F.when(F.avg("o_totalprice") > 250000, "warn").otherwise("pass").alias("severity"))
+    m = t.orders.groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("seen"), F.col("o_orderpriority").alias("source")).agg(F.when(F.avg("o_totalprice") > 250000, "warn").otherwise("pass").alias("severity"))
     a = m.withColumn("lines", F.array(F.lit("mean over limit"), F.col("source")))
-    return D.new_alerts(a, "source", "at").select(F.col("at").cast("string").alias("at"), "source", "severity")
+    return D.new_alerts(a, "source", "seen").select(F.col("seen").cast("string").alias("seen"), "source", "severity")
 
 
 @query(

@@ -1,11 +1,15 @@
 """Identifier scan, k-anonymity, noised aggregates, synthetic rows, shareable fingerprints."""
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.stats import scalar_row
 from plumbline.model import col, kind_of, stack_structs
@@ -135,12 +139,6 @@ def synthetic_rows(df: DataFrame, columns: Sequence[str], rows: int, epsilon: fl
     Histograms have at most ``bins`` or 10,000 entries (checked); rows are generated in
     parallel and pick their bin by binary search over the cumulative weights.
     """
-    import bisect
-
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
     out = df.sparkSession.range(rows).select(F.col("id").alias("row_id"))
     exprs = [F.col("row_id")]
     for c in columns:
