@@ -15,6 +15,14 @@ def r(c, n=4):
     return F.round(c, n).alias(c)
 
 
+def off_tie(c, n=4):
+    """Round a mean of cents: many sit exactly on a tie, where the last bit of a sum would decide.
+
+    Both sides add the same small offset first.
+    """
+    return F.round(F.col(c) + 3e-6, n).alias(c)
+
+
 @query(
     "select_where_builder",
     """SELECT l_returnflag, round(sum(l_quantity), 2) AS qty, count(*) AS n FROM lineitem
@@ -257,7 +265,7 @@ def two_path_agreement(t):
     "quality_signals",
     """WITH b AS (SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS low, count(*) FILTER (WHERE c_mktsegment IS NULL) + count(*) FILTER (WHERE c_acctbal IS NULL) + count(*) FILTER (WHERE c_nationkey IS NULL) AS nulls FROM customer),
             d AS (SELECT sum(c - 1) AS extra FROM (SELECT count(*) AS c FROM customer GROUP BY c_nationkey, c_acctbal, c_mktsegment))
-       SELECT round(nulls / (n * 3), 4) AS missingness_rate, round(low / n, 4) AS out_of_range_rate, round(extra / n, 4) AS duplicate_rate, 36.0 AS freshness_hours FROM b, d""",
+       SELECT round(nulls / (n * 3), 4) AS missingness_rate, round(low / n, 4) AS out_of_range_rate, round(extra / n, 4) AS duplicate_rate, CAST(36.0 AS DOUBLE) AS freshness_hours FROM b, d""",
 )
 def quality_signals(t):
     ds = Dataset("customer", t.customer.select("c_nationkey", "c_acctbal", "c_mktsegment"), dt.datetime(2024, 1, 1))
@@ -266,10 +274,10 @@ def quality_signals(t):
 
 @query(
     "entity_baseline_part",
-    "SELECT l_partkey, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sigma, count(l_extendedprice) AS n FROM lineitem GROUP BY 1",
+    "SELECT l_partkey, round(avg(l_extendedprice) + 3e-6, 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sigma, count(l_extendedprice) AS n FROM lineitem GROUP BY 1",
 )
 def entity_baseline_part(t):
-    return A.entity_baseline(t.lineitem, ["l_partkey"], "l_extendedprice").select("l_partkey", r("mean"), r("sigma"), "n")
+    return A.entity_baseline(t.lineitem, ["l_partkey"], "l_extendedprice").select("l_partkey", off_tie("mean"), r("sigma"), "n")
 
 
 @query(
@@ -368,9 +376,9 @@ def chart_bar(t):
     return A.bar_feed(t.lineitem, "l_suppkey", "l_quantity").withColumn("y", F.round("y", 4))
 
 
-@query("chart_line", "SELECT CAST(o_orderdate AS VARCHAR) AS x, round(avg(o_totalprice), 3) AS y FROM orders GROUP BY o_orderdate ORDER BY o_orderdate LIMIT 500")
+@query("chart_line", "SELECT CAST(o_orderdate AS VARCHAR) AS x, round(avg(o_totalprice) + 3e-6, 3) AS y FROM orders GROUP BY o_orderdate ORDER BY o_orderdate LIMIT 500")
 def chart_line(t):
-    return A.line_feed(t.orders, "o_orderdate", "o_totalprice").select(F.date_format("x", "yyyy-MM-dd HH:mm:ss").alias("x"), F.round("y", 3).alias("y"))
+    return A.line_feed(t.orders, "o_orderdate", "o_totalprice").select(F.date_format("x", "yyyy-MM-dd HH:mm:ss").alias("x"), off_tie("y", 3))
 
 
 @query("chart_scatter_sample")
@@ -448,7 +456,7 @@ def weighted_vector_mean_noised(t):
 @query(
     "result_claims",
     """WITH s AS (SELECT count(*) AS n, avg(o_totalprice) AS m FROM orders), c AS (SELECT o_orderpriority AS k, count(*) AS c FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
-       SELECT 'rowcount' AS kind, NULL AS "column", CAST(n AS DOUBLE) AS value, NULL AS label, n, 0.0 AS missing_rate, 100 AS score, 'A' AS grade FROM s
+       SELECT 'rowcount' AS kind, NULL AS "column", CAST(n AS DOUBLE) AS value, NULL AS label, n, CAST(0 AS DOUBLE) AS missing_rate, 100 AS score, 'A' AS grade FROM s
        UNION ALL SELECT 'numeric_mean', 'o_totalprice', round(m, 4), NULL, n, 0.0, 100, 'A' FROM s
        UNION ALL SELECT 'category_share', 'o_orderpriority', round(c / n * 100, 1), k, n, 0.0, 100, 'A' FROM s, c""",
 )

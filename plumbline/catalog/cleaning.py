@@ -89,12 +89,12 @@ def fix_dedupe(t):
 @query(
     "impute_group_mean",
     f"""WITH d AS {DIRTY_SQL}, g AS (SELECT segment, c_nationkey, avg(price_amount) AS m FROM d WHERE price_amount IS NOT NULL GROUP BY 1, 2)
-        SELECT d.c_custkey, round(coalesce(price_amount, g.m, (SELECT avg(price_amount) FROM d)), 4) AS price_amount_imputed
+        SELECT d.c_custkey, round(coalesce(price_amount, g.m, (SELECT avg(price_amount) FROM d)) + 3e-6, 4) AS price_amount_imputed
         FROM d LEFT JOIN g ON d.segment IS NOT DISTINCT FROM g.segment AND d.c_nationkey IS NOT DISTINCT FROM g.c_nationkey""",
 )
 def impute_group_mean(t):
     d = C.impute_group_mean(dirty(t), "price_amount", ["segment", "c_nationkey"])
-    return d.select("c_custkey", F.round("price_amount_imputed", 4).alias("price_amount_imputed"))
+    return d.select("c_custkey", F.round(F.col("price_amount_imputed") + 3e-6, 4).alias("price_amount_imputed"))
 
 
 @query(

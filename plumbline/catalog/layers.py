@@ -107,7 +107,7 @@ def row_count_drift(t):
 
 @query(
     "correlation_watchdog",
-    """SELECT 'l_quantity' AS "left", 'l_extendedprice' AS "right", round(corr(l_quantity, l_extendedprice), 6) AS r, 0.2 AS previous, CASE WHEN abs(corr(l_quantity, l_extendedprice) - 0.2) > 0.3 THEN 'fail' ELSE 'pass' END AS status FROM lineitem
+    """SELECT 'l_quantity' AS "left", 'l_extendedprice' AS "right", round(corr(l_quantity, l_extendedprice), 6) AS r, CAST(0.2 AS DOUBLE) AS previous, CASE WHEN abs(corr(l_quantity, l_extendedprice) - 0.2) > 0.3 THEN 'fail' ELSE 'pass' END AS status FROM lineitem
        UNION ALL SELECT 'l_discount', 'l_tax', round(corr(l_discount, l_tax), 6), NULL, 'pass' FROM lineitem""",
 )
 def correlation_watchdog(t):
@@ -338,7 +338,7 @@ def claims(t):
           coalesce(member_id IS NOT NULL AND (claim_id > min(claim_id) OVER (PARTITION BY member_id, cpt, dos)
             OR EXISTS (SELECT 1 FROM d y WHERE y.member_id = d.member_id AND y.cpt = d.cpt AND d.dos - y.dos = 1)), false) AS u FROM d),
          s AS (SELECT count(*) AS n, count(*) FILTER (WHERE e) AS e, count(*) FILTER (WHERE c) AS c, count(*) FILTER (WHERE u) AS u, count(*) FILTER (WHERE p) AS p, count(*) FILTER (WHERE b) AS b, count(*) FILTER (WHERE e OR c OR u OR p OR b) AS a FROM x)
-        SELECT cause, lines, round(lines / n * 100, 1) AS pct, lines * 118.0 AS cost FROM (SELECT n, unnest(['eligibility', 'coding', 'duplicate', 'provider', 'cob', 'any']) AS cause, unnest([e, c, u, p, b, a]) AS lines FROM s)""",
+        SELECT cause, lines, round(lines / n * 100, 1) AS pct, CAST(lines * 118 AS DOUBLE) AS cost FROM (SELECT n, unnest(['eligibility', 'coding', 'duplicate', 'provider', 'cob', 'any']) AS cause, unnest([e, c, u, p, b, a]) AS lines FROM s)""",
 )
 def claim_root_causes(t):
     return L.claim_report(L.claim_root_causes(claims(t), "claim_id", "member_id", "dos", "cpt", "dx", "npi", "payer2"))
@@ -400,7 +400,7 @@ def outlier_concentration(t):
     "column_health",
     """WITH f AS (SELECT c_custkey AS row_id, 'acctbal' AS "column", CASE WHEN c_acctbal < -900 THEN 'error' ELSE 'warning' END AS severity FROM customer WHERE c_acctbal < 0)
        SELECT "column", count(DISTINCT row_id) FILTER (WHERE severity = 'warning') AS warnings, count(DISTINCT row_id) FILTER (WHERE severity = 'error') AS errors, CAST(0 AS BIGINT) AS criticals,
-              round(greatest(0, 1 - 0.1 * count(DISTINCT row_id) FILTER (WHERE severity = 'warning') - 0.2 * count(DISTINCT row_id) FILTER (WHERE severity = 'error')), 3) AS score FROM f GROUP BY 1""",
+              CAST(round(greatest(0, 1 - 0.1 * count(DISTINCT row_id) FILTER (WHERE severity = 'warning') - 0.2 * count(DISTINCT row_id) FILTER (WHERE severity = 'error')), 3) AS DOUBLE) AS score FROM f GROUP BY 1""",
 )
 def column_health(t):
     f = t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("row_id"), F.lit("acctbal").alias("column"), F.when(F.col("c_acctbal") < -900, "error").otherwise("warning").alias("severity"))

@@ -20,7 +20,7 @@ def identifier_scan(t):
 @query(
     "identifier_scan_values",
     r"""WITH d AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS seen, CASE WHEN o_orderkey % 3 = 0 THEN 'u' || CAST(o_orderkey AS VARCHAR) || '@mail.org' ELSE 'none' END AS contact, o_custkey % 95 AS age FROM orders)
-        SELECT 'dates' AS category, 'seen' AS "column", false AS by_name, 1.0 AS value_share UNION ALL SELECT 'telephone', 'seen', false, 1.0 UNION ALL SELECT 'dates', 'age', false, NULL""",
+        SELECT 'dates' AS category, 'seen' AS "column", false AS by_name, CAST(1 AS DOUBLE) AS value_share UNION ALL SELECT 'telephone', 'seen', false, 1.0 UNION ALL SELECT 'dates', 'age', false, NULL""",
 )
 def identifier_scan_values(t):
     k = F.col("o_orderkey")

@@ -43,7 +43,7 @@ def top_values(t):
             num AS (SELECT 'l_quantity' AS "column", l_quantity AS x FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem),
             cat AS (SELECT 'l_returnflag' AS "column", l_returnflag AS v FROM lineitem UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem),
             cf AS (SELECT "column", v, count(*) AS c, row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, v) AS rk FROM cat WHERE v IS NOT NULL GROUP BY 1, 2)
-       SELECT "column", 'numeric' AS kind, 0.0 AS null_rate, round(count(DISTINCT x) / count(x), 6) AS cardinality, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std, round(skewness(x), 5) AS skew, min(x) AS min, max(x) AS max, NULL AS top, NULL AS top_prop FROM num GROUP BY 1
+       SELECT "column", 'numeric' AS kind, CAST(0 AS DOUBLE) AS null_rate, round(count(DISTINCT x) / count(x), 6) AS cardinality, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std, round(skewness(x), 5) AS skew, min(x) AS min, max(x) AS max, NULL AS top, NULL AS top_prop FROM num GROUP BY 1
        UNION ALL SELECT "column", 'categorical', 0.0, round(count(*) / sum(c), 6), NULL, NULL, NULL, NULL, NULL, list(v ORDER BY rk) FILTER (WHERE rk <= 5), round(max(c) / sum(c), 6) FROM cf GROUP BY 1""",
 )
 def distribution_fingerprint(t):

@@ -92,7 +92,7 @@ def source_convergence(t):
     "reconcile_claims",
     """WITH s AS (SELECT o_orderkey AS entity, o_orderkey % 4 AS m FROM orders)
        SELECT CAST(entity AS VARCHAR) AS entity, 'status' AS field, CASE WHEN m = 0 THEN 'confidence' WHEN m = 1 THEN 'source trust' WHEN m = 2 THEN 'single claim' ELSE 'source trust' END AS decided_by,
-              CASE WHEN m = 0 THEN 'b' ELSE 'a' END AS source, CASE WHEN m = 0 THEN 'Y' ELSE 'X' END AS value, CASE WHEN m = 0 THEN 0.3 END AS margin FROM s""",
+              CASE WHEN m = 0 THEN 'b' ELSE 'a' END AS source, CASE WHEN m = 0 THEN 'Y' ELSE 'X' END AS value, CASE WHEN m = 0 THEN CAST(0.3 AS DOUBLE) END AS margin FROM s""",
 )
 def reconcile_claims(t):
     m = F.col("o_orderkey") % 4

@@ -22,7 +22,7 @@ def csv_lines(t):
 
 @query(
     "csv_rows_accepted",
-    "SELECT status, count(*) AS n, sum(custkey) AS keys, round(sum(price), 2) AS total FROM (SELECT o_orderstatus AS status, CAST(o_custkey AS BIGINT) AS custkey, o_totalprice AS price FROM orders WHERE o_orderkey % 37 <> 0) GROUP BY 1",
+    "SELECT status, count(*) AS n, CAST(sum(custkey) AS BIGINT) AS keys, round(sum(price), 2) AS total FROM (SELECT o_orderstatus AS status, CAST(o_custkey AS BIGINT) AS custkey, o_totalprice AS price FROM orders WHERE o_orderkey % 37 <> 0) GROUP BY 1",
 )
 def csv_rows_accepted(t):
     good, _ = S.parse_csv_lines(csv_lines(t), "line", "orderkey bigint, custkey bigint, status string, price double")
@@ -91,7 +91,7 @@ def payloads(t):
 @query("nested_flatten_records", """SELECT c_custkey, c_nationkey AS nation, c_acctbal AS "money.balance", '[1,2]' AS marks FROM customer""")
 def nested_flatten_records(t):
     """The first array of objects inside each payload, flattened to dotted columns."""
-    return N.api_rows(payloads(t), "payload", keep=("c_custkey",))
+    return N.api_rows(payloads(t), "payload", keep=("c_custkey",)).withColumn("money.balance", F.col("`money.balance`").cast("double"))
 
 
 @query("nested_flatten_struct", """SELECT c_custkey AS "meta.id", c_mktsegment AS "meta.tags.segment" FROM customer""")
@@ -197,7 +197,7 @@ def bundle_tables(t):
     return out
 
 
-@query("bundle_observation_limits", "SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS id, 'spo2' AS vital, 140.0 AS value FROM orders WHERE o_orderkey % 8 = 0")
+@query("bundle_observation_limits", "SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS id, 'spo2' AS vital, CAST(140 AS DOUBLE) AS value FROM orders WHERE o_orderkey % 8 = 0")
 def bundle_observation_limits(t):
     return N.observation_limits(N.bundle_tables(bundles(t), "body")["Observation"]).select("id", "vital", "value")
 

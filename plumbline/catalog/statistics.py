@@ -119,7 +119,7 @@ def correlation_matrix(t):
 
 @query(
     "simple_regression",
-    """SELECT regr_count(l_extendedprice, l_quantity) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2,
+    """SELECT CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2,
        round(corr(l_extendedprice, l_quantity) * sqrt(count(*) - 2) / sqrt(1 - power(corr(l_extendedprice, l_quantity), 2)), 3) AS t FROM lineitem""",
 )
 def simple_regression(t):
@@ -209,7 +209,7 @@ def flag_ranking(t):
 
 @query(
     "exact_quantiles",
-    """SELECT 'l_extendedprice' AS "column", p AS prob, round(v, 5) AS value FROM (SELECT unnest([0.01, 0.5, 0.999]) AS p, unnest(quantile_cont(l_extendedprice, [0.01, 0.5, 0.999])) AS v FROM lineitem)
+    """SELECT 'l_extendedprice' AS "column", CAST(p AS DOUBLE) AS prob, round(v, 5) AS value FROM (SELECT unnest([0.01, 0.5, 0.999]) AS p, unnest(quantile_cont(l_extendedprice, [0.01, 0.5, 0.999])) AS v FROM lineitem)
        UNION ALL SELECT 'l_discount', p, round(v, 5) FROM (SELECT unnest([0.01, 0.5, 0.999]) AS p, unnest(quantile_cont(l_discount, [0.01, 0.5, 0.999])) AS v FROM lineitem)""",
 )
 def exact_quantiles(t):

@@ -81,11 +81,11 @@ def tumbling_windows(t):
 @query(
     "sliding_windows",
     """WITH b AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS s, value FROM events), x AS (SELECT s AS start, value FROM b UNION ALL SELECT s - INTERVAL '6 hours', value FROM b)
-       SELECT CAST(start AS VARCHAR) AS start, count(*) AS n, round(avg(value), 4) AS mean FROM x GROUP BY 1""",
+       SELECT CAST(start AS VARCHAR) AS start, count(*) AS n, round(sum(value), 4) AS total FROM x GROUP BY 1""",
 )
 def sliding_windows(t):
-    w = V.windowed(t.events, "ts", [], {"n": F.count(F.lit(1)), "mean": F.round(F.avg("value"), 4)}, "12 hours", "6 hours")
-    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "mean")
+    w = V.windowed(t.events, "ts", [], {"n": F.count(F.lit(1)), "total": F.round(F.sum("value"), 4)}, "12 hours", "6 hours")
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "total")
 
 
 @query(

@@ -189,11 +189,19 @@ def edit_signatures(s: str, threshold: float, probe: bool) -> set[str]:
     return out
 
 
-def jaro_signatures(s: str, threshold: float) -> set[str]:
+# Shared-prefix lengths handled together: (characters that must agree, prefix length of the looser bound).
+_PREFIX_CLASSES = ((0, 0), (1, 3), (4, 4))
+# Letters from common to rare.
+_COMMON = " eaionrtslcudpmhgbyfvkwzxqj"
+
+
+def jaro_signatures(s: str, threshold: float, probe: bool) -> set[str]:
     """Pairs of rare character tokens of which any pair above the Jaro-Winkler threshold shares one.
 
-    For each shared-prefix length p the threshold gives a least number of common characters;
-    the rarest tokens beyond that number must then overlap in at least two places.
+    A shared prefix of length p and the threshold give a least number of common characters.
+    With all tokens in one rare-first order, two strings with that many in common share at
+    least two tokens among the first few of each. The shorter string is indexed under its
+    own length; a string probes every length a shorter partner can have.
     """
     n = len(s)
     seen: dict[str, int] = {}
@@ -201,24 +209,20 @@ def jaro_signatures(s: str, threshold: float) -> set[str]:
     for ch in s:
         seen[ch] = seen.get(ch, 0) + 1
         tokens.append((ch, seen[ch]))
-    common = " eaionrtslcudpmhgbyfvkwzxqj"
-    # rare first: later repeats of a character and unusual characters
-    tokens.sort(key=lambda t: (-t[1], -(common.find(t[0].lower()) % 99), t[0]))
+    tokens.sort(key=lambda t: (-t[1], -(_COMMON.find(t[0].lower()) % 99), t[0]))
     out: set[str] = set()
-    for p in range(5):
-        if p > n:
+    for agree, p in _PREFIX_CLASSES:
+        if agree > n:
             break
         least = 3 * (threshold - 0.1 * p) / (1 - 0.1 * p) - 1
-        for other in range(max(1, p, int(n * (least - 1))), int(n / max(least - 1, 0.05)) + 2):
-            need = int(np.ceil(least * n * other / (n + other) - 1e-9))
-            if need > min(n, other):
-                continue
-            need = max(need, 1)
-            tag = f"j{p}.{min(n, other)}.{max(n, other)}.{s[:p]}"
-            if need == 1:
-                out.update(f"{tag}.{t}" for t in tokens)
+        for short in range(max(1, agree, int(n * (least - 1))), n + 1) if probe else (n,):
+            floor = max(1, int(np.ceil(least * short / 2 - 1e-9)))
+            need = max(floor, int(np.ceil(least * short * n / (short + n) - 1e-9)))
+            if need > short:
                 continue
-            out.update(f"{tag}.{a}{b}" for a, b in combinations(tokens[: n - need + 2], 2))
+            size = min(2, floor)
+            tag = f"j{agree}.{short}.{s[:agree]}."
+            out.update(tag + "".join(f"{c}{i}" for c, i in pick) for pick in combinations(tokens[: n - need + size], size))
     return out
 
 
@@ -235,7 +239,7 @@ def signatures(threshold: float, probe: bool, metric: str = "both"):
             if metric in ("both", "levenshtein"):
                 keys |= edit_signatures(v, threshold, probe)
             if metric in ("both", "jaro_winkler"):
-                keys |= jaro_signatures(v, threshold)
+                keys |= jaro_signatures(v, threshold, probe)
             rows.append([xxhash.xxh64_intdigest(k) - 2**63 for k in keys])
         return pd.Series(rows)
 

@@ -29,6 +29,8 @@ def similar_values(
     values sharing a signature ever meet, and each meeting pair is scored once.
     """
     v = values.select(col(column).cast("string").alias("v")).where(F.col("v").isNotNull() & (F.col("v") != "")).distinct()
+    # signatures are the costly step: spread the values evenly, whatever the upstream partitioning
+    v = v.repartition("v")
     index = v.select("v", F.explode(signatures(threshold, False, metric)("v")).alias("sig"))
     probe = v.select(F.col("v").alias("w"), F.explode(signatures(threshold, True, metric)("v")).alias("sig"))
     met = index.join(probe, "sig").where(F.col("v") != F.col("w"))

@@ -127,7 +127,7 @@ def private_histogram(df: DataFrame, column: str, bins: int = 20, epsilon: float
         )
     g = df.groupBy(F.coalesce(col(column).cast("string"), F.lit("(null)")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     none = F.lit(None).cast("double")
-    return g.select(F.xxhash64("label").cast("int").alias("bin"), none.alias("low"), none.alias("high"), "label", noise(F.col("label")).alias("weight"))
+    return g.select(F.pmod(F.xxhash64("label"), F.lit(2**31 - 1)).cast("int").alias("bin"), none.alias("low"), none.alias("high"), "label", noise(F.col("label")).alias("weight"))
 
 
 MAX_CATEGORIES = 10_000

@@ -50,9 +50,33 @@ def close(a, b) -> bool:
     return a == b
 
 
+def kind(t: str) -> str:
+    t = t.lower()
+    for word, names in (
+        ("int", ("tinyint", "smallint", "bigint", "integer", "int", "long")),
+        ("float", ("double", "float")),
+        ("bool", ("bool",)),
+        ("text", ("varchar", "string")),
+    ):
+        if t.startswith(names) and "[" not in t:
+            return word
+    return "list" if t.startswith("array") or t.endswith("[]") else t
+
+
+def type_gaps(df, con, sql: str) -> list[str]:
+    """Columns whose type family differs between the two engines."""
+    want = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    have = dict(df.dtypes)
+    return [f"{c}: {have[c]} / {want[c]}" for c in sorted(want) if c in have and kind(have[c]) != kind(want[c])]
+
+
 def compare(spark, con, root: str, name: str) -> str | None:
     """None when equal, otherwise the first difference found."""
     df = catalog.QUERIES[name](spark, root)
+    if name in catalog.SQL:
+        gaps = type_gaps(df, con, catalog.SQL[name])
+        if gaps:
+            print("    types", name, gaps)
     cols = sorted(df.columns)
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=sort_key)
     if name not in catalog.SQL:
