@@ -7,6 +7,7 @@ from plumbline.catalog import query
 from plumbline.functions import text as X
 from plumbline.operators import fuzzy as Z
 from plumbline.operators import vectors as V
+from plumbline.session import spread
 
 def part_names(t):
     return t.part.select(F.concat_ws(" ", "p_name", "p_type").alias("name"))
@@ -121,7 +122,7 @@ def vector_top_k(t):
        SELECT doc_id, chunk, CAST(len(w[chunk * 180 + 1 : chunk * 180 + 200]) AS BIGINT) AS words, md5(array_to_string(w[chunk * 180 + 1 : chunk * 180 + 200], ' ')) AS digest FROM c""",
 )
 def chunk_documents(t):
-    d = t.documents.select("doc_id", F.explode(X.chunk_words(F.col("text"))).alias("c"))
+    d = spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(X.chunk_words(F.col("text"))).alias("c"))
     return d.select("doc_id", F.col("c.chunk").alias("chunk"), F.col("c.words").alias("words"), F.md5("c.text").alias("digest"))
 
 
@@ -145,7 +146,7 @@ def similarity_functions(t):
 )
 def bigram_dice(t):
     d = X.bigram_dice(F.col("p_name"), F.concat_ws(" ", "p_type", "p_name"))
-    return t.part.select("p_partkey", F.round(d, 6).alias("dice"))
+    return spread(t.part.select("p_partkey", "p_name", "p_type")).select("p_partkey", F.round(d, 6).alias("dice"))
 
 
 @query(

@@ -47,20 +47,32 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     width = {t: None for t in tags}
     open_tags = list(tags)
     while open_tags:
-        aggs = []
+        aggs, ranks = [], {}
         for i, (c, p) in enumerate(open_tags):
             t = (c, p)
             n_in = width[t]
             if n_in is None:
-                at = [max(0.0, p - 2.5 / SKETCH_ACCURACY), min(1.0, p + 2.5 / SKETCH_ACCURACY)]
+                ranks[t] = [max(0.0, p - 2.5 / SKETCH_ACCURACY), min(1.0, p + 2.5 / SKETCH_ACCURACY)]
+                continue
+            rank = p * (count[c] - 1) - below[t]
+            slack = 2.5 * n_in / SKETCH_ACCURACY + 2
+            at = [max(0.0, (rank - slack) / n_in), min(1.0, (rank + slack) / n_in)]
+            aggs += [F.percentile_approx(F.when(inside[t], value[c]), at, SKETCH_ACCURACY).alias(f"q{i}"), F.count(F.when(inside[t], value[c])).alias(f"n{i}")]
+        if ranks:  # first scan: one sketch per column answers all its probabilities
+            for j, c in enumerate(dict.fromkeys(c for c, _ in ranks)):
+                at = [x for t, pair in ranks.items() if t[0] == c for x in pair]
+                aggs += [F.percentile_approx(value[c], at, SKETCH_ACCURACY).alias(f"c{j}"), F.count(value[c]).alias(f"cn{j}")]
+        found = df.agg(*aggs).first()
+        row = {}
+        place = {c: [j, 0] for j, c in enumerate(dict.fromkeys(c for c, _ in ranks))}
+        for i, t in enumerate(open_tags):
+            if t in ranks:
+                j, k = place[t[0]]
+                all_q = found[f"c{j}"]
+                row[f"q{i}"], row[f"n{i}"] = (all_q[k : k + 2] if all_q else None), found[f"cn{j}"]
+                place[t[0]][1] += 2
             else:
-                rank = p * (count[c] - 1) - below[t]
-                slack = 2.5 * n_in / SKETCH_ACCURACY + 2
-                at = [max(0.0, (rank - slack) / n_in), min(1.0, (rank + slack) / n_in)]
-            v = F.when(inside[t], value[c])
-            aggs.append(F.percentile_approx(v, at, SKETCH_ACCURACY).alias(f"q{i}"))
-            aggs.append(F.count(v).alias(f"n{i}"))
-        row = df.agg(*aggs).first()
+                row[f"q{i}"], row[f"n{i}"] = found[f"q{i}"], found[f"n{i}"]
         checks = []
         for i, (c, p) in enumerate(open_tags):
             t = (c, p)

@@ -105,7 +105,7 @@ def chunk_words(text: Column, size: int = 200, overlap: int = 20) -> Column:
         F.sequence(F.lit(0), last),
         lambda i: F.struct(
             i.cast("long").alias("chunk"),
-            F.size(F.slice(words, i * step + 1, size)).cast("long").alias("words"),
+            F.least(F.lit(size), n - i * step).cast("long").alias("words"),
             F.array_join(F.slice(words, i * step + 1, size), " ").alias("text"),
         ),
     )
@@ -168,9 +168,10 @@ def _segments(length: int, parts: int) -> list[tuple[int, int]]:
 
 
 def edit_signatures(s: str, threshold: float, probe: bool) -> set[str]:
-    """Segments (or, as a probe, substrings) of which any pair within the threshold shares one.
+    """Pairs of segments (or, as a probe, substrings) of which any pair within the threshold shares one.
 
-    A string cut into d+1 segments keeps at least one intact under d edits, moved by at most d places.
+    A string cut into d+2 segments keeps at least two intact under d edits, each moved by at
+    most d places. The shorter string is indexed; a string probes every shorter length.
     """
     out: set[str] = set()
     n = len(s)
@@ -180,12 +181,17 @@ def edit_signatures(s: str, threshold: float, probe: bool) -> set[str]:
         while longest + 1 - length <= _max_edits(longest + 1, threshold):
             longest += 1
         d = _max_edits(longest, threshold)
-        for i, (start, size) in enumerate(_segments(length, min(d + 1, max(1, length)))):
-            shifts = range(-d, d + 1) if probe else (0,)
-            for k in shifts:
-                piece = s[start + k : start + k + size] if start + k >= 0 else ""
-                if len(piece) == size and size:
-                    out.add(f"e{length}.{i}.{piece}")
+        parts = _segments(length, min(d + 2, length))
+        moves = range(-d, d + 1) if probe else (0,)
+        pieces = []
+        for start, size in parts:
+            here = {k: s[start + k : start + k + size] for k in moves if start + k >= 0}
+            pieces.append({k: x for k, x in here.items() if len(x) == size})
+        if length < d + 2:  # too short for two intact segments: one may be all that is left
+            out.update(f"e{length}.{i}.{x}" for i, p in enumerate(pieces) for x in p.values())
+            continue
+        for i, j in combinations(range(len(parts)), 2):
+            out.update(f"e{length}.{i}.{j}.{x}.{y}" for k, x in pieces[i].items() for m, y in pieces[j].items() if abs(k - m) <= d)
     return out
 
 

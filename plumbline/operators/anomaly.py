@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.stats import scalar_row
 from plumbline.model import col, stack_structs
+from plumbline.session import spread
 from plumbline.operators.aggregates import entity_baseline
 
 
@@ -151,12 +152,12 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], key: str, trees: int
         out = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "path"])
         out.insert(0, "node", range(len(nodes)))
         out.insert(0, "tree", tree)
+        out["size"] = len(x)
         return out
 
-    grown = picks.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, left int, right int, path double")
+    grown = picks.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, left int, right int, path double, size int")
     forest = grown.toPandas()  # bounded: trees x at most 2 * sample nodes
-    used = int(min(sample, max(1, pool.count())))
-    norm = _mean_path(used) or 1.0
+    norm = _mean_path(int(forest["size"].max())) if len(forest) else 1.0
     parts = [g.sort_values("node")[["feature", "cut", "left", "right", "path"]].to_numpy() for _, g in forest.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast(parts)
 
@@ -175,11 +176,11 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], key: str, trees: int
                     go_left = x[rows, np.maximum(f, 0)] < t[at, 1]
                     at = np.where(inner, np.where(go_left, t[at, 2], t[at, 3]).astype(int), at)
                 total += t[at, 4]
-            s = np.power(2.0, -(total / max(1, len(shared.value))) / norm)
+            s = np.power(2.0, -(total / max(1, len(shared.value))) / (norm or 1.0))
             yield pd.DataFrame({"key": pdf["key"], "score": s})
 
     key_type = df.schema[key].dataType.simpleString()
-    out = whole.select(col(key).alias("key"), *feats).mapInPandas(score, f"key {key_type}, score double")
+    out = spread(whole.select(col(key).alias("key"), *feats)).mapInPandas(score, f"key {key_type}, score double")
     return out.withColumn("is_anomaly", F.col("score") > threshold)
 
 
@@ -230,7 +231,7 @@ def gower_knn(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequ
                 yield pd.DataFrame({"key": p["key"].to_numpy(), "raw_score": raw, "contributions": list(np.round(shares, 4))})
 
     kt = df.schema[key].dataType.simpleString()
-    out = base.mapInPandas(score, f"key {kt}, raw_score double, contributions array<double>")
+    out = spread(base).mapInPandas(score, f"key {kt}, raw_score double, contributions array<double>")
     return out.withColumn("contributions", F.map_from_arrays(F.array(*[F.lit(n) for n in names]), "contributions"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import expand_abbreviation, jaro_winkler, levenshtein_similarity, signatures
 from plumbline.model import col, matching
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, tasks
 
 IDENTIFIER_NAME = r"^(id|key|code)$|(_id|_key|_code|_no|_num|_number)$"
 NEAR_UNIQUE = 0.9
@@ -30,11 +30,16 @@ def similar_values(
     """
     v = values.select(col(column).cast("string").alias("v")).where(F.col("v").isNotNull() & (F.col("v") != "")).distinct()
     # signatures are the costly step: spread the values evenly, whatever the upstream partitioning
-    v = v.repartition("v")
+    n = tasks(values)
+    v = v.repartition(n, "v")
     index = v.select("v", F.explode(signatures(threshold, False, metric)("v")).alias("sig"))
     probe = v.select(F.col("v").alias("w"), F.explode(signatures(threshold, True, metric)("v")).alias("sig"))
     met = index.join(probe, "sig").where(F.col("v") != F.col("w"))
-    pairs = met.select(F.least("v", "w").alias("value_a"), F.greatest("v", "w").alias("value_b")).distinct()
+    if metric == "levenshtein":
+        # cheap enough to settle where the values meet: only true pairs go on to be deduplicated
+        near = levenshtein_similarity(F.col("v"), F.col("w"))
+        met = met.where(near >= threshold if inclusive else near > threshold)
+    pairs = met.select(F.least("v", "w").alias("value_a"), F.greatest("v", "w").alias("value_b")).distinct().repartition(n)
     a, b = F.col("value_a"), F.col("value_b")
     score = {
         "both": F.greatest(levenshtein_similarity(a, b), jaro_winkler(a, b)),

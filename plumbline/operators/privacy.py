@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.stats import scalar_row
 from plumbline.model import col, kind_of, stack_structs
+from plumbline.session import cut_lineage
 
 # The eighteen identifier categories, by column name and by value shape.
 IDENTIFIERS: list[tuple[str, str, str | None]] = [
@@ -233,7 +234,8 @@ def shareable_fingerprint(df: DataFrame, columns: Sequence[str], bins: int = 16,
 
 def compare_shapes(a: DataFrame, b: DataFrame, bins: int = 16) -> DataFrame:
     """Jensen-Shannon divergence per column of two shareable fingerprints, numeric bins re-cut to a common grid."""
-    both = a.select("*", F.lit("a").alias("side")).unionByName(b.select("*", F.lit("b").alias("side")))
+    # at most bins or category rows per column: store once, read many times below
+    both = cut_lineage(a.select("*", F.lit("a").alias("side")).unionByName(b.select("*", F.lit("b").alias("side"))))
     grid = both.where("kind = 'numeric'").groupBy("column").agg(F.min("low").alias("g0"), F.max("high").alias("g1"), F.max(F.col("bin").cast("int")).alias("_"))
     num = both.where("kind = 'numeric'").join(grid, "column")
     per_side = num.groupBy("column", "side").agg(F.count(F.lit(1)).alias("k"))

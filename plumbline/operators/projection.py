@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import all_of, any_of, col
+from plumbline.session import spread
 
 # The shapes that count as sensitive whatever the column is called.
 SENSITIVE_PATTERNS = {
@@ -145,7 +146,7 @@ def redaction_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.lit(p).alias("pattern"), F.col(f"k{i}").cast("long").alias("hits"))
         for i, (c, p) in enumerate(keys)
     ]
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return spread(df.select(*[col(c) for c in columns])).agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def has_sensitive(text: Column) -> Column:

@@ -241,11 +241,14 @@ BENFORD_MAGNITUDE = r"amount|revenue|sales|price|cost|charge|population|transact
 def benford(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Leading-digit test with its eligibility gate, all columns in one pass."""
     cols = list(columns) if columns is not None else numeric_columns(df)
+    x_of = {c: F.abs(col(c).cast("double")) for c in cols}
+    # the digit is a column of its own, so it is worked out once per value and not once per count
+    df = df.select(*[x_of[c].alias(f"x{i}") for i, c in enumerate(cols)], *[F.when(x_of[c] >= 1, leading_digit(x_of[c])).alias(f"g{i}") for i, c in enumerate(cols)])
     aggs, rows = [], []
     for i, c in enumerate(cols):
-        x = F.abs(col(c).cast("double"))
+        x = F.col(f"x{i}")
         big = x >= 1
-        d = F.when(big, leading_digit(x))
+        d = F.col(f"g{i}")
         aggs += [
             F.count_if(big).alias(f"n{i}"), F.count(x).alias(f"nn{i}"), F.count_if((x != 0) & (x != 1)).alias(f"nb{i}"),
             # orders of magnitude of a double: at most a few hundred values

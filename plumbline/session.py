@@ -44,3 +44,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run's state or stream log, under the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan with fewer splits than cores before costly per-row work.
+
+    A table read in enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def tasks(df: DataFrame) -> int:
+    """Partition count for compute-heavy stages whose small input would be merged into one task."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import col, stack_structs
+from plumbline.session import spread
 
 
 def _is_object(text: Column) -> Column:
@@ -39,7 +40,8 @@ def parse_messages(df: DataFrame, value: str = "value", keys: Sequence[str] = ()
     Bad payloads and bad lines stay as rows with an error, so nothing is dropped.
     """
     fmt = detect_format(col(value))
-    d = df.select(*[col(k) for k in keys], fmt.alias("format"), col(value).cast("binary").alias("_raw"))
+    d = df if df.isStreaming else spread(df.select(*[col(k) for k in keys], col(value)))
+    d = d.select(*[col(k) for k in keys], fmt.alias("format"), col(value).cast("binary").alias("_raw"))
     text = F.trim(F.col("_raw").cast("string"))
     rec = lambda r, e: F.struct(r.cast("string").alias("record"), e.cast("string").alias("error"))
     none = F.lit(None)

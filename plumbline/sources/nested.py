@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.model import col
+from plumbline.session import spread
 
 
 def infer_json(df: DataFrame, column: str) -> str:
@@ -84,7 +85,7 @@ BUNDLE = (
 
 
 def bundle_entries(df: DataFrame, column: str) -> DataFrame:
-    b = df.select(F.from_json(col(column), BUNDLE).alias("b")).where(F.col("b.resourceType") == "Bundle")
+    b = spread(df.select(col(column))).select(F.from_json(col(column), BUNDLE).alias("b")).where(F.col("b.resourceType") == "Bundle")
     return b.select(F.explode("b.entry").alias("e")).select("e.resource.*")
 
 
