@@ -31,101 +31,85 @@ def sample_skewness(c: Column) -> Column:
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles: rows ``(column, prob, value)``.
 
-    A quantile sketch over all columns gives a narrow value band around each wanted
-    rank; counting rows below the band turns the global rank into a rank within it.
-    Bands are narrowed with further scans until few distinct values remain, and only
-    those are grouped and ranked. No scan shuffles its rows, so this works where one
-    task could not hold a column's value counts.
+    A quantile sketch per column gives a narrow value band around each wanted rank;
+    counting rows below the band turns the global rank into a rank within it. A band that
+    missed its rank is widened, one that is still large is narrowed by another scan, and
+    only the few distinct values left are grouped and ranked. No scan shuffles its rows, so
+    this works where one task could not hold a column's value counts.
     """
+    spark = df.sparkSession
     tags = [(c, float(p)) for c in columns for p in probs]
     value = {c: F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")) for c in columns}
-    lo: dict = {}
-    hi: dict = {}
-    below = {t: 0 for t in tags}
-    count: dict = {}
-    inside = {t: value[t[0]].isNotNull() for t in tags}
-    width = {t: None for t in tags}
-    open_tags = list(tags)
-    while open_tags:
-        aggs, ranks = [], {}
-        for i, (c, p) in enumerate(open_tags):
-            t = (c, p)
-            n_in = width[t]
-            if n_in is None:
-                ranks[t] = [max(0.0, p - 2.5 / SKETCH_ACCURACY), min(1.0, p + 2.5 / SKETCH_ACCURACY)]
-                continue
-            rank = p * (count[c] - 1) - below[t]
-            slack = 2.5 * n_in / SKETCH_ACCURACY + 2
-            at = [max(0.0, (rank - slack) / n_in), min(1.0, (rank + slack) / n_in)]
-            aggs += [F.percentile_approx(F.when(inside[t], value[c]), at, SKETCH_ACCURACY).alias(f"q{i}"), F.count(F.when(inside[t], value[c])).alias(f"n{i}")]
-        if ranks:  # first scan: one sketch per column answers all its probabilities
-            for j, c in enumerate(dict.fromkeys(c for c, _ in ranks)):
-                at = [x for t, pair in ranks.items() if t[0] == c for x in pair]
-                aggs += [F.percentile_approx(value[c], at, SKETCH_ACCURACY).alias(f"c{j}"), F.count(value[c]).alias(f"cn{j}")]
-        found = df.agg(*aggs).first()
-        row = {}
-        place = {c: [j, 0] for j, c in enumerate(dict.fromkeys(c for c, _ in ranks))}
-        for i, t in enumerate(open_tags):
-            if t in ranks:
-                j, k = place[t[0]]
-                all_q = found[f"c{j}"]
-                row[f"q{i}"], row[f"n{i}"] = (all_q[k : k + 2] if all_q else None), found[f"cn{j}"]
-                place[t[0]][1] += 2
-            else:
-                row[f"q{i}"], row[f"n{i}"] = found[f"q{i}"], found[f"n{i}"]
-        checks = []
-        for i, (c, p) in enumerate(open_tags):
-            t = (c, p)
-            if count.get(c) is None:
-                count[c] = row[f"n{i}"]
-            if row[f"q{i}"] is None:
-                lo[t] = hi[t] = None
-                continue
-            lo[t], hi[t] = row[f"q{i}"]
-            inside[t] = value[c].between(F.lit(lo[t]), F.lit(hi[t]))
-            checks.append(F.count_if(value[c] < F.lit(lo[t])).alias(f"b{i}"))
-            checks.append(F.count_if(inside[t]).alias(f"w{i}"))
-        if not checks:
-            break
-        sizes = df.agg(*checks).first()
-        still = []
-        for i, (c, p) in enumerate(open_tags):
-            t = (c, p)
-            if lo[t] is None:
-                continue
-            below[t], width[t] = sizes[f"b{i}"], sizes[f"w{i}"]
-            if width[t] > BAND_ROWS and lo[t] < hi[t]:
-                still.append(t)
-        if still and all(width[t] == row[f"n{open_tags.index(t)}"] for t in still):
-            break  # bands cannot shrink further: heavy ties, few distinct values
-        open_tags = still
-    spark = df.sparkSession
-    known = [t for t in tags if lo.get(t) is not None]
+    sizes = df.agg(*[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    total = {c: sizes[f"n{i}"] for i, c in enumerate(columns)}
+    known = [t for t in tags if total[t[0]]]
     if not known:
         return spark.createDataFrame([(c, p, None) for c, p in tags], "column string, prob double, value double")
-    cases = [
-        F.when(inside[t], F.struct(F.lit(i).alias("tag"), value[t[0]].alias("v"))) for i, t in enumerate(known)
-    ]
+    # a band is (low value, high value, rows below it, rows in it); it starts as the whole column
+    band: dict = {t: (None, None, 0, total[t[0]]) for t in known}
+    slack = {t: 1.0 for t in known}
+    todo = list(known)
+
+    def within(t) -> Column:
+        lo, hi, _, _ = band[t]
+        v = value[t[0]]
+        return v.isNotNull() if lo is None else v.between(F.lit(lo), F.lit(hi))
+
+    while todo:
+        asks: dict = {}
+        for t in todo:
+            _, _, below, n = band[t]
+            rank = t[1] * (total[t[0]] - 1) - below
+            room = slack[t] * (2.5 * n / SKETCH_ACCURACY + 2)
+            at = [max(0.0, (rank - room) / n), min(1.0, (rank + room + 1) / n)]
+            # all tags still looking at a whole column share one sketch
+            asks.setdefault(t[0] if band[t][0] is None else t, []).append((t, at))
+        aggs = [
+            F.percentile_approx(F.when(within(wants[0][0]), value[wants[0][0][0]]), [x for _, at in wants for x in at], SKETCH_ACCURACY).alias(f"q{i}")
+            for i, wants in enumerate(asks.values())
+        ]
+        edges = df.agg(*aggs).first()
+        guess = {t: edges[f"q{i}"][2 * k : 2 * k + 2] for i, wants in enumerate(asks.values()) for k, (t, _) in enumerate(wants)}
+        checks = []
+        for i, t in enumerate(todo):
+            lo, hi = guess[t]
+            checks += [F.count_if(value[t[0]] < F.lit(lo)).alias(f"b{i}"), F.count_if(value[t[0]].between(F.lit(lo), F.lit(hi))).alias(f"w{i}")]
+        seen = df.agg(*checks).first()
+        again = []
+        for i, t in enumerate(todo):
+            below, n = seen[f"b{i}"], seen[f"w{i}"]
+            pos = t[1] * (total[t[0]] - 1)
+            if below > int(pos) or below + n - 1 < -int(-pos // 1):
+                slack[t] *= 4
+                again.append(t)
+                continue
+            shrank = n < band[t][3]
+            band[t] = (*guess[t], below, n)
+            # a band of one value, or one that heavy ties keep from shrinking, is few distinct rows
+            if n > BAND_ROWS and guess[t][0] < guess[t][1] and shrank:
+                again.append(t)
+        todo = again
+    cases = [F.when(within(t), F.struct(F.lit(i).alias("tag"), value[t[0]].alias("v"))) for i, t in enumerate(known)]
     freq = (
         df.select(F.explode(F.array_compact(F.array(*cases))).alias("x"))
         .groupBy("x.tag", "x.v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     wanted = spark.createDataFrame(
-        [(i, t[0], t[1], int(below[t]), int(count[t[0]])) for i, t in enumerate(known)],
+        [(i, t[0], t[1], int(band[t][2]), int(total[t[0]])) for i, t in enumerate(known)],
         "tag int, column string, prob double, below long, total long",
     )
     pos = F.col("prob") * (F.col("total") - 1)
     w = Window.partitionBy("tag").orderBy("v")
     ranked = (
         freq.withColumn("upto", F.sum("n").over(w))
-        .join(F.broadcast(wanted), "tag")
+        .join(F.broadcast(wanted), "tag")  # one row per column and probability
         .withColumn("first", F.col("below") + F.col("upto") - F.col("n"))
         .withColumn("last", F.col("below") + F.col("upto") - 1)
     )
     at = lambda r: F.max(F.when((F.col("first") <= r) & (F.col("last") >= r), F.col("v")))
     low, high = F.floor(pos), F.ceil(pos)
-    return (
+    out = (
         ranked.withColumn("pos", pos)
         .groupBy("tag", "column", "prob", "pos")
         .agg(at(low).alias("a"), at(high).alias("b"))
@@ -135,6 +119,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             (F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))).alias("value"),
         )
     )
+    empty = [(c, p, None) for c, p in tags if not total[c]]
+    return out.unionByName(spark.createDataFrame(empty, "column string, prob double, value double")) if empty else out
 
 
 def quantile_map(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict:
