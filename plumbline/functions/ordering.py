@@ -6,6 +6,7 @@ value that fills several buckets on its own is split further by the tie-break ke
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -68,7 +69,7 @@ def range_buckets(df: DataFrame, order: str, key: str, buckets: int | None = Non
     o, t = sort_number(df, order), sort_number(df, key)
     raw = df.agg(F.percentile_approx(o, probs, 10 * k)).first()[0] or []
     cuts = sorted(set(raw))
-    hot = sorted({v for v in raw if list(raw).count(v) > 1})
+    hot = sorted(v for v, times in Counter(raw).items() if times > 1)
     bucket = _cut_index(o, cuts)
     if hot:
         fine = df.where(o.isin(hot)).agg(F.percentile_approx(t, probs, 10 * k)).first()[0] or []

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.ordering import with_order
 from plumbline.model import col, kind_of
 from plumbline.plans.profile import _column_rows, value_counts
 
@@ -175,17 +176,17 @@ def alert_fingerprint(severity: Column, lines: Column) -> Column:
 
 def new_alerts(alerts: DataFrame, source: str, order: str) -> DataFrame:
     """Alerts that differ from the previous one of the same source; passing alerts are never new."""
-    w = Window.partitionBy(col(source)).orderBy(col(order))
     fp = alerts.withColumn("fingerprint", alert_fingerprint(F.col("severity"), F.col("lines")))
-    previous = F.lag("fingerprint").over(w)
+    fp = fp.withColumn("_k", F.xxhash64(col(source), "fingerprint"))
+    seen = with_order(fp, order, "_k", lag=["fingerprint"], position=None, partition=[source])
     loud = F.col("severity").isin("warn", "fail") & (F.size("lines") > 0)
-    return fp.withColumn("_p", previous).where(loud & ~F.col("fingerprint").eqNullSafe(F.col("_p"))).drop("_p")
+    return seen.where(loud & ~F.col("fingerprint").eqNullSafe(F.col("prev_fingerprint"))).drop("_k", "prev_fingerprint")
 
 
 def metric_changes(versions: DataFrame, metric: str = "metric", version: str = "version", definition: str = "definition") -> DataFrame:
-    """Consecutive versions of a metric whose definition changed. Few versions per metric."""
-    w = Window.partitionBy(col(metric)).orderBy(col(version))
-    v = versions.withColumn("previous", F.lag(col(definition)).over(w))
+    """Consecutive versions of a metric whose definition changed."""
+    d = versions.withColumn("_k", F.xxhash64(col(metric)))
+    v = with_order(d, version, "_k", lag=[definition], position=None, partition=[metric]).withColumnRenamed(f"prev_{definition}", "previous")
     return v.where(F.col("previous").isNotNull() & (F.col("previous") != col(definition))).select(metric, version, "previous", definition)
 
 

@@ -127,7 +127,7 @@ def category_clusters(df: DataFrame, column: str, threshold: float = 0.82, max_v
     comp = connected_components(edges)
     members = comp.join(freq, F.col("node") == F.col("value")).select("label", "value", "count")
     lead = members.groupBy("label").agg(
-        F.max(F.struct("count", F.lit(0))).alias("_"), F.count(F.lit(1)).alias("size"),
+        F.count(F.lit(1)).alias("size"),
         F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("canonical"),
     )
     out = members.join(lead.where("size > 1"), "label")

@@ -43,10 +43,10 @@ QUASI_NAMES = r"(^|_)(age|dob|birth|date_of_birth|sex|gender|zip|zipcode|postal|
 def scan_identifiers(df: DataFrame, share: float = 0.5) -> DataFrame:
     """Columns that look like identifiers, by name or by half of their values; all patterns in one scan."""
     texts = [f.name for f in df.schema.fields if kind_of(f.dataType) == "text"]
-    aggs, checks = [F.count(F.lit(1)).alias("n")], []
+    aggs, checks = [], []
     for c in df.columns:
-        aggs.append(F.count(col(c)).alias(f"nn_{len(checks)}_{len(aggs)}"))
-        nn = f"nn_{len(checks)}_{len(aggs) - 1}"
+        nn = f"n{df.columns.index(c)}"
+        aggs.append(F.count(col(c)).alias(nn))
         claimed = False
         for cat, name_rx, value_rx in IDENTIFIERS:
             named = bool(re.search(name_rx, c, re.I))

@@ -11,8 +11,11 @@ MAX_BROADCAST_QUERIES = 10_000
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two numeric arrays; 0 when either has no length."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.coalesce(F.try_divide(dot, _norm(a) * _norm(b)), F.lit(0.0))
+    return F.coalesce(F.try_divide(_dot(a, b), _norm(a) * _norm(b)), F.lit(0.0))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
 def _norm(v: Column) -> Column:
@@ -32,10 +35,11 @@ def top_k(
     if n > MAX_BROADCAST_QUERIES:
         raise ValueError(f"more than {MAX_BROADCAST_QUERIES} query vectors: run in batches")
     q = queries.select(col(query_key).alias("_q"), col(query_vector).cast("array<double>").alias("_v"))
-    packed = q.agg(F.collect_list(F.struct("_q", "_v"))).scalar()
-    v = vectors.select(col(key), col(vector).cast("array<double>").alias("_e"))
-    pairs = v.withColumn("_x", F.explode(packed)).select(
-        F.col("_x._q").alias(query_key), col(key), cosine(F.col("_e"), F.col("_x._v")).alias("score")
-    )
+    packed = q.agg(F.collect_list(F.struct("_q", "_v", _norm(F.col("_v")).alias("_l")))).scalar()
+    e = col(vector).cast("array<double>")
+    # lengths are worked out once per vector; a pair costs one dot product
+    v = vectors.select(col(key), e.alias("_e"), _norm(e).alias("_n"))
+    score = F.coalesce(F.try_divide(_dot(F.col("_e"), F.col("_x._v")), F.col("_n") * F.col("_x._l")), F.lit(0.0))
+    pairs = v.withColumn("_x", F.explode(packed)).select(F.col("_x._q").alias(query_key), col(key), score.alias("score"))
     w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), F.asc(key))
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
