@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.model import col
+from plumbline.model import any_of, col
 
 # Narrow a quantile band until at most this many distinct rows remain to be ranked.
 BAND_ROWS = 50_000
@@ -39,7 +39,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """
     spark = df.sparkSession
     tags = [(c, float(p)) for c in columns for p in probs]
-    value = {c: F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")) for c in columns}
+    # plain number columns, NaN as null: the conversion is done once per row and not once per check
+    number = {c: col(c).cast("double") for c in columns}
+    df = df.select(*[F.when(~F.isnan(number[c]), number[c]).alias(f"v{i}") for i, c in enumerate(columns)])
+    value = {c: F.col(f"v{i}") for i, c in enumerate(columns)}
     sizes = df.agg(*[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     total = {c: sizes[f"n{i}"] for i, c in enumerate(columns)}
     known = [t for t in tags if total[t[0]]]
@@ -89,9 +92,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             if n > BAND_ROWS and guess[t][0] < guess[t][1] and shrank:
                 again.append(t)
         todo = again
+    # a band of one value that covers its ranks is the answer; only the others are looked up
+    schema = "column string, prob double, value double"
+    settled = [(*t, float(band[t][0])) for t in known if band[t][0] is not None and band[t][0] == band[t][1]]
+    settled += [(c, p, None) for c, p in tags if not total[c]]
+    known = [t for t in known if band[t][0] != band[t][1]]
+    if not known:
+        return spark.createDataFrame(settled, schema)
     cases = [F.when(within(t), F.struct(F.lit(i).alias("tag"), value[t[0]].alias("v"))) for i, t in enumerate(known)]
     freq = (
-        df.select(F.explode(F.array_compact(F.array(*cases))).alias("x"))
+        df.where(any_of([F.coalesce(within(t), F.lit(False)) for t in known]))
+        .select(F.explode(F.array_compact(F.array(*cases))).alias("x"))
         .groupBy("x.tag", "x.v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -119,8 +130,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             (F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))).alias("value"),
         )
     )
-    empty = [(c, p, None) for c, p in tags if not total[c]]
-    return out.unionByName(spark.createDataFrame(empty, "column string, prob double, value double")) if empty else out
+    return out.unionByName(spark.createDataFrame(settled, schema)) if settled else out
 
 
 def quantile_map(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict:
