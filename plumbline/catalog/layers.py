@@ -6,8 +6,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from plumbline.catalog import query
-from plumbline.functions.ordering import with_order  # noqa: F401  (used through layers)
-from plumbline.operators.fuzzy import category_clusters  # noqa: F401
 from plumbline.plans import checks as K
 from plumbline.plans import layers as L
 from plumbline.plans.validate import validate

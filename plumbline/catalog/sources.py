@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog import query
-from plumbline.operators import joins as J
 from plumbline.plans import layers as L
 from plumbline.sources import documents as D
 from plumbline.sources import files as S
@@ -278,7 +277,3 @@ def catalog_of_tables(t):
     names = [x.name for x in t.spark.catalog.listTables() if x.name == "pl_customer"]
     one = t.spark.createDataFrame([(len(names),)], "tables long")
     return one.unionByName(t.spark.table("pl_customer").agg(F.count(F.lit(1)).alias("tables")))
-
-
-def check_all(t):
-    return J.infer_relationships({"orders": t.orders})

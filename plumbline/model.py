@@ -99,10 +99,6 @@ def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def round_half_up(c: Column, places: int = 0) -> Column:
-    return F.round(c, places)
-
-
 def stack_structs(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
     """One output row per struct for every input row (used on one-row aggregates)."""
     return df.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from plumbline.functions.ordering import with_order
 from plumbline.functions.stats import quantile_map
 from plumbline.functions.text import cpt_shaped, icd10_shaped, leading_digit, npi_valid
-from plumbline.model import Rule, col, finding, kind_of, matching, numeric_columns, stack_structs, text_columns
+from plumbline.model import col, finding, kind_of, matching, numeric_columns, stack_structs, text_columns
 from plumbline.operators.aggregates import business_key_duplicates, duplicate_rows
 from plumbline.operators.joins import near_duplicates
 from plumbline.operators.windows import split_half
-from plumbline.plans.checks import name_tokens, run_rules
+from plumbline.plans.checks import name_tokens
 
 AMOUNT_NAME = r"amount|price|cost|charge|salary|revenue|count|qty|quantity"
 DATE_NAME = r"date|admit|discharge"
@@ -693,7 +693,3 @@ def age_consistency(encounters: DataFrame, patients: DataFrame, tolerance_years:
 
 def near_duplicate_claims(df: DataFrame, member: str, cpt: str, service_date: str, tolerance_days: int = 1) -> DataFrame:
     return near_duplicates(df, [member, cpt], service_date, tolerance_days)
-
-
-def row_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    return run_rules(df, rules)

@@ -159,7 +159,3 @@ def changed_files(files: DataFrame, seen: DataFrame) -> DataFrame:
     sig = lambda d: d.select("path", F.concat_ws("|", "size", "modified").alias("sig"))
     j = sig(files).join(sig(seen).withColumnRenamed("sig", "old"), "path", "left")
     return j.where(~F.col("sig").eqNullSafe(F.col("old"))).select("path", F.when(F.col("old").isNull(), "new").otherwise("changed").alias("change"))
-
-
-def column_or_none(df: DataFrame, name: str) -> Column:
-    return col(name) if name in df.columns else F.lit(None)

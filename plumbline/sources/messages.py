@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.model import col, stack_structs
+from plumbline.model import col
 from plumbline.session import spread
 
 
@@ -110,8 +110,4 @@ def batch_report(df: DataFrame, required: Sequence[str], key: str | None = None)
         g = df.groupBy(col(key)).agg(F.count(F.lit(1)).alias("c"))
         dup = g.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0))).scalar()
     status = F.when(F.col("rows") == 0, "fail").when((missing > 0) | (dup > 0), "warn").otherwise("pass")
-    return s.select("rows", missing.cast("long").alias("missing_required"), F.lit(dup).cast("long").alias("repeated_keys") if not key else dup.cast("long").alias("repeated_keys"), "digest", status.alias("status"))
-
-
-def struct_rows(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
-    return stack_structs(df, structs)
+    return s.select("rows", missing.cast("long").alias("missing_required"), dup.cast("long").alias("repeated_keys"), "digest", status.alias("status"))
