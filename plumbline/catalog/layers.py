@@ -127,7 +127,7 @@ def stated_numbers(t):
 @query(
     "freshness_decay",
     """WITH s AS (SELECT o_orderpriority, max(o_orderdate) AS m FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1), a AS (SELECT o_orderpriority, date_diff('second', m, TIMESTAMP '2002-12-31') / 86400.0 AS age FROM s)
-       SELECT o_orderpriority, round(age, 1) AS age_days, round(CASE WHEN age <= 180 THEN 1.0 WHEN age >= 730 THEN 0.5 ELSE 1 - 0.5 * (age - 180) / 550 END, 6) AS multiplier,
+       SELECT o_orderpriority, round(age, 1) AS age_days, round(CASE WHEN age <= 180 THEN 1.0 WHEN age >= 730 THEN 0.6 ELSE 1 - 0.4 * (age - 180) / 550 END, 6) AS multiplier,
               CASE WHEN age <= 180 THEN 'fresh' WHEN age >= 730 THEN 'expired' ELSE 'stale' END AS status FROM a""",
 )
 def freshness_decay(t):

@@ -168,7 +168,7 @@ def stated_numbers(texts: DataFrame, key: str, text: str, facts: DataFrame, numb
 
 
 # Freshness windows in days and the floor trust decays to.
-FRESHNESS = {"general": (180, 730, 0.5, "linear"), "healthcare": (90, 365, 0.4, "exponential")}
+FRESHNESS = {"general": (180, 730, 0.6, "linear"), "healthcare": (90, 365, 0.5, "linear")}
 
 
 def freshness_badge(age_hours: Column, threshold_hours: float = 24) -> Column:
@@ -574,9 +574,9 @@ PACKS: dict[str, list[tuple[str, str, bool]]] = {
         ("outlier-context", r"price|sales|revenue|gmv|units[_\s-]?sold|qty|quantity|discount|margin", False),
     ],
     "finance": [
-        ("no-merge", r"ledger|(^|[_\s-])account([_\s-]|$)|\bacct\b|gl[_\s-]?(code|account|no)|chart[_\s-]?of[_\s-]?accounts|cost[_\s-]?cent", False),
+        ("no-merge", r"ledger|(^|[_\s-])account([_\s-]|$)|\bacct\b|gl[_\s-]?(code|account|no)|chart[_\s-]?of[_\s-]?accounts|cost[_\s-]?cent(er|re)", False),
         ("benford-exempt", r"reconcil|posted|cleared|void|is[_\s-]?paid|settled", True),
-        ("outlier-context", r"debit|credit|balance|amount|net|accrual|adjust", False),
+        ("outlier-context", r"debit|credit|(^|[_\s-])amount([_\s-]|$)|balance|journal|(^|[_\s-])entry([_\s-]|$)|posting", False),
     ],
     "none": [],
 }
