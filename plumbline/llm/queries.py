@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +35,75 @@ def op3_bpe(spark: SparkSession, root: str) -> DataFrame:
     from plumbline.llm import bpe
 
     return bpe.digests(bpe.encode(table(spark, root, "documents"), tokenizer_spec()))
+
+
+@query
+def op9_mixing(spark: SparkSession, root: str) -> DataFrame:
+    """All documents mixed at weights 5, 2, 1 to 150 % of their words."""
+    from plumbline.llm import mixing
+
+    mixed = mixing.mix(table(spark, root, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op9_mixing"] = r"""
+with docs as (
+  select doc_id, case when source is null then '1' else '0' || source end as s,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5('mix' || doc_id) as o
+  from documents
+), sources as (
+  select *, list_value(5, 2, 1)[(row_number() over (order by s) - 1) % 3 + 1] as weight
+  from (select s, sum(size)::bigint as source_size from docs group by s)
+), capped as (
+  select 2.0 * source_size / weight as ratio, sum(source_size) over w as sizes, sum(weight) over w as weights,
+    (select sum(source_size) from sources) as total, (select sum(weight) from sources) as all_weights
+  from sources window w as (order by 2.0 * source_size / weight, s rows unbounded preceding)
+), levels as (
+  select (1.5 * total - 2.0 * sizes) / (all_weights - weights) as level, weights, lead(ratio) over (order by weights) as next_ratio
+  from capped where all_weights > weights
+  union all select 1.5 * total / all_weights, 0, min(ratio) from capped group by total, all_weights
+), level as (
+  select arg_min(level, weights) as level from levels where next_ratio is null or next_ratio >= level
+), shares as (
+  select s, source_size, case when 2.0 * source_size < weight * level then 2.0 * source_size else weight * level end as target
+  from sources, level
+), placed as (
+  select doc_id, size, source_size, target, floor(target)::bigint as asked,
+    coalesce(sum(size) over (partition by s order by o, size rows between unbounded preceding and 1 preceding), 0) as start
+  from docs join shares using (s)
+)
+select doc_id, size::bigint as size, source_size, target::double as target,
+  ((asked // greatest(source_size, 1)) * size + greatest(0, least(size, asked % greatest(source_size, 1) - start)))::bigint as taken
+from placed
+"""
+
+
+@query
+def op5_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Every document without the lines that a later document repeats."""
+    from plumbline.llm import line_dedup
+
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+
+
+SQL["op5_line_dedup"] = r"""
+with split as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+  from documents
+), keyed as (
+  select *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(32)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from split
+), repeated as (
+  select key, max(doc_id) as last from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+), marked as (
+  select k.doc_id, k.line, k.pos, r.key is not null and k.doc_id <> r.last as dropped from keyed k left join repeated r using (key)
+)
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
+from marked group by doc_id
+"""
