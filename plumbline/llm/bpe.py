@@ -9,6 +9,7 @@ the border between them.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,7 @@ from plumbline.llm.common import text_of, text_slices
 from plumbline.model import col
 
 END = "</w>"
+LATIN = "À-ÖØ-öø-ɏ"  # letters, all of them
 MARK = "\ud800"  # before a special token; no text can hold it
 # The white space of the tokenizer's pattern library.
 SPACE = "\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
@@ -55,8 +57,9 @@ def byte_letters() -> list[str]:
 class PairRules:
     """Merge ranks, and whether two tokens can stand side by side in an encoding."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.vocab = vocab
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], max_pairs: int):
+        self.vocab, self.max_pairs = vocab, max_pairs
+        self.names = {i: t for t, i in vocab.items()}
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.parts: dict[str, tuple[str, str]] = {}
         self.born: dict[str, int] = {}
@@ -69,9 +72,8 @@ class PairRules:
         for a, b in merges:
             if any(x not in self.born and len(x.removesuffix(END)) > 1 for x in (a, b)):
                 raise ValueError(f"merge of {a} {b} uses a token that no merge makes")
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.known_pairs: dict[int, bool] = {}
         self._whole: dict[str, bool] = {}
-        self.longest = max((len(t) for t in self.parts), default=1)
 
     def _spine(self, token: str, side: int) -> list[str]:
         """The pieces that touch one end of a token while it is being merged, smallest first."""
@@ -99,15 +101,6 @@ class PairRules:
             else:
                 j += 1
 
-    def compatible(self, left: str, right: str) -> bool:
-        pair = (left, right)
-        known = self._pairs.get(pair)
-        if known is None:
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            known = self._pairs[pair] = self._crossing(left, right) is None
-        return known
-
     def reachable(self, token: str) -> bool:
         """Whether the letters of a token are encoded as this token."""
         known = self._whole.get(token)
@@ -119,110 +112,132 @@ class PairRules:
             self._whole[token] = known
         return known
 
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether two tokens, by id, can follow each other."""
+        pair = left << 32 | right
+        known = self.known_pairs.get(pair)
+        if known is None:
+            if len(self.known_pairs) >= self.max_pairs:
+                self.known_pairs.clear()
+            known = self.known_pairs[pair] = self._crossing(self.names[left], self.names[right]) is None
+        return known
+
 
 class PrefixTrie:
     """Words by shared prefix; ``last[node]`` is the last token of the encoding of the node's prefix."""
 
     def __init__(self, rules: PairRules, max_nodes: int):
         self.rules, self.max_nodes = rules, max_nodes
+        usable = {t: i for t, i in rules.vocab.items() if rules.reachable(t)}
+        self.inner = {t: i for t, i in usable.items() if not t.endswith(END)}
+        self.final = {t.removesuffix(END): i for t, i in usable.items() if t.endswith(END)}
+        self.length = {i: len(t.removesuffix(END)) for t, i in usable.items()}
+        self.longest = max(self.length.values())
         self.clear()
 
     def clear(self) -> None:
-        self.below: list[dict[str, int]] = [{}]
-        self.last: list[str | None] = [None]
-
-    def _last_token(self, symbols: str, end: str, at: list[int]) -> str:
-        """The suffix token of ``symbols + end`` compatible with the state before it; ``at[i]`` is the node of i letters."""
-        n = len(symbols)
-        for size in range(min(n, self.rules.longest), 0, -1):
-            token = symbols[n - size :] + end
-            if self.rules.reachable(token) and (size == n or self.rules.compatible(self.last[at[n - size]], token)):
+        self.below: dict[int, int] = {}  # node and letter to node; letters are below 512
+        self.last = [-1]
+
+    def _last_token(self, word: str, end: int, tokens: dict[str, int], path: list[int]) -> int:
+        """The suffix token of ``word[:end]`` compatible with the state before it; ``path[i]`` is the node of i letters."""
+        # exactly one token fits, so the order is free: short ones are likely in words not met before
+        last, known, compatible, get = self.last, self.rules.known_pairs, self.rules.compatible, tokens.get
+        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+            token = get(word[start:end])
+            if token is None:
+                continue
+            if not start:
                 return token
-        raise ValueError(f"no token ends {symbols!r}")
+            left = last[path[start]]
+            fits = known.get(left << 32 | token)
+            if fits or fits is None and compatible(left, token):
+                return token
+        raise ValueError(f"no token ends {word[:end]!r}")
 
-    def encode(self, words: list[str]) -> dict[str, list[str]]:
-        """The tokens of every word. Sorted words visit the trie depth first."""
-        if len(self.below) > self.max_nodes:
+    def encode(self, words: list[str]) -> dict[str, list[int]]:
+        """Token ids of every word. Sorted words visit the trie depth first."""
+        if len(self.last) > self.max_nodes:
             self.clear()
         out = {}
-        path: list[int] = [0]
+        path = [0]
         before = ""
         for word in sorted(words):
-            body = word[:-1]
-            shared = 0
-            while shared < min(len(body), len(before)) and body[shared] == before[shared]:
+            end = len(word) - 1
+            shared, most = 0, min(end, len(before))
+            while shared < most and word[shared] == before[shared]:
                 shared += 1
             del path[shared + 1 :]
-            for depth in range(shared, len(body)):
-                below = self.below[path[-1]]
-                node = below.get(body[depth])
+            for depth in range(shared, end):
+                step = path[-1] << 9 | ord(word[depth])
+                node = self.below.get(step)
                 if node is None:
-                    node = below[body[depth]] = len(self.below)
-                    self.below.append({})
-                    self.last.append(self._last_token(body[: depth + 1], "", path))
+                    node = self.below[step] = len(self.last)
+                    self.last.append(self._last_token(word, depth + 1, self.inner, path))
                 path.append(node)
-            before = body
-            token = self._last_token(word, END, path)
-            tokens, left = [token], len(word) - len(token.removesuffix(END))
+            before = word[:end]
+            token = self._last_token(word, end + 1, self.final, path)
+            tokens, left = [token], end + 1 - self.length[token]
             while left:
-                tokens.append(self.last[path[left]])
-                left -= len(tokens[-1])
+                token = self.last[path[left]]
+                tokens.append(token)
+                left -= self.length[token]
             out[word] = tokens[::-1]
         return out
 
 
 class Codec:
-    """One vocabulary in a worker: words are encoded once and kept, up to a bound."""
+    """One vocabulary in a worker. Words are encoded once and kept, up to a bound."""
 
-    def __init__(self, spec: str, max_words: int = 200_000, max_nodes: int = 400_000):
+    def __init__(self, spec: str, max_words: int = 250_000, max_nodes: int = 250_000, max_pairs: int = 250_000):
         data = json.loads(spec)
         model = data["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
-        self.trie = PrefixTrie(PairRules(self.vocab, merges), max_nodes)
+        self.trie = PrefixTrie(PairRules(self.vocab, merges, max_pairs), max_nodes)
         self.max_words = max_words
         self.known: dict[str, list[int]] = {}
         self.letters = byte_letters()
         self.find = regex.compile(word_pattern(), regex.V1).findall
         self.lower = {c: c + d for a, b, d in LOWER for c in range(a, b + 1)} | {ord("Σ"): "σ"}
-        self.space = regex.compile(f"[{SPACE}]+")
+        self.unusual = re.compile(f"[^\\0-\\x7f{LATIN}]").search
+        self.find_latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\t-\r a-z{LATIN}0-9]+").findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     def words(self, text: str) -> list[str]:
-        """Normalised text in words; special tokens stand for themselves."""
-        parts = self.cut.split(text) if self.cut else [text]
-        out: list[str] = []
-        for i, part in enumerate(parts):
-            if i % 2:
-                out.append(MARK + part)
-            elif part:
-                plain = self.space.sub(" ", unicodedata.normalize("NFC", part))
-                out += self.find(plain.lower() if plain.isascii() else plain.translate(self.lower).lower())
-        return out
+        """Normalised text in words; special tokens, marked, stand for themselves."""
+        if self.cut and self.cut.search(text):
+            parts = self.cut.split(text)
+            return [w for i, p in enumerate(parts) for w in ([MARK + p] if i % 2 else self.words(p))]
+        plain = text if text.isascii() else unicodedata.normalize("NFC", text)
+        plain = plain.lower() if not self.unusual(plain) else plain.translate(self.lower).lower()
+        return (self.find if self.unusual(plain) else self.find_latin)(plain)
 
     def learn(self, words: set[str]) -> None:
         """Encode the words not seen yet."""
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
         if len(self.known) + len(new) > self.max_words:
             self.known.clear()
-            new = list(words)
-        spelt = {w: "".join(map(self.letters.__getitem__, w.encode())) for w in new if w[0] != MARK}
-        tokens = self.trie.encode(list(set(spelt.values())))
-        ids = self.vocab
+            new = words
+        spelt = {w: w if w.isascii() and w.isalpha() else "".join(map(self.letters.__getitem__, w.encode())) for w in new if w[0] != MARK}
+        ids = self.trie.encode(list(spelt.values()))
         for w in new:
-            self.known[w] = [self.special[w[1:]]] if w[0] == MARK else [ids[t] for t in tokens[spelt[w]]]
+            self.known[w] = [self.special[w[1:]]] if w[0] == MARK else ids[spelt[w]]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
         split = [self.words(t) for t in texts]
         self.learn(set(chain.from_iterable(split)))
         get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, words)), dtype=np.int32) for words in split]
+        return [list(chain.from_iterable(map(get, words))) for words in split]
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space: the vocabulary names no decoder. Unknown ids are left out."""
-        return " ".join(filter(None, map(self.names.get, ids.tolist())))
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except KeyError:
+            return " ".join(self.names[i] for i in ids if i in self.names)
 
 
 @lru_cache(maxsize=1)
@@ -252,8 +267,8 @@ def encode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str, ...] =
                 ids = own.encode(part.column("text").to_pylist())
                 offsets = np.zeros(len(ids) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                columns = [part.column(a) for a in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])
+                columns = [part.column(a) for a in kept] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
                 if decoded:
                     columns.append(pa.array([own.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", *["decoded"] * decoded])

@@ -107,3 +107,41 @@ select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
 from marked group by doc_id
 """
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    """Documents linked by a Jaccard likeness of 0.8 of their five-word shingles."""
+    from plumbline.llm import jaccard_join
+
+    found = jaccard_join.similar_sets(table(spark, root, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
+
+
+SQL["op10_jaccard_join"] = r"""
+with recursive texts as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
+  from texts
+), items as (
+  select doc_id, len(s) as n, unnest(s) as item from sets
+), common as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) as n_a, any_value(b.n) as n_b, count(*) as shared
+  from items a join items b on a.item = b.item and a.doc_id < b.doc_id
+    and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+  group by all
+), links as (
+  select a, b from common where 100 * shared >= 80 * (n_a + n_b - shared)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select doc_id as a, doc_id as b from sets
+  union
+  select r.a, l.b from reach r join both_ways l on r.b = l.a
+)
+select doc_id, len(s)::bigint as n_shingles, (select min(b) from reach where a = doc_id) as component_id from sets
+"""
