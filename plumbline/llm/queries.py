@@ -145,3 +145,28 @@ with recursive texts as (
 )
 select doc_id, len(s)::bigint as n_shingles, (select min(b) from reach where a = doc_id) as component_id from sets
 """
+
+
+@query
+def op1_embedding_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Vectors of one label within cosine 0.93, and their components."""
+    from plumbline.llm import embedding_dedup
+
+    return embedding_dedup.near_vectors(table(spark, root, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+SQL["op1_embedding_dedup"] = r"""
+with recursive vectors as (
+  select vec_id, label, embedding::double[] as v from embeddings
+), links as (
+  select a.vec_id as a, b.vec_id as b
+  from vectors a join vectors b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93
+), reach as (
+  select vec_id as a, vec_id as b from vectors
+  union
+  select r.a, l.b from reach r join links l on r.b = l.a
+)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, min(b) as component_id, min(b) = vec_id as kept
+from reach join vectors on a = vec_id group by vec_id
+"""
