@@ -44,23 +44,14 @@ def frequencies(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     def slots_of():
         known = WordHashes()
 
-        def find(texts: pa.Array) -> Iterator[np.ndarray]:
-            for text in texts:
-                yield (shingle_set(text.as_py(), known, size) >> np.uint64(64 - bits)).astype(np.int64)
-
-        def joined(texts: pa.Array) -> Iterator[np.ndarray]:
-            pending: list[np.ndarray] = []
-            for slots in find(texts):
-                pending.append(slots)
-                if len(pending) >= 500:
-                    yield np.concatenate(pending)
-                    pending = []
-            if pending:
-                yield np.concatenate(pending)
-
-        return joined
-
-    return sketch(docs, "text", slots_of, bits)
+        def find(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            for part in text_slices(batch, "text"):
+                sets = [shingle_set(t.as_py(), known, size) for t in part.column("text")]
+                yield (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64)
+
+        return find
+
+    return sketch(docs.select("text"), slots_of, bits)
 
 
 def signatures(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:

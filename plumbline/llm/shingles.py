@@ -48,10 +48,10 @@ def shingle_set(text: str, known: WordHashes, size: int = SIZE) -> np.ndarray:
     return np.unique(scramble(total))
 
 
-def sketch(df: DataFrame, column: str, slots_of: Callable[[], Callable[[pa.Array], Iterator[np.ndarray]]], bits: int) -> np.ndarray:
+def sketch(df: DataFrame, slots_of: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray]]], bits: int) -> np.ndarray:
     """How often each of ``2 ** bits`` slots is hit over the whole of ``df``: a fixed-size array.
 
-    ``slots_of()`` makes, once a task, a function from an Arrow column to arrays of slots. Tasks
+    ``slots_of()`` makes, once a task, a function from an Arrow batch to arrays of slots. Tasks
     add up locally and send blocks of counters, which are added up block by block in a stream.
     """
     n_blocks = max(1, (1 << bits) // BLOCK)
@@ -60,7 +60,7 @@ def sketch(df: DataFrame, column: str, slots_of: Callable[[], Callable[[pa.Array
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, total = slots_of(), np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for slots in find(batch.column(0)):
+            for slots in find(batch):
                 total += np.bincount(slots, minlength=1 << bits)
         parts = total.reshape(n_blocks, width)
         used = np.flatnonzero(parts.any(axis=1))
@@ -75,7 +75,7 @@ def sketch(df: DataFrame, column: str, slots_of: Callable[[], Callable[[pa.Array
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
 
     schema = "block int, counts binary"
-    parts = df.select(column).mapInArrow(count, schema).repartition(min(n_blocks, 64), "block").mapInArrow(add, schema)
+    parts = df.mapInArrow(count, schema).repartition(min(n_blocks, 64), "block").mapInArrow(add, schema)
     out = np.zeros((n_blocks, width), np.int64)
     for row in parts.toLocalIterator():
         out[row.block] = np.frombuffer(row.counts, np.int64)
