@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,20 +19,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_training, text_of, text_slices, written
+from plumbline.llm.common import in_training, text_of, text_slices
 from plumbline.llm.shingles import sketch
 from plumbline.model import col
 
 BITS = 16
 SHAPES, PAIRS = 1 << 12, 1 << 14  # bins up to SHAPES are shapes, up to PAIRS pairs of shapes, the rest words
 REPEATED, RUNS, PHRASES, LENGTH = 0, 1, 2, 3  # the first bins are kept for repetition
-TERMS, LATENT, SAMPLE, NEIGHBOURS = 2048, 64, 8000, 32
+TERMS, LATENT, SAMPLE, NEIGHBOURS = 2048, 64, 6000, 32
+
+
+DIGIT, LETTER, RUN = re.compile(r"\d"), re.compile(r"[^\W\d_]"), re.compile(r"(.)\1+")
+PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def shape(word: str) -> str:
     """Letters, digits and other characters by kind, runs shortened: ``Word,`` is ``Aa,``, ``12%%%`` is ``9%%``."""
-    kinds = re.sub(r"\d", "9", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word))
-    return re.sub(r"(.)\1+", lambda m: m[1] if m[1] in "a9" else m[1] * 2, kinds)[:12]
+    core = word.rstrip(PUNCTUATION)
+    tail = word[len(core) :]
+    if len(tail) > 1:
+        tail = RUN.sub(lambda m: m[1] * 2, tail)
+    if core.isascii() and core.isalpha():  # the same as below, for plain words
+        if core.islower():
+            return "a" + tail[:11]
+        if core[1:].islower():
+            return "Aa" + tail[:10]
+    kinds = LETTER.sub(lambda m: "A" if m[0].isupper() else "a", DIGIT.sub("9", core))
+    return (RUN.sub(lambda m: m[1] if m[1] in "a9" else m[1] * 2, kinds) + tail)[:12]
 
 
 class Words(dict):
@@ -120,8 +133,8 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def fit(texts: list[str], labels: np.ndarray, votes: np.ndarray, frequency: np.ndarray, n_docs: int, n_terms: int, n_latent: int, neighbours: int) -> Model:
-    """The model of a labelled sample; ``frequency`` counts the documents of each bin over the whole corpus."""
+def space(frequency: np.ndarray, n_docs: int, n_terms: int) -> Model:
+    """The most frequent terms and their weights; ``frequency`` counts the documents of each bin over the whole corpus."""
     frequency = frequency.copy()
     frequency[:4] = n_docs + 1
     chosen = np.lexsort((np.arange(len(frequency)), -frequency))[:n_terms]
@@ -129,14 +142,18 @@ def fit(texts: list[str], labels: np.ndarray, votes: np.ndarray, frequency: np.n
     column = np.full(len(frequency), -1)
     column[chosen] = np.arange(len(chosen))
     weight = np.log((n_docs + 2) / (np.minimum(frequency[chosen], n_docs) + 1)).astype(np.float32) + np.float32(0.5)
-    prior = float((labels * votes).sum() / votes.sum()) if len(labels) else 0.5
-    model = Model(column, weight, np.zeros((len(chosen), 1), np.float32), np.zeros((0, 1), np.float32), labels, votes, neighbours, prior)
+    none = np.zeros((0, 1), np.float32)
+    return Model(column, weight, none, none, np.zeros(0), np.zeros(0), 0, 0.5)
+
+
+def fit(model: Model, x: np.ndarray, labels: np.ndarray, votes: np.ndarray, n_latent: int, neighbours: int) -> Model:
+    """The model with the latent space of the labelled rows ``x`` and their vectors."""
     if len(labels):
-        known = Words()
-        x = np.concatenate([unit_rows(model.matrix(texts[i : i + 500], known)) for i in range(0, len(texts), 500)])
+        x = unit_rows(x)
         _, vectors = np.linalg.eigh((x.T @ x).astype(float))
-        model.basis = vectors[:, ::-1][:, :n_latent].astype(np.float32)
-        model.vectors = unit_rows(x @ model.basis)
+        basis = vectors[:, ::-1][:, :n_latent].astype(np.float32)
+        prior = float((labels * votes).sum() / votes.sum())
+        model = replace(model, basis=basis, vectors=unit_rows(x @ basis), labels=labels, votes=votes, neighbours=neighbours, prior=prior)
     return model
 
 
@@ -155,6 +172,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, label: str, mo
     return docs.select(F.col("doc").alias("id"), "text").join(chosen, "id").select("id", "text", "label")
 
 
+def label_counts(labels: DataFrame, key: str, label: str) -> DataFrame:
+    return labels.where(in_training(col(key)) & col(label).isin(0, 1)).groupBy(col(label).cast("int").alias("label")).count()
+
+
+def sample_rows(chosen: DataFrame, model: Model) -> DataFrame:
+    """(id, label, terms, order): the sample's weighted terms, of fixed length whatever the texts are."""
+    shared = chosen.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own = Words(), shared.value
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                x = own.matrix(part.column("text").to_pylist(), known)
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+                order = [xxhash.xxh3_64_intdigest(t.as_py()) >> 1 for t in part.column("text")]
+                columns = [part.column("id"), part.column("label"), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))), pa.array(order, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "terms", "order"])
+
+    kind = chosen.schema["id"].dataType.simpleString()
+    return chosen.mapInArrow(run, f"id {kind}, label int, terms array<float>, order long")
+
+
 def scored(
     df: DataFrame,
     labels: DataFrame,
@@ -176,8 +215,6 @@ def scored(
     """
     spark = df.sparkSession
     docs = df.select(col(key).alias("doc"), text_of(text).alias("text"))
-    rows = labelled_sample(docs, labels, key, label, sample // 2).orderBy(F.xxhash64("id"), "id", "text").limit(sample).collect()  # bounded by sample
-
     def slots_of():
         known = Words()
 
@@ -188,12 +225,14 @@ def scored(
         return find
 
     frequency = sketch(docs.select("text"), slots_of, BITS)
-    own = labels.where(in_training(col(key)) & col(label).isin(0, 1)).groupBy(col(label).cast("int").alias("label")).count().collect()  # two rows
-    y = np.array([r["label"] for r in rows], float)
-    there = {r["label"]: r["count"] for r in own}
-    votes = np.array([there[r["label"]] / max(1, (y == r["label"]).sum()) for r in rows], float)
-    votes /= max(votes.max(initial=0.0), 1e-12)
-    model = spark.sparkContext.broadcast(fit([r["text"] for r in rows], y, votes, frequency, int(frequency[REPEATED]), n_terms, n_latent, neighbours))
+    empty = space(frequency, int(frequency[REPEATED]), n_terms)
+    chosen = labelled_sample(docs, labels, key, label, sample // 2)
+    rows = sample_rows(chosen, empty).orderBy("order", "id").limit(sample).toArrow()  # at most sample rows of n_terms numbers
+    y = rows.column("label").to_numpy().astype(float)
+    x = rows.column("terms").combine_chunks().flatten().to_numpy().reshape(len(y), len(empty.weight)) if len(y) else np.zeros((0, 1), np.float32)
+    there = {r["label"]: r["count"] for r in label_counts(labels, key, label).collect()}  # two rows
+    votes = np.array([there[v] / (y == v).sum() for v in y])
+    model = spark.sparkContext.broadcast(fit(empty, x, y, votes / votes.max(initial=1.0), n_latent, neighbours))
     kept = [f"k{i}" for i in range(len(keep))]
     source = df.select(*[col(k).alias(a) for k, a in zip(keep, kept)], text_of(text).alias("text"))
 
