@@ -170,3 +170,27 @@ with recursive vectors as (
 select vec_id, (select count(*) from links where a = vec_id) as n_links, min(b) as component_id, min(b) = vec_id as kept
 from reach join vectors on a = vec_id group by vec_id
 """
+
+
+def judged(scored: DataFrame, least: float) -> DataFrame:
+    """The columns of a judged document: whether its label was held out, score and prediction."""
+    from plumbline.llm.common import in_training
+
+    held_out = ~in_training(F.col("doc_id"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query
+def op4_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Quality of every document, by votes of the nearest labelled ones."""
+    from plumbline.llm import quality
+
+    return judged(quality.scored(table(spark, root, "documents"), table(spark, root, "labels")), 0.3)
+
+
+@query
+def op7_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    """Toxicity of every document, by its maximum-scoring passages."""
+    from plumbline.llm import toxicity
+
+    return judged(toxicity.scored(table(spark, root, "documents"), table(spark, root, "labels")), 0.5)
