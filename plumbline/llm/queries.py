@@ -194,3 +194,11 @@ def op7_toxicity(spark: SparkSession, root: str) -> DataFrame:
     from plumbline.llm import toxicity
 
     return judged(toxicity.scored(table(spark, root, "documents"), table(spark, root, "labels")), 0.5)
+
+
+@query
+def op6_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprints of every document and of its text edited with that of the next."""
+    from plumbline.llm import fingerprints
+
+    return fingerprints.edited_neighbours(table(spark, root, "documents")).withColumnRenamed("doc", "doc_id")
