@@ -202,3 +202,60 @@ def op6_fingerprints(spark: SparkSession, root: str) -> DataFrame:
     from plumbline.llm import fingerprints
 
     return fingerprints.edited_neighbours(table(spark, root, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op2_secret_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Secrets in every document; a source is an owner, a document a repository."""
+    from plumbline.llm import secret_scan
+
+    found = secret_scan.scan(table(spark, root, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_owned", "n_copied")
+
+
+def _secret_sql() -> str:
+    from plumbline.llm.secret_scan import ACCESS, ASSIGN, HEX, TOKEN
+
+    def kind(name: str, pattern: str) -> str:
+        p = pattern.replace("'", "''")
+        return f"""
+  select doc_id, source, '{name}' as kind, unnest(regexp_extract_all(text, '{p}')) as m,
+    unnest(string_split_regex(text, '{p}')[:-2]) as gap, unnest(range(len(regexp_extract_all(text, '{p}')))) as idx
+  from texts where regexp_matches(text, '{p}')"""
+
+    union = " union all ".join(kind(n, p) for n, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN)))
+    assign = ASSIGN.replace("'", "''")
+    return f"""
+with texts as (
+  select doc_id, source, coalesce(text, '') as text from documents
+), found as ({union}
+), valued as (
+  select *, case when kind = 'assign' then regexp_extract(m, '{assign}', 2) else m end as value,
+    sum(len(gap) + len(m)) over (partition by doc_id, kind order by idx) as "end"
+  from found
+), spans as (
+  select *, len(value) >= 16 and regexp_matches(value, '[A-Za-z]') and regexp_matches(value, '[0-9].*[0-9]') as candidate,
+    kind <> 'token' and (kind <> 'assign' or len(value) >= 6) as base
+  from valued
+), owners as (
+  select value, count(distinct coalesce(source, chr(0))) as n from spans where candidate group by value
+), listed as (
+  select doc_id, "end" - len(m) as start, "end", kind, case kind when 'assign' then 0 when 'access' then 1 else 2 end as o from spans where base
+  union
+  select doc_id, "end" - len(value), "end", 'owned', 3 from spans join owners using (value) where candidate and n = 1
+), joined as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    string_agg(kind || ':' || start::bigint || ':' || "end"::bigint, ',' order by start, o, "end") filter (o < 3) as base,
+    string_agg(kind || ':' || start::bigint || ':' || "end"::bigint, ',' order by start, o, "end") as spans
+  from listed group by doc_id
+), counted as (
+  select doc_id, count(distinct value) filter (n = 1) as n_owned, count(distinct value) filter (n >= 3) as n_copied
+  from spans join owners using (value) where candidate group by doc_id
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_owned, 0) as n_owned, coalesce(n_copied, 0) as n_copied
+from documents left join joined using (doc_id) left join counted using (doc_id)
+"""
+
+
+SQL["op2_secret_scan"] = _secret_sql()
