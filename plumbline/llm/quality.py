@@ -205,8 +205,9 @@ def scored(
     n_latent: int = LATENT,
     sample: int = SAMPLE,
     neighbours: int = NEIGHBOURS,
+    score: str = "score",
 ) -> DataFrame:
-    """``keep`` and ``score``: how likely the label is 1, from 0 to 1.
+    """``keep`` and a column ``score``: how likely the label is 1, from 0 to 1.
 
     Labels are learned from rows with ``in_training`` ids only, at most ``sample`` rows (half of
     each label at most); the score is made from the text alone. Null and empty texts are texts
@@ -240,9 +241,9 @@ def scored(
         known, own = Words(), model.value
         for batch in batches:
             for part in text_slices(batch, "text"):
-                score = own.score(part.column("text").to_pylist(), known)
-                yield pa.RecordBatch.from_arrays([*[part.column(a) for a in kept], pa.array(score)], names=[*kept, "score"])
+                likely = own.score(part.column("text").to_pylist(), known)
+                yield pa.RecordBatch.from_arrays([*[part.column(a) for a in kept], pa.array(likely)], names=[*kept, "score"])
 
     types = "".join(f"{a} {source.schema[a].dataType.simpleString()}, " for a in kept)
     out = source.mapInArrow(run, types + "score double")
-    return out.select(*[F.col(a).alias(k) for k, a in zip(keep, kept)], "score")
+    return out.select(*[F.col(a).alias(k) for k, a in zip(keep, kept)], F.col("score").alias(score))
