@@ -259,3 +259,12 @@ from documents left join joined using (doc_id) left join counted using (doc_id)
 
 
 SQL["op2_secret_scan"] = _secret_sql()
+
+
+@query
+def op8_language_id(spark: SparkSession, root: str) -> DataFrame:
+    """The language of every page, from its text, markup, address suffix and host."""
+    from plumbline.llm import language_id
+
+    found = language_id.identify(table(spark, root, "pages"), table(spark, root, "documents"))
+    return found.withColumnRenamed("id", "page_id")
