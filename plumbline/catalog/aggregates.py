@@ -448,9 +448,21 @@ def weighted_vector_mean(t):
     return A.weighted_vector_mean(t.embeddings, "embedding", "label", clip=0.9, min_cohort=3).withColumn("mean", F.round("mean", 6))
 
 
-@query("weighted_vector_mean_noised")
+def _vector_draw(draw: int) -> str:
+    text = f"vec_id || ':' || position || ':{draw}'"
+    return f"((CAST('0x' || substr(sha256('for tests only:' || sha256('for tests only:' || {text})), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+@query(
+    "weighted_vector_mean_noised",
+    f"""WITH e AS (SELECT vec_id, greatest(1.0, label) AS w, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS nrm, embedding FROM embeddings),
+             u AS (SELECT vec_id, w, nrm, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS position FROM e),
+             c AS (SELECT w, position, CASE WHEN nrm > 1.0 THEN CAST(x AS DOUBLE) * 1.0 / nrm ELSE x END + 0.1 * sqrt(-2 * ln({_vector_draw(1)})) * cos(2 * pi() * {_vector_draw(2)}) AS x FROM u)
+        SELECT CAST(position AS BIGINT) AS position, round(sum(w * x) / sum(w), 6) AS mean, (SELECT count(*) FROM embeddings) AS cohort FROM c GROUP BY 1""",
+)
 def weighted_vector_mean_noised(t):
-    return A.weighted_vector_mean(t.embeddings, "embedding", "label", clip=1.0, min_cohort=3, noise_sigma=0.1, key="vec_id", seed=5)
+    m = A.weighted_vector_mean(t.embeddings, "embedding", "label", clip=1.0, min_cohort=3, noise_sigma=0.1, key="vec_id", secret="for tests only")
+    return m.withColumn("mean", F.round("mean", 6))
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.catalog import query
-from plumbline.operators import clean as C
 from plumbline.operators import privacy as K
 
 
@@ -37,26 +36,47 @@ def k_anonymity(t):
     return K.k_anonymity(t.customer, ["c_nationkey", "c_mktsegment"])
 
 
-@query("noised_counts")
+SECRET = "for tests only"
+
+
+def _draw(text: str) -> str:
+    """SQL of the keyed uniform draw for a text."""
+    return f"((CAST('0x' || substr(sha256('{SECRET}:' || sha256('{SECRET}:' || {text})), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+
+def _noised(scale: float) -> str:
+    """SQL of a count n with Laplace noise from its draw u."""
+    return f"greatest(0.0, n - {scale} * sign(u - 0.5) * ln(1 - 2 * abs(u - 0.5)))"
+
+
+@query("noised_counts", f"WITH g AS (SELECT c_mktsegment AS key, count(*) AS n FROM customer GROUP BY 1), d AS (SELECT *, {_draw('key')} AS u FROM g) SELECT key, round({_noised(2.0)}, 6) AS noised FROM d")
 def noised_counts(t):
-    return K.noised_counts(t.customer, "c_mktsegment", 0.5)
+    return K.noised_counts(t.customer, "c_mktsegment", 0.5, SECRET).withColumn("noised", F.round("noised", 6))
 
 
-@query("private_histogram")
+@query(
+    "private_histogram",
+    f"""WITH s AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 20 AS w FROM orders),
+             b AS (SELECT CAST(least(19, floor((o_totalprice - lo) / w)) AS INTEGER) AS bin, count(*) AS c FROM orders, s GROUP BY 1),
+             g AS (SELECT CAST(r AS INTEGER) AS bin, coalesce(c, 0) AS n FROM unnest(generate_series(0, 19)) AS x(r) LEFT JOIN b ON r = bin),
+             d AS (SELECT *, {_draw("'o_totalprice:' || bin")} AS u FROM g)
+        SELECT bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, CAST(NULL AS VARCHAR) AS label, round({_noised(1.0)}, 6) AS weight FROM d, s""",
+)
 def private_histogram(t):
-    return K.private_histogram(t.orders, "o_totalprice")
+    h = K.private_histogram(t.orders, "o_totalprice", SECRET)
+    return h.withColumns({"low": F.round("low", 4), "high": F.round("high", 4), "weight": F.round("weight", 6)})
 
 
 @query("synthetic_rows")
 def synthetic_rows(t):
     """As many synthetic orders as there are real ones."""
     n = t.orders.count()
-    return K.synthetic_rows(t.orders, ["o_totalprice", "o_orderstatus", "o_orderpriority"], n)
+    return K.synthetic_rows(t.orders, ["o_totalprice", "o_orderstatus", "o_orderpriority"], n, SECRET)
 
 
 @query("synthetic_comparison")
 def synthetic_comparison(t):
-    s = K.synthetic_rows(t.orders, ["o_totalprice", "o_custkey"], t.orders.count())
+    s = K.synthetic_rows(t.orders, ["o_totalprice", "o_custkey"], t.orders.count(), SECRET)
     return K.compare_statistics(t.orders, s, ["o_totalprice", "o_custkey"])
 
 
@@ -90,12 +110,3 @@ def compare_shapes_numeric(t):
     f = lambda d: K.shareable_fingerprint(d, ["o_totalprice", "o_custkey"], epsilon=None)
     cheap = t.orders.where("o_totalprice < 200000")
     return K.compare_shapes(f(t.orders), f(cheap))
-
-
-@query("typed_test_rows")
-def typed_test_rows(t):
-    """Test rows shaped by the orders table (its size and price range), with planted defects."""
-    s = t.orders.agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi")).first()
-    spec = {"pid": ("id",), "amount": ("number", s["lo"], s["hi"]), "status": ("category", ["F", "O", "P"]), "day": ("date", "2020-01-01", 900)}
-    d, _ = C.inject_defects(K.typed_test_rows(spec, s["n"], t.spark), "pid", {"amount": 0.05}, {"amount": 0.01}, {"status": 0.02}, 0.01)
-    return d

@@ -266,14 +266,3 @@ def csv_round_trip(t):
     S.write_csv(t.customer, path)
     good, _ = S.load_csv(t.spark, path, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
     return good.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
-
-
-@query("catalog_of_tables", "SELECT count(*) AS tables FROM (SELECT 1 FROM orders LIMIT 1) UNION ALL SELECT count(*) FROM customer")
-def catalog_of_tables(t):
-    """Registered datasets are listed by the session catalog; the second row counts one of them through it."""
-    from plumbline.model import Dataset
-
-    Dataset("pl_customer", t.customer).register()
-    names = [x.name for x in t.spark.catalog.listTables() if x.name == "pl_customer"]
-    one = t.spark.createDataFrame([(len(names),)], "tables long")
-    return one.unionByName(t.spark.table("pl_customer").agg(F.count(F.lit(1)).alias("tables")))

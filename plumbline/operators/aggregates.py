@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.ordering import with_order
 from plumbline.functions.stats import exact_quantiles, scalar_row
+from plumbline.operators.privacy import uniform
 from plumbline.model import Dataset, col, matching, numeric_columns
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -348,12 +349,12 @@ def auto_charts(df: DataFrame, category: str, number: str, date: str) -> DataFra
 
 def weighted_vector_mean(
     df: DataFrame, vector: str, weight: str | None = None, clip: float | None = None, min_cohort: int = 1,
-    noise_sigma: float = 0.0, key: str | None = None, seed: int = 0,
+    noise_sigma: float = 0.0, key: str | None = None, secret: str = "",
 ) -> DataFrame:
     """Weighted mean per vector position: rows ``(position, mean, cohort)``.
 
-    Optional L2 clipping per vector and Gaussian noise drawn from a hash of the key, so
-    a retried task draws the same noise. Below ``min_cohort`` the means are null.
+    Optional L2 clipping per vector and Gaussian noise drawn from a digest of
+    ``secret`` and the key, so a retried task draws the same noise and no reader can recompute it. Below ``min_cohort`` the means are null.
     """
     v = col(vector).cast("array<double>")
     if clip is not None:
@@ -364,7 +365,7 @@ def weighted_vector_mean(
     noise_key = col(key) if key else F.lit(0)
     cells = df.select(w.alias("w"), noise_key.alias("k"), F.posexplode(v).alias("position", "x"))
     if noise_sigma:
-        u = lambda salt: (F.pmod(F.xxhash64("k", "position", F.lit(seed), F.lit(salt)), F.lit(2**52)) + 0.5) / 2.0**52
+        u = lambda draw: uniform(secret, F.col("k"), F.col("position"), F.lit(draw))
         gauss = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2))
         cells = cells.withColumn("x", F.col("x") + noise_sigma * gauss)
     out = cells.groupBy("position").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))

@@ -1,15 +1,11 @@
 """Identifier scan, k-anonymity, noised aggregates, synthetic rows, shareable fingerprints."""
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.stats import scalar_row
 from plumbline.model import col, kind_of, stack_structs
@@ -36,6 +32,7 @@ IDENTIFIERS: list[tuple[str, str, str | None]] = [
     ("biometric", r"(^|_)(biometric|finger_?print|voice_?print|retina|iris|dna|face_?scan)($|_)", None),
     ("photo", r"(^|_)(photo|photograph|image|face|picture|headshot|selfie|img|avatar)($|_)", None),
 ]
+# Names of other identifiers and of quasi-identifiers.
 OTHER_NAME = r"(^|_)(id|uuid|guid|identifier|code|token|api_?key|apikey|ref|reference)($|_)"
 QUASI_NAMES = r"(^|_)(age|dob|birth|date_of_birth|sex|gender|zip|zipcode|postal|postcode|race|ethnic|ethnicity|marital|marriage)($|_)"
 
@@ -92,29 +89,34 @@ def k_anonymity(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     return s.withColumn("level", F.when(f >= k, "none").when(f == 1, "high").when(f < 3, "medium").otherwise("low"))
 
 
-def uniform(*keys: Column) -> Column:
-    """A number in (0, 1) fixed by its keys: the same on every retry and partitioning."""
-    return (F.pmod(F.xxhash64(*keys), F.lit(2**52)) + 0.5) / 2.0**52
+def uniform(secret: str, *keys: Column) -> Column:
+    """A number in (0, 1) from a keyed digest: fixed on every retry, not to be recomputed without the secret."""
+    if not secret:
+        raise ValueError("noise needs a secret that is not published with the result")
+    inner = F.sha2(F.concat_ws(":", F.lit(secret), *[k.cast("string") for k in keys]), 256)
+    digest = F.sha2(F.concat_ws(":", F.lit(secret), inner), 256)
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / 2.0**52
 
 
-def laplace(scale: Column | float, *keys: Column) -> Column:
-    u = uniform(*keys) - 0.5
+def laplace(scale: Column | float, secret: str, *keys: Column) -> Column:
+    u = uniform(secret, *keys) - 0.5
     return F.lit(-1.0) * scale * F.signum(u) * F.ln(1 - 2 * F.abs(u))
 
 
-def noised_counts(df: DataFrame, group: str, epsilon: float, seed: int = 1) -> DataFrame:
-    """Group counts with Laplace noise of scale 1/epsilon, never below zero."""
+def noised_counts(df: DataFrame, group: str, epsilon: float, secret: str) -> DataFrame:
+    """Group counts with Laplace noise of scale 1/epsilon, never below zero. The caller keeps ``secret``."""
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
     g = df.groupBy(col(group).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("key", F.greatest(F.lit(0.0), F.col("n") + laplace(1 / epsilon, F.col("key").cast("string"), F.lit(seed))).alias("noised"))
+    name = F.coalesce(F.col("key").cast("string"), F.lit("(null)"))
+    return g.select("key", F.greatest(F.lit(0.0), F.col("n") + laplace(1 / epsilon, secret, name)).alias("noised"))
 
 
-def private_histogram(df: DataFrame, column: str, bins: int = 20, epsilon: float = 1.0, seed: int = 1) -> DataFrame:
+def private_histogram(df: DataFrame, column: str, secret: str, bins: int = 20, epsilon: float = 1.0) -> DataFrame:
     """Noised bins ``(bin, low, high, label, weight)`` of a number or category."""
     if epsilon <= 0:
         raise ValueError("epsilon must be positive")
-    noise = lambda key: F.greatest(F.lit(0.0), F.col("n") + laplace(1 / epsilon, key, F.lit(f"{column}:{seed}")))
+    noise = lambda key: F.greatest(F.lit(0.0), F.col("n") + laplace(1 / epsilon, secret, F.lit(column), key))
     if kind_of(df.schema[column].dataType) == "number":
         x = col(column).cast("double")
         s = scalar_row(df, lo=F.min(x), hi=F.max(x))
@@ -131,46 +133,43 @@ def private_histogram(df: DataFrame, column: str, bins: int = 20, epsilon: float
     return g.select(F.pmod(F.xxhash64("label"), F.lit(2**31 - 1)).cast("int").alias("bin"), none.alias("low"), none.alias("high"), "label", noise(F.col("label")).alias("weight"))
 
 
-MAX_CATEGORIES = 10_000
+CELLS = 4096
+UNIT = 2**20
 
 
-def synthetic_rows(df: DataFrame, columns: Sequence[str], rows: int, epsilon: float = 5.0, bins: int = 20, seed: int = 1) -> DataFrame:
+def synthetic_rows(df: DataFrame, columns: Sequence[str], rows: int, secret: str, epsilon: float = 5.0, bins: int = 20) -> DataFrame:
     """Rows drawn from the noised histogram of each column, columns independent.
 
-    Histograms have at most ``bins`` or 10,000 entries (checked); rows are generated in
-    parallel and pick their bin by binary search over the cumulative weights.
+    A histogram's entries lie side by side on a line of whole numbers, each as long as its weight;
+    a row takes the entry that its keyed draw falls on. The line is cut into ``CELLS`` cells and
+    joined by cell, so a column may have any number of categories. Null where all weights are zero.
     """
     out = df.sparkSession.range(rows).select(F.col("id").alias("row_id"))
-    exprs = [F.col("row_id")]
     for c in columns:
-        h = private_histogram(df, c, bins, epsilon, seed).orderBy("bin", "label").limit(MAX_CATEGORIES + 1).collect()
-        if len(h) > MAX_CATEGORIES:
-            raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories")
-        cum = np.cumsum([r["weight"] for r in h])
-        cum = cum / cum[-1] if len(cum) and cum[-1] > 0 else np.linspace(1 / max(1, len(h)), 1, max(1, len(h)))
-        pick, within = uniform(F.col("row_id"), F.lit(f"{seed}:{c}:a")), uniform(F.col("row_id"), F.lit(f"{seed}:{c}:b"))
-        if h and h[0]["label"] is None:
-            lows, highs = np.array([r["low"] for r in h]), np.array([r["high"] for r in h])
-
-            def make_number(cum, lows, highs):
-                def f(u: pd.Series, v: pd.Series) -> pd.Series:
-                    i = np.minimum(np.searchsorted(cum, u.to_numpy()), len(lows) - 1)
-                    return pd.Series(np.round(lows[i] + (highs[i] - lows[i]) * v.to_numpy(), 4))
-
-                return F.pandas_udf(f, T.DoubleType())
-
-            exprs.append(make_number(cum, lows, highs)(pick, within).alias(c))
-        else:
-            labels = [r["label"] for r in h]
-
-            def make_label(cum, labels):
-                def f(u: pd.Series) -> pd.Series:
-                    return pd.Series([labels[min(bisect.bisect_left(cum, x), len(labels) - 1)] for x in u])
-
-                return F.pandas_udf(f, T.StringType())
-
-            exprs.append(make_label(list(cum), labels)(pick).alias(c))
-    return out.select(*exprs)
+        line, length = _line(private_histogram(df, c, secret, bins, epsilon))
+        at = F.floor(uniform(secret, F.col("row_id"), F.lit(c), F.lit("a")) * length).cast("long")
+        within = uniform(secret, F.col("row_id"), F.lit(c), F.lit("b"))
+        drawn = out.withColumn("_at", at).withColumn("_cell", F.floor(F.col("_at") * CELLS / F.lit(max(length, 1))).cast("int"))
+        met = drawn.join(line, "_cell", "left").where("_from is null or (_at >= _from and _at < _upto)")
+        number = kind_of(df.schema[c].dataType) == "number"
+        value = F.round(F.col("low") + (F.col("high") - F.col("low")) * within, 4) if number else F.col("label")
+        out = met.select(*out.columns, value.alias(c))
+    return out
+
+
+def _line(histogram: DataFrame) -> tuple[DataFrame, int]:
+    """The entries with their stretch of the line, once for each cell that it touches, and the line's length."""
+    parts = histogram.select("*", F.round(F.col("weight") * UNIT).cast("long").alias("_w"), F.pmod(F.xxhash64("bin", "label"), F.lit(CELLS)).alias("_part")).where("_w > 0")
+    length = parts.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
+    # one row per part: at most CELLS in the one window
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_part").agg(F.sum("_w").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy("bin", "label").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.join(F.broadcast(starts), "_part").withColumn("_from", F.col("_start") + F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    placed = placed.withColumn("_upto", F.col("_from") + F.col("_w"))
+    cell = lambda x: F.floor(x * CELLS / F.lit(max(length, 1))).cast("int")
+    cells = F.sequence(cell(F.col("_from")), cell(F.col("_upto") - 1))
+    return placed.select(F.explode(cells).alias("_cell"), "low", "high", "label", "_from", "_upto"), length
 
 
 def compare_statistics(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -196,11 +195,11 @@ def _coarse(x: Column, up: bool) -> Column:
     return (F.ceil(x / step) if up else F.floor(x / step)) * step
 
 
-def shareable_fingerprint(df: DataFrame, columns: Sequence[str], bins: int = 16, epsilon: float | None = 1.0, seed: int = 1) -> DataFrame:
+def shareable_fingerprint(df: DataFrame, columns: Sequence[str], bins: int = 16, epsilon: float | None = 1.0, secret: str = "") -> DataFrame:
     """Distribution shape without values: rows ``(column, kind, bin, low, high, p)``.
 
     Bounds are rounded outwards, categories under five rows merge into ``(rare)``, columns
-    under fifty values are left out, counts carry Laplace noise unless epsilon is None.
+    under fifty values are left out, counts carry Laplace noise, keyed by ``secret``, unless epsilon is None.
     """
     parts = None
     for c in columns:
@@ -222,7 +221,7 @@ def shareable_fingerprint(df: DataFrame, columns: Sequence[str], bins: int = 16,
             g = g.withColumns({"low": none, "high": none})
         n = F.col("n").cast("double")
         if epsilon is not None:
-            n = F.greatest(F.lit(0.0), n + laplace(1 / epsilon, F.col("bin"), F.lit(f"{c}:{seed}")))
+            n = F.greatest(F.lit(0.0), n + laplace(1 / epsilon, secret, F.lit(c), F.col("bin")))
         g = g.withColumn("n", n)
         total = g.agg(F.sum("n")).scalar()
         row = g.where(nn >= MIN_ROWS).select(
@@ -265,7 +264,7 @@ def typed_test_rows(spec: dict[str, tuple], rows: int, spark, seed: int = 1) ->
     d = spark.range(rows)
     out = []
     for name, s in spec.items():
-        u = uniform(F.col("id"), F.lit(f"{seed}:{name}"))
+        u = uniform(f"{seed}", F.col("id"), F.lit(name))
         if s[0] == "id":
             e = F.concat(F.lit("P"), F.lpad(F.col("id").cast("string"), 6, "0"))
         elif s[0] == "number":

@@ -204,12 +204,25 @@ def test_grid_recipe(spark):
     ]
     g = spark.createDataFrame(list(enumerate(cells)), "row_id long, cells array<string>")
     recipe = R.plan_grid_repair(g)
-    assert recipe.header_rows == [2, 3] and recipe.footer_rows == [8, 9]
+    assert recipe.header_rows == [2, 3] and recipe.last_row == 7
     out = R.apply_grid_repair(g, recipe)
     assert out.columns == ["row_id", "Region / Name", "Sales / Q1", "Sales / Q2"]
     assert [r["Sales / Q2"] for r in out.orderBy("row_id").collect()] == [2.5, 3.5, 4.5]
 
 
+def test_grid_far_header_and_long_footer(spark):
+    rows = [[f"note {i}", None, None] for i in range(40)] + [["Name", "Day", "Amount"]] + [[f"n{i}", "2024-01-02", f"{i}"] for i in range(20)]
+    rows += [["Total", "x", f"{i}"] for i in range(1000)]
+    g = spark.createDataFrame(list(enumerate(rows)), "row_id long, cells array<string>")
+    recipe = R.plan_grid_repair(g)
+    assert recipe.header_rows == [40] and recipe.last_row == 60 and recipe.names == ["Name", "Day", "Amount"]
+    assert recipe.types == {"Day": "date", "Amount": "bigint"} and R.apply_grid_repair(g, recipe).count() == 20
+
+
+def test_name_words():
+    assert K.name_tokens("LOSDays") == ["los", "days"] and K.name_tokens("admit_dateTime2 X") == ["admit", "date", "time2", "x"]
+
+
 def test_unpivot_suggestion_and_guard(spark):
     d = spark.createDataFrame([("a", "x", 1.0, None), ("b", "y", 3.0, 4.0)], "name string, kind string, Jan double, Feb double")
     keep, wide = R.suggest_unpivot(d)
@@ -296,11 +309,14 @@ def test_privacy(spark):
     d = spark.createDataFrame([("x",)] * 90 + [("rare",)] * 3, "c string")
     f = P.shareable_fingerprint(d, ["c"], epsilon=None)
     assert {r.bin for r in f.collect()} == {"x", "(rare)"}
-    a = P.noised_counts(d, "c", 1.0).collect()
-    assert sorted(a) == sorted(P.noised_counts(d.repartition(4), "c", 1.0).collect())
+    a = P.noised_counts(d, "c", 1.0, "one").collect()
+    assert sorted(a) == sorted(P.noised_counts(d.repartition(4), "c", 1.0, "one").collect())
+    assert sorted(a) != sorted(P.noised_counts(d, "c", 1.0, "two").collect())
+    with pytest.raises(ValueError):
+        P.noised_counts(d, "c", 1.0, "")
     with pytest.raises(ValueError):
-        P.noised_counts(d, "c", 0)
-    s = P.synthetic_rows(spark.range(500).select((F.col("id") * 1.0).alias("v")), ["v"], 400)
+        P.noised_counts(d, "c", 0, "one")
+    s = P.synthetic_rows(spark.range(500).select((F.col("id") * 1.0).alias("v")), ["v"], 400, "one")
     assert s.count() == 400 and 180 < s.agg(F.avg("v")).first()[0] < 320
 
 
