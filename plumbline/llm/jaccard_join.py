@@ -26,6 +26,7 @@ from plumbline.model import col
 
 BITS = 20
 LIST = 8192
+ROW_BITS = 27
 RECENT = 100_000
 
 
@@ -38,6 +39,11 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def class_of(items: np.ndarray) -> int:
+    """The digest of a set."""
+    return int(signed(scramble(items ^ np.uint64(len(items)))).sum())
+
+
 def frequencies(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     """Occurrences over all documents, by the leading bits of the shingle hash."""
 
@@ -70,7 +76,7 @@ def signatures(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame
                 for text in part.column("text"):
                     s = shingle_set(text.as_py(), known, size)
                     n.append(len(s))
-                    cls.append(int(signed(scramble(s ^ np.uint64(len(s)))).sum()) if len(s) else 0)
+                    cls.append(class_of(s) if len(s) else 0)
                     if not len(s):
                         grp.append(0)
                         prefixes.append(None)
@@ -105,16 +111,24 @@ def may_link(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) ->
 
 
 def prefix_lists(signed_docs: DataFrame) -> DataFrame:
-    """Groups by prefix shingle, without lists of one group: token, part of the list, grp, n, at; and the part's hub."""
-    rows = signed_docs.where("prefix is not null").select(
-        "grp", "n", "splits", F.posexplode("prefix").alias("at", "token")
-    )
+    """Groups by prefix shingle, without lists of one group: token, cut, grp, n, at; and the hub of the list or its part."""
+    rows = signed_docs.where("prefix is not null").select("grp", "n", "splits", F.posexplode("prefix").alias("at", "token"))
     split = F.element_at("splits", F.col("at") + 1)
-    rows = rows.select("token", F.pmod(F.xxhash64("grp"), split).cast("int").alias("part"), (split > 1).alias("cut"), "grp", "n", "at")
-    here = Window.partitionBy("token", "part")
-    mine = F.struct(F.xxhash64("grp").alias("draw"), "grp", "n", "at")
-    listed = rows.withColumn("hub", F.min(mine).over(here)).withColumn("last", F.max("grp").over(here)).withColumn("first", F.min("grp").over(here))
-    return listed.where("cut or first <> last").select("token", "cut", "grp", "n", "at", "hub")
+    part = F.pmod(F.xxhash64("grp"), split)
+    # narrow rows: one number names the list or its part, the shingle itself goes along only for lists in parts
+    rows = rows.select(
+        F.when(split > 1, F.xxhash64("token", part)).otherwise(F.col("token")).alias("list"),
+        "grp",
+        (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"),
+        F.when(split > 1, F.col("token")).alias("whole"),
+    )
+    here = Window.partitionBy("list")
+    listed = rows.withColumn("hub", F.min(F.struct(F.xxhash64("grp").alias("draw"), "grp", "place")).over(here)).withColumn("last", F.max("grp").over(here)).withColumn("first", F.min("grp").over(here))
+    n_of = lambda c: F.shiftright(c, 32).cast("int").alias("n")
+    at_of = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at")
+    hub = F.struct(F.col("hub.draw"), F.col("hub.grp"), n_of(F.col("hub.place")), at_of(F.col("hub.place"))).alias("hub")
+    listed = listed.where("whole is not null or first <> last")
+    return listed.select(F.coalesce("whole", "list").alias("token"), F.col("whole").isNotNull().alias("cut"), "grp", n_of(F.col("place")), at_of(F.col("place")), hub)
 
 
 def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -137,17 +151,43 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(both * 100 >= either * percent).select("a", "b")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, items) for the classes in ``wanted`` (cls, row): their texts are fetched and cut into shingles again."""
+def row_bitmap(rows: DataFrame) -> np.ndarray:
+    """A fixed-size bitmap of row keys by their low bits: no key is missed, few others match."""
+    slot = F.pmod(F.col("row"), F.lit(1 << ROW_BITS))
+    blocks = rows.select(F.shiftright(slot, 15).alias("block"), slot.bitwiseAND(F.lit(0x7FFF)).alias("at"))
+    out = np.zeros((1 << (ROW_BITS - 15), 4096), np.uint8)
+    for r in blocks.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator():
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def whole_sets(docs: DataFrame, pairs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """(cls, items) for the classes in ``pairs``: one text of each is cut into shingles again.
+
+    The documents to read are told by a bitmap of their row keys, so no text is shuffled; the few
+    others that match it add sets that no pair asks for.
+    """
+    classes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    bitmap = docs.sparkSession.sparkContext.broadcast(row_bitmap(chosen.join(classes, "cls").select("row")))  # 2 ** ROW_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, bits = WordHashes(), bitmap.value
         for batch in batches:
+            slot = batch.column("row").to_numpy() & ((1 << ROW_BITS) - 1)
+            batch = batch.filter(pa.array(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
             for part in text_slices(batch, "text", 2 << 20):
-                items = [signed(shingle_set(t.as_py(), known, size)) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(items, pa.list_(pa.int64()))], names=["cls", "items"])
+                sets = [shingle_set(t.as_py(), known, size) for t in part.column("text")]
+                sets = [s for s in sets if len(s)]
+                columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cls", "items"])
 
-    return docs.select("row", "text").join(wanted, "row").select("cls", "text").mapInArrow(run, "cls long, items array<long>")
+    return docs.select("row", "text").mapInArrow(run, "cls long, items array<long>")
+
+
+def verified_pairs(docs: DataFrame, pairs: DataFrame, chosen: DataFrame, size: int, percent: int) -> DataFrame:
+    pairs = written(pairs, "pairs")
+    items = written(whole_sets(docs, pairs, chosen, size), "sets")
+    return written(verified(pairs, items, percent), "links")
 
 
 def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = SIZE, bits: int = BITS) -> DataFrame:
@@ -171,17 +211,14 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", percent
     listed = lists.select("grp").distinct().withColumn("listed", F.lit(True))
     chosen = members.join(several, "grp").join(listed, "grp", "left").where("listed or sets > 1")
     chosen = written(chosen.select("grp", "n", "cls", "row", "lead"), "candidates")
-    items = written(whole_sets(docs, chosen.select("cls", "row"), size), "sets")
-
     lead = chosen.select("grp", "lead").distinct()
     by_hub = hub_pairs(lists, percent).join(lead, "grp").join(lead.select(F.col("grp").alias("grp2"), F.col("lead").alias("lead2")), "grp2")
     inside = chosen.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
     first = by_hub.select(F.col("lead").alias("a"), F.col("lead2").alias("b")).unionByName(inside).distinct()
-    links = written(verified(first, items, percent), "links-by-hub")
+    links = verified_pairs(docs, first, chosen, size, percent)
     found = written(components(links), "components-by-hub")
 
-    rest = open_pairs(lists, chosen, found, percent)
-    more = written(verified(rest, items, percent), "links-between")
+    more = verified_pairs(docs, open_pairs(lists, chosen, found, percent), chosen, size, percent)
     if not more.isEmpty():
         found = written(components(links.unionByName(more)), "components")
     return labelled(table, found)
