@@ -25,6 +25,7 @@ BITS = 15
 MOST_LANGUAGES = 256
 TEMPER = 0.25  # neighbouring trigrams share letters, so each counts for a part
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 4.0, 20.0, 20.0  # pages that a parent's shares stand for
+TRUSTED = 0.9  # share of pages that declare a language and are written in it, before any is seen
 HIDDEN = re.compile(r"(?is)<(script|style|nav|template)\b.*?</\1\s*>|<!--.*?-->")
 TAG = re.compile(r"(?s)<[^>]*>")
 
@@ -128,9 +129,10 @@ def identify(
     all_pages = F.array(*[F.lit((x + 1.0) / (sum(whole) + n)) for x in whole])
     suffixes = sums(scored, n, "suffix").select("suffix", blend(F.col("sums"), all_pages, SUFFIX_WEIGHT).alias("suffix_shares"))
     hosts = sums(scored.where("host is not null"), n, "host", "suffix").join(suffixes, "suffix").select("host", "suffix_shares", F.col("sums").alias("host_sums"))
-    # a declaration says as much as its pages' texts differ from all pages
+    # a declaration says as much as its pages' texts differ from all pages; few of them, that it mostly holds
     said = sums(scored.where("declared is not null"), n, "declared")
-    says = said.select("declared", F.zip_with(blend(F.col("sums"), all_pages, DECLARED_WEIGHT), all_pages, lambda a, b: F.log(a / b)).alias("says"))
+    meant = F.zip_with(F.array(*map(F.lit, languages)), all_pages, lambda name, p: F.when(F.col("declared") == name, TRUSTED).otherwise(0.0) + (1 - TRUSTED) * p)
+    says = said.select("declared", F.zip_with(blend(F.col("sums"), meant, DECLARED_WEIGHT), all_pages, lambda a, b: F.log(a / b)).alias("says"))
     joined = scored.join(hosts, "host", "left").join(says, "declared", "left")
     prior = F.when(F.col("host_sums").isNotNull(), blend(F.col("host_sums"), F.col("suffix_shares"), HOST_WEIGHT, F.col("text"))).otherwise(all_pages)
     joined = joined.withColumn("prior", prior)
