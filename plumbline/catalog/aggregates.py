@@ -15,12 +15,15 @@ def r(c, n=4):
     return F.round(c, n).alias(c)
 
 
-def off_tie(c, n=4):
-    """Round a mean of cents: many sit exactly on a tie, where the last bit of a sum would decide.
+def cents(c):
+    """A money column as an exact decimal, whose mean has six exact digits in any order."""
+    return F.col(c).cast("decimal(14,2)").alias(c)
 
-    Both sides add the same small offset first.
-    """
-    return F.round(F.col(c) + 3e-6, n).alias(c)
+
+def mean_sql(c):
+    """SQL of that mean: whole cents, rounded half up at the sixth digit."""
+    s = f"sum(CAST(round({c} * 100) AS HUGEINT))"
+    return f"CAST(CAST(({s} * 20000 + count({c})) // (2 * count({c})) AS BIGINT) / 1000000.0 AS DOUBLE)"
 
 
 @query(
@@ -274,10 +277,11 @@ def quality_signals(t):
 
 @query(
     "entity_baseline_part",
-    "SELECT l_partkey, round(avg(l_extendedprice) + 3e-6, 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sigma, count(l_extendedprice) AS n FROM lineitem GROUP BY 1",
+    f"SELECT l_partkey, {mean_sql('l_extendedprice')} AS mean, round(stddev_pop(l_extendedprice), 4) AS sigma, count(l_extendedprice) AS n FROM lineitem GROUP BY 1",
 )
 def entity_baseline_part(t):
-    return A.entity_baseline(t.lineitem, ["l_partkey"], "l_extendedprice").select("l_partkey", off_tie("mean"), r("sigma"), "n")
+    lines = t.lineitem.select("l_partkey", cents("l_extendedprice"))
+    return A.entity_baseline(lines, ["l_partkey"], "l_extendedprice").select("l_partkey", F.col("mean").cast("double"), r("sigma"), "n")
 
 
 @query(
@@ -376,14 +380,19 @@ def chart_bar(t):
     return A.bar_feed(t.lineitem, "l_suppkey", "l_quantity").withColumn("y", F.round("y", 4))
 
 
-@query("chart_line", "SELECT CAST(o_orderdate AS VARCHAR) AS x, round(avg(o_totalprice) + 3e-6, 3) AS y FROM orders GROUP BY o_orderdate ORDER BY o_orderdate LIMIT 500")
+@query("chart_line", f"SELECT CAST(o_orderdate AS VARCHAR) AS x, {mean_sql('o_totalprice')} AS y FROM orders GROUP BY o_orderdate")
 def chart_line(t):
-    return A.line_feed(t.orders, "o_orderdate", "o_totalprice").select(F.date_format("x", "yyyy-MM-dd HH:mm:ss").alias("x"), off_tie("y", 3))
+    orders = t.orders.select("o_orderdate", cents("o_totalprice"))
+    return A.line_feed(orders, "o_orderdate", "o_totalprice").select(F.date_format("x", "yyyy-MM-dd HH:mm:ss").alias("x"), F.col("y").cast("double").alias("y"))
 
 
-@query("chart_scatter_sample")
+@query(
+    "chart_scatter_sample",
+    """SELECT l_quantity AS x, l_extendedprice AS y FROM (SELECT l_quantity, l_extendedprice, l_orderkey || '-' || l_linenumber AS id FROM lineitem)
+       ORDER BY md5(id || ':7'), 1, 2 LIMIT 5000""",
+)
 def chart_scatter_sample(t):
-    return A.scatter_feed(t.lineitem.withColumn("id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey")), "l_quantity", "l_extendedprice", "id")
+    return A.scatter_feed(t.lineitem.withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber")), "l_quantity", "l_extendedprice", "id")
 
 
 @query(

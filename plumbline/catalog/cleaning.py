@@ -86,15 +86,22 @@ def fix_dedupe(t):
     return d
 
 
+def _mean_sql(c: str) -> str:
+    """SQL of an exact mean of money: whole cents, the sixth digit rounded half away from zero."""
+    s = f"sum(CAST(round({c} * 100) AS HUGEINT))"
+    return f"CAST(sign({s}) * CAST((abs({s}) * 20000 + count({c})) // (2 * count({c})) AS BIGINT) / 1000000.0 AS DOUBLE)"
+
+
 @query(
     "impute_group_mean",
-    f"""WITH d AS {DIRTY_SQL}, g AS (SELECT segment, c_nationkey, avg(price_amount) AS m FROM d WHERE price_amount IS NOT NULL GROUP BY 1, 2)
-        SELECT d.c_custkey, round(coalesce(price_amount, g.m, (SELECT avg(price_amount) FROM d)) + 3e-6, 4) AS price_amount_imputed
+    f"""WITH d AS {DIRTY_SQL}, g AS (SELECT segment, c_nationkey, {_mean_sql('price_amount')} AS m FROM d WHERE price_amount IS NOT NULL GROUP BY 1, 2)
+        SELECT d.c_custkey, coalesce(price_amount, g.m, (SELECT {_mean_sql('price_amount')} FROM d)) AS price_amount_imputed
         FROM d LEFT JOIN g ON d.segment IS NOT DISTINCT FROM g.segment AND d.c_nationkey IS NOT DISTINCT FROM g.c_nationkey""",
 )
 def impute_group_mean(t):
-    d = C.impute_group_mean(dirty(t), "price_amount", ["segment", "c_nationkey"])
-    return d.select("c_custkey", F.round(F.col("price_amount_imputed") + 3e-6, 4).alias("price_amount_imputed"))
+    exact = dirty(t).withColumn("price_amount", F.col("price_amount").cast("decimal(14,2)"))
+    d = C.impute_group_mean(exact, "price_amount", ["segment", "c_nationkey"])
+    return d.select("c_custkey", F.col("price_amount_imputed").cast("double").alias("price_amount_imputed"))
 
 
 @query(

@@ -89,7 +89,7 @@ def monthly(t):
 
 
 HOLT_SQL = """WITH RECURSIVE g AS (SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS load, o_orderpriority AS c, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2), last AS (SELECT max(load) AS l FROM g),
-   h AS (SELECT c, v, load, row_number() OVER (PARTITION BY c ORDER BY load DESC) AS back FROM g, last WHERE load < l), y AS (SELECT c, v, CAST(row_number() OVER (PARTITION BY c ORDER BY load) AS INTEGER) AS t, CAST(count(*) OVER (PARTITION BY c) AS INTEGER) AS n FROM h WHERE back <= 24),
+   h AS (SELECT c, v, load, row_number() OVER (PARTITION BY c ORDER BY load DESC) AS back FROM g, last WHERE load < l), y AS (SELECT c, v, CAST(row_number() OVER (PARTITION BY c ORDER BY load) AS INTEGER) AS t, CAST(count(*) OVER (PARTITION BY c) AS INTEGER) AS n FROM h),
    f AS (SELECT a.c, 1 AS t, a.v AS level, b.v - a.v AS trend, CAST(0.0 AS DOUBLE) AS sse, a.n FROM y a JOIN y b ON a.c = b.c AND a.t = 1 AND b.t = 2
      UNION ALL SELECT f.c, f.t + 1, 0.5 * y.v + 0.5 * (f.level + f.trend), 0.3 * (0.5 * y.v + 0.5 * (f.level + f.trend) - f.level) + 0.7 * f.trend, f.sse + CASE WHEN f.t >= 2 THEN power(y.v - (f.level + f.trend), 2) ELSE 0 END, f.n FROM f JOIN y ON y.c = f.c AND y.t = f.t + 1),
    e AS (SELECT c, n, level + trend AS fc, trend, sqrt(sse / (n - 2)) AS sd FROM f WHERE t = n), cur AS (SELECT c, v AS actual FROM g, last WHERE load = l)"""

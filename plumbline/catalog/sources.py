@@ -72,7 +72,14 @@ def text_lines(t):
     return d.select("doc_id", "line_number", F.md5("content").alias("digest"))
 
 
-@query("text_kinds")
+@query(
+    "text_kinds",
+    r"""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), chr(13) || '$', '') AS c FROM documents),
+             g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches(c, '^\d{4}-\d{2}-\d{2}|^\[\d{2}[:/]\d{2}')) AS t,
+                     count(*) FILTER (WHERE regexp_matches(c, '(?i)\b(INFO|WARN|WARNING|ERROR|DEBUG|CRITICAL|FATAL|TRACE)\b')) AS s,
+                     count(*) FILTER (WHERE regexp_matches(c, '\t|,\S')) AS d, count(*) FILTER (WHERE length(trim(c)) > 40) AS p FROM l GROUP BY 1)
+        SELECT CASE WHEN t >= 3 OR s >= 3 THEN 'log' WHEN d >= floor(n * 0.7) THEN 'delimited' WHEN p = n THEN 'prose' ELSE 'unknown' END AS kind, count(*) AS n FROM g GROUP BY 1""",
+)
 def text_kinds(t):
     k = S.text_kind(S.text_lines(t.documents, "doc_id", "text"), "doc_id")
     return k.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -19,7 +19,6 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "min": F.min,
     "max": F.max,
 }
-PIVOT_LIMIT = 200
 
 
 def group_aggregate(df: DataFrame, key: str, value: str, how: str = "sum", blank: str = "(blank)") -> DataFrame:
@@ -34,26 +33,31 @@ def group_aggregate(df: DataFrame, key: str, value: str, how: str = "sum", blank
 
 
 def pivot_cardinality(df: DataFrame, column: str) -> int:
-    """Distinct pivot values, counted up to one past the limit."""
-    return df.select(col(column)).distinct().limit(PIVOT_LIMIT + 1).count()
+    """Number of distinct pivot values."""
+    return df.select(col(column)).distinct().count()
 
 
 def pivot(
     df: DataFrame, rows: Sequence[str], column: str | None, value: str, how: str, values: Sequence | None = None
 ) -> DataFrame:
-    """Group-by, or a pivot when ``column`` is given; refuses more than 200 pivot values."""
+    """Group-by, or a pivot when ``column`` is given: one column for each of ``values``, by default of all values.
+
+    Where the values are too many for columns, ``pivot_long`` gives the same cells as rows.
+    """
     grouped = df.groupBy(*[col(r) for r in rows])
     agg = AGGREGATES[how](col(value))
     if column is None:
         return grouped.agg(agg.alias(f"{how}_{value}"))
     if values is None:
-        found = df.select(col(column)).distinct().orderBy(col(column)).limit(PIVOT_LIMIT + 1).collect()
-        if len(found) > PIVOT_LIMIT:
-            raise ValueError(f"{column} has more than {PIVOT_LIMIT} distinct values")
-        values = [r[0] for r in found]
+        values = [r[0] for r in df.select(col(column)).distinct().orderBy(col(column)).collect()]  # the result's columns
     return grouped.pivot(column, list(values)).agg(agg)
 
 
+def pivot_long(df: DataFrame, rows: Sequence[str], column: str, value: str, how: str) -> DataFrame:
+    """The cells of a pivot as rows ``(rows, column, value)``, for any number of pivot values."""
+    return df.groupBy(*[col(r) for r in rows], col(column)).agg(AGGREGATES[how](col(value)).alias("value"))
+
+
 def crosstab(df: DataFrame, row: str, column: str, value: str, how: str = "sum") -> DataFrame:
     """Long cross-tab with row totals, column totals and the grand total in one cube."""
     g = F.grouping_id()
@@ -274,17 +278,21 @@ def bar_feed(df: DataFrame, x: str, y: str | None = None, n: int = 25) -> DataFr
     return g.orderBy(F.desc("y"), F.asc("x")).limit(n)
 
 
-def pie_feed(df: DataFrame, x: str, n: int = 12) -> DataFrame:
-    return bar_feed(df, x, None, n)
+def pie_feed(df: DataFrame, x: str, n: int = 12, rest: str = "other") -> DataFrame:
+    """Counts of the ``n`` most frequent values and of all others together."""
+    top = bar_feed(df, x, None, n)
+    others = df.agg(F.count(F.lit(1)).alias("y")).crossJoin(top.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("s")))  # one row each
+    return top.unionByName(others.select(F.lit(rest).alias("x"), (F.col("y") - F.col("s")).alias("y")).where("y > 0"))
 
 
-def line_feed(df: DataFrame, x: str, y: str, n: int = 500) -> DataFrame:
-    return df.groupBy(col(x).alias("x")).agg(F.avg(col(y)).alias("y")).orderBy("x").limit(n)
+def line_feed(df: DataFrame, x: str, y: str) -> DataFrame:
+    """The mean at every point of the line."""
+    return df.groupBy(col(x).alias("x")).agg(F.avg(col(y)).alias("y")).orderBy("x")
 
 
 def scatter_feed(df: DataFrame, x: str, y: str, key: str, n: int = 5000, seed: int = 7) -> DataFrame:
     """A fixed-size sample for drawing, chosen by hash so it does not depend on row order."""
-    h = F.xxhash64(col(key), F.lit(seed))
+    h = F.md5(F.concat_ws(":", col(key).cast("string"), F.lit(str(seed))).cast("binary"))
     picked = df.where(col(x).isNotNull() & col(y).isNotNull()).select(col(x).alias("x"), col(y).alias("y"), h.alias("_h"))
     return picked.orderBy("_h", "x", "y").limit(n).select("x", "y")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import scalar_row
-from plumbline.model import col, stack_structs
+from plumbline.model import any_of, col, stack_structs
 from plumbline.session import spread
 from plumbline.operators.aggregates import entity_baseline
 
@@ -128,19 +128,23 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int, nodes
 
 
 def isolation_forest(df: DataFrame, columns: Sequence[str], key: str, trees: int = TREES, sample: int = SAMPLE, threshold: float = CUT, seed: int = 3) -> DataFrame:
-    """Isolation scores for every row.
+    """Isolation scores for every row; null where a feature is missing.
 
-    A pool of at most trees x sample rows is picked by key hash, each tree grows in its own
-    task from its share, and the forest (a few thousand nodes) scores all rows in Arrow batches.
+    Every tree draws its own rows from the whole table, by a hash of key and tree, and grows in a
+    task of its own; the forest (a few thousand nodes) scores all rows in Arrow batches.
     """
     cols = list(columns)
     feats = [col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(cols)]
     whole = df.where(F.lit(True))
     for c in cols:
         whole = whole.where(col(c).isNotNull() & ~F.isnan(col(c).cast("double")))
-    pool = whole.select(*feats, F.xxhash64(col(key), F.lit(seed)).alias("_h")).orderBy("_h").limit(trees * sample)
-    w = Window.partitionBy("tree").orderBy(F.xxhash64("_h", "tree"))
-    picks = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
+    n = whole.count()
+    # each tree's draw: about twice the sample passes, of which the sample's least hashes stay
+    draw = lambda tree: F.pmod(F.xxhash64(col(key), F.lit(seed), tree), F.lit(2**31))
+    share = F.lit(int(min(1.0, (2 * sample + 40) / max(n, 1)) * 2**31))
+    drawn = whole.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share)))
+    w = Window.partitionBy("tree").orderBy(draw(F.col("tree")), *feats)
+    picks = drawn.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).select("tree", "_r", *feats)
     names = [f"_f{i}" for i in range(len(cols))]
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,6 +185,8 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], key: str, trees: int
 
     key_type = df.schema[key].dataType.simpleString()
     out = spread(whole.select(col(key).alias("key"), *feats)).mapInPandas(score, f"key {key_type}, score double")
+    gaps = any_of([col(c).isNull() | F.isnan(col(c).cast("double")) for c in cols])
+    out = out.unionByName(df.where(gaps).select(col(key).alias("key"), F.lit(None).cast("double").alias("score")))
     return out.withColumn("is_anomaly", F.col("score") > threshold)
 
 

@@ -100,8 +100,8 @@ def overall_risk(version_diff: DataFrame) -> DataFrame:
     return s.select(F.when(F.col("r") == 2, "breaking").when(F.col("r") == 1, "warn").otherwise("ok").alias("risk"), "flagged")
 
 
-# Smoothing and band of the forecast; loads kept per statistic.
-ALPHA, BETA, BAND, MIN_LOADS, KEPT_LOADS = 0.5, 0.3, 2.0, 4, 24
+# Smoothing and band of the forecast; loads needed.
+ALPHA, BETA, BAND, MIN_LOADS = 0.5, 0.3, 2.0, 4
 
 
 def tracked_statistics(fingerprints: DataFrame, load: str = "load") -> DataFrame:
@@ -133,15 +133,12 @@ def holt(series: Column, alpha: float = ALPHA, beta: float = BETA) -> Column:
     )
 
 
-def forecast_bands(history: DataFrame, current: DataFrame, keys: Sequence[str] = ("column", "kind"), z: float = BAND, min_loads: int = MIN_LOADS, kept: int = KEPT_LOADS) -> DataFrame:
+def forecast_bands(history: DataFrame, current: DataFrame, keys: Sequence[str] = ("column", "kind"), z: float = BAND, min_loads: int = MIN_LOADS) -> DataFrame:
     """Expected value and band of every tracked statistic against the current load.
 
-    ``history`` is ``(keys, load, value)``; only the last ``kept`` loads of a key are gathered,
-    so the array folded per key is small whatever the history's length.
+    ``history`` is ``(keys, load, value)``; all loads of a key are folded, one number for each load.
     """
-    w = Window.partitionBy(*keys).orderBy(F.desc("load"))
-    recent = history.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= kept)
-    packed = recent.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("load", "value"))).alias("h"))
+    packed = history.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("load", "value"))).alias("h"))
     s = packed.select(*keys, F.transform("h", lambda x: x["value"]).alias("y")).where(F.size("y") >= min_loads)
     j = s.withColumn("f", holt(F.col("y"))).join(current.select(*keys, F.col("value").alias("actual")), list(keys))
     band = z * F.col("f.sigma")

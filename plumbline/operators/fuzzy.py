@@ -64,7 +64,7 @@ def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 0.85, metric
     )
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Component label (the smallest member) of every node in an undirected edge list.
 
     Each round takes the smallest label among a node's neighbours and then follows labels
@@ -75,7 +75,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     both = cut_lineage(fwd.union(fwd.select("w", "u")).where(F.col("u") != F.col("w")).distinct())
     loops = edges.select(F.explode(F.array(col(a), col(b))).alias("node")).distinct()
     labels = cut_lineage(loops.select("node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels, both["w"] == labels["node"]).groupBy("u").agg(F.min("label").alias("m"))
         stepped = labels.join(seen, labels["node"] == seen["u"], "left").select(
             "node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label")
@@ -90,15 +90,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         labels = jumped.select("node", "label")
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def category_clusters(df: DataFrame, column: str, threshold: float = 0.82, max_values: int | None = 200, guard: bool = True) -> DataFrame:
+def category_clusters(df: DataFrame, column: str, threshold: float = 0.82, guard: bool = True) -> DataFrame:
     """Spelling variants of one category: rows ``(canonical, value, count, merge)``.
 
     Values join when similar (ignoring case) or when one abbreviates the other; the most
-    frequent variant is canonical, ties by value. Identifier-like and near-unique columns,
-    and columns with more than ``max_values`` values, hold no categories and give no rows.
+    frequent variant is canonical, ties by value. Identifier-like and near-unique columns hold
+    no categories and give no rows.
     """
     freq = (
         df.where(F.trim(col(column).cast("string")) != "")
@@ -111,7 +110,7 @@ def category_clusters(df: DataFrame, column: str, threshold: float = 0.82, max_v
         return empty
     freq = cut_lineage(freq)
     size = freq.agg(F.count(F.lit(1)).alias("d"), F.sum("count").alias("n")).first()
-    if size["d"] < 2 or (max_values and size["d"] > max_values) or (guard and size["d"] / size["n"] >= NEAR_UNIQUE):
+    if size["d"] < 2 or (guard and size["d"] / size["n"] >= NEAR_UNIQUE):
         return empty
     low = freq.select("value", F.lower("value").alias("low"))
     close = similar_values(low, "low", threshold, inclusive=True)
@@ -168,10 +167,13 @@ def default_trust(kind: str | None = None, trust: float | None = None) -> float:
     return DEFAULT_TRUST.get((kind or "").lower(), FALLBACK_TRUST)
 
 
+EXACT_NUMBER = r"^[-+]?[0-9]{1,28}(\.[0-9]{1,10})?([eE][+]?[0-9]{1,2})?$"
+
+
 def normalise(c: Column) -> Column:
-    """Comparable text: numbers by value, text trimmed and lower-cased, blanks null."""
+    """Comparable text: numbers by exact value (28 digits and 10 decimals at most), other text trimmed and lower-cased, blanks null."""
     t = F.trim(c.cast("string"))
-    return F.when(t == "", None).otherwise(F.coalesce(t.try_cast("double").cast("string"), F.lower(t)))
+    return F.when(t == "", None).otherwise(F.coalesce(F.when(t.rlike(EXACT_NUMBER), t.try_cast("decimal(38,10)").cast("string")), F.lower(t)))
 
 
 def converge(sources: Sequence[Source], margin: float = 0.15) -> tuple[DataFrame, DataFrame]:

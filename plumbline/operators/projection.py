@@ -23,14 +23,15 @@ SENSITIVE_NAME = r"race|ethnic|insurance|payer|gender|\bsex\b|^sex|_sex|religion
 def sql(tables: Mapping[str, DataFrame], text: str, metrics: Mapping[str, str] | None = None) -> DataFrame:
     """Run SQL text over the given tables; ``@name`` stands for a named metric's expression.
 
-    Tables are passed as query arguments, so no session-wide view is created.
+    The tables are common table expressions before the text, which itself stays as it is; no
+    session-wide view is created.
     """
-    text = expand_metrics(text, metrics or {})
-    for name in sorted(tables, key=len, reverse=True):
-        text = re.sub(rf"(?i)\b(from|join)\s+{re.escape(name)}\b", rf"\1 {{{name}}}", text)
-    used = {n: d for n, d in tables.items() if "{" + n + "}" in text}
+    text = expand_metrics(text, metrics or {}).replace("{", "{{").replace("}", "}}")
+    named = [f"`{n.replace('`', '``')}` AS (SELECT * FROM {{t{i}}})" for i, n in enumerate(tables)]
+    own = re.match(r"(?i)\s*with\s+(recursive\s+)?", text)
+    rest = f", {text[own.end():]}" if own else f" {text}"
     spark = next(iter(tables.values())).sparkSession
-    return spark.sql(text, **used)
+    return spark.sql(f"WITH {(own and own[1]) or ''}{', '.join(named)}{rest}", **{f"t{i}": d for i, d in enumerate(tables.values())})
 
 
 def expand_metrics(text: str, metrics: Mapping[str, str]) -> str:

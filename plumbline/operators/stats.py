@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.distributions import chi_square_p_value, t_p_value
 from plumbline.functions.ordering import with_order
 from plumbline.functions.stats import quantile_map, scalar_row
-from plumbline.model import col, stack_structs
+from plumbline.model import any_of, col, stack_structs
 
 Z_SCORES = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 
@@ -196,7 +196,7 @@ def robustness_verdict(stress: DataFrame, gap: DataFrame) -> DataFrame:
 
 
 def flag_ranking(feedback: DataFrame, features: Sequence[str], label: str, candidates: DataFrame | None = None, l2: float = 0.01) -> DataFrame:
-    """Probability that a flag will be accepted, learned from past accept and dismiss actions."""
+    """Probability that a flag will be accepted, learned from past accept and dismiss actions; null where a feature is missing."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -204,10 +204,10 @@ def flag_ranking(feedback: DataFrame, features: Sequence[str], label: str, candi
     pack = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
     train = pack.transform(feedback.withColumn("_label", col(label).cast("double")))
     model = LogisticRegression(featuresCol="_features", labelCol="_label", regParam=l2, maxIter=50).fit(train)
-    scored = model.transform(pack.transform(candidates if candidates is not None else feedback))
-    p = vector_to_array("probability")[1]
-    keep = (candidates if candidates is not None else feedback).columns
-    return scored.select(*[col(c) for c in keep], p.alias("accept_probability"))
+    rows = candidates if candidates is not None else feedback
+    scored = model.transform(pack.transform(rows)).select(*[col(c) for c in rows.columns], vector_to_array("probability")[1].alias("accept_probability"))
+    gaps = any_of([col(f).isNull() | F.isnan(col(f).cast("double")) for f in features])
+    return scored.unionByName(rows.where(gaps).withColumn("accept_probability", F.lit(None).cast("double")))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict:

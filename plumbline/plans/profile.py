@@ -146,7 +146,7 @@ def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None) ->
     )
 
 
-def insight_candidates(df: DataFrame, numbers: Sequence[str] | None = None, texts: Sequence[str] | None = None, limit: int = 25) -> DataFrame:
+def insight_candidates(df: DataFrame, numbers: Sequence[str] | None = None, texts: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """Scored findings over a whole table, best first: outliers, skew, zeros, negatives, dominance, correlation, nulls, duplicates."""
     numbers = list(numbers) if numbers is not None else numeric_columns(df)
     texts = list(texts) if texts is not None else text_columns(df)
@@ -182,7 +182,8 @@ def insight_candidates(df: DataFrame, numbers: Sequence[str] | None = None, text
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.orderBy(F.desc("score"), "kind", "column").limit(limit)
+    ranked = out.orderBy(F.desc("score"), "kind", "column")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def concentration(df: DataFrame, category: str, value: str, top: int = 3, threshold: float = 0.5) -> DataFrame:

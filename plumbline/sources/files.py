@@ -118,10 +118,10 @@ def text_lines(df: DataFrame, key: str, text: str, skip_empty: bool = False) ->
 LOG_TIME, LOG_LEVEL, DELIMITED = r"^\d{4}-\d{2}-\d{2}|^\[\d{2}[:/]\d{2}", r"(?i)\b(INFO|WARN|WARNING|ERROR|DEBUG|CRITICAL|FATAL|TRACE)\b", r"\t|,(?=\S)"
 
 
-def text_kind(lines: DataFrame, key: str, first: int = 20) -> DataFrame:
-    """log, delimited, prose or unknown, from the first lines of each text."""
+def text_kind(lines: DataFrame, key: str) -> DataFrame:
+    """log, delimited, prose or unknown, from all lines of each text."""
     c = F.col("content")
-    g = lines.where(F.col("line_number") <= first).groupBy(col(key)).agg(
+    g = lines.groupBy(col(key)).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(c.rlike(LOG_TIME)).alias("t"), F.count_if(c.rlike(LOG_LEVEL)).alias("s"), F.count_if(c.rlike(DELIMITED)).alias("d"), F.count_if(F.length(F.trim(c)) > 40).alias("p")
     )
     kind = F.when((F.col("t") >= 3) | (F.col("s") >= 3), "log").when(F.col("d") >= F.floor(F.col("n") * 0.7), "delimited").when(F.col("p") == F.col("n"), "prose").otherwise("unknown")
