@@ -98,17 +98,21 @@ def chunk_words(text: Column, size: int = 200, overlap: int = 20) -> Column:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be between 0 and size")
     step = size - overlap
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    n = F.size(words)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int"))
-    chunks = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(
-            i.cast("long").alias("chunk"),
-            F.least(F.lit(size), n - i * step).cast("long").alias("words"),
-            F.array_join(F.slice(words, i * step + 1, size), " ").alias("text"),
-        ),
-    )
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        last = F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int"))
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.struct(
+                i.cast("long").alias("chunk"),
+                F.least(F.lit(size), n - i * step).cast("long").alias("words"),
+                F.array_join(F.slice(words, i * step + 1, size), " ").alias("text"),
+            ),
+        )
+
+    # the outer array binds the words, so a text is split once and not for every chunk
+    chunks = F.transform(F.array(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")), cut)[0]
     return F.when(F.trim(text) == "", F.array().cast("array<struct<chunk:bigint,words:bigint,text:string>>")).otherwise(chunks)
 
 

@@ -32,11 +32,11 @@ def append_step(log: DataFrame, dataset: str, op: str, description: str, content
 def verify_chains(log: DataFrame) -> DataFrame:
     """Per dataset: steps, validity and the first broken step.
 
-    Each step is checked on its own against its parent's hash, so chains verify in parallel
-    however long they are.
+    Each step meets the step before it by a join on dataset and step number, so a chain of any
+    length spreads over tasks. A step whose predecessor is missing must start a chain.
     """
-    d = log.withColumn("_k", F.xxhash64("dataset"))
-    p = with_order(d, "step", "_k", lag=["hash"], position=None, partition=["dataset"])
+    before = log.groupBy("dataset", (F.col("step") + 1).alias("step")).agg(F.max("hash").alias("prev_hash"))
+    p = log.join(before, ["dataset", "step"], "left")
     linked = F.col("parent_hash") == F.coalesce("prev_hash", F.lit(GENESIS))
     honest = F.col("hash") == step_hash(F.col("parent_hash"), F.col("op"), F.col("description"), F.col("content"))
     g = p.groupBy("dataset").agg(F.count(F.lit(1)).alias("steps"), F.min(F.when(~(linked & honest), F.col("step"))).alias("broken_at"))
