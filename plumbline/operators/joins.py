@@ -100,19 +100,21 @@ def check_foreign_key(
     child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, label: str = "", as_text: bool = False
 ) -> DataFrame:
     """Child rows whose key has no parent: total, orphans, nulls, rate, status and five sample keys."""
-    kids = key_counts(child, child_key, as_text=as_text)
+    ck = col(child_key).cast("string") if as_text else col(child_key)
     pk = col(parent_key).cast("string") if as_text else col(parent_key)
+    kids = child.groupBy(ck.alias("k")).agg(F.count(F.lit(1)).alias("n"))
     parents = parent.select(pk.alias("k")).where(F.col("k").isNotNull()).distinct().withColumn("found", F.lit(True))
-    orphan = F.col("found").isNull()
+    keyed = F.col("k").isNotNull()
+    orphan = keyed & F.col("found").isNull()
     checked = kids.join(parents, "k", "left")
-    nulls = child.agg(F.count_if(col(child_key).isNull())).scalar()
     # the five smallest orphan keys: array_agg over a top-5 keeps the collected set bounded
     sample = (
-        kids.join(parents, "k", "left_anti").select(F.col("k").cast("string").alias("k")).orderBy("k").limit(5)
+        checked.where(orphan).select(F.col("k").cast("string").alias("k")).orderBy("k").limit(5)
     )
     sample = sample.agg(F.array_sort(F.collect_list("k"))).scalar()
     out = checked.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.when(keyed, F.col("n"))), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.when(keyed, 0).otherwise(F.col("n"))), F.lit(0)).cast("long").alias("null_count"),
         F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).alias("orphan_count"),
         F.count_if(orphan).alias("orphan_keys"),
     )
@@ -122,7 +124,7 @@ def check_foreign_key(
         "total_rows",
         "orphan_count",
         "orphan_keys",
-        nulls.alias("null_count"),
+        "null_count",
         F.round(rate, 6).alias("orphan_rate"),
         rate_status(rate, FK_WARN, FK_FAIL).alias("status"),
         sample.alias("orphan_sample"),

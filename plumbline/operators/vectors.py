@@ -1,12 +1,15 @@
 """Vector search by cosine similarity."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.model import col
+from plumbline.session import tasks
 
-MAX_BROADCAST_QUERIES = 10_000
+BLOCK = 1000  # query vectors
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -27,19 +30,21 @@ def top_k(
 ) -> DataFrame:
     """The k most similar vectors for every query vector: ``(query_key, key, score, rank)``.
 
-    The query set is counted first: up to 10,000 query vectors travel inside each row's
-    task as one array, so vectors never move; more are refused (run them in batches).
-    Each map partition keeps k rows per query before the shuffle.
+    Query vectors travel in blocks of about ``BLOCK``, each block once for every slice of the
+    vectors, so any number of queries meets all vectors without one task holding either side.
+    Each partition keeps k rows per query before the shuffle.
     """
-    n = queries.limit(MAX_BROADCAST_QUERIES + 1).count()
-    if n > MAX_BROADCAST_QUERIES:
-        raise ValueError(f"more than {MAX_BROADCAST_QUERIES} query vectors: run in batches")
+    n_blocks = max(1, math.ceil(queries.count() / BLOCK))
+    slices = tasks(vectors)
     q = queries.select(col(query_key).alias("_q"), col(query_vector).cast("array<double>").alias("_v"))
-    packed = q.agg(F.collect_list(F.struct("_q", "_v", _norm(F.col("_v")).alias("_l")))).scalar()
+    packed = q.groupBy(F.pmod(F.xxhash64("_q"), F.lit(n_blocks)).alias("_block")).agg(F.collect_list(F.struct("_q", "_v", _norm(F.col("_v")).alias("_l"))).alias("_set"))
+    blocks = packed.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
     e = col(vector).cast("array<double>")
     # lengths are worked out once per vector; a pair costs one dot product
-    v = vectors.select(col(key), e.alias("_e"), _norm(e).alias("_n"))
+    v = vectors.select(col(key), e.alias("_e"), _norm(e).alias("_n"), F.pmod(F.xxhash64(col(key)), F.lit(slices)).cast("long").alias("_slice"))
+    v = v.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     score = F.coalesce(F.try_divide(_dot(F.col("_e"), F.col("_x._v")), F.col("_n") * F.col("_x._l")), F.lit(0.0))
-    pairs = v.withColumn("_x", F.explode(packed)).select(F.col("_x._q").alias(query_key), col(key), score.alias("score"))
+    met = v.join(blocks, ["_block", "_slice"]).withColumn("_x", F.explode("_set"))
+    pairs = met.select(F.col("_x._q").alias(query_key), col(key), score.alias("score"))
     w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), F.asc(key))
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
