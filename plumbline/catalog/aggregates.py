@@ -96,6 +96,7 @@ def metric_scalar(t):
     return P.metric_value(t.lineitem, "round(sum(l_extendedprice * l_discount), 2)")
 
 
+# The masking patterns, in the SQL engine's spelling.
 _RX = {
     "ssn": ("SSN", r"\b\d{3}[-\s]\d{2}[-\s]\d{4}\b"),
     "mrn": ("MRN", r"(?i)\b(?:mrn|medical\s+record(?:\s+(?:no|number|#))?)\s*[:#]?\s*[A-Z]?\d{5,}\b"),

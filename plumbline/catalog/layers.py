@@ -134,6 +134,16 @@ def freshness_decay(t):
     return L.freshness_decay(t.orders, "o_orderdate", F.lit(dt.datetime(2002, 12, 31)), group_by=["o_orderpriority"])
 
 
+@query(
+    "freshness_decay_exponential",
+    """WITH s AS (SELECT o_orderpriority, max(o_orderdate) AS m FROM orders GROUP BY 1), a AS (SELECT o_orderpriority, date_diff('second', m, TIMESTAMP '2002-12-31') / 86400.0 AS age FROM s)
+       SELECT o_orderpriority, round(age, 1) AS age_days, round(CASE WHEN age <= 180 THEN 1.0 WHEN age >= 730 THEN 0.6 ELSE 0.6 + 0.4 * exp(-3 * (age - 180) / 550) END, 6) AS multiplier,
+              CASE WHEN age <= 180 THEN 'fresh' WHEN age >= 730 THEN 'expired' ELSE 'stale' END AS status FROM a""",
+)
+def freshness_decay_exponential(t):
+    return L.freshness_decay(t.orders, "o_orderdate", F.lit(dt.datetime(2002, 12, 31)), group_by=["o_orderpriority"], shape="exponential")
+
+
 @query("reproducibility", "SELECT CAST(1 AS BIGINT) AS distinct_digests, count(DISTINCT i) AS runs, 'pass' AS status FROM (SELECT unnest([1, 2, 3]) AS i, l_orderkey FROM lineitem)")
 def reproducibility(t):
     return L.reproducibility(t.lineitem)

@@ -220,6 +220,24 @@ def code_conflicts_same_order(t):
     return J.conflict_pairs(t.lineitem, ["l_orderkey"], "l_partkey", rules)
 
 
+@query(
+    "code_conflict_findings",
+    f"""
+    WITH rules AS (SELECT DISTINCT least(CAST(a AS VARCHAR), CAST(b AS VARCHAR)) AS code_a,
+                          greatest(CAST(a AS VARCHAR), CAST(b AS VARCHAR)) AS code_b FROM {PAIRS_SQL}),
+    hits AS (SELECT r.code_a, r.code_b, count(DISTINCT x.l_orderkey) AS entities, count(*) AS row_pairs
+             FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey
+             JOIN rules r ON CAST(x.l_partkey AS VARCHAR) = r.code_a AND CAST(y.l_partkey AS VARCHAR) = r.code_b GROUP BY 1, 2)
+    SELECT 'code_conflict' AS layer, code_a || '+' || code_b AS rule, 'fail' AS status, 'hard' AS severity, entities AS count,
+           round(entities / (SELECT count(DISTINCT l_orderkey) FROM lineitem), 9) AS rate, row_pairs || ' pairs of rows' AS detail FROM hits
+    """,
+)
+def code_conflict_findings(t):
+    """The same conflicts as a validation layer gives them."""
+    rules = t.part.select(F.col("p_partkey").alias("code_a"), (F.col("p_partkey") + 1).alias("code_b"))
+    return J.conflict_findings(t.lineitem, ["l_orderkey"], "l_partkey", rules).drop("columns").withColumn("rate", F.round("rate", 9))
+
+
 @query(
     "near_duplicate_orders",
     """

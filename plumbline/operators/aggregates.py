@@ -107,15 +107,23 @@ def formula(name: str, column: str, op: str = "=", operand=None, over: str | Non
     return table[key]()
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """128 bits of a row's values and which of them are null: what is shuffled in place of whole rows."""
+    cells = [col(c) for c in df.columns]
+    gaps = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    return [F.xxhash64(gaps, *cells).alias("_h1"), F.xxhash64(F.lit(1), gaps, *cells).alias("_h2")]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each identical row, and how many distinct rows repeat."""
-    g = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+    g = df.groupBy(*row_digest(df)).agg(F.count(F.lit(1)).alias("_c"))
     return g.agg(
         F.coalesce(F.sum(F.when(F.col("_c") > 1, F.col("_c") - 1)), F.lit(0)).alias("extra_rows"),
         F.count_if(F.col("_c") > 1).alias("duplicate_groups"),
     )
 
 
+# Fixed value: names of business keys.
 BUSINESS_KEY = r"^(id|key|code)$|(_id|_key|_code|_no|_num|_number)$"
 
 
@@ -161,6 +169,7 @@ def two_path_agreement(df: DataFrame, key: str, value: str, tolerance: float = 1
     )
 
 
+# Fixed value: names of amounts that may not be negative.
 AMOUNT_NAME = r"amount|count|qty|quantity|price|cost|rate|age|salary|revenue"
 
 
@@ -204,6 +213,7 @@ def _pct(condition: str) -> str:
     return f"round(count_if({condition}) * 100.0D / nullif(count(*), 0), 2)"
 
 
+# The metric library.
 METRICS: dict[str, Metric] = {
     m.name: m
     for m in (

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.model import all_of, col, kind_of, rate_status
+from plumbline.model import all_of, col, finding, kind_of, rate_status
 
 FK_WARN, FK_FAIL = 0.001, 0.01
 COVERAGE_WARN, COVERAGE_FAIL = 0.95, 0.90
@@ -274,6 +274,20 @@ def relationship_report(tables: Mapping[str, DataFrame], edges: Sequence[Edge] |
     return out
 
 
+def conflict_findings(df: DataFrame, entity: Sequence[str], code: str, pairs: DataFrame, pair_a: str = "code_a", pair_b: str = "code_b") -> DataFrame:
+    """The conflicts of ``conflict_pairs`` as findings: one failed rule per forbidden pair that occurs.
+
+    The count is the number of entities that bill both codes, the rate their share of all entities.
+    """
+    hits = conflict_pairs(df, entity, code, pairs, pair_a, pair_b)
+    every = df.select(*[col(c) for c in entity]).distinct().agg(F.count(F.lit(1))).scalar()
+    rule = F.concat_ws("+", "code_a", "code_b")
+    detail = F.concat(F.col("row_pairs").cast("string"), F.lit(" pairs of rows"))
+    rate = F.coalesce(F.try_divide(F.col("entities").cast("double"), every), F.lit(0.0))
+    row = finding("code_conflict", rule, [*entity, code], F.lit("fail"), "hard", F.col("entities"), rate, detail)
+    return hits.select(row.alias("r")).select("r.*")
+
+
 def conflict_pairs(
     df: DataFrame, entity: Sequence[str], code: str, pairs: DataFrame, pair_a: str = "code_a", pair_b: str = "code_b"
 ) -> DataFrame:

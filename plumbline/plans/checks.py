@@ -216,14 +216,14 @@ def cross_column_rules(df: DataFrame, extra_dates: Sequence[tuple[str, str]] = (
 # ---- fixed values: code families and forbidden pairs --------------------------------
 
 DRG_FAMILIES = [
-    ("heart_failure", range(291, 294), ("I50", "R570", "I42", "I43", "I110", "I130", "I132")),
-    ("acute_myocardial_infarction", range(280, 286), ("I21", "I22")),
-    ("stroke", range(61, 71), ("I60", "I61", "I62", "I63", "I64", "G45", "G46")),
-    ("pneumonia", range(193, 196), ("J12", "J13", "J14", "J15", "J16", "J17", "J18", "J90", "J94")),
+    ("heart_failure", (291, 292, 293), ("I50", "R570", "I42", "I43", "I110", "I130", "I132")),
+    ("acute_myocardial_infarction", (280, 281, 282, 283, 284, 285), ("I21", "I22")),
+    ("stroke", (61, 62, 63, 64, 65, 66, 67, 68, 69, 70), ("I60", "I61", "I62", "I63", "I64", "G45", "G46")),
+    ("pneumonia", (193, 194, 195), ("J12", "J13", "J14", "J15", "J16", "J17", "J18", "J90", "J94")),
     ("respiratory_failure", (189, 190, 191, 192, 927, 928), ("J96", "J80", "J81", "J82", "J44", "J45", "J68", "J70")),
-    ("sepsis", range(870, 873), ("A40", "A41", "R652")),
+    ("sepsis", (870, 871, 872), ("A40", "A41", "R652")),
     ("joint_replacement", (469, 470), ("M16", "M17", "M87", "S72", "S82", "M05", "M06", "M08", "Z96")),
-    ("copd", range(696, 699), ("J44", "J47")),
+    ("copd", (696, 697, 698), ("J44", "J47")),
 ]
 FORBIDDEN_PAIRS = [("58260", "58720"), ("58260", "58150"), ("77066", "77065"), ("49000", "44005"), ("93451", "93318")]
 

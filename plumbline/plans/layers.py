@@ -16,6 +16,7 @@ from plumbline.operators.joins import near_duplicates
 from plumbline.operators.windows import split_half
 from plumbline.plans.checks import name_tokens
 
+# Words that mark amount and date columns.
 AMOUNT_NAME = r"amount|price|cost|charge|salary|revenue|count|qty|quantity"
 DATE_NAME = r"date|admit|discharge"
 
@@ -175,9 +176,15 @@ def freshness_badge(age_hours: Column, threshold_hours: float = 24) -> Column:
     return F.when(age_hours > threshold_hours * 3, "fail").when(age_hours > threshold_hours, "warn").otherwise("pass")
 
 
-def freshness_decay(df: DataFrame, date: str, as_of: Column, pack: str = "general", group_by: Sequence[str] = ()) -> DataFrame:
-    """Age of the newest row and the trust multiplier that follows from it."""
-    stale, expired, floor, shape = FRESHNESS[pack]
+def freshness_decay(df: DataFrame, date: str, as_of: Column, pack: str = "general", group_by: Sequence[str] = (), shape: str | None = None) -> DataFrame:
+    """Age of the newest row and the trust multiplier that follows from it.
+
+    Between stale and expired trust falls in the pack's ``shape`` or the one given: linear or exponential.
+    """
+    stale, expired, floor, usual = FRESHNESS[pack]
+    shape = shape or usual
+    if shape not in ("linear", "exponential"):
+        raise ValueError(f"no decay of shape {shape}")
     newest = F.max(col(date)).cast("timestamp")
     s = df.groupBy(*[col(g) for g in group_by]).agg(newest.alias("newest"))
     age = F.greatest(F.lit(0.0), (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp("newest")) / 86400.0)
