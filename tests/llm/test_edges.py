@@ -290,25 +290,30 @@ def test_language(spark, no_docs):
     assert language_id.identify(df.limit(0), known).collect() == []
 
 
-def test_mixing(docs, no_docs):
-    got = mixing.mix(docs).collect()
-    assert len(got) == len(rows())
-    size = Counter()
-    for _, t, s in texts():
-        size[s] += len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w])
-    names = sorted((s for s in size if s is not None)) + [None]
+def plain_targets(size: dict) -> dict:
+    """Words that each source gives at weights 5, 2, 1: 150 % of all, at most twice its own."""
+    names = sorted(s for s in size if s is not None) + [None] * (None in size)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
     target, budget, free = {}, 1.5 * sum(size.values()), set(names)
     while free:
         level = budget / sum(weight[s] for s in free)
         full = {s for s in free if weight[s] * level > 2 * size[s]}
         if not full:
-            target |= {s: weight[s] * level for s in free}
-            break
+            return target | {s: weight[s] * level for s in free}
         target |= {s: 2.0 * size[s] for s in full}
         budget -= sum(2 * size[s] for s in full)
         free -= full
-    assert sorted({(r.source_size, round(r.target, 6)) for r in got}) == sorted({(size[s], round(target[s], 6)) for s in names})
+    return target
+
+
+def test_mixing(docs, no_docs):
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows())
+    size = Counter()
+    for _, t, s in texts():
+        size[s] += len([w for w in re.split(r"[\x20\x09-\x0D]+", t) if w])
+    target = plain_targets(size)
+    assert sorted({(r.source_size, round(r.target, 6)) for r in got}) == sorted({(size[s], round(target[s], 6)) for s in size})
     assert sum(r.taken for r in got) == sum(int(t) for t in target.values())
     assert all(r.taken <= 2 * r.size and r.taken == sum(c.words for c in r.copies) for r in got)
     assert all(0 <= c.due <= 1 for r in got for c in r.copies)

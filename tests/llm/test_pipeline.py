@@ -1,6 +1,8 @@
 """The pipeline against a plain version of its stages, and the queries against their SQL."""
 from __future__ import annotations
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -43,7 +45,7 @@ def test_pages_by_markup(spark):
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
     from plumbline.llm import quality
-    from tests.llm.test_edges import plain_links
+    from tests.llm.test_edges import plain_links, plain_targets
 
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")
     labels = spark.read.parquet(f"{ROOT}/labels.parquet")
@@ -62,11 +64,15 @@ def test_pipeline(spark):
     got = pipeline.run(spark, ROOT).collect()
     ids = {r.doc_id for r in got}
     assert ids <= {r[0] for r in rows}
-    words = {d: len(t.split()) for d, t, _ in rows}
-    sources = sorted({s for *_, s in rows})
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
-    taken = lambda some: sum(words[r.doc_id] for r in got if some(next(s for d, _, s in rows if d == r.doc_id)))
-    heavy = sum(words[d] for d, _, s in rows if weight[s] == 5)
-    assert abs(taken(lambda s: weight[s] == 5) - 2 * heavy) <= 0.02 * heavy + 1
-    total = sum(words.values())
-    assert abs(taken(lambda s: True) - 1.5 * total) < 0.1 * total
+    words = {d: len(t.encode().split()) for d, t, _ in rows}
+    source = {d: s for d, _, s in rows}
+    size, taken, longest = Counter(), Counter(), Counter()
+    for d, n in words.items():
+        size[source[d]] += n
+        longest[source[d]] = max(longest[source[d]], n)
+    for r in got:
+        taken[source[r.doc_id]] += words[r.doc_id]
+    target = plain_targets(size)
+    # whole documents: the last of a source is taken or left out
+    assert all(abs(taken[s] - target[s]) <= longest[s] / 2 + 1 for s in size)
+    assert max(Counter(r.doc_id for r in got).values()) == 2
