@@ -59,9 +59,17 @@ def sketch(df: DataFrame, slots_of: Callable[[], Callable[[pa.RecordBatch], Iter
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, total = slots_of(), np.zeros(1 << bits, np.int64)
+        pending: list[np.ndarray] = []
+        held = 0
         for batch in batches:
             for slots in find(batch):
-                total += np.bincount(slots, minlength=1 << bits)
+                pending.append(slots)
+                held += len(slots)
+                if held > 1 << bits:  # adding up costs as much as the counters are many
+                    total += np.bincount(np.concatenate(pending), minlength=1 << bits)
+                    pending, held = [], 0
+        if pending:
+            total += np.bincount(np.concatenate(pending), minlength=1 << bits)
         parts = total.reshape(n_blocks, width)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["block", "counts"])
