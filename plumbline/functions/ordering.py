@@ -25,7 +25,7 @@ def sort_number(df: DataFrame, name: str) -> Column:
     return col(name)
 
 
-def _cut_index(value: Column, cuts: Sequence[float]) -> Column:
+def cut_index(value: Column, cuts: Sequence[float]) -> Column:
     """2 * (cuts below value) + (value equals a cut): every cut value has its own bucket.
 
     A first look at every ``step``-th cut finds the block of cuts to count in, so a row meets
@@ -54,11 +54,11 @@ def range_buckets(df: DataFrame, order: str, key: str, buckets: int | None = Non
     raw = df.agg(F.percentile_approx(o, probs, 10 * k)).first()[0] or []
     cuts = sorted(set(raw))
     hot = sorted(v for v, times in Counter(raw).items() if times > 1)
-    bucket = _cut_index(o, cuts)
+    bucket = cut_index(o, cuts)
     if hot:
         fine = df.where(o.isin(hot)).agg(F.percentile_approx(t, probs, 10 * k)).first()[0] or []
         tie_cuts = sorted(set(fine))
-        within = F.when(o.isin(hot), _cut_index(t, tie_cuts)).otherwise(F.lit(0).cast("long"))
+        within = F.when(o.isin(hot), cut_index(t, tie_cuts)).otherwise(F.lit(0).cast("long"))
         bucket = bucket * (2 * k + 2) + within
     return df.withColumn("_bucket", bucket)
 
