@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.ordering import cut_index
 from plumbline.llm.common import text_of, text_slices
 from plumbline.model import col
 
@@ -112,16 +113,16 @@ def placed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     ids = df.select(col(key).cast("long").alias("doc"))
     probs = [i / (4 * parts) for i in range(1, 4 * parts)]
     cuts = sorted(set(ids.agg(F.percentile_approx("doc", probs, 40 * parts)).first()[0] or []))
-    above = F.lit(cuts).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+    last = 2 * len(cuts) + 1
 
     def bucket(doc: Column) -> Column:
-        return F.when(doc.isNull(), len(cuts) + 1).otherwise(F.size(F.filter(above, lambda c: c >= doc)))
+        return F.when(doc.isNull(), last + 1).otherwise(F.lit(last) - cut_index(doc, cuts)).cast("int")
 
     heads = {r["b"]: r["head"] for r in ids.groupBy(bucket(F.col("doc")).alias("b")).agg(F.max("doc").alias("head")).collect()}  # a row per bucket
     filled = sorted(heads)
     before = {b: filled[i - 1] for i, b in enumerate(filled)}
-    head = F.array(*[F.lit(heads.get(b)).cast("bigint") for b in range(len(cuts) + 2)])
-    earlier = F.array(*[F.lit(before.get(b)).cast("int") for b in range(len(cuts) + 2)])
+    head = F.array(*[F.lit(heads.get(b)).cast("bigint") for b in range(last + 2)])
+    earlier = F.array(*[F.lit(before.get(b)).cast("int") for b in range(last + 2)])
     rows = df.select(col(key).cast("long").alias("doc"), text_of(text).alias("text")).withColumn("b", bucket(F.col("doc")))
     own = F.struct(F.col("b").alias("bucket"), F.lit(False).alias("ahead"))
     ahead = F.struct(F.get(earlier, F.col("b")).alias("bucket"), F.lit(True).alias("ahead"))
