@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.model import col
 from plumbline.session import run_folder
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Distributed connected components by random contraction."""
+"""Distributed connected components by contraction."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -10,10 +10,11 @@ from plumbline.llm.common import written
 def contract(links: DataFrame) -> list[DataFrame]:
     """Rounds of contraction: tables (node, into) that lead every linked node to one node of its component.
 
-    Each round draws a priority for every node, and every node goes into the neighbour (or itself)
-    of least priority. A constant share of the nodes vanishes in expectation, whatever the ids and
-    the shape of the component; links inside a merged node vanish with it. Priorities are hashes
-    of node and round, so a repeated task draws the same.
+    Each round, every node goes into the neighbour (or itself) of most neighbours, ties by a hash of
+    node and round, so a repeated task decides the same. Nodes that stay are not linked with each
+    other and have as many neighbours as any of theirs, so those are at least as many as they, and
+    all move: every round leaves half of the nodes at most, a star's centre alone. Links inside a
+    merged node vanish.
     """
     edges = links.select("a", "b").where("a <> b").distinct()
     rounds: list[DataFrame] = []
@@ -23,8 +24,10 @@ def contract(links: DataFrame) -> list[DataFrame]:
             return rounds
         turn = F.lit(len(rounds))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(turn, c).alias("p"), F.col(c).alias("id"))
-        best = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
+        rank = lambda c: F.struct((-F.col("d")).alias("d"), F.xxhash64(turn, c).alias("p"), F.col(c).alias("id"))
+        degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+        ranked = both.join(degrees.withColumnRenamed("a", "b"), "b").select("a", rank("b").alias("m"))
+        best = ranked.groupBy("a").agg(F.min("m").alias("m"), F.count(F.lit(1)).alias("d"))
         into = F.least(F.col("m"), rank("a"))["id"]
         moves = written(best.select(F.col("a").alias("node"), into.alias("into")).where("node <> into"), "moves")
         rounds.append(moves)

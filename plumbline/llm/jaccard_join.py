@@ -123,10 +123,12 @@ def prefix_lists(signed_docs: DataFrame) -> DataFrame:
         F.when(split > 1, F.col("token")).alias("whole"),
     )
     here = Window.partitionBy("list")
-    listed = rows.withColumn("hub", F.min(F.struct(F.xxhash64("grp").alias("draw"), "grp", "place")).over(here)).withColumn("last", F.max("grp").over(here)).withColumn("first", F.min("grp").over(here))
+    at = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    # the hub has the fewest rarer shingles of its own, so it is the most alike to the others
+    listed = rows.withColumn("hub", F.min(F.struct(at.alias("rarer"), F.xxhash64("grp").alias("draw"), "grp", "place")).over(here)).withColumn("last", F.max("grp").over(here)).withColumn("first", F.min("grp").over(here))
     n_of = lambda c: F.shiftright(c, 32).cast("int").alias("n")
     at_of = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at")
-    hub = F.struct(F.col("hub.draw"), F.col("hub.grp"), n_of(F.col("hub.place")), at_of(F.col("hub.place"))).alias("hub")
+    hub = F.struct(F.col("hub.rarer"), F.col("hub.draw"), F.col("hub.grp"), n_of(F.col("hub.place")), at_of(F.col("hub.place"))).alias("hub")
     listed = listed.where("whole is not null or first <> last")
     return listed.select(F.coalesce("whole", "list").alias("token"), F.col("whole").isNotNull().alias("cut"), "grp", n_of(F.col("place")), at_of(F.col("place")), hub)
 
