@@ -235,12 +235,20 @@ def open_pairs(lists: DataFrame, chosen: DataFrame, found: DataFrame, percent: i
     entries = entries.withColumn("kind", F.lit("list")).unionByName(within.join(mixed, "grp", "left_semi").withColumn("kind", F.lit("group")))
     parts = entries.groupBy("kind", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("kind", "token")
     open_rows = written(entries.join(parts, ["kind", "token"], "left_semi"), "open-lists")
-    sides = open_rows.select("kind", "token", "component").distinct()
-    other = sides.withColumnRenamed("component", "component2")
-    meets = sides.join(other, ["kind", "token"]).where("component < component2")
+    # what a component has in a list: entries, sizes, and the most shingles left from the list's one on
+    left = (F.col("n") - F.col("at")).alias("left")
+    sides = open_rows.groupBy("kind", "token", "component").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(left).alias("left"))
+    other = sides.select("kind", "token", *[F.col(c).alias(f"{c}2") for c in ("component", "m", "lo", "hi", "left")])
+    smaller = F.struct("m", "component") < F.struct(F.col("m2").alias("m"), F.col("component2").alias("component"))
+    meets = sides.select("kind", "token", "component", "m").join(other, ["kind", "token"]).where(smaller)
+    # the entries of the smaller side first, those alone that some size of the other side lets through
     one = open_rows.select("kind", "token", "component", F.col("cls").alias("a"), "n", "at")
+    fit = F.greatest(F.col("lo2"), F.ceil(F.col("n") * percent / 100))
+    least = F.ceil((F.col("n") + fit) * percent / (100 + percent))
+    some = (fit <= F.least(F.col("hi2"), F.floor(F.col("n") * 100 / percent))) & (F.col("n") - F.col("at") >= least) & (F.col("left2") >= least)
+    hopeful = meets.join(one, ["kind", "token", "component"]).where(some).select("kind", "token", "component2", "a", "n", "at")
     two = open_rows.select("kind", "token", F.col("component").alias("component2"), F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    pairs = meets.join(one, ["kind", "token", "component"]).join(two, ["kind", "token", "component2"])
+    pairs = hopeful.join(two, ["kind", "token", "component2"])
     pairs = pairs.where(may_link(F.col("n"), F.col("at"), F.col("n2"), F.col("at2"), percent))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
