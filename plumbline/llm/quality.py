@@ -194,6 +194,27 @@ def sample_rows(chosen: DataFrame, model: Model) -> DataFrame:
     return chosen.mapInArrow(run, f"id {kind}, label int, terms array<float>, order long")
 
 
+def fitted(rows: DataFrame, empty: Model, there: dict[int, int], n_latent: int, neighbours: int) -> Model:
+    """The model of the sample's rows, fitted in a task: the driver gets the latent space and the vectors alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("label").to_numpy().astype(float), b.column("terms").flatten().to_numpy().reshape(b.num_rows, -1)) for b in batches if b.num_rows]
+        if parts:
+            y = np.concatenate([p[0] for p in parts])
+            votes = np.array([there[v] / (y == v).sum() for v in y])
+            model = fit(empty, np.concatenate([p[1] for p in parts]), y, votes / votes.max(), n_latent, neighbours)
+            arrays = [model.basis.tobytes(), model.vectors.tobytes(), y.tobytes(), model.votes.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.binary()) for a in arrays] + [pa.array([model.prior])], names=["basis", "vectors", "labels", "votes", "prior"])
+
+    found = rows.mapInArrow(run, "basis binary, vectors binary, labels binary, votes binary, prior double").collect()  # a row: the sample is sorted into one task
+    if not found:
+        return empty
+    r = found[0]
+    labels, votes = np.frombuffer(r.labels), np.frombuffer(r.votes)
+    basis = np.frombuffer(r.basis, np.float32).reshape(len(empty.weight), -1)
+    return replace(empty, basis=basis, vectors=np.frombuffer(r.vectors, np.float32).reshape(len(labels), -1), labels=labels, votes=votes, neighbours=neighbours, prior=r.prior)
+
+
 def scored(
     df: DataFrame,
     labels: DataFrame,
@@ -228,12 +249,9 @@ def scored(
     frequency = sketch(docs.select("text"), slots_of, BITS)
     empty = space(frequency, int(frequency[REPEATED]), n_terms)
     chosen = labelled_sample(docs, labels, key, label, sample // 2)
-    rows = sample_rows(chosen, empty).orderBy("order", "id").limit(sample).toArrow()  # at most sample rows of n_terms numbers
-    y = rows.column("label").to_numpy().astype(float)
-    x = rows.column("terms").combine_chunks().flatten().to_numpy().reshape(len(y), len(empty.weight)) if len(y) else np.zeros((0, 1), np.float32)
     there = {r["label"]: r["count"] for r in label_counts(labels, key, label).collect()}  # two rows
-    votes = np.array([there[v] / (y == v).sum() for v in y])
-    model = spark.sparkContext.broadcast(fit(empty, x, y, votes / votes.max(initial=1.0), n_latent, neighbours))
+    rows = sample_rows(chosen, empty).orderBy("order", "id").limit(sample)
+    model = spark.sparkContext.broadcast(fitted(rows, empty, there, n_latent, neighbours))
     kept = [f"k{i}" for i in range(len(keep))]
     source = df.select(*[col(k).alias(a) for k, a in zip(keep, kept)], text_of(text).alias("text"))
 
