@@ -48,7 +48,8 @@ def bins_of(text: str, known: Bins) -> np.ndarray:
 def labelled(labels: DataFrame, key: str, label: str) -> DataFrame:
     """(id, label) of training rows; a document with several labels counts with the largest, nulls aside."""
     own = labels.where(in_training(col(key)) & col(label).isin(0, 1))
-    return own.groupBy(col(key).alias("id")).agg(F.max(col(label)).cast("int").alias("label"))
+    # joined the same way at every size: labels grow with the documents
+    return own.groupBy(col(key).alias("id")).agg(F.max(col(label)).cast("int").alias("label")).hint("merge")
 
 
 def token_counts(docs: DataFrame, own: DataFrame) -> np.ndarray:
