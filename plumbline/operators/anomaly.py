@@ -1,17 +1,19 @@
-"""Row and entity anomaly scores. Models come from bounded samples; every row is scored."""
+"""Row and entity anomaly scores. Forests come from bounded samples, neighbours from all rows; every row is scored."""
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import scalar_row
 from plumbline.model import any_of, col, stack_structs
-from plumbline.session import spread
+from plumbline.session import cut_lineage, spread, tasks
 from plumbline.operators.aggregates import entity_baseline
 
 
@@ -192,53 +194,190 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], key: str, trees: int
 
 # ---- nearest-neighbour score --------------------------------------------------------
 
-PEERS = 2000
+TILE = 512
 
 
-def gower_knn(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 10, peers: int = PEERS, seed: int = 5) -> DataFrame:
-    """Mean Gower distance of every row to its k nearest peers, with each feature's share.
+def _terms(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Feature terms of every pair, shape (features, x, y). A gap on either side is a full difference."""
+    out = np.empty((x.shape[1] + cx.shape[1], len(x), len(y)))
+    for i, s in enumerate(spans):
+        a, b = x[:, i][:, None], y[:, i][None, :]
+        d = np.abs(a - b) / s if s > 0 else np.zeros((len(x), len(y)))
+        out[i] = np.where(np.isnan(a) | np.isnan(b), 1.0, d)
+    for i in range(cx.shape[1]):
+        codes, _ = pd.factorize(np.concatenate([cx[:, i], cy[:, i]]))
+        a, b = codes[: len(cx)][:, None], codes[len(cx) :][None, :]
+        out[len(spans) + i] = np.where((a == b) & (a >= 0), 0.0, 1.0)
+    return out
 
-    Peers are all rows when there are at most ``peers`` of them (the exact all-pairs score),
-    otherwise the ``peers`` rows with the smallest key hash; the peer table is bounded and
-    travels to the tasks, and no row of the table is left unscored.
+
+def _reach(dist: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """Distance within which each row has ``k`` neighbours by weight; infinite where it has fewer."""
+    order = np.argsort(dist, axis=1, kind="stable")
+    total = np.cumsum(np.take_along_axis(w, order, axis=1), axis=1)
+    at = np.minimum((total < k).sum(axis=1), dist.shape[1] - 1)
+    far = np.take_along_axis(dist, np.take_along_axis(order, at[:, None], axis=1), axis=1)[:, 0]
+    return np.where(total[:, -1] >= k, far, np.inf)
+
+
+def gower_knn(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 10) -> DataFrame:
+    """Mean Gower distance of every row to its k nearest other rows, with each feature's share.
+
+    Exact at every size. Equal rows become one weighted point; points lie in tiles along a
+    space-filling order within their categories. A tile's own points, and the widest distances to
+    the tiles around it, bound how far a point's neighbours can be; the point is then joined to
+    just those tiles whose box comes nearer than that. Equal distances go by the features' terms.
     """
     nums, cats = list(numeric), list(categorical)
-    feats = [col(c).cast("double").alias(f"n{i}") for i, c in enumerate(nums)] + [col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cats)]
-    base = df.select(col(key).alias("key"), *feats)
-    span = df.agg(*[F.max(col(c).cast("double")) - F.min(col(c).cast("double")) for c in nums]).first() if nums else []
-    ref = base.withColumn("_h", F.xxhash64("key", F.lit(seed))).orderBy("_h", "key").limit(peers).drop("_h").toPandas()
-    spans = np.array([s if s else 0.0 for s in span], dtype=float)
-    shared = df.sparkSession.sparkContext.broadcast((ref["key"].to_numpy(), ref[[f"n{i}" for i in range(len(nums))]].to_numpy(dtype=float), ref[[f"c{i}" for i in range(len(cats))]].to_numpy(dtype=object)))
-    names = nums + cats
-    near = max(3, min(k, len(ref) - 1))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rk, rn, rc = shared.value
+    names, d, m = nums + cats, len(nums), len(nums) + len(cats)
+    fn, fc = [f"n{i}" for i in range(d)], [f"c{i}" for i in range(len(cats))]
+    real = lambda c: F.when(~F.isnan(col(c).cast("double")), col(c).cast("double"))
+    base = df.select(col(key).alias("key"), *[real(c).alias(f) for c, f in zip(nums, fn)], *[col(c).cast("string").alias(f) for c, f in zip(cats, fc)])
+    points = cut_lineage(base.groupBy(*fn, *fc).agg(F.count(F.lit(1)).alias("w")))
+    ends = points.agg(F.count(F.lit(1)).alias("points"), F.sum("w").alias("rows"), *[x for f in fn for x in (F.min(f).alias(f"a{f}"), F.max(f).alias(f"b{f}"))]).first()
+    rows = ends["rows"] or 0
+    near = min(max(3, min(k, rows - 1)), rows - 1)
+    low = [ends[f"a{f}"] for f in fn]
+    spans = np.array([ends[f"b{f}"] - ends[f"a{f}"] if ends[f"a{f}"] is not None else 0.0 for f in fn], dtype=float)
+    kt = df.schema[key].dataType.simpleString()
+    share_map = lambda c: F.map_from_arrays(F.array(*[F.lit(n) for n in names]), c)
+    if near < 1:  # nothing to compare with
+        return base.select("key", F.lit(None).cast("double").alias("raw_score"), share_map(F.array_repeat(F.lit(None).cast("double"), m)).alias("contributions"))
+
+    # bits of the scaled features in turn: points near each other in all features lie near in this order
+    bits, curve = min(16, 62 // max(1, min(d, 62))), F.lit(0).cast("long")
+    for i, f in enumerate(fn[:62] if d > 1 else []):
+        q = F.coalesce(F.floor((F.col(f) - F.lit(low[i])) / F.lit(spans[i]) * (2**bits - 1)), F.lit(0)).cast("long") if spans[i] > 0 else F.lit(0).cast("long")
+        for b in range(bits):
+            curve = curve.bitwiseOR(F.shiftleft(F.shiftright(q, b).bitwiseAND(F.lit(1).cast("long")), b * min(d, 62) + i))
+    along = [*fc, "_z", *fn]
+    parts = min(tasks(df), math.ceil(ends["points"] / (4 * TILE)))
+    laid = points.withColumn("_z", curve).repartitionByRange(parts, *along).sortWithinPartitions(*along)
+
+    def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = TaskContext.get().partitionId() << 32
         for pdf in batches:
-            for start in range(0, len(pdf), 512):
-                p = pdf.iloc[start : start + 512]
-                terms = np.empty((len(names), len(p), len(rk)))
-                for i in range(len(nums)):
-                    x = p[f"n{i}"].to_numpy(dtype=float)[:, None]
-                    d = np.abs(x - rn[None, :, i]) / spans[i] if spans[i] > 0 else np.zeros((len(p), len(rk)))
-                    terms[i] = np.where(np.isnan(x) | np.isnan(rn[None, :, i]), 1.0, d)
+            if not len(pdf):
+                continue
+            out = []
+            for ix in np.array_split(np.arange(len(pdf)), math.ceil(len(pdf) / TILE)):
+                p = pdf.iloc[ix]
+                x, c = p[fn].to_numpy(dtype=float), p[fc].to_numpy(dtype=object)
+                held = [set(v for v in c[:, i] if v is not None) for i in range(len(cats))]
+                gap = np.isnan(x)
+                one = [next(iter(h)) if len(h) == 1 and all(v is not None for v in c[:, i]) else None for i, h in enumerate(held)]
+                mask = [int(np.bitwise_or.reduce([1 << (zlib.crc32(v.encode()) % 63) for v in h])) if h else 0 for h in held]
+                out.append((
+                    at, x.ravel(), list(c.ravel()), p["w"].to_numpy(), int(p["w"].sum()), np.where(gap, np.inf, x).min(axis=0), np.where(gap, -np.inf, x).max(axis=0),
+                    gap.any(axis=0).astype(float), one, mask,
+                ))
+                at += 1
+            yield pd.DataFrame(out, columns=["tile", "x", "c", "w", "total", "lo", "hi", "gaps", "one", "mask"])
+
+    tiles = cut_lineage(laid.select(*fn, *fc, "w").mapInPandas(tile, "tile long, x array<double>, c array<string>, w array<long>, total long, lo array<double>, hi array<double>, gaps array<double>, one array<string>, mask array<long>"))
+    boxes = tiles.select("tile", "total", "lo", "hi", "gaps", "one", "mask").toPandas()  # one row per tile
+    grid = lambda c, n, t=float: np.array([list(v) for v in boxes[c]], dtype=t).reshape(len(boxes), n)
+    one = grid("one", len(cats), object)
+    codes = np.array([pd.factorize(one[:, i])[0] for i in range(len(cats))]).reshape(len(cats), len(boxes)).T
+    shared = df.sparkSession.sparkContext.broadcast((boxes["tile"].to_numpy(), boxes["total"].to_numpy(), grid("lo", d), grid("hi", d), grid("gaps", d) > 0, codes, grid("mask", len(cats), np.int64)))
+
+    def points_of(r) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(r.x, dtype=float).reshape(-1, d), np.array(list(r.c), dtype=object).reshape(-1, len(cats))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, totals, lo, hi, gaps, code, mask = shared.value
+        place = {t: i for i, t in enumerate(ids)}
+        for pdf in batches:
+            for r in pdf.itertuples():
+                x, c = points_of(r)
+                w = np.array(r.w)
+                own = place[r.tile]
+                weights = np.tile(w, (len(w), 1)) - np.eye(len(w), dtype=np.int64)
+                limit = _reach(_terms(x, x, c, c, spans).mean(axis=0), weights, near)
+                # a limit from whole tiles: the nearest of them that hold k rows besides the row itself
+                least, most = np.zeros(len(ids)), np.zeros(len(ids))
+                for i, s in enumerate(spans):
+                    if s > 0:
+                        least += np.clip(np.maximum(lo[:, i] - hi[own, i], lo[own, i] - hi[:, i]) / s, 0, 1)
+                        most += np.where(gaps[:, i] | gaps[own, i], 1.0, np.maximum(hi[:, i] - lo[own, i], hi[own, i] - lo[:, i]) / s)
+                    else:
+                        most += (gaps[:, i] | gaps[own, i]).astype(float)
+                for i in range(len(cats)):
+                    both = (code[:, i] >= 0) & (code[own, i] >= 0)
+                    differ = np.where(both, code[:, i] != code[own, i], (mask[:, i] & mask[own, i]) == 0)
+                    least += differ
+                    most += ~(both & ~differ)
+                limit = np.minimum(limit, _reach((most / m)[None, :], totals[None, :], near + 1)[0]) + 1e-9
+                some = np.flatnonzero((least / m <= limit.max()) | (ids == r.tile))
+                bound = np.zeros((len(x), len(some)))
+                for i, s in enumerate(spans):
+                    if s > 0:
+                        v = x[:, i][:, None]
+                        bound += np.where(np.isnan(v), 1.0, np.clip(np.maximum(lo[some, i] - v, v - hi[some, i]) / s, 0, 1))
                 for i in range(len(cats)):
-                    x = p[f"c{i}"].to_numpy(dtype=object)[:, None]
-                    y = rc[None, :, i]
-                    same = (x == y) & ~pd.isna(x) & ~pd.isna(y)
-                    terms[len(nums) + i] = 1.0 - same.astype(float)
+                    bit = np.array([0 if v is None else 1 << (zlib.crc32(v.encode()) % 63) for v in c[:, i]], dtype=np.int64)
+                    bound += (bit[:, None] & mask[some, i][None, :]) == 0
+                wanted = bound / m <= limit[:, None]
+                wanted[:, some == own] = True
+                out = []
+                for j, b in enumerate(some):
+                    ix = np.flatnonzero(wanted[:, j])
+                    if len(ix):
+                        out.append((ids[b], r.tile, ix, x[ix].ravel(), list(c[ix].ravel()), limit[ix]))
+                for start in range(0, len(out), 256):
+                    yield pd.DataFrame(out[start : start + 256], columns=["tile", "asker", "ix", "x", "c", "reach"])
+
+    asked = spread(tiles.select("tile", "x", "c", "w")).mapInPandas(ask, "tile long, asker long, ix array<long>, x array<double>, c array<string>, reach array<double>")
+    met = asked.join(tiles.select("tile", F.col("x").alias("tx"), F.col("c").alias("tc"), F.col("w").alias("tw")), "tile")
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                x, c = points_of(r)
+                y, e = np.array(r.tx, dtype=float).reshape(-1, d), np.array(list(r.tc), dtype=object).reshape(-1, len(cats))
+                terms = _terms(x, y, c, e, spans)
                 dist = terms.mean(axis=0)
-                dist[p["key"].to_numpy()[:, None] == rk[None, :]] = np.inf
-                pick = np.argpartition(dist, near - 1, axis=1)[:, :near]
-                rows = np.arange(len(p))[:, None]
-                raw = dist[rows, pick].mean(axis=1)
-                shares = terms[:, rows, pick].sum(axis=2).T
-                shares = shares / np.maximum(shares.sum(axis=1, keepdims=True), 1e-12)
-                yield pd.DataFrame({"key": p["key"].to_numpy(), "raw_score": raw, "contributions": list(np.round(shares, 4))})
-
-    kt = df.schema[key].dataType.simpleString()
-    out = spread(base).mapInPandas(score, f"key {kt}, raw_score double, contributions array<double>")
-    return out.withColumn("contributions", F.map_from_arrays(F.array(*[F.lit(n) for n in names]), "contributions"))
+                weights = np.tile(np.array(r.tw), (len(x), 1))
+                own = r.tile == r.asker
+                if own:
+                    weights[np.arange(len(x)), r.ix] -= 1
+                cut = np.minimum(np.array(r.reach), _reach(dist, weights, near))
+                close = (dist <= cut[:, None]) & (weights > 0)
+                out = []
+                for p in range(len(x)):
+                    hit = np.flatnonzero(close[p])
+                    if not len(hit) and not own:
+                        continue
+                    t, w = terms[:, p, hit], weights[p, hit]
+                    order = np.lexsort((*t[::-1], dist[p, hit]))
+                    order = order[: int((np.cumsum(w[order]) < near).sum()) + 1]
+                    flat = np.column_stack([dist[p, hit][order], t[:, order].T, w[order]]).ravel()
+                    out.append((r.asker, int(r.ix[p]), flat, x[p] if own else None, list(c[p]) if own else None))
+                if out:
+                    yield pd.DataFrame(out, columns=["asker", "i", "near", "x", "c"])
+
+    hits = met.mapInPandas(answer, "asker long, i long, near array<double>, x array<double>, c array<string>")
+    found = hits.groupBy("asker", "i").agg(F.flatten(F.collect_list("near")).alias("near"), F.first("x", True).alias("x"), F.first("c", True).alias("c"))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            raw, shares = [], []
+            for flat in pdf["near"]:
+                h = np.array(flat, dtype=float).reshape(-1, m + 2)
+                h = h[np.lexsort(h[:, m::-1].T)]
+                w = h[:, -1]
+                take = np.clip(near - (np.cumsum(w) - w), 0, w)
+                t = (h[:, 1 : m + 1] * take[:, None]).sum(axis=0)
+                raw.append((h[:, 0] * take).sum() / near)
+                shares.append(np.round(t / max(t.sum(), 1e-12), 4))
+            out = {f: [v[i] for v in pdf["x"]] for i, f in enumerate(fn)} | {f: [v[i] for v in pdf["c"]] for i, f in enumerate(fc)}
+            yield pd.DataFrame(out | {"raw_score": raw, "contributions": shares})
+
+    scored = found.mapInPandas(settle, ", ".join([*[f"{f} double" for f in fn], *[f"{f} string" for f in fc], "raw_score double", "contributions array<double>"]))
+    on = F.lit(True)
+    for f in fn + fc:
+        on = on & F.col(f"r.{f}").eqNullSafe(F.col(f"s.{f}"))
+    return base.alias("r").join(scored.alias("s"), on).select(F.col("r.key").cast(kt).alias("key"), "raw_score", share_map(F.col("contributions")).alias("contributions"))
 
 
 def flag_outlying_scores(scores: DataFrame, sigmas: float = 3.0) -> DataFrame:

@@ -1,8 +1,11 @@
 """Intervals, effect sizes, paradox and confidence checks, tests, stress tests, learned ranking."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from plumbline.functions.distributions import chi_square_p_value, t_p_value
 from plumbline.functions.ordering import with_order
 from plumbline.functions.stats import quantile_map, scalar_row
 from plumbline.model import any_of, col, stack_structs
+from plumbline.session import spread
 
 Z_SCORES = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 
@@ -107,28 +111,44 @@ def one_sample_t(df: DataFrame, value: str, mu: float) -> DataFrame:
     return s.withColumn("p", t_p_value("t", "df")).select("n", "mean", "t", "p")
 
 
-def _hash_uniform(*cols: Column) -> Column:
-    return (F.pmod(F.xxhash64(*cols), F.lit(2**52)) + 0.5) / 2.0**52
+def _draws(keys: np.ndarray, b: int) -> np.ndarray:
+    """Poisson(1) weights of rows in resample ``b``: the scrambled sum of key hash and resample against the cumulative chances."""
+    x = keys + np.uint64(b * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = (x ^ (x >> np.uint64(31))) >> np.uint64(11)
+    w, total, p = np.zeros(len(x)), 0.0, math.exp(-1)
+    for k in range(1, 18):
+        total += p
+        above = u >= np.uint64(min(total, 1.0) * 2.0**53)
+        if not above.any():
+            break
+        w += above
+        p /= k
+    return w
 
 
-def bootstrap_mean(df: DataFrame, value: str, key: str, resamples: int = 500, blocks: int = 2000, seed: int = 12) -> DataFrame:
+def bootstrap_mean(df: DataFrame, value: str, key: str, resamples: int = 500, seed: int = 12) -> DataFrame:
     """Bootstrap interval of a mean.
 
-    Rows fall into random blocks by a hash of the key; each resample draws a Poisson(1)
-    weight per block. The table is read once into at most ``blocks`` sums, so resampling
-    costs the same at any table size; with few rows a block is a row.
+    Every row draws its own Poisson(1) weight in each resample, from a hash of its key; a task
+    adds its rows up to one sum and count per resample before anything is shuffled.
     """
     v = col(value).cast("double")
-    block = F.pmod(F.xxhash64(col(key), F.lit(seed)), F.lit(blocks))
-    sums = df.where(v.isNotNull()).groupBy(block.alias("block")).agg(F.sum(v).alias("s"), F.count(F.lit(1)).alias("n"))
-    draws = sums.select("block", "s", "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    u = _hash_uniform(F.col("block"), F.col("b"), F.lit(seed))
-    weight, total, p = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(1, 12):
-        total += p
-        weight = F.when(u > total, F.lit(k)).otherwise(weight)
-        p /= k
-    means = draws.withColumn("w", weight).groupBy("b").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    rows = df.where(v.isNotNull()).select(F.xxhash64(col(key), F.lit(seed)).alias("h"), v.alias("v"))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, n = np.zeros(resamples), np.zeros(resamples)
+        for pdf in batches:
+            keys, x = pdf["h"].to_numpy().astype(np.int64).view(np.uint64), pdf["v"].to_numpy()
+            for b in range(resamples):
+                w = _draws(keys, b + 1)
+                s[b] += w @ x
+                n[b] += w.sum()
+        yield pd.DataFrame({"b": range(resamples), "s": s, "n": n})
+
+    sums = spread(rows).mapInPandas(weigh, "b int, s double, n double")
+    means = sums.groupBy("b").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
     ci = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))  # one value per resample
     mean = df.agg(F.avg(v)).scalar()
     lo, hi = F.col("q")[0], F.col("q")[1]

@@ -157,3 +157,47 @@ def test_results_do_not_depend_on_partitioning(spark):
     assert a.low == pytest.approx(b.low) and a.high == pytest.approx(b.high)
     mean = d.agg(F.avg("value")).first()[0]
     assert a.low < mean < a.high
+
+
+def test_neighbours_come_from_all_rows(spark):
+    """5,000 rows, above the former sample: every score against all pairs, with gaps, copies and a rare category."""
+    import numpy as np
+
+    from plumbline.operators.anomaly import gower_knn
+
+    rng, n = np.random.default_rng(4), 5000
+    a, b = rng.normal(size=n), rng.exponential(size=n)
+    c, e = rng.choice(["x", "y", "z", None], n, p=[0.5, 0.3, 0.1, 0.1]), np.array([f"u{i}" for i in rng.integers(0, 60, n)], dtype=object)
+    a[:12], b[:12], c[:12], e[:12] = 3.0 + np.arange(12) / 1e4, 4.0, "rare", "u1"
+    a[100:400], b[100:400], c[100:400], e[100:400] = a[100], b[100], "x", "u2"
+    a[rng.choice(np.arange(400, n), 60, False)] = np.nan
+    rows = [(i, None if np.isnan(a[i]) else float(a[i]), float(b[i]), c[i], e[i]) for i in range(n)]
+    d = spark.createDataFrame(rows, "id long, a double, b double, c string, e string")
+    got = {r.key: r for r in gower_knn(d, "id", ["a", "b"], ["c", "e"]).collect()}
+    assert len(got) == n
+    for i in [*range(12), 150, *rng.integers(400, n, 200).tolist(), *np.flatnonzero(np.isnan(a))[:20].tolist()]:
+        terms = [np.nan_to_num(np.abs(x - x[i]) / np.ptp(x[~np.isnan(x)]), nan=1.0) for x in (a, b)]
+        terms += [np.array([0.0 if v is not None and v == x[i] else 1.0 for v in x]) for x in (c, e)]
+        dist = np.mean(terms, axis=0)
+        dist[i] = np.inf
+        near = np.lexsort((*terms[::-1], dist))[:10]
+        share = np.array(terms)[:, near].sum(axis=1)
+        assert got[i].raw_score == pytest.approx(dist[near].mean(), abs=1e-12)
+        assert [got[i].contributions[f] for f in "abce"] == pytest.approx(list(share / max(share.sum(), 1e-12)), abs=2e-4)
+    assert got[3].raw_score < 1e-3  # a small dense cluster is not isolated
+
+
+def test_bootstrap_draws_a_weight_per_row(spark):
+    """Beyond 2,000 rows too: one resample's count is a sum of Poisson(1) weights of single rows."""
+    import numpy as np
+
+    from plumbline.operators.stats import _draws, bootstrap_mean
+
+    d = spark.range(6000).select("id", (F.col("id") % 97).cast("double").alias("v"))
+    h = np.array([r.h for r in d.select(F.xxhash64("id", F.lit(12)).alias("h")).collect()]).view(np.uint64)
+    w = np.array([_draws(h, b) for b in range(1, 501)])
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+    assert [np.mean(w == i) for i in range(4)] == pytest.approx([0.36788, 0.36788, 0.18394, 0.06131], abs=0.002)
+    means = (w @ (np.arange(6000) % 97)) / w.sum(axis=1)
+    r = bootstrap_mean(d, "v", "id").first()
+    assert (r.low, r.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
