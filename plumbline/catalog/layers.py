@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from plumbline.catalog import query
 from plumbline.plans import checks as K
 from plumbline.plans import layers as L
-from plumbline.plans.validate import validate
+from plumbline.operators.drift import snapshot
+from plumbline.plans.profile import fingerprint
+from plumbline.plans.validate import History, validate
 
 # An encounter table derived row by row from the whole orders table.
 ENC_SQL = """(SELECT o_orderkey AS encounter_id, CASE WHEN o_orderkey % 50 = 7 THEN NULL ELSE o_custkey END AS patient_id, CASE WHEN o_custkey % 2 = 0 THEN 'Male' ELSE 'female' END AS sex,
@@ -354,7 +356,12 @@ def claim_root_causes(t):
 
 def _findings(t):
     d = encounters(t).select("encounter_id", "patient_id", "sex", "age", "admit_date", "discharge_date", "pregnant", "claim_amount", "systolic", "diastolic", "success_rate")
-    return validate(d, "encounter_id", pack="healthcare", as_of=F.lit("2010-01-01").cast("date"), numbers=["claim_amount", "age"])
+    # the table as it stood at the start of 1998 is the recorded run
+    old = d.where(F.col("admit_date") < "1998-01-01")
+    runs = old.agg(F.lit(1).alias("run_id"), F.count(F.lit(1)).alias("rows")).unionByName(d.agg(F.lit(2).alias("run_id"), F.count(F.lit(1)).alias("rows")))
+    history = History(L.schema_fingerprint(d).first().digest, row_counts=runs.withColumn("table", F.lit("encounters")), fingerprints=fingerprint(old), snapshot=snapshot(old, "1998"))
+    refs = {"patient_id": (t.customer, "c_custkey")}
+    return validate(d, "encounter_id", pack="healthcare", as_of=F.lit("2010-01-01").cast("date"), numbers=["claim_amount", "age"], refs=refs, history=history)
 
 
 @query("validate_all_layers")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.ordering import with_order
 from plumbline.functions.stats import scalar_row
-from plumbline.model import col
+from plumbline.model import col, kind_of
 
 
 def row_numbers(df: DataFrame, partition: Sequence[str], order: str, tie: Sequence[str], descending: bool = True) -> DataFrame:
@@ -24,7 +24,8 @@ def top_per_group(df: DataFrame, partition: Sequence[str], order: str, tie: Sequ
 
 def split_half(df: DataFrame, value: str, order: str, key: str) -> DataFrame:
     """Means of odd and even rows in a stated order, and a 0-1 stability score."""
-    d = df.select(col(value).cast("double").alias("v"), col(order).alias("o"), col(key).alias("k"))
+    rank = lambda c: col(c) if kind_of(df.schema[c].dataType) in ("number", "date") else F.xxhash64(col(c))  # noqa: E731  ranges need numbers
+    d = df.select(col(value).cast("double").alias("v"), rank(order).alias("o"), rank(key).alias("k"))
     even = F.pmod(F.col("_pos"), F.lit(2)) == 0
     s = with_order(d, "o", "k").agg(F.avg(F.when(even, F.col("v"))).alias("mean_even"), F.avg(F.when(~even, F.col("v"))).alias("mean_odd"))
     diff = F.abs(F.col("mean_even") - F.col("mean_odd")) / (F.abs("mean_even") + F.abs("mean_odd") + 1e-9)

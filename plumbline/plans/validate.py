@@ -1,33 +1,189 @@
 """Run all layers of a table and grade the result."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.model import Rule, numeric_columns, text_columns
-from plumbline.operators.aggregates import two_path_agreement
+from plumbline.model import Rule, col, columns_of_kind, matching, numeric_columns, stack_structs, text_columns
+from plumbline.operators.drift import compare_fingerprints, diff_snapshots, snapshot
 from plumbline.operators.fuzzy import category_clusters
+from plumbline.operators.joins import check_foreign_key, conflict_findings
 from plumbline.plans import checks, layers
+from plumbline.plans.profile import fingerprint
+from plumbline.session import cut_lineage
 
 
-def as_findings(df: DataFrame, layer: str, rule: Column | str, column: Column | str | None, status: Column | str, count: Column, detail: Column | str = "") -> DataFrame:
+def as_findings(df: DataFrame, layer: Column | str, rule: Column | str, column: Column | str | None, status: Column | str, count: Column, detail: Column | str = "") -> DataFrame:
     """Bring a layer's own result rows into the findings shape."""
     c = lambda v: v if isinstance(v, Column) else F.lit(v)
     names = F.array(c(column)) if column is not None else F.array().cast("array<string>")
     return df.select(
-        F.lit(layer).alias("layer"), c(rule).alias("rule"), names.alias("columns"), c(status).alias("status"), F.lit("soft").alias("severity"),
+        c(layer).alias("layer"), c(rule).alias("rule"), names.alias("columns"), c(status).alias("status"), F.lit("soft").alias("severity"),
         count.cast("long").alias("count"), F.lit(None).cast("double").alias("rate"), c(detail).cast("string").alias("detail"),
     )
 
 
+# Column names that the claims layers look for.
+STATUS_NAME, DRG_NAME, ICD_NAME = r"status|denial", r"(^|_)(ms_?)?drg", r"icd|diagnosis|(^|_)dx"
+CODE_NAME, PERSON_NAME, BIRTH_NAME = r"(^|_)(cpt|hcpcs)|procedure_code", r"patient_?id|member_?id|person_?id", r"birth|dob"
+
+
+@dataclass(frozen=True)
+class History:
+    """What earlier runs of a table recorded; layers without their part stay idle."""
+
+    schema: str | None = None
+    correlations: Mapping[tuple[str, str], float] | None = None
+    row_counts: DataFrame | None = None  # (table, run_id, rows), this run's row included
+    fingerprints: DataFrame | None = None
+    snapshot: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Story:
+    """Texts whose numbers must be found among facts."""
+
+    texts: DataFrame
+    key: str
+    text: str
+    facts: DataFrame
+    number: str
+
+
+def _two_paths(df: DataFrame, text: str, numbers: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
+    """``two_path_agreement`` of all numbers at once: rows ``(number, status, mismatches)``."""
+    sums = lambda d, tag: d.agg(*[F.sum(col(c) if tag == "p" else F.col(f"p{i}")).alias(f"{tag}{i}") for i, c in enumerate(numbers)])
+    direct = df.groupBy(col(text).alias("g1")).agg(*[F.sum(col(c)).alias(f"d{i}") for i, c in enumerate(numbers)])
+    salt = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(16))
+    staged = sums(sums(df.groupBy(col(text).alias("g2"), salt.alias("_s")), "p").groupBy("g2"), "s")
+    aggs = []
+    for i, _ in enumerate(numbers):
+        x, y = F.coalesce(F.col(f"d{i}").cast("double"), F.lit(0.0)), F.coalesce(F.col(f"s{i}").cast("double"), F.lit(0.0))
+        aggs.append(F.count_if(F.abs(x - y) > tolerance * F.greatest(F.lit(1.0), F.abs(x))).alias(f"m{i}"))
+    s = direct.join(staged, F.col("g1").eqNullSafe(F.col("g2")), "full").agg(*aggs)
+    return stack_structs(s, [F.struct(F.lit(c).alias("number"), F.when(F.col(f"m{i}") > 0, "fail").otherwise("pass").alias("status"), F.col(f"m{i}").alias("mismatches")) for i, c in enumerate(numbers)])
+
+
+def _bad(status: str = "status") -> Column:
+    return F.col(status).isin("warn", "fail").cast("long")
+
+
+def _tell(found: DataFrame, layer: str, rule: str) -> DataFrame:
+    """Drift layers tell their findings, or one passing row where there are none."""
+    calm = found.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    return found.unionByName(as_findings(calm, layer, rule, None, "pass", F.col("n")))
+
+
+def _table_layers(
+    df: DataFrame, key: str | None, pack: str, as_of: Column, numbers: list[str], binary: Sequence[str], refs: Mapping[str, tuple[DataFrame, str]],
+    history: History, story: Story | None,
+) -> list[DataFrame]:
+    """Layers beyond the row rules; one without its columns or records gives an idle row."""
+    spark, parts, idle = df.sparkSession, [], []
+    dates = columns_of_kind(df, "date")
+
+    s = layers.schema_fingerprint(df, history.schema)
+    parts.append(as_findings(s, "schema", "fingerprint", None, F.when(F.col("status") == "recorded", "pass").otherwise(F.col("status")), (F.col("status") == "fail").cast("long"), F.col("digest")))
+    r = layers.reproducibility(df)
+    parts.append(as_findings(r, "reproducibility", "digest", None, F.col("status"), F.col("distinct_digests") - 1, F.concat(F.col("runs").cast("string"), F.lit(" runs"))))
+    pairs = [(a, b) for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
+    if pairs:
+        c = layers.correlation_watchdog(df, pairs, history.correlations)
+        parts.append(as_findings(c, "correlation", "watchdog", F.concat_ws(" ~ ", "left", "right"), F.col("status"), _bad(), F.col("r").cast("string")))
+    else:
+        idle.append(("correlation", "fewer than two numbers"))
+    if numeric_columns(df) and key:
+        c = layers.confidence(df, dates[0] if dates else key, key)
+        parts.append(as_findings(c, "confidence", "signals", None, F.col("status"), _bad(), F.concat(F.col("score").cast("string"), F.lit(" "), F.col("grade"))))
+    else:
+        idle.append(("confidence", "no key or number"))
+    aged = [c for c in dates if not matching([c], BIRTH_NAME)]
+    for c in aged:
+        f = layers.freshness_decay(df, c, as_of, pack if pack in layers.FRESHNESS else "general")
+        st = F.when(F.col("status") == "fresh", "pass").when(F.col("status") == "expired", "fail").otherwise("warn")
+        parts.append(as_findings(f, "freshness", "decay", c, st, (st != "pass").cast("long"), F.concat_ws(" ", F.col("multiplier").cast("string"), "status")))
+    if not aged:
+        idle.append(("freshness", "no date"))
+    states = matching(text_columns(df), STATUS_NAME)
+    for c in states:
+        d = layers.denial_radar(df, c)
+        parts.append(as_findings(d, "denial_radar", "denied_share", c, F.col("status"), F.col("denied"), F.col("rate").cast("string")))
+    if not states:
+        idle.append(("denial_radar", "no status column"))
+
+    drg, icd = matching(df.columns, DRG_NAME), matching(df.columns, ICD_NAME)
+    if drg and icd:
+        parts.append(checks.run_rules(df, [x for g in drg for d in icd for x in checks.drg_rules(g, d)]))
+    else:
+        idle.append(("drg_icd", "no group and diagnosis codes"))
+    codes, people = matching(df.columns, CODE_NAME), matching(df.columns, PERSON_NAME)
+    if codes and people and aged:
+        for c in codes:
+            for who in people:
+                for day in aged:
+                    parts.append(_tell(conflict_findings(df, [who, day], c, checks.forbidden_pairs(spark)), "code_conflict", "forbidden_pairs"))
+    else:
+        idle.append(("code_conflict", "no procedure code, person and date"))
+
+    m = layers.missingness_drivers(df)
+    st = F.when((F.col("classification") == "MAR") | F.col("mnar_caution"), "warn").otherwise("pass")
+    parts.append(_tell(as_findings(m, "missingness", F.col("classification"), F.col("column"), st, F.col("missing_count"), F.col("driver")), "missingness", "drivers"))
+    groups = [c for cs in layers.equity_columns(df.columns).values() for c in cs]
+    metrics = [c for c in dict.fromkeys([*binary, *numbers]) if c not in groups]
+    for g in dict.fromkeys(groups):
+        for c in metrics:
+            e = layers.disparity(layers.stratify(df, g, col(c)), binary=c in binary)
+            names = F.array(F.lit(g), F.lit(c))
+            parts.append(as_findings(e, "equity", F.concat(F.lit("disparity "), F.col("group")), g, F.col("status"), F.col("n"), F.concat(F.lit(c + " "), F.col("measure").cast("string"))).withColumn("columns", names))
+    if not groups or not metrics:
+        idle.append(("equity", "no group or outcome columns"))
+
+    for c, (parent, parent_key) in refs.items():
+        k = check_foreign_key(df, c, parent, parent_key)
+        parts.append(as_findings(k, "foreign_key", F.col("relation"), c, F.col("status"), F.col("orphan_count"), F.concat_ws(", ", "orphan_sample")))
+    if not refs:
+        idle.append(("foreign_key", "no references given"))
+    if history.fingerprints is not None:
+        d = compare_fingerprints(history.fingerprints, fingerprint(df))
+        parts.append(_tell(as_findings(d, "drift", F.col("drift"), F.col("column"), "warn", F.lit(1), F.col("measure").cast("string")), "drift", "fingerprint"))
+    else:
+        idle.append(("drift", "no fingerprints recorded"))
+    if history.snapshot is not None:
+        d = diff_snapshots(history.snapshot, snapshot(df, "now"))
+        parts.append(_tell(as_findings(d, "snapshot_drift", F.col("change"), F.col("column"), F.col("status"), F.lit(1), F.col("delta").cast("string")), "snapshot_drift", "snapshot"))
+    else:
+        idle.append(("snapshot_drift", "no snapshot recorded"))
+    if history.row_counts is not None:
+        d = layers.row_count_drift(history.row_counts)
+        parts.append(as_findings(d, "row_counts", "history", None, F.col("status"), F.coalesce(F.abs(F.col("current") - F.col("previous")), F.lit(0)), F.col("table")))
+    else:
+        idle.append(("row_counts", "no runs recorded"))
+    if story is not None:
+        said = layers.stated_numbers(story.texts, story.key, story.text, story.facts, story.number)
+        n = said.agg(F.count(F.lit(1)).alias("n"))
+        parts.append(as_findings(n, "stated_numbers", "unsupported", story.text, F.when(F.col("n") > 0, "warn").otherwise("pass"), F.col("n")))
+    else:
+        idle.append(("stated_numbers", "no texts given"))
+    if idle:
+        d = spark.createDataFrame(idle, "l string, why string")
+        parts.append(as_findings(d, F.col("l"), "not run", None, "idle", F.lit(0), F.col("why")))
+    return parts
+
+
 def validate(
     df: DataFrame, key: str | None = None, rules: Sequence[Rule] = (), pack: str = "none", as_of: Column | None = None,
     category_columns: Sequence[str] = (), numbers: Sequence[str] | None = None, binary_columns: Sequence[str] = (),
+    refs: Mapping[str, tuple[DataFrame, str]] | None = None, history: History | None = None, story: Story | None = None,
 ) -> DataFrame:
-    """All findings of one table. Row rules of every kind share one scan."""
+    """All findings of one table. Row rules of every kind share one scan.
+
+    ``refs`` gives the parent table and key of each referring column, ``history`` what earlier runs
+    recorded, ``story`` texts to check; layers that miss theirs say so in an idle row.
+    """
     numbers = list(numbers) if numbers is not None else numeric_columns(df)
     texts = text_columns(df)
     row_rules = [*checks.cross_column_rules(df), *checks.vital_rules(df), *checks.temporal_rules(df.columns), *checks.flag_rules(), *rules]
@@ -43,11 +199,15 @@ def validate(
         parts.append(as_findings(o, "outliers", "mad_or_fence", F.col("column"), F.when(hits > 0, "warn").otherwise("pass"), hits))
         b = layers.benford(df, numbers)
         parts.append(as_findings(b, "benford", "leading_digit", F.col("column"), F.col("status"), F.col("n"), F.coalesce("skipped", F.col("chi_square").cast("string"))))
-    if texts and numbers:
-        t = two_path_agreement(df, texts[0], numbers[0])
-        parts.append(as_findings(t, "two_paths", "group_sums", texts[0], F.col("status"), F.col("mismatches")))
+    for c in texts if numbers else []:
+        t = _two_paths(df, c, numbers)
+        parts.append(as_findings(t, "two_paths", "group_sums", c, F.col("status"), F.col("mismatches"), F.col("number")))
     for c in category_columns:
         k = category_clusters(df, c).groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(", ", F.sort_array(F.collect_list("value"))).alias("d"))
         parts.append(as_findings(k, "categorical", "spelling_variants", c, "warn", F.col("n"), F.col("d")))
-    found = reduce(lambda a, b: a.unionByName(b), parts)
+    today = as_of if as_of is not None else F.current_date()
+    parts += _table_layers(df, key, pack, today, numbers, binary_columns, refs or {}, history or History(), story)
+    # a few layers at a time keep the plans small
+    union = lambda some: reduce(lambda a, b: a.unionByName(b), some)
+    found = union([cut_lineage(union(parts[i : i + 6])) for i in range(0, len(parts), 6)])
     return layers.apply_pack(found, pack, binary_columns)

@@ -201,3 +201,27 @@ def test_bootstrap_draws_a_weight_per_row(spark):
     means = (w @ (np.arange(6000) % 97)) / w.sum(axis=1)
     r = bootstrap_mean(d, "v", "id").first()
     assert (r.low, r.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+
+
+def test_run_all_reaches_every_layer(spark):
+    """Defects that only the table-level layers see show up in the findings."""
+    from plumbline.operators.drift import snapshot
+    from plumbline.plans.profile import fingerprint
+    from plumbline.plans.validate import History, Story, validate
+
+    rows = [(i, i % 50, "F" if i % 2 else "M", None if i % 2 and i % 10 < 6 else 1.0 + i % 7, 20.0 if i % 2 else 10.0, "denied" if i % 3 == 0 else "paid", "470", "E11", ("58260", "58720")[i // 50 % 2], 1) for i in range(400)]
+    d = spark.createDataFrame(rows, "id long, patient_id long, sex string, score double, cost double, claim_status string, drg string, icd string, cpt string, day int").withColumn("day", F.lit("2020-01-01").cast("date"))
+    old = d.limit(100).withColumn("score", F.lit(100.0) + F.col("id"))
+    runs = spark.createDataFrame([("t", 1, 100), ("t", 2, 400)], "table string, run_id int, rows long")
+    history = History("another digest", {("score", "cost"): 0.99}, runs, fingerprint(old), snapshot(old, "old"))
+    told = spark.createDataFrame([(1, "there were 12345 claims")], "k int, said string")
+    f = validate(
+        d, "id", as_of=F.lit("2025-01-01").cast("date"), numbers=["score", "cost"], refs={"patient_id": (spark.range(40).toDF("pid"), "pid")}, history=history,
+        story=Story(told, "k", "said", spark.createDataFrame([(1.0,)], "x double"), "x"),
+    ).collect()
+    bad = {r.layer for r in f if r.status in ("warn", "fail")}
+    assert {"schema", "correlation", "freshness", "denial_radar", "drg_icd", "code_conflict", "missingness", "equity", "foreign_key", "drift", "snapshot_drift", "row_counts", "stated_numbers"} <= bad
+    seen = {r.layer: r.status for r in f}
+    assert seen["reproducibility"] == "pass" and seen["confidence"] in ("pass", "warn", "fail")
+    assert {(r["columns"][0], r.detail) for r in f if r.layer == "two_paths"} == {(c, n) for c in ("sex", "claim_status", "drg", "icd", "cpt") for n in ("score", "cost")}
+    assert {r.status for r in validate(d.select("id", "sex"), "id").collect() if r.layer == "foreign_key"} == {"idle"}
