@@ -36,11 +36,11 @@ def diagonal_distance(df: DataFrame, columns: Sequence[str], threshold: float =
 
 
 def peer_group_column(df: DataFrame, candidates: Sequence[str], max_unique: float = 0.5) -> str | None:
-    """First categorical column with enough repetition to define peers (one sketch row decides)."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(candidates) for x in (F.approx_count_distinct(col(c)).alias(f"d{i}"), F.count(col(c)).alias(f"n{i}"))]).first()
+    """First categorical column with enough repetition to define peers (one row of exact counts decides)."""
+    row = df.agg(*[x for i, c in enumerate(candidates) for x in (F.count_distinct(col(c)).alias(f"d{i}"), F.count(col(c)).alias(f"n{i}"))]).first()
     for i, c in enumerate(candidates):
         d, nn = row[f"d{i}"], row[f"n{i}"]
-        if 2 <= d <= max(20, row["n"] / 5) and nn and d / nn <= max_unique:
+        if d >= 2 and d / nn <= max_unique:
             return c
     return None
 

@@ -297,19 +297,7 @@ def _missing_by_group(df: DataFrame, targets: Sequence[str], drivers: Sequence[s
     return g.select("driver", "grp", "n", F.explode(cells).alias("c")).select("driver", "grp", "n", "c.*").where(F.col("driver") != F.col("column"))
 
 
-def _driver_columns(df: DataFrame, columns: Sequence[str], limit: int) -> list[str]:
-    """Columns with 2..limit values, from one sketch row."""
-    if not columns:
-        return []
-    row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    near = [c for i, c in enumerate(columns) if row[f"d{i}"] <= limit * 1.3]
-    if not near:
-        return []
-    exact = df.agg(*[F.size(F.collect_set(col(c))).alias(f"d{i}") for i, c in enumerate(near)]).first()  # near `limit` values each
-    return [c for i, c in enumerate(near) if 2 <= exact[f"d{i}"] <= limit]
-
-
-def missingness_drivers(df: DataFrame, targets: Sequence[str] | None = None, min_rate: float = 0.03, max_values: int = 30, min_group: int = 20, diff: float = 0.15, ratio: float = 2.0, separation: float = 0.5) -> DataFrame:
+def missingness_drivers(df: DataFrame, targets: Sequence[str] | None = None, min_rate: float = 0.03, min_group: int = 20, diff: float = 0.15, ratio: float = 2.0, separation: float = 0.5) -> DataFrame:
     """For each column with missing values: the observed column that best explains it (MAR), or none (MCAR)."""
     targets = list(targets) if targets is not None else df.columns
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(col(t).isNull()).alias(f"m{i}") for i, t in enumerate(targets)]).first()
@@ -320,7 +308,7 @@ def missingness_drivers(df: DataFrame, targets: Sequence[str] | None = None, min
     if not picked:
         return spark.createDataFrame([], schema)
     cats = [c for c in df.columns if kind_of(df.schema[c].dataType) in ("text", "boolean")]
-    drivers = _driver_columns(df, cats, max_values)
+    drivers = cats  # every one: groups below min_group drop out, however many values there are
     effects = None
     if drivers:
         g = _missing_by_group(df, list(picked), drivers).where(F.col("n") >= min_group).withColumn("rate", F.col("missing") / F.col("n"))
@@ -356,10 +344,10 @@ def missingness_drivers(df: DataFrame, targets: Sequence[str] | None = None, min
     )
 
 
-def missingness_ratio(df: DataFrame, targets: Sequence[str], max_values: int = 30, factor: float = 2.0) -> DataFrame:
-    """Strongest ratio between the highest and lowest missing rate over the groups of another column."""
+def missingness_ratio(df: DataFrame, targets: Sequence[str], factor: float = 2.0, min_group: int = 5) -> DataFrame:
+    """Strongest ratio between the highest and lowest missing rate over the groups of another column, groups of ``min_group`` rows on."""
     cats = [c for c in df.columns if kind_of(df.schema[c].dataType) == "text"]
-    g = _missing_by_group(df, targets, _driver_columns(df, cats, max_values)).withColumn("rate", F.col("missing") / F.col("n"))
+    g = _missing_by_group(df, targets, cats).where(F.col("n") >= min_group).withColumn("rate", F.col("missing") / F.col("n"))
     s = g.groupBy("column", "driver").agg(F.max("rate").alias("high"), F.min("rate").alias("low"), F.count(F.lit(1)).alias("groups")).where("groups >= 2")
     s = s.withColumn("ratio", F.col("high") / F.greatest(F.col("low"), F.lit(0.01)))
     best = s.where(F.col("ratio") >= factor).groupBy("column").agg(F.min_by(F.struct("driver", "high", "low", "ratio"), F.struct(-F.col("ratio"), F.col("driver"))).alias("b"))
@@ -388,7 +376,7 @@ def bias_preflight(df: DataFrame, demographic: Sequence[str] | None = None) -> D
     if texts:
         v = value_counts(df, texts, True).groupBy("column").agg(F.sum("n").alias("nn"), F.max("n").alias("top"), F.count(F.lit(1)).alias("d"))
         share = F.col("top") / F.col("nn")
-        parts.append(out(v.where((F.col("nn") >= 5) & F.col("d").between(2, 30) & (share >= 0.7)), "class_imbalance", F.col("column"), share >= 0.9, share, 20, 10))
+        parts.append(out(v.where((F.col("nn") >= 5) & (F.col("d") >= 2) & (share >= 0.7)), "class_imbalance", F.col("column"), share >= 0.9, share, 20, 10))
     blank = lambda c: col(c).isNull() if c not in texts else col(c).isNull() | (F.trim(col(c)) == "")
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(blank(c)).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
     n, miss = row["n"], {c: row[f"m{i}"] for i, c in enumerate(df.columns)}

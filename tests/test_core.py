@@ -225,3 +225,20 @@ def test_run_all_reaches_every_layer(spark):
     assert seen["reproducibility"] == "pass" and seen["confidence"] in ("pass", "warn", "fail")
     assert {(r["columns"][0], r.detail) for r in f if r.layer == "two_paths"} == {(c, n) for c in ("sex", "claim_status", "drg", "icd", "cpt") for n in ("score", "cost")}
     assert {r.status for r in validate(d.select("id", "sex"), "id").collect() if r.layer == "foreign_key"} == {"idle"}
+
+
+def test_drivers_of_many_values(spark):
+    """60 sites explain the gaps; a column of one value per row does not."""
+    from plumbline.plans.layers import bias_preflight, missingness_drivers, missingness_ratio
+
+    rows = [(f"s{i % 60}", f"u{i}", None if i % 60 < 6 else 1.0) for i in range(3000)]
+    d = spark.createDataFrame(rows, "site string, note string, score double")
+    r = missingness_drivers(d, ["score"]).first()
+    assert (r.classification, r.driver, r.effect) == ("MAR", "site", 1.0)
+    assert missingness_ratio(d, ["score"]).first().driver == "site"
+    odd = spark.createDataFrame([(f"v{i}" if i < 40 else "most",) for i in range(400)], "c string")
+    assert [(r.column, r.value) for r in bias_preflight(odd).where("kind = 'class_imbalance'").collect()] == [("c", 0.9)]
+    from plumbline.operators.anomaly import peer_group_column
+
+    pairs = spark.createDataFrame([(f"p{i // 3}",) for i in range(120)], "p string")  # 40 peers groups among 120 rows
+    assert peer_group_column(pairs, ["p"]) == "p"
