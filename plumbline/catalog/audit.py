@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.catalog import query
 from plumbline.operators import audit as H
+from plumbline.operators.aggregates import near_descriptions
 
 
 def chain_log(t):
@@ -101,9 +102,13 @@ def query_history(t):
 )
 def metric_registry_duplicates(t):
     """Metric descriptions that say nearly the same thing."""
-    from plumbline.functions.text import bigram_dice
-
     words = F.element_at(F.array(F.lit("share of orders returned"), F.lit("Share of orders  returned"), F.lit("average basket size")), (F.col("p_partkey") % 3 + 1).cast("int"))
     m = t.part.select(F.concat(F.lit("m"), F.col("p_partkey") % 3).alias("n"), words.alias("w")).distinct()
-    a, b = m.select(F.col("n").alias("a"), F.col("w").alias("wa"), F.substring("w", -5, 5).alias("k")), m.select(F.col("n").alias("b"), F.col("w").alias("wb"), F.substring("w", -5, 5).alias("k"))
-    return a.join(b, "k").where((F.col("a") < F.col("b")) & (bigram_dice(F.col("wa"), F.col("wb")) >= 0.9)).select("a", "b")
+    return near_descriptions(m, "n", "w").select("a", "b")
+
+
+@query("near_part_names")
+def near_part_names(t):
+    """Distinct part names that say nearly the same thing."""
+    d = t.part.select("p_name").distinct()
+    return near_descriptions(d, "p_name", "p_name")

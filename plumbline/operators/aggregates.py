@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.ordering import with_order
 from plumbline.functions.stats import exact_quantiles, scalar_row
+from plumbline.functions.text import bigram_dice
 from plumbline.operators.privacy import uniform
 from plumbline.model import Dataset, col, matching, numeric_columns
 
@@ -427,3 +428,26 @@ def result_claims(df: DataFrame, number: str, category: str) -> DataFrame:
 def grouping_sets(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column], mode: str = "rollup") -> DataFrame:
     grouped = df.rollup(*keys) if mode == "rollup" else df.cube(*keys)
     return grouped.agg(*[c.alias(n) for n, c in aggregates.items()])
+
+
+def near_descriptions(metrics: DataFrame, name: str, text: str, threshold: float = 0.9) -> DataFrame:
+    """Pairs of metrics whose descriptions have a bigram Dice of ``threshold`` or more: rows ``(a, b, similarity)``.
+
+    Exact: a qualifying pair shares ``t / (2 - t)`` of either side's bigrams, so it shares one among
+    the rarest of each, on which they are joined.
+    """
+    squash = F.lower(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", ""))
+    m = metrics.select(col(name).alias("k"), col(text).alias("w"), squash.alias("s")).distinct()
+    grams = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substr(F.col("s"), i, F.lit(2)))
+    t = m.withColumn("g", F.when(F.length("s") > 1, grams).otherwise(F.array(F.col("s"))))
+    # repeated bigrams are numbered, which makes the multiset a set
+    numbered = F.transform("g", lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(F.col("g"), F.lit(1), i + 1), lambda e: e == g)).alias("i")))
+    t = t.select("k", "w", F.explode(numbered).alias("g"))
+    often = t.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    sets = t.join(often, "g").groupBy("k", "w").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("g"))
+    size = F.size("g")
+    head = F.slice("g", F.lit(1), (size - F.ceil(size * (threshold / (2 - threshold)) - 1e-9) + 1).cast("int"))
+    index = sets.select("k", "w", F.explode(head).alias("h")).select("k", "w", "h.g")
+    left, right = index.select("g", F.col("k").alias("a"), F.col("w").alias("wa")), index.select("g", F.col("k").alias("b"), F.col("w").alias("wb"))
+    pairs = left.join(right, "g").where(F.col("a") < F.col("b")).select("a", "b", "wa", "wb").distinct()
+    return pairs.withColumn("similarity", bigram_dice(F.col("wa"), F.col("wb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")

@@ -242,3 +242,25 @@ def test_drivers_of_many_values(spark):
 
     pairs = spark.createDataFrame([(f"p{i // 3}",) for i in range(120)], "p string")  # 40 peers groups among 120 rows
     assert peer_group_column(pairs, ["p"]) == "p"
+
+
+def test_near_descriptions_lose_no_pair(spark):
+    """Against all pairs, other endings included."""
+    import random
+
+    from plumbline.functions.text import bigram_dice
+    from plumbline.operators.aggregates import near_descriptions
+
+    rng = random.Random(2)
+    words = ["share of orders returned within thirty days", "average basket size of new customers", "aaaaaaaaaaaaaaaaaaaab", "net revenue per active member"]
+    texts = ["share of orders returned (net)", "share of orders returned (nett)", "", " ", "x", "X"]
+    for w in words * 20:
+        cut = list(w)
+        for _ in range(rng.randrange(3)):
+            cut[rng.randrange(len(cut))] = rng.choice("abcxyz ")
+        texts.append("".join(cut) + rng.choice(["", "s", "!"]))
+    d = spark.createDataFrame([(i, w) for i, w in enumerate(texts)], "n int, w string")
+    p = d.toDF("a", "wa").crossJoin(d.toDF("b", "wb")).where("a < b")
+    want = {(r.a, r.b) for r in p.where(bigram_dice(F.col("wa"), F.col("wb")) >= 0.9).collect()}
+    got = [(r.a, r.b) for r in near_descriptions(d, "n", "w").collect()]
+    assert (0, 1) in want and set(got) == want and len(got) == len(want)
