@@ -268,3 +268,26 @@ def op8_language_id(spark: SparkSession, root: str) -> DataFrame:
 
     found = language_id.identify(table(spark, root, "pages"), table(spark, root, "documents"))
     return found.withColumnRenamed("id", "page_id")
+
+
+@query
+def op13_warc(spark: SparkSession, root: str) -> DataFrame:
+    """All pages written as WARC records, copies as revisits, and read back."""
+    from plumbline.llm import warc
+
+    return warc.archived_pages(table(spark, root, "pages")).withColumnRenamed("key", "page_id")
+
+
+SQL["op13_warc"] = r"""
+with payloads as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), digests as (
+  select page_id, octet_length(payload)::bigint as payload_bytes, sha1(payload) as payload_digest from payloads
+), stored as (
+  select *, max(page_id) over (partition by payload_digest, payload_bytes) as last from digests
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> last then last end as refers_to, true as intact
+from stored
+"""
