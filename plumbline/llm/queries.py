@@ -270,6 +270,15 @@ def op8_language_id(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumnRenamed("id", "page_id")
 
 
+@query
+def op12_whitening(spark: SparkSession, root: str) -> DataFrame:
+    """All embeddings on their 8 leading principal components, at unit variance."""
+    from plumbline.llm import whitening
+
+    found = whitening.whiten(table(spark, root, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
+
+
 @query
 def op13_warc(spark: SparkSession, root: str) -> DataFrame:
     """All pages written as WARC records, copies as revisits, and read back."""
