@@ -270,6 +270,24 @@ def op8_language_id(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumnRenamed("id", "page_id")
 
 
+def tokenizer_file(name: str) -> bytes:
+    """The content of a file of ``public_tokenizers``."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@query
+def op11_alignment(spark: SparkSession, root: str) -> DataFrame:
+    """Every text's tokens of two vocabularies, aligned at shared ends."""
+    from plumbline.llm import token_alignment
+
+    byte_spec = tokenizer_file("byte_bpe_50k.json").decode()
+    found = token_alignment.aligned_documents(table(spark, root, "documents"), byte_spec, tokenizer_file("piece_bpe_32k.model"), whole=False)
+    return found.withColumnsRenamed({"doc": "doc_id", "groups": "groups_sha256"})
+
+
 @query
 def op12_whitening(spark: SparkSession, root: str) -> DataFrame:
     """All embeddings on their 8 leading principal components, at unit variance."""
