@@ -25,7 +25,7 @@ SCALE, OFFSET = 1024, 100_000
 LARGEST = float(1 << 40)
 COMPONENTS = 8
 SLICE = 16  # eigenvalues of one interval, unless more lie too close to be told apart
-NODES = 8
+NODES = 16
 ROUNDS = 40
 ALIKE = 1e-9  # eigenvalues closer than this share of the largest are not parted
 NOTHING = 1e-11  # an eigenvalue below this share of the largest is taken for zero
@@ -129,16 +129,17 @@ def rayleigh_ritz(v: np.ndarray, projected: np.ndarray) -> tuple[np.ndarray, np.
 def eigenpairs(spark: SparkSession, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` largest eigenvalues of the symmetric ``v`` that are above zero, falling, and their vectors in columns.
 
-    Every round is a Spark job: one task for each interval and quadrature point, one Rayleigh-Ritz
-    for each interval. It ends when every interval holds as many converged pairs as its inertia
-    says; an interval that stays short gets a larger block. Only blocks come back to the driver.
+    Every round is a Spark job of one task for each interval and quadrature point. The driver adds up
+    their blocks, as long as the dimension and some times as wide as the eigenvalues looked for, and
+    does the Rayleigh-Ritz step. It ends when every interval holds as many converged pairs as its
+    inertia says; an interval that stays short gets a wider block.
     """
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     cut = slices(v, k)
     n = len(v)
     scale = max((high for _, high, _ in cut), default=1.0)
     rng = np.random.default_rng(SEED)
-    widths = {i: min(n, c + max(8, c // 2)) for i, (*_, c) in enumerate(cut)}
+    widths = {i: min(n, c + max(24, 2 * c)) for i, (*_, c) in enumerate(cut)}
     blocks = {i: rng.standard_normal((n, w)) for i, w in widths.items()}
     matrix = spark.sparkContext.broadcast(v)  # dimension squared, whatever the rows
     for turn in range(ROUNDS):
@@ -155,28 +156,23 @@ def eigenpairs(spark: SparkSession, v: np.ndarray, k: int) -> tuple[np.ndarray,
                     term = node_term(matrix.value, block, low, high, node)
                     yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([node]), pa.array([term.tobytes()], pa.binary())], names=["slice", "node", "term"])
 
-        def combine(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-            i = key[0].as_py()
-            terms = group.sort_by("node").column("term")
-            projected = sum(np.frombuffer(t.as_buffer()) for t in terms).reshape(n, -1)
-            values, vectors = rayleigh_ritz(matrix.value, projected)
-            return pa.table({"slice": pa.array([i]), "vals": pa.array([values.tobytes()], pa.binary()), "vecs": pa.array([vectors.tobytes()], pa.binary())})
-
         tasks = len(open_slices) * NODES
         terms = spark.range(0, tasks, 1, tasks).mapInArrow(solve, "slice long, node long, term binary")
-        for row in terms.groupBy("slice").applyInArrow(combine, "slice long, vals binary, vecs binary").toLocalIterator():
-            low, high, count = cut[row.slice]
-            values = np.frombuffer(row.vals)
-            vectors = np.frombuffer(row.vecs).reshape(n, -1)
+        projected = {i: np.zeros_like(blocks[i]) for i in open_slices}
+        for row in terms.toLocalIterator():  # a block each, in the order of the nodes
+            projected[row.slice] += np.frombuffer(row.term).reshape(n, -1)
+        for i in open_slices:
+            low, high, count = cut[i]
+            values, vectors = rayleigh_ritz(v, projected[i])
             inside = (values > low) & (values <= high)
             rest = np.linalg.norm(v @ vectors - vectors * values, axis=0)
             if inside.sum() == count and (rest[inside] <= 4e-15 * n * scale).all():
-                found[row.slice] = values[inside], vectors[:, inside]
+                found[i] = values[inside], vectors[:, inside]
                 continue
-            blocks[row.slice] = vectors
+            blocks[i] = vectors
             if turn % 10 == 9 and vectors.shape[1] < n:  # slow: a wider block
                 more = min(n - vectors.shape[1], vectors.shape[1])
-                blocks[row.slice] = np.hstack([vectors, rng.standard_normal((n, more))])
+                blocks[i] = np.hstack([vectors, rng.standard_normal((n, more))])
     if len(found) < len(cut):
         raise RuntimeError("eigenvalues of an interval did not converge")
     if not cut:
