@@ -15,10 +15,10 @@ from plumbline.session import run_folder
 SLICE_BYTES = 4 << 20
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared checkpoint folder: computed once, safe when executors are lost."""
     path = run_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

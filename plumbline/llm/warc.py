@@ -393,7 +393,7 @@ def archived_pages(
     """
     spark = df.sparkSession
     path = path or run_folder(spark, "warc")
-    chunks = written(chunk_rows(df, key, url, payload, chunk), "warc-chunks")
+    chunks = written(chunk_rows(df, key, url, payload, chunk), "warc-chunks", "zstd")
     write_archives(chunks, decide(chunks, least_bytes), path)
     kind = df.select(col(key)).schema[0].dataType
     own = lambda c: F.url_decode(c).cast(kind).alias(c)
