@@ -1,7 +1,7 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,24 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before those that ``df`` has already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(names: Iterable[str], results: Iterable[str]) -> list[str]:
+    """The names that are not those of result columns, case aside: a result stands for a column of its name."""
+    own = {r.lower() for r in results}
+    return [n for n in names if n.lower() not in own]
+
+
 def text_of(name: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(col(name).cast("string"), F.lit(""))
@@ -32,6 +50,12 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
+def array_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Texts in runs of about ``limit`` bytes."""
+    for part in text_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", limit):
+        yield part.column(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of about ``limit`` bytes of text, one row at least, so that memory stays bounded."""
     if not batch.num_rows:

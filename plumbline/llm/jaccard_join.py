@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_of, text_slices, written
+from plumbline.llm.common import text_of, text_slices, unused, written
 from plumbline.llm.components import components
 from plumbline.llm.line_dedup import row_key
 from plumbline.llm.shingles import SIZE, WordHashes, scramble, shingle_set, sketch
@@ -269,7 +269,8 @@ def labelled(table: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, size: int = SIZE) -> DataFrame:
-    """``df`` with one document of every component, and every document that links with nothing; same columns."""
-    kept = similar_sets(df, key, text, percent, size).where("kept").select(F.col("row").alias("_row")).distinct()
-    rows = df.withColumn("_row", row_key(key, text)).join(kept, "_row", "left_semi")
-    return rows.dropDuplicates(["_row"]).select(*[col(c) for c in df.columns])
+    """``df`` with one document of every component, and every document that links with nothing; same columns, whatever their names."""
+    (own,) = unused(df, "_row")
+    kept = similar_sets(df, key, text, percent, size).where("kept").select(F.col("row").alias(own)).distinct()
+    rows = df.withColumn(own, row_key(key, text)).join(kept, own, "left_semi")
+    return rows.dropDuplicates([own]).select(*[col(c) for c in df.columns])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_of, written
+from plumbline.llm.common import others, text_of, unused, written
 from plumbline.model import col
 
 SPACE = "\t\n\x0b\x0c\r\x20"
@@ -89,14 +89,18 @@ def keep_bitmaps(
     return per.select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), F.size("_set").cast("long").alias("n_dropped"), keep.alias("keep"))
 
 
-def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with ``text`` cut to its kept lines, ``_n_lines`` (before) and ``_n_dropped``."""
-    b = bitmaps.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep"))
-    rows = df.withColumn("_r", row_key(key, text))
-    joined = rows.join(b, col(key).eqNullSafe(F.col("_doc")) & (F.col("_r") == F.col("_row")), "left")
+def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """``df`` with ``text`` cut to its kept lines, and ``counts``: lines before, lines dropped.
+
+    Columns of ``df`` with the names of ``counts`` are replaced; all others stay, whatever their names.
+    """
+    doc, row, dropped, keep, own = unused(df, "_doc", "_row", "_dropped", "_keep", "_own")
+    b = bitmaps.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("n_dropped").alias(dropped), F.col("keep").alias(keep))
+    rows = df.withColumn(own, row_key(key, text))
+    joined = rows.join(b, col(key).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(row)), "left")
     lines = F.split(text_of(text), "\n", -1)
-    cut = lambda all_lines: F.flatten(F.transform("_keep", lambda r: F.slice(all_lines, r["start"] + 1, r["length"])))
-    kept = F.when(F.col("_keep").isNull(), col(text)).otherwise(F.array_join(F.transform(F.array(lines), cut)[0], "\n"))
+    cut = lambda all_lines: F.flatten(F.transform(keep, lambda r: F.slice(all_lines, r["start"] + 1, r["length"])))
+    kept = F.when(F.col(keep).isNull(), col(text)).otherwise(F.array_join(F.transform(F.array(lines), cut)[0], "\n"))
     n_lines = F.length(text_of(text)) - F.length(F.replace(text_of(text), F.lit("\n"))) + 1
-    others = [col(c) for c in df.columns if c != text]
-    return joined.select(*others, kept.alias(text), n_lines.cast("long").alias("_n_lines"), F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("_n_dropped"))
+    stay = [kept.alias(c) if c == text else col(c) for c in others(df.columns, counts)]
+    return joined.select(*stay, n_lines.cast("long").alias(counts[0]), F.coalesce(dropped, F.lit(0)).cast("long").alias(counts[1]))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_of, written
+from plumbline.llm.common import others, text_of, written
 from plumbline.model import col
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,11 +103,13 @@ def mix(
     from the start if need be, until the source's target is reached, so the last document of a
     lap may be taken in part. Ties go by key digest, then size; repeated rows are documents of
     their own. Null or empty text: size 0, no copies. Columns: ``keep``, size, source_size, target,
-    taken, copies, due (null without copies).
+    taken, copies, due (null without copies); a column of ``keep`` with the name of one of these is
+    left out for it. Other columns of ``df``, whatever their names, play no part.
 
     A source of any size is walked in parallel: its order is cut in ranges whose totals, at most
     ``RANGES`` for each source, are summed up first.
     """
+    keep = others(keep, ("size", "source_size", "target", "taken", "copies", "due"))
     docs = written(sizes(df, keep, text, source, key), "mix-sizes")
     ranges = docs.groupBy("_source", "_range").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,4 +136,5 @@ def mix(
     out = placed.select(
         *kept, "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), copies.alias("copies")
     ).withColumn("due", F.get(F.col("copies"), F.lit(0))["due"])
-    return out.repartitionByRange("due", keep[0]).sortWithinPartitions("due", keep[0])
+    order = [F.col("due"), *map(col, keep[:1])]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_training, text_of, text_slices
+from plumbline.llm.common import array_slices, in_training, others, text_of, text_slices
 from plumbline.llm.shingles import sketch
 from plumbline.model import col
 
@@ -232,8 +232,13 @@ def scored(
 
     Labels are learned from rows with ``in_training`` ids only, at most ``sample`` rows (half of
     each label at most); the score is made from the text alone. Null and empty texts are texts
-    without terms: they and texts without any neighbour get the share of label 1. Repeated rows
-    get the same score; without labels every score is 0.5.
+    without terms: they and texts without any neighbour get the share of label 1. Very long texts
+    are scored whole. Repeated rows get the same score; without labels every score is 0.5; an empty
+    table gives no rows. A column of ``keep`` with the name of ``score`` is left out for it; other
+    columns, whatever their names, play no part.
+
+    Terms are the ``n_terms`` commonest of all documents, after those that tell of repetition; rarer
+    ones tell nothing. Terms share ``2 ** BITS`` bins by their hash. Both bound the model, not the rows.
     """
     spark = df.sparkSession
     docs = df.select(col(key).alias("doc"), text_of(text).alias("text"))
@@ -252,16 +257,13 @@ def scored(
     there = {r["label"]: r["count"] for r in label_counts(labels, key, label).collect()}  # two rows
     rows = sample_rows(chosen, empty).orderBy("order", "id").limit(sample)
     model = spark.sparkContext.broadcast(fitted(rows, empty, there, n_latent, neighbours))
-    kept = [f"k{i}" for i in range(len(keep))]
-    source = df.select(*[col(k).alias(a) for k, a in zip(keep, kept)], text_of(text).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, own = Words(), model.value
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                likely = own.score(part.column("text").to_pylist(), known)
-                yield pa.RecordBatch.from_arrays([*[part.column(a) for a in kept], pa.array(likely)], names=[*kept, "score"])
+        for batch in texts:
+            scores = [own.score(part.to_pylist(), known) for part in array_slices(batch)]
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
 
-    types = "".join(f"{a} {source.schema[a].dataType.simpleString()}, " for a in kept)
-    out = source.mapInArrow(run, types + "score double")
-    return out.select(*[F.col(a).alias(k) for k, a in zip(keep, kept)], F.col("score").alias(score))
+    # a score comes back from Python, no text: Spark keeps the other columns with itself
+    found = F.arrow_udf(likely, "double")(text_of(text)).alias(score)
+    return df.select(*[col(k) for k in others(keep, [score])], found)

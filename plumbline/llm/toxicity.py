@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_training, text_of, text_slices, written
+from plumbline.llm.common import in_training, others, text_of, text_slices, written
 from plumbline.llm.shingles import sketch
 from plumbline.model import col
 
@@ -123,7 +123,7 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def passages(df: DataFrame, scores: np.ndarray, keep: tuple[str, ...], text: str) -> DataFrame:
-    """``keep``, ``n_words`` and ``passages``: every maximal segment as (start, end, score), in words from 0."""
+    """``keep`` as ``k0``, ``k1`` and so on, ``n_words`` and ``passages``: every maximal segment as (start, end, score), in words from 0."""
     shared = df.sparkSession.sparkContext.broadcast(scores.astype(np.float32))  # 2 ** BITS numbers
     kept = [f"k{i}" for i in range(len(keep))]
     source = df.select(*[col(k).alias(a) for k, a in zip(keep, kept)], text_of(text).alias("text"))
@@ -141,8 +141,7 @@ def passages(df: DataFrame, scores: np.ndarray, keep: tuple[str, ...], text: str
                 yield pa.RecordBatch.from_arrays([*[part.column(a) for a in kept], pa.array(n, pa.int32()), pa.array(found, kind)], names=[*kept, "n_words", "passages"])
 
     types = "".join(f"{a} {source.schema[a].dataType.simpleString()}, " for a in kept)
-    out = source.mapInArrow(run, types + "n_words int, passages array<struct<start:int,end:int,score:double>>")
-    return out.select(*[F.col(a).alias(k) for k, a in zip(keep, kept)], "n_words", "passages")
+    return source.mapInArrow(run, types + "n_words int, passages array<struct<start:int,end:int,score:double>>")
 
 
 def by_chance(score: Column, n_words: Column, rate: float, density: float) -> Column:
@@ -169,16 +168,20 @@ def scored(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 
     Labels are learned from rows with ``in_training`` ids; counts cover all documents. Words are
     runs of letters in lower case; null and empty texts have none and no evidence. Repeated rows
-    score alike. Without labels of both kinds nothing is toxic and every score is 0.
+    score alike. Without labels of both kinds nothing is toxic and every score is 0. Texts of any
+    length are scanned whole; an empty table gives no rows. A column of ``keep`` named ``score`` or
+    ``passages`` is left out for the result; other columns, whatever their names, play no part.
     """
     docs = df.select(col(key).alias("doc"), text_of(text).alias("text"))
     own = labelled(labels, key, label)
     counts = token_counts(docs, own)
     scores = token_scores(counts)
     rate = decay(scores, counts[0].astype(float))
+    keep = others(keep, ("score", "passages"))
     names = tuple(dict.fromkeys((*keep, key)))
     found = written(passages(df, scores, names, text), "passages")
-    known = found.join(own, found[key] == own["id"])
+    doc = F.col(f"k{names.index(key)}")
+    known = found.join(own, doc == own["id"])
     total = known.where("label = 0").agg(
         F.coalesce(F.sum(F.col("n_words").cast("long")), F.lit(0)).alias("words"),
         F.coalesce(F.sum(F.aggregate("passages", F.lit(0.0), lambda a, p: a + F.when(p["score"] >= 1.0, 1.0).otherwise(0.0))), F.lit(0.0)).alias("high"),
@@ -191,11 +194,11 @@ def scored(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     found = found.withColumn("passages", kept)
     evidence = F.least(F.aggregate("passages", F.lit(0.0), weigh), F.lit(STEP * STEPS))
     found = found.withColumn("_evidence", evidence)
-    bins = found.join(own, found[key] == own["id"]).groupBy(F.round(F.col("_evidence") / STEP).cast("int").alias("bin"))
+    bins = found.join(own, doc == own["id"]).groupBy(F.round(F.col("_evidence") / STEP).cast("int").alias("bin"))
     rows = bins.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).collect()  # STEPS + 1 rows at most
     if not counts[2].sum() or not counts[1].sum():
         score = F.lit(0.0)
     else:
         slope, offset = logistic(np.array([r["bin"] * STEP for r in rows]), np.array([r["ones"] for r in rows], float), np.array([r["n"] for r in rows], float))
         score = 1 / (1 + F.exp(-(F.col("_evidence") * F.lit(float(max(slope, 0.0))) + F.lit(float(offset)))))
-    return found.select(*[col(k) for k in keep], score.alias("score"), "passages")
+    return found.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], score.alias("score"), "passages")
