@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, jaccard_join, line_dedup, mixing, quality
-from plumbline.llm.common import written
+from plumbline.llm.common import unused, written
 from plumbline.llm.queries import tokenizer_spec
 from plumbline.model import col
 
@@ -22,22 +22,33 @@ def same_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.3 or more; labels are those of the data folder."""
+    """Documents with a quality score of 0.3 or more; labels are those of the data folder.
+
+    Null and empty texts get the share of good labels as their score. Repeated rows stay or go together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.scored(docs, labels, keep=tuple(docs.columns), score="_score")
-    return same_columns(scored.where(F.col("_score") >= LEAST_QUALITY), docs)
+    (score,) = unused(docs, "_score")
+    scored = quality.scored(docs, labels, keep=tuple(docs.columns), score=score)
+    return same_columns(scored.where(F.col(score) >= LEAST_QUALITY), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that a later document repeats; a document without lines left stays, empty."""
-    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    """Texts without the lines that a later document repeats; a document without lines left stays, empty.
+
+    ``n_chars``, if it is there, is counted again where lines went. Null texts stay null.
+    """
+    counts = tuple(unused(docs, "_n_lines", "_n_dropped"))
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), counts=counts)
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col(counts[1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return same_columns(cut, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of every group linked by shingle likeness of 0.8."""
+    """One document, that of the smallest id, of every group linked by shingle likeness of 0.8.
+
+    Documents without words link with nothing; of rows with the same id and text one stays.
+    """
     return jaccard_join.one_of_each(docs)
 
 
@@ -45,17 +56,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies that the mix takes, as rows in order of time due.
 
     Whole documents only: a copy that the mix cuts off is taken if half of its words or more are.
-    Documents without words are in no mix.
+    Documents without words are in no mix. Rows with the same id and text are documents of their
+    own, each with its copies.
     """
-    keyed = docs.withColumn("_row", line_dedup.row_key("doc_id", "text"))
-    taken = mixing.mix(keyed, keep=("_row", "doc_id")).select("_row", "size", F.explode("copies").alias("_copy")).where("_copy.words * 2 >= size")
-    copies = taken.select("_row", F.col("_copy.due").alias("_due"))
-    rows = keyed.dropDuplicates(["_row"]).join(copies, "_row").repartitionByRange("_due", "_row").sortWithinPartitions("_due", "_row")
+    row, due = unused(docs, "_row", "_due")
+    keyed = docs.withColumn(row, line_dedup.row_key("doc_id", "text"))
+    mixed = mixing.mix(keyed, keep=(row,)).select(F.col(row), "size", F.explode("copies").alias("copy")).where("copy.words * 2 >= size")
+    copies = mixed.select(row, F.col("copy.due").alias(due))
+    rows = keyed.dropDuplicates([row]).join(copies, row).repartitionByRange(due, row).sortWithinPartitions(due, row)
     return same_columns(rows, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and a digest of the text decoded from them."""
+    """Token ids of every document, and a digest of the text decoded from them; null and empty texts have none."""
     encoded = bpe.encode(docs, tokenizer_spec())
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
