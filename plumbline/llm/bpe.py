@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_of, text_slices
+from plumbline.llm.common import returned, text_of, text_slices
 from plumbline.model import col
 
 END = "</w>"
@@ -189,7 +189,7 @@ class PrefixTrie:
 class Codec:
     """One vocabulary in a worker. Words are encoded once and kept, up to a bound."""
 
-    def __init__(self, spec: str, max_words: int = 250_000, max_nodes: int = 250_000, max_pairs: int = 250_000):
+    def __init__(self, spec: str, max_words: int = 120_000, max_nodes: int = 150_000, max_pairs: int = 150_000):
         data = json.loads(spec)
         model = data["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -273,7 +273,7 @@ def encode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str, ...] =
                     columns.append(pa.array([own.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", *["decoded"] * decoded])
 
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(lambda batches: returned(run(batches)), schema)
     return out.select(*[F.col(a).alias(k) for k, a in zip(keep, kept)], "ids", *["decoded"] * decoded)
 
 

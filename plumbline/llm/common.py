@@ -1,6 +1,8 @@
 """Helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,6 +42,20 @@ def others(names: Iterable[str], results: Iterable[str]) -> list[str]:
     return [n for n in names if n.lower() not in own]
 
 
+def returned(out: Iterator) -> Iterator:
+    """``out``, and at its end the memory that a task no longer needs goes back to the system.
+
+    Workers are used again by later tasks, and wait beside the JVM in the meantime.
+    """
+    yield from out
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
 def text_of(name: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(col(name).cast("string"), F.lit(""))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_of, text_slices, unused, written
+from plumbline.llm.common import returned, text_of, text_slices, unused, written
 from plumbline.llm.components import components
 from plumbline.llm.line_dedup import row_key
 from plumbline.llm.shingles import SIZE, WordHashes, scramble, shingle_set, sketch
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("row"), *arrays], names=["doc", "row", "n", "cls", "grp", "prefix", "splits"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, row long, n int, cls long, grp long, prefix array<long>, splits array<int>")
+    return docs.mapInArrow(lambda batches: returned(run(batches)), f"doc {kind}, row long, n int, cls long, grp long, prefix array<long>, splits array<int>")
 
 
 def may_link(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -> Column:
@@ -183,7 +183,7 @@ def whole_sets(docs: DataFrame, pairs: DataFrame, chosen: DataFrame, size: int)
                 columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["cls", "items"])
 
-    return docs.select("row", "text").mapInArrow(run, "cls long, items array<long>")
+    return docs.select("row", "text").mapInArrow(lambda batches: returned(run(batches)), "cls long, items array<long>")
 
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame, chosen: DataFrame, size: int, percent: int) -> DataFrame:

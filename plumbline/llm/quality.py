@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import array_slices, in_training, others, text_of, text_slices
+from plumbline.llm.common import array_slices, in_training, others, returned, text_of, text_slices
 from plumbline.llm.shingles import sketch
 from plumbline.model import col
 
@@ -52,7 +52,7 @@ class Words(dict):
     """A 64-bit number per word, its shape's bin in the low 12 bits; kept up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         kind = 8 + xxhash.xxh3_64_intdigest(shape(word)) % (SHAPES - 8)
         own = xxhash.xxh3_64_intdigest(word.lower())
@@ -146,14 +146,14 @@ def space(frequency: np.ndarray, n_docs: int, n_terms: int) -> Model:
     return Model(column, weight, none, none, np.zeros(0), np.zeros(0), 0, 0.5)
 
 
-def fit(model: Model, x: np.ndarray, labels: np.ndarray, votes: np.ndarray, n_latent: int, neighbours: int) -> Model:
-    """The model with the latent space of the labelled rows ``x`` and their vectors."""
+def fit(model: Model, rows: list[np.ndarray], labels: np.ndarray, votes: np.ndarray, n_latent: int, neighbours: int) -> Model:
+    """The model with the latent space of the labelled rows, given in parts of unit length, and their vectors."""
     if len(labels):
-        x = unit_rows(x)
-        _, vectors = np.linalg.eigh((x.T @ x).astype(float))
-        basis = vectors[:, ::-1][:, :n_latent].astype(np.float32)
+        products = sum(x.T @ x for x in rows)
+        basis = np.ascontiguousarray(np.linalg.eigh(products)[1][:, ::-1][:, :n_latent])
         prior = float((labels * votes).sum() / votes.sum())
-        model = replace(model, basis=basis, vectors=unit_rows(x @ basis), labels=labels, votes=votes, neighbours=neighbours, prior=prior)
+        own = np.concatenate([unit_rows(x @ basis) for x in rows])
+        model = replace(model, basis=basis, vectors=own, labels=labels, votes=votes, neighbours=neighbours, prior=prior)
     return model
 
 
@@ -198,15 +198,20 @@ def fitted(rows: DataFrame, empty: Model, there: dict[int, int], n_latent: int,
     """The model of the sample's rows, fitted in a task: the driver gets the latent space and the vectors alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("label").to_numpy().astype(float), b.column("terms").flatten().to_numpy().reshape(b.num_rows, -1)) for b in batches if b.num_rows]
+        labels, parts = [], []
+        for b in batches:
+            for start in range(0, b.num_rows, 1000):
+                part = b.slice(start, 1000)
+                labels.append(part.column("label").to_numpy().astype(float))
+                parts.append(unit_rows(part.column("terms").flatten().to_numpy().reshape(part.num_rows, -1)))
         if parts:
-            y = np.concatenate([p[0] for p in parts])
+            y = np.concatenate(labels)
             votes = np.array([there[v] / (y == v).sum() for v in y])
-            model = fit(empty, np.concatenate([p[1] for p in parts]), y, votes / votes.max(), n_latent, neighbours)
+            model = fit(empty, parts, y, votes / votes.max(), n_latent, neighbours)
             arrays = [model.basis.tobytes(), model.vectors.tobytes(), y.tobytes(), model.votes.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([a], pa.binary()) for a in arrays] + [pa.array([model.prior])], names=["basis", "vectors", "labels", "votes", "prior"])
 
-    found = rows.mapInArrow(run, "basis binary, vectors binary, labels binary, votes binary, prior double").collect()  # a row: the sample is sorted into one task
+    found = rows.mapInArrow(lambda batches: returned(run(batches)), "basis binary, vectors binary, labels binary, votes binary, prior double").collect()  # a row: the sample is sorted into one task
     if not found:
         return empty
     r = found[0]
@@ -264,6 +269,9 @@ def scored(
             scores = [own.score(part.to_pylist(), known) for part in array_slices(batch)]
             yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
 
+    def scores_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return returned(likely(texts))
+
     # a score comes back from Python, no text: Spark keeps the other columns with itself
-    found = F.arrow_udf(likely, "double")(text_of(text)).alias(score)
+    found = F.arrow_udf(scores_of, "double")(text_of(text)).alias(score)
     return df.select(*[col(k) for k in others(keep, [score])], found)

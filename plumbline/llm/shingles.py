@@ -8,6 +8,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from plumbline.llm.common import returned
+
 SIZE = 5
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 14
@@ -17,7 +19,7 @@ class WordHashes(dict):
     """64-bit hash of a word, kept for the words a worker meets, up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -83,7 +85,7 @@ def sketch(df: DataFrame, slots_of: Callable[[], Callable[[pa.RecordBatch], Iter
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "counts"])
 
     schema = "block int, counts binary"
-    parts = df.mapInArrow(count, schema).repartition(min(n_blocks, 64), "block").mapInArrow(add, schema)
+    parts = df.mapInArrow(lambda batches: returned(count(batches)), schema).repartition(min(n_blocks, 64), "block").mapInArrow(add, schema)
     out = np.zeros((n_blocks, width), np.int64)
     for row in parts.toLocalIterator():
         out[row.block] = np.frombuffer(row.counts, np.int64)
