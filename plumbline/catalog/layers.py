@@ -10,7 +10,7 @@ from plumbline.plans import checks as K
 from plumbline.plans import layers as L
 from plumbline.operators.drift import snapshot
 from plumbline.plans.profile import fingerprint
-from plumbline.plans.validate import History, validate
+from plumbline.plans.validate import History, Story, validate
 
 # An encounter table derived row by row from the whole orders table.
 ENC_SQL = """(SELECT o_orderkey AS encounter_id, CASE WHEN o_orderkey % 50 = 7 THEN NULL ELSE o_custkey END AS patient_id, CASE WHEN o_custkey % 2 = 0 THEN 'Male' ELSE 'female' END AS sex,
@@ -354,14 +354,28 @@ def claim_root_causes(t):
     return L.claim_report(L.claim_root_causes(claims(t), "claim_id", "member_id", "dos", "cpt", "dx", "npi", "payer2"))
 
 
+def coded_encounters(t):
+    """Encounters with the codes and the status of a claim."""
+    d = encounters(t).select("encounter_id", "patient_id", "sex", "age", "admit_date", "discharge_date", "pregnant", "claim_amount", "systolic", "diastolic", "success_rate", "o_orderpriority")
+    k = F.col("encounter_id")
+    return d.withColumns({
+        "claim_status": F.when(k % 5 == 0, "denied").otherwise("paid"), "drg": F.when(k % 3 == 0, "291").otherwise("470"),
+        "icd": F.when(k % 2 == 0, "I50.9").otherwise("E11.9"), "cpt": F.when(k % 2 == 0, "58260").otherwise("58720"),
+    })
+
+
 def _findings(t):
-    d = encounters(t).select("encounter_id", "patient_id", "sex", "age", "admit_date", "discharge_date", "pregnant", "claim_amount", "systolic", "diastolic", "success_rate")
+    d = coded_encounters(t)
     # the table as it stood at the start of 1998 is the recorded run
     old = d.where(F.col("admit_date") < "1998-01-01")
     runs = old.agg(F.lit(1).alias("run_id"), F.count(F.lit(1)).alias("rows")).unionByName(d.agg(F.lit(2).alias("run_id"), F.count(F.lit(1)).alias("rows")))
     history = History(L.schema_fingerprint(d).first().digest, row_counts=runs.withColumn("table", F.lit("encounters")), fingerprints=fingerprint(old), snapshot=snapshot(old, "1998"))
-    refs = {"patient_id": (t.customer, "c_custkey")}
-    return validate(d, "encounter_id", pack="healthcare", as_of=F.lit("2010-01-01").cast("date"), numbers=["claim_amount", "age"], refs=refs, history=history)
+    # a report with one sentence for each priority, of which the urgent one is out by one
+    facts = d.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    stated = F.col("n") + F.col("o_orderpriority").startswith("1").cast("long") * 1_000_000
+    report = facts.select("o_orderpriority", F.concat(F.lit("There were "), stated.cast("string"), F.lit(" encounters.")).alias("said"))
+    refs = {"patient_id": (t.customer.where("c_custkey % 10 <> 4"), "c_custkey")}
+    return validate(d, "encounter_id", pack="healthcare", as_of=F.lit("2010-01-01").cast("date"), refs=refs, history=history, story=Story(report, "o_orderpriority", "said", facts, "n"))
 
 
 @query("validate_all_layers")
@@ -370,6 +384,49 @@ def validate_all_layers(t):
     return _findings(t)
 
 
+_CODED_SQL = f"""(SELECT *, CASE WHEN encounter_id % 5 = 0 THEN 'denied' ELSE 'paid' END AS claim_status, CASE WHEN encounter_id % 3 = 0 THEN '291' ELSE '470' END AS drg,
+   CASE WHEN encounter_id % 2 = 0 THEN 'I50.9' ELSE 'E11.9' END AS icd, CASE WHEN encounter_id % 2 = 0 THEN '58260' ELSE '58720' END AS cpt FROM {ENC_SQL})"""
+
+
+def _fences_sql(column: str) -> str:
+    return f"""SELECT 'outliers' AS layer, 'mad_or_fence' AS rule, '{column}' AS columns, count(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1)) + count(*) FILTER (WHERE x > q3 + 1.5 * (q3 - q1))
+         + count(*) FILTER (WHERE mad > 0 AND abs(0.6745 * (x - med) / mad) > 3.5) AS count
+       FROM (SELECT {column} AS x, q1, med, q3, (SELECT quantile_cont(abs({column} - m), 0.5) FROM d, (SELECT quantile_cont({column}, 0.5) AS m FROM d)) AS mad
+             FROM d, (SELECT quantile_cont({column}, 0.25) AS q1, quantile_cont({column}, 0.5) AS med, quantile_cont({column}, 0.75) AS q3 FROM d))"""
+
+
+@query(
+    "validation_counts",
+    f"""WITH d AS MATERIALIZED (SELECT * FROM {_CODED_SQL}), both_codes AS (
+          SELECT 'admit_date' AS day_column, patient_id, admit_date AS day FROM d WHERE patient_id IS NOT NULL GROUP BY patient_id, admit_date HAVING count(DISTINCT cpt) = 2
+          UNION ALL SELECT 'discharge_date', patient_id, discharge_date FROM d WHERE patient_id IS NOT NULL GROUP BY patient_id, discharge_date HAVING count(DISTINCT cpt) = 2),
+        r AS (SELECT 'unit_tests' AS layer, 'negative' AS rule, 'claim_amount' AS columns, count(*) AS count FROM d WHERE claim_amount < 0
+          UNION ALL SELECT 'unit_tests', 'negative', 'age', count(*) FROM d WHERE age < 0
+          UNION ALL SELECT 'unit_tests', 'null_ref', 'patient_id', count(*) FROM d WHERE patient_id IS NULL
+          UNION ALL SELECT 'semantic_drift', 'age_over_130', 'age', count(*) FROM d WHERE age > 130
+          UNION ALL SELECT 'semantic_drift', 'age_negative', 'age', count(*) FROM d WHERE age < 0
+          UNION ALL SELECT 'semantic_drift', 'percent_over_100', 'success_rate', count(*) FROM d WHERE success_rate > 100
+          UNION ALL SELECT 'bounds', 'rate_like_bounds', 'success_rate', count(*) FROM d WHERE success_rate > 100 OR success_rate < 0
+          UNION ALL SELECT 'denial_radar', 'denied_share', 'claim_status', count(*) FROM d WHERE claim_status = 'denied'
+          UNION ALL SELECT 'drg_icd', 'drg_icd_heart_failure', 'drg,icd', count(*) FROM d WHERE drg = '291' AND icd <> 'I50.9'
+          UNION ALL SELECT 'drg_icd', 'drg_icd_joint_replacement', 'drg,icd', count(*) FROM d WHERE drg = '470'
+          UNION ALL SELECT 'code_conflict', '58260+58720', 'patient_id,' || day_column || ',cpt', count(*) FROM both_codes GROUP BY day_column
+          UNION ALL SELECT 'foreign_key', 'patient_id->c_custkey', 'patient_id', count(*) FROM d WHERE patient_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 4)
+          UNION ALL SELECT 'row_counts', 'history', '', count(*) FROM d WHERE admit_date >= DATE '1998-01-01'
+          UNION ALL SELECT 'stated_numbers', 'unsupported', 'said', count(DISTINCT o_orderpriority) FROM d WHERE starts_with(o_orderpriority, '1')
+          UNION ALL SELECT 'temporal', 'admit_before_discharge', 'admit_date,discharge_date', count(*) FROM d WHERE discharge_date < admit_date
+          UNION ALL SELECT 'vitals', 'diastolic_above_systolic', 'systolic,diastolic', count(*) FROM d WHERE diastolic > systolic
+          UNION ALL {_fences_sql('claim_amount')} UNION ALL {_fences_sql('age')}
+          UNION ALL SELECT 'categorical', 'spelling_variants', 'cpt', count(DISTINCT cpt) FROM d)
+        SELECT layer, rule, columns, count FROM r WHERE count > 0""",
+)
+def validation_counts(t):
+    """What the layers of ``validate_all_layers`` count, where they find something."""
+    names = "unit_tests semantic_drift bounds denial_radar drg_icd code_conflict foreign_key row_counts stated_numbers temporal vitals outliers categorical".split()
+    f = _findings(t).where(F.col("layer").isin(*names) & F.col("status").isin("warn", "fail") & ~F.col("rule").like("%\\_limits"))
+    return f.select("layer", "rule", F.array_join("columns", ",").alias("columns"), "count")
+
+
 @query("calibrated_grades")
 def calibrated_grades(t):
     return L.calibrated_grades(_findings(t))

@@ -112,25 +112,31 @@ def category_clusters(df: DataFrame, column: str, threshold: float = 0.82, guard
     size = freq.agg(F.count(F.lit(1)).alias("d"), F.sum("count").alias("n")).first()
     if size["d"] < 2 or (guard and size["d"] / size["n"] >= NEAR_UNIQUE):
         return empty
-    low = freq.select("value", F.lower("value").alias("low"))
-    close = similar_values(low, "low", threshold, inclusive=True)
-    named = low.select(F.col("low"), "value")
-    pairs = close.join(named.select(F.col("low").alias("value_a"), F.col("value").alias("a")), "value_a").join(
-        named.select(F.col("low").alias("value_b"), F.col("value").alias("b")), "value_b"
-    )
+    return spelling_clusters(freq.withColumn("column", F.lit("")), threshold).drop("column")
+
+
+def spelling_clusters(freq: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """``category_clusters`` of the counted values of many columns at once: (column, value, count).
+
+    Likeness is worked out once per spelling, whatever columns hold it; only values of one column join.
+    """
+    named = freq.select("column", "value", F.lower("value").alias("low"))
+    close = similar_values(named.select("low").distinct(), "low", threshold, inclusive=True)
+    node = F.concat_ws("\u0003", "column", "value")
+    sides = [named.select(F.col("column").alias("c"), F.col("low").alias(f"value_{x}"), node.alias(x)) for x in "ab"]
+    pairs = close.join(sides[0], "value_a").join(sides[1], ["c", "value_b"])
     # values equal apart from case, and values meeting under their long form, link to one hub each
     hub = F.lower(F.coalesce(expand_abbreviation(F.col("value")), F.trim("value")))
-    hubs = low.select(F.col("value").alias("a"), F.concat(F.lit("\u0001"), hub).alias("b"))
-    case_hubs = low.select(F.col("value").alias("a"), F.concat(F.lit("\u0002"), F.col("low")).alias("b"))
-    edges = pairs.select("a", "b").unionByName(hubs).unionByName(case_hubs)
+    edge = lambda mark, to: named.select(node.alias("a"), F.concat(F.lit(mark), F.concat_ws("\u0003", F.col("column"), to)).alias("b"))
+    edges = pairs.select("a", "b").unionByName(edge("\u0001", hub)).unionByName(edge("\u0002", F.col("low")))
     comp = connected_components(edges)
-    members = comp.join(freq, F.col("node") == F.col("value")).select("label", "value", "count")
+    members = comp.join(freq.withColumn("node", node), "node").select("label", "column", "value", "count")
     lead = members.groupBy("label").agg(
         F.count(F.lit(1)).alias("size"),
         F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("canonical"),
     )
     out = members.join(lead.where("size > 1"), "label")
-    return out.select("canonical", "value", "count", (F.col("value") != F.col("canonical")).alias("merge"))
+    return out.select("column", "canonical", "value", "count", (F.col("value") != F.col("canonical")).alias("merge"))
 
 
 def apply_merges(df: DataFrame, column: str, merges: DataFrame, override: Mapping[str, str] | None = None) -> DataFrame:

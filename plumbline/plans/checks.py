@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.model import Rule, any_of, col, finding, kind_of, rate_status, stack_structs
+from plumbline.model import Rule, any_of, col, finding, kind_of, rate_status
+from plumbline.plans.scans import Part, scan
 
 WARN_RATE, FAIL_RATE = 0.001, 0.01
 
@@ -23,18 +24,24 @@ def run_rules(df: DataFrame, rules: Sequence[Rule], warn: float = WARN_RATE, fai
         from plumbline.model import FINDINGS_SCHEMA
 
         return df.sparkSession.createDataFrame([], FINDINGS_SCHEMA)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, r in enumerate(here):
+    return scan(df, rules_part(here, warn, fail))
+
+
+def rules_part(rules: Sequence[Rule], warn: float = WARN_RATE, fail: float = FAIL_RATE) -> Part:
+    """The rules as a share of a scan; their columns are there."""
+    wants = {"n": F.count(F.lit(1))}
+    for i, r in enumerate(rules):
         base = r.applicable if r.applicable is not None else F.lit(True)
-        aggs += [F.count_if(r.condition).alias(f"v{i}"), F.count_if(base).alias(f"b{i}")]
-    s = df.agg(*aggs)
-    rows = []
-    for i, r in enumerate(here):
-        v = F.col(f"v{i}")
-        rate = F.coalesce(F.try_divide(v.cast("double"), F.col(f"b{i}")), F.lit(0.0))
-        status = F.when(v == 0, "pass").otherwise("fail") if r.severity == "hard" else rate_status(rate, warn, fail)
-        rows.append(finding(r.layer, r.rule, r.columns, status, r.severity, v, F.round(rate, 6), r.detail))
-    return stack_structs(s, rows)
+        wants |= {f"v{i}": F.count_if(r.condition), f"b{i}": F.count_if(base)}
+
+    def tell(at):
+        for i, r in enumerate(rules):
+            v = at(f"v{i}")
+            rate = F.coalesce(F.try_divide(v.cast("double"), at(f"b{i}")), F.lit(0.0))
+            status = F.when(v == 0, "pass").otherwise("fail") if r.severity == "hard" else rate_status(rate, warn, fail)
+            yield finding(r.layer, r.rule, r.columns, status, r.severity, v, F.round(rate, 6), r.detail)
+
+    return Part(wants, tell)
 
 
 def violations(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -324,32 +331,41 @@ def bound_checks(df: DataFrame, columns: dict[str, str] | None = None) -> DataFr
     Which bound applies is decided from the value distribution, so one aggregate counts
     violations of both bounds and the choice is an expression over its result row.
     """
+    part = bounds_part(df, columns)
+    if not part.wants:
+        from plumbline.model import FINDINGS_SCHEMA
+
+        return df.sparkSession.createDataFrame([], FINDINGS_SCHEMA)
+    return scan(df, part).where("status <> 'idle'")
+
+
+def bounds_part(df: DataFrame, columns: dict[str, str] | None = None) -> Part:
+    """The bound checks as a share of a scan; a column without a clear bound is idle."""
     numbers = [c for c in df.columns if kind_of(df.schema[c].dataType) == "number"]
     kinds = columns or {c: bounded_kind(c) for c in numbers}
     kinds = {c: k for c, k in kinds.items() if k}
-    aggs = []
+    wants = {}
     for i, c in enumerate(kinds):
         x = col(c)
-        aggs += [F.count(x).alias(f"n{i}"), F.count_if(x.between(0, 1)).alias(f"u{i}"), F.count_if(x.between(0, 100)).alias(f"h{i}"),
-                 F.count_if(x < 0).alias(f"lo{i}"), F.count_if(x > 1).alias(f"o{i}"), F.count_if(x > 100).alias(f"t{i}")]
-    rows = []
-    for i, (c, kind) in enumerate(kinds.items()):
-        n, u, h = F.col(f"n{i}"), F.col(f"u{i}"), F.col(f"h{i}")
-        unit = (u / n >= 0.8) & ((h - u) / n <= 0.1)
-        hundred = h / n >= 0.9
-        high = {
-            "percentage": F.when(unit, 1).otherwise(100),
-            "proportion": F.when(unit, 1).when(hundred, 100),
-            "rate_like": F.when(unit, 1).when(hundred, 100),
-            "ambiguous": F.when(unit, 1),
-        }[kind]
-        above = F.when(high == 1, F.col(f"o{i}")).otherwise(F.col(f"t{i}"))
-        count = above + F.col(f"lo{i}")
-        status = F.when(high.isNull(), "idle").when(count > 0, "fail").otherwise("pass")
-        rate = F.coalesce(F.try_divide(count.cast("double"), n), F.lit(0.0))
-        rows.append(finding("bounds", f"{kind}_bounds", [c], status, "hard", count, F.round(rate, 6), F.concat(F.lit("0.."), high.cast("string"))))
-    if not rows:
-        from plumbline.model import FINDINGS_SCHEMA
-
-        return df.sparkSession.createDataFrame([], FINDINGS_SCHEMA)
-    return stack_structs(df.agg(*aggs), rows).where("status <> 'idle'")
+        wants |= {
+            f"n{i}": F.count(x), f"u{i}": F.count_if(x.between(0, 1)), f"h{i}": F.count_if(x.between(0, 100)),
+            f"lo{i}": F.count_if(x < 0), f"o{i}": F.count_if(x > 1), f"t{i}": F.count_if(x > 100),
+        }
+
+    def tell(at):
+        for i, (c, kind) in enumerate(kinds.items()):
+            n, u, h = at(f"n{i}"), at(f"u{i}"), at(f"h{i}")
+            unit = (F.try_divide(u, n) >= 0.8) & (F.try_divide(h - u, n) <= 0.1)
+            hundred = F.try_divide(h, n) >= 0.9
+            high = {
+                "percentage": F.when(unit, 1).otherwise(100),
+                "proportion": F.when(unit, 1).when(hundred, 100),
+                "rate_like": F.when(unit, 1).when(hundred, 100),
+                "ambiguous": F.when(unit, 1),
+            }[kind]
+            count = F.when(high == 1, at(f"o{i}")).otherwise(at(f"t{i}")) + at(f"lo{i}")
+            status = F.when(high.isNull(), "idle").when(count > 0, "fail").otherwise("pass")
+            rate = F.coalesce(F.try_divide(count.cast("double"), n), F.lit(0.0))
+            yield finding("bounds", f"{kind}_bounds", [c], status, "hard", count, F.round(rate, 6), F.concat(F.lit("0.."), high.cast("string")))
+
+    return Part(wants, tell)

@@ -15,6 +15,7 @@ from plumbline.operators.aggregates import business_key_duplicates, duplicate_ro
 from plumbline.operators.joins import near_duplicates
 from plumbline.operators.windows import split_half
 from plumbline.plans.checks import name_tokens
+from plumbline.plans.scans import Part, scan
 
 # Words that mark amount and date columns.
 AMOUNT_NAME = r"amount|price|cost|charge|salary|revenue|count|qty|quantity"
@@ -28,35 +29,47 @@ def _share(a: Column, b: Column) -> Column:
 # ---- unit tests and table-level layers ----------------------------------------------
 
 
-def unit_tests(df: DataFrame, key: str | None = None, as_of: Column | None = None, keys: Sequence[str] | None = None) -> DataFrame:
-    """Negatives, future dates (with far-future share), blank keys, null references, duplicates."""
+def unit_tests_part(df: DataFrame, key: str | None = None, as_of: Column | None = None) -> Part:
+    """Negatives, future dates, blank keys and null references as a share of a scan."""
     key = key or df.columns[0]
     today = as_of if as_of is not None else F.current_date()
     numbers = numeric_columns(df)
     dates = [c for c in df.columns if kind_of(df.schema[c].dataType) == "date" or (kind_of(df.schema[c].dataType) == "text" and re.search(DATE_NAME, c, re.I))]
     refs = [c for c in df.columns if re.search(r"_id$", c, re.I) and c != key]
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(col(key).isNull()).alias("bk")]
-    aggs += [F.count_if(col(c) < 0).alias(f"neg{i}") for i, c in enumerate(numbers)]
-    aggs += [F.count_if(col(c).isNull()).alias(f"ref{i}") for i, c in enumerate(refs)]
+    wants = {"n": F.count(F.lit(1)), "bk": F.count_if(col(key).isNull())}
+    wants |= {f"neg{i}": F.count_if(col(c) < 0) for i, c in enumerate(numbers)}
+    wants |= {f"ref{i}": F.count_if(col(c).isNull()) for i, c in enumerate(refs)}
     for i, c in enumerate(dates):
         d = col(c).cast("date") if kind_of(df.schema[c].dataType) == "date" else col(c).try_cast("date")
-        aggs += [F.count(d).alias(f"dn{i}"), F.count_if(d > today).alias(f"df{i}"), F.count_if(d > F.add_months(today, 240)).alias(f"dd{i}")]
-    s = df.agg(*aggs)
-    n = F.col("n")
-    bad = lambda c: F.when(c > 0, "fail").otherwise("pass")
-    row = lambda rule, c, v, detail="": finding("unit_tests", rule, [c] if c else [], bad(v), "hard", v, F.round(_share(v, n), 6), detail)
-    rows = [row("blank_key", key, F.col("bk"))]
-    rows += [row("negative", c, F.col(f"neg{i}")) for i, c in enumerate(numbers)]
-    rows += [row("null_ref", c, F.col(f"ref{i}")) for i, c in enumerate(refs)]
-    for i, c in enumerate(dates):
-        far = F.round(_share(F.col(f"dd{i}"), F.col(f"dn{i}")), 4)
-        rows.append(row("future_date", c, F.col(f"df{i}"), far))
-    s = s.withColumn("dup", duplicate_rows(df).select("extra_rows").scalar())
-    rows.append(row("duplicate", None, F.col("dup")))
+        wants |= {f"dn{i}": F.count(d), f"df{i}": F.count_if(d > today), f"dd{i}": F.count_if(d > F.add_months(today, 240))}
+
+    def tell(at):
+        row = lambda rule, c, v, detail="": _unit_finding(rule, [c], v, at("n"), detail)
+        out = [row("blank_key", key, at("bk"))]
+        out += [row("negative", c, at(f"neg{i}")) for i, c in enumerate(numbers)]
+        out += [row("null_ref", c, at(f"ref{i}")) for i, c in enumerate(refs)]
+        return out + [row("future_date", c, at(f"df{i}"), F.round(_share(at(f"dd{i}"), at(f"dn{i}")), 4)) for i, c in enumerate(dates)]
+
+    return Part(wants, tell)
+
+
+def _unit_finding(rule: str, columns: Sequence[str], v: Column, n: Column, detail: Column | str = "") -> Column:
+    return finding("unit_tests", rule, columns, F.when(v > 0, "fail").otherwise("pass"), "hard", v, F.round(_share(v, n), 6), detail)
+
+
+def duplicate_finding(df: DataFrame) -> DataFrame:
+    """Rows beyond the first of each identical row, as a finding."""
+    s = duplicate_rows(df).withColumn("n", df.agg(F.count(F.lit(1))).scalar())
+    return stack_structs(s, [_unit_finding("duplicate", [], F.col("extra_rows"), F.col("n"))])
+
+
+def unit_tests(df: DataFrame, key: str | None = None, as_of: Column | None = None, keys: Sequence[str] | None = None) -> DataFrame:
+    """Negatives, future dates (with far-future share), blank keys, null references, duplicates."""
+    found = scan(df, unit_tests_part(df, key, as_of)).unionByName(duplicate_finding(df))
     if keys:
-        s = s.withColumn("bkd", business_key_duplicates(df, keys).select("extra_rows").scalar())
-        rows.append(finding("unit_tests", "business_key_duplicate", list(keys), bad(F.col("bkd")), "hard", F.col("bkd"), F.round(_share(F.col("bkd"), n), 6)))
-    return stack_structs(s, rows).where(F.col("count") > 0)
+        s = business_key_duplicates(df, keys).withColumn("n", df.agg(F.count(F.lit(1))).scalar())
+        found = found.unionByName(stack_structs(s, [_unit_finding("business_key_duplicate", list(keys), F.col("extra_rows"), F.col("n"))]))
+    return found.where(F.col("count") > 0)
 
 
 def confidence(df: DataFrame, order: str, key: str, amounts: Sequence[str] | None = None, ages: Sequence[str] | None = None) -> DataFrame:
@@ -89,10 +102,16 @@ def confidence(df: DataFrame, order: str, key: str, amounts: Sequence[str] | Non
     )
 
 
+def denial_part(status: str) -> Part:
+    def tell(at):
+        rate = _share(at("denied"), at("claims"))
+        return [F.struct(at("claims").alias("claims"), at("denied").alias("denied"), F.round(rate, 6).alias("rate"), F.when(rate > 0.15, "warn").otherwise("pass").alias("status"))]
+
+    return Part({"claims": F.count(F.lit(1)), "denied": F.count_if(F.lower(col(status).cast("string")).contains("den"))}, tell)
+
+
 def denial_radar(df: DataFrame, status: str) -> DataFrame:
-    s = df.agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.lower(col(status).cast("string")).contains("den")).alias("denied"))
-    rate = _share(F.col("denied"), F.col("claims"))
-    return s.select("claims", "denied", F.round(rate, 6).alias("rate"), F.when(rate > 0.15, "warn").otherwise("pass").alias("status"))
+    return scan(df, denial_part(status))
 
 
 def schema_fingerprint(df: DataFrame, previous: str | None = None) -> DataFrame:
@@ -105,25 +124,36 @@ def schema_fingerprint(df: DataFrame, previous: str | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame([(digest, len(df.columns), status)], "digest string, columns int, status string")
 
 
-def semantic_drift(df: DataFrame, ages: Sequence[str] | None = None, sexes: Sequence[str] | None = None, percents: Sequence[str] | None = None) -> DataFrame:
-    """Values that contradict what a column is called."""
+def semantic_part(df: DataFrame, ages: Sequence[str] | None = None, percents: Sequence[str] | None = None) -> Part:
+    """Ages and percentages out of range as a share of a scan."""
     numbers = numeric_columns(df)
     ages = matching(numbers, "age") if ages is None else list(ages)
-    sexes = matching(df.columns, "gender|sex") if sexes is None else list(sexes)
     percents = matching(numbers, "rate|percent|pct") if percents is None else list(percents)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    specs = []
-    for c in ages:
-        specs += [("age_over_130", c, col(c) > 130), ("age_negative", c, col(c) < 0)]
-    for c in percents:
-        specs.append(("percent_over_100", c, col(c) > 100))
-    aggs += [F.count_if(cond).alias(f"v{i}") for i, (_, _, cond) in enumerate(specs)]
-    rows = [finding("semantic_drift", r, [c], F.when(F.col(f"v{i}") > 0, "fail").otherwise("pass"), "hard", F.col(f"v{i}"), F.round(_share(F.col(f"v{i}"), F.col("n")), 6)) for i, (r, c, _) in enumerate(specs)]
-    s = df.agg(*aggs)
+    specs = [x for c in ages for x in (("age_over_130", c, col(c) > 130), ("age_negative", c, col(c) < 0))]
+    specs += [("percent_over_100", c, col(c) > 100) for c in percents]
+
+    def tell(at):
+        bad = lambda v: F.when(v > 0, "fail").otherwise("pass")
+        return [finding("semantic_drift", r, [c], bad(at(f"v{i}")), "hard", at(f"v{i}"), F.round(_share(at(f"v{i}"), at("n")), 6)) for i, (r, c, _) in enumerate(specs)]
+
+    return Part({"n": F.count(F.lit(1))} | {f"v{i}": F.count_if(cond) for i, (_, _, cond) in enumerate(specs)}, tell)
+
+
+def too_many_sexes(column: Column, distinct: Column) -> Column:
+    """The finding on the number of a sex column's values; ``column`` may differ by row."""
+    row = finding("semantic_drift", "too_many_sexes", [], F.when(distinct > 6, "fail").otherwise("pass"), "hard", distinct, F.lit(0.0))
+    return row.withField("columns", F.array(column))
+
+
+def semantic_drift(df: DataFrame, ages: Sequence[str] | None = None, sexes: Sequence[str] | None = None, percents: Sequence[str] | None = None) -> DataFrame:
+    """Values that contradict what a column is called."""
+    sexes = matching(df.columns, "gender|sex") if sexes is None else list(sexes)
+    part = semantic_part(df, ages, percents)
+    s = df.agg(*[c.alias(f"p0_{n}") for n, c in part.wants.items()])
+    rows = list(part.tell(lambda n: F.col(f"p0_{n}")))
     for i, c in enumerate(sexes):
-        d = df.select(col(c)).distinct().agg(F.count(col(c))).scalar()
-        s = s.withColumn(f"d{i}", d)
-        rows.append(finding("semantic_drift", "too_many_sexes", [c], F.when(F.col(f"d{i}") > 6, "fail").otherwise("pass"), "hard", F.col(f"d{i}"), F.lit(0.0)))
+        s = s.withColumn(f"d{i}", df.select(col(c)).distinct().agg(F.count(col(c))).scalar())
+        rows.append(too_many_sexes(F.lit(c), F.col(f"d{i}")))
     return stack_structs(s, rows)
 
 
@@ -141,16 +171,20 @@ def row_count_drift(history: DataFrame, keys: Sequence[str] = ("table",), run: s
     return c.withColumn("status", st)
 
 
+def correlation_part(pairs: Sequence[tuple[str, str]], previous: Mapping[tuple[str, str], float] | None = None) -> Part:
+    def tell(at):
+        for i, (a, b) in enumerate(pairs):
+            old = F.lit((previous or {}).get((a, b))).cast("double")
+            r = at(f"r{i}")
+            st = F.when(r.isNull() | F.isnan(r), "warn").when(old.isNull(), "pass").when(F.abs(r - old) > 0.3, "fail").otherwise("pass")
+            yield F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), r.alias("r"), old.alias("previous"), st.alias("status"))
+
+    return Part({f"r{i}": F.corr(col(a), col(b)) for i, (a, b) in enumerate(pairs)}, tell)
+
+
 def correlation_watchdog(df: DataFrame, pairs: Sequence[tuple[str, str]], previous: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
     """Correlations in one pass and their change from recorded values; a move over 0.3 fails."""
-    s = df.agg(*[F.corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        old = F.lit((previous or {}).get((a, b))).cast("double")
-        r = F.col(f"r{i}")
-        st = F.when(r.isNull() | F.isnan(r), "warn").when(old.isNull(), "pass").when(F.abs(r - old) > 0.3, "fail").otherwise("pass")
-        rows.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), r.alias("r"), old.alias("previous"), st.alias("status")))
-    return stack_structs(s, rows)
+    return scan(df, correlation_part(pairs, previous))
 
 
 def stated_numbers(texts: DataFrame, key: str, text: str, facts: DataFrame, number: str) -> DataFrame:
@@ -185,14 +219,22 @@ def freshness_decay(df: DataFrame, date: str, as_of: Column, pack: str = "genera
     shape = shape or usual
     if shape not in ("linear", "exponential"):
         raise ValueError(f"no decay of shape {shape}")
-    newest = F.max(col(date)).cast("timestamp")
-    s = df.groupBy(*[col(g) for g in group_by]).agg(newest.alias("newest"))
-    age = F.greatest(F.lit(0.0), (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp("newest")) / 86400.0)
+    s = df.groupBy(*[col(g) for g in group_by]).agg(F.max(col(date)).cast("timestamp").alias("newest"))
+    return s.select(*[col(g) for g in group_by], *_decayed(F.col("newest"), as_of, stale, expired, floor, shape))
+
+
+def freshness_part(date: str, as_of: Column, pack: str) -> Part:
+    stale, expired, floor, shape = FRESHNESS[pack]
+    return Part({"newest": F.max(col(date)).cast("timestamp")}, lambda at: [F.struct(*_decayed(at("newest"), as_of, stale, expired, floor, shape))])
+
+
+def _decayed(newest: Column, as_of: Column, stale: int, expired: int, floor: float, shape: str) -> list[Column]:
+    age = F.greatest(F.lit(0.0), (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(newest)) / 86400.0)
     progress = (age - stale) / (expired - stale)
     slope = floor + (1 - floor) * F.exp(-3 * progress) if shape == "exponential" else 1 - (1 - floor) * progress
-    mult = F.when(F.col("newest").isNull() | (age <= stale), 1.0).when(age >= expired, floor).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(floor), slope)))
-    st = F.when(F.col("newest").isNull(), "unknown").when(age <= stale, "fresh").when(age >= expired, "expired").otherwise("stale")
-    return s.select(*[col(g) for g in group_by], F.round(age, 1).alias("age_days"), F.round(mult, 6).alias("multiplier"), st.alias("status"))
+    mult = F.when(newest.isNull() | (age <= stale), 1.0).when(age >= expired, floor).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(floor), slope)))
+    st = F.when(newest.isNull(), "unknown").when(age <= stale, "fresh").when(age >= expired, "expired").otherwise("stale")
+    return [F.round(age, 1).alias("age_days"), F.round(mult, 6).alias("multiplier"), st.alias("status")]
 
 
 def table_digest(df: DataFrame) -> Column:
@@ -213,27 +255,42 @@ def reproducibility(df: DataFrame, runs: int = 3) -> DataFrame:
 
 def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Modified z over 3.5 and Tukey fences, both sides, per numeric column, from exact quantiles."""
-    cols = list(columns) if columns is not None else numeric_columns(df)
+    q, known, mad = _fences(df, list(columns) if columns is not None else numeric_columns(df))
+    return scan(df, _fences_part(known, q, mad))
+
+
+def outliers_part(df: DataFrame, columns: Sequence[str]) -> Part:
+    """The counts beyond fences as a share of a scan; the quantiles that set the fences are found now."""
+    q, known, mad = _fences(df, columns)
+    return _fences_part(known, q, mad)
+
+
+def _fences(df: DataFrame, cols: Sequence[str]) -> tuple[dict, list[str], dict]:
     q = quantile_map(df, cols, [0.25, 0.5, 0.75])
     known = [c for c in cols if q.get((c, 0.5)) is not None]
     dev = df.select(*[F.abs(col(c).cast("double") - F.lit(q[c, 0.5])).alias(c) for c in known])
-    mad = quantile_map(dev, known, [0.5])
-    aggs, rows = [F.count(F.lit(1)).alias("n")], []
+    return q, known, quantile_map(dev, known, [0.5])
+
+
+def _fences_part(known: Sequence[str], q: Mapping, mad: Mapping) -> Part:
+    wants = {}
     for i, c in enumerate(known):
         q1, med, q3, m = q[c, 0.25], q[c, 0.5], q[c, 0.75], mad[c, 0.5]
         x, iqr = col(c).cast("double"), q3 - q1
         far = F.abs(0.6745 * (x - med) / m) > 3.5 if m and m > 0 else F.lit(False)
-        aggs += [
-            F.count_if(x < q1 - 1.5 * iqr).alias(f"a{i}"), F.count_if(x > q3 + 1.5 * iqr).alias(f"b{i}"),
-            F.count_if(far & (x < med)).alias(f"c{i}"), F.count_if(far & (x > med)).alias(f"d{i}"),
-        ]
-        rows.append(
-            F.struct(
-                F.lit(c).alias("column"), F.lit(med).alias("median"), F.lit(m).alias("mad"), F.lit(q1).alias("q1"), F.lit(q3).alias("q3"),
-                F.col(f"a{i}").alias("iqr_low"), F.col(f"b{i}").alias("iqr_high"), F.col(f"c{i}").alias("mad_low"), F.col(f"d{i}").alias("mad_high"),
+        wants |= {
+            f"a{i}": F.count_if(x < q1 - 1.5 * iqr), f"b{i}": F.count_if(x > q3 + 1.5 * iqr),
+            f"c{i}": F.count_if(far & (x < med)), f"d{i}": F.count_if(far & (x > med)),
+        }
+
+    def tell(at):
+        for i, c in enumerate(known):
+            yield F.struct(
+                F.lit(c).alias("column"), F.lit(q[c, 0.5]).alias("median"), F.lit(mad[c, 0.5]).alias("mad"), F.lit(q[c, 0.25]).alias("q1"), F.lit(q[c, 0.75]).alias("q3"),
+                at(f"a{i}").alias("iqr_low"), at(f"b{i}").alias("iqr_high"), at(f"c{i}").alias("mad_low"), at(f"d{i}").alias("mad_high"),
             )
-        )
-    return stack_structs(df.agg(*aggs), rows)
+
+    return Part(wants, tell)
 
 
 # Expected leading-digit shares, and names that rule the test out or in.
@@ -247,36 +304,38 @@ BENFORD_MAGNITUDE = r"amount|revenue|sales|price|cost|charge|population|transact
 
 def benford(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Leading-digit test with its eligibility gate, all columns in one pass."""
-    cols = list(columns) if columns is not None else numeric_columns(df)
-    x_of = {c: F.abs(col(c).cast("double")) for c in cols}
+    return scan(df, benford_part(list(columns) if columns is not None else numeric_columns(df)))
+
+
+def benford_part(cols: Sequence[str]) -> Part:
     # the digit is a column of its own, so it is worked out once per value and not once per count
-    df = df.select(*[x_of[c].alias(f"x{i}") for i, c in enumerate(cols)], *[F.when(x_of[c] >= 1, leading_digit(x_of[c])).alias(f"g{i}") for i, c in enumerate(cols)])
-    aggs, rows = [], []
+    derived, wants = {}, {}
     for i, c in enumerate(cols):
-        x = F.col(f"x{i}")
+        whole = F.abs(col(c).cast("double"))
+        derived |= {f"_x{i}": whole, f"_g{i}": F.when(whole >= 1, leading_digit(whole))}
+        x, d = F.col(f"_x{i}"), F.col(f"_g{i}")
         big = x >= 1
-        d = F.col(f"g{i}")
-        aggs += [
-            F.count_if(big).alias(f"n{i}"), F.count(x).alias(f"nn{i}"), F.count_if((x != 0) & (x != 1)).alias(f"nb{i}"),
-            # orders of magnitude of a double: at most a few hundred values
-            F.size(F.collect_set(F.when(big, F.floor(F.log10(x))))).alias(f"o{i}"),
-            *[F.count_if(d == k).alias(f"d{i}_{k}") for k in range(1, 10)],
-        ]
-        n = F.col(f"n{i}")
-        chi = sum(((F.col(f"d{i}_{k}") - BENFORD[k - 1] * n) * (F.col(f"d{i}_{k}") - BENFORD[k - 1] * n) / (BENFORD[k - 1] * n) for k in range(1, 10)), F.lit(0.0))
-        gate = (
-            F.when(F.lit(bool(BENFORD_BOUNDED & set(name_tokens(c)))), "bounded_name")
-            .when((F.col(f"nn{i}") > 0) & (F.col(f"nb{i}") == 0), "binary_flag")
-            .when(n < 50, "small_sample")
-            .when((F.col(f"o{i}") < 2) & F.lit(not re.search(BENFORD_MAGNITUDE, c, re.I)), "narrow_range")
-        )
-        rows.append(
-            F.struct(
+        # orders of magnitude of a double: at most a few hundred values
+        wants |= {f"n{i}": F.count_if(big), f"nn{i}": F.count(x), f"nb{i}": F.count_if((x != 0) & (x != 1)), f"o{i}": F.size(F.collect_set(F.when(big, F.floor(F.log10(x)))))}
+        wants |= {f"d{i}_{k}": F.count_if(d == k) for k in range(1, 10)}
+
+    def tell(at):
+        for i, c in enumerate(cols):
+            n = at(f"n{i}")
+            off = lambda k: at(f"d{i}_{k}") - BENFORD[k - 1] * n  # noqa: E731, B023
+            chi = sum((F.try_divide(off(k) * off(k), BENFORD[k - 1] * n) for k in range(1, 10)), F.lit(0.0))
+            gate = (
+                F.when(F.lit(bool(BENFORD_BOUNDED & set(name_tokens(c)))), "bounded_name")
+                .when((at(f"nn{i}") > 0) & (at(f"nb{i}") == 0), "binary_flag")
+                .when(n < 50, "small_sample")
+                .when((at(f"o{i}") < 2) & F.lit(not re.search(BENFORD_MAGNITUDE, c, re.I)), "narrow_range")
+            )
+            yield F.struct(
                 F.lit(c).alias("column"), n.alias("n"), gate.alias("skipped"), F.when(gate.isNull(), F.round(chi, 4)).alias("chi_square"),
                 F.when(gate.isNotNull(), "idle").when(chi > 15.51, "warn").otherwise("pass").alias("status"),
             )
-        )
-    return stack_structs(df.agg(*aggs), rows)
+
+    return Part(wants, tell, derived)
 
 
 # ---- missingness, bias, equity ------------------------------------------------------
@@ -297,12 +356,28 @@ def _missing_by_group(df: DataFrame, targets: Sequence[str], drivers: Sequence[s
     return g.select("driver", "grp", "n", F.explode(cells).alias("c")).select("driver", "grp", "n", "c.*").where(F.col("driver") != F.col("column"))
 
 
-def missingness_drivers(df: DataFrame, targets: Sequence[str] | None = None, min_rate: float = 0.03, min_group: int = 20, diff: float = 0.15, ratio: float = 2.0, separation: float = 0.5) -> DataFrame:
-    """For each column with missing values: the observed column that best explains it (MAR), or none (MCAR)."""
+def missing_part(targets: Sequence[str]) -> Part:
+    return Part({"n": F.count(F.lit(1))} | {f"m{i}": F.count_if(col(t).isNull()) for i, t in enumerate(targets)}, lambda at: [])
+
+
+MIN_MISSING = 0.03
+
+
+def missingness_drivers(
+    df: DataFrame, targets: Sequence[str] | None = None, min_rate: float = MIN_MISSING, min_group: int = 20, diff: float = 0.15, ratio: float = 2.0, separation: float = 0.5,
+    missing: tuple[int, Mapping[str, int]] | None = None, by_group: DataFrame | None = None,
+) -> DataFrame:
+    """For each column with missing values: the observed column that best explains it (MAR), or none (MCAR).
+
+    ``missing`` (rows, missing values of each target) and ``by_group`` (see ``_missing_by_group``) may
+    come from scans that were made already.
+    """
     targets = list(targets) if targets is not None else df.columns
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(col(t).isNull()).alias(f"m{i}") for i, t in enumerate(targets)]).first()
-    n = row["n"]
-    picked = {t: row[f"m{i}"] for i, t in enumerate(targets) if n and min_rate <= row[f"m{i}"] / n < 1}
+    if missing is None:
+        row = df.agg(*[c.alias(k) for k, c in missing_part(targets).wants.items()]).first()
+        missing = row["n"], {t: row[f"m{i}"] for i, t in enumerate(targets)}
+    n, gaps = missing
+    picked = {t: gaps[t] for t in targets if n and min_rate <= gaps[t] / n < 1}
     schema = "column string, missing_count bigint, missing_rate double, classification string, driver string, effect double, mnar_caution boolean"
     spark = df.sparkSession
     if not picked:
@@ -311,7 +386,8 @@ def missingness_drivers(df: DataFrame, targets: Sequence[str] | None = None, min
     drivers = cats  # every one: groups below min_group drop out, however many values there are
     effects = None
     if drivers:
-        g = _missing_by_group(df, list(picked), drivers).where(F.col("n") >= min_group).withColumn("rate", F.col("missing") / F.col("n"))
+        found = by_group if by_group is not None else _missing_by_group(df, list(picked), drivers)
+        g = found.where(F.col("n") >= min_group).withColumn("rate", F.col("missing") / F.col("n"))
         s = g.groupBy("column", "driver").agg(F.max("rate").alias("hi"), F.min("rate").alias("lo"), F.count(F.lit(1)).alias("groups")).where("groups >= 2")
         d = F.col("hi") - F.col("lo")
         effects = s.where((d >= diff) | (F.col("hi") / F.greatest(F.col("lo"), F.lit(0.02)) >= ratio)).select("column", "driver", d.alias("effect"))
@@ -429,20 +505,28 @@ def disparity(groups: DataFrame, binary: bool = True, reference: str = "populati
         ref = g.agg(F.max_by("value", F.struct("n", "group"))).scalar()
     else:
         ref = g.agg(F.sum(F.col("value") * F.col("n")) / F.sum("n")).scalar()
-    v = F.col("value")
+    return g.select("group", "n", *_judged(F.col("value"), ref, F.lit(binary)))
+
+
+def _judged(v: Column, ref: Column, binary: Column) -> list[Column]:
     d = v - ref
-    if binary:
-        ratio = F.when(ref > 0, v / ref).when(v > 0, F.lit(99.0)).otherwise(1.0)
-        size = F.greatest(ratio, F.when(ratio > 0, 1 / ratio).otherwise(1.0))
-        fail, warn = (size >= 1.5) | (F.abs(d) >= 0.05), (size >= 1.25) | (F.abs(d) >= 0.03)
-        high = (size >= 2) | (F.abs(d) >= 0.10)
-        measure = ratio
-    else:
-        measure = F.try_divide(F.abs(d), F.abs(ref))
-        fail, warn, high = measure >= 0.2, measure >= 0.1, measure >= 0.4
+    ratio = F.when(ref > 0, v / ref).when(v > 0, F.lit(99.0)).otherwise(1.0)
+    size = F.greatest(ratio, F.when(ratio > 0, 1 / ratio).otherwise(1.0))
+    off = F.try_divide(F.abs(d), F.abs(ref))
+    kind = lambda yes, no: F.when(binary, yes).otherwise(no)
+    fail = kind((size >= 1.5) | (F.abs(d) >= 0.05), off >= 0.2)
+    warn = kind((size >= 1.25) | (F.abs(d) >= 0.03), off >= 0.1)
+    high = kind((size >= 2) | (F.abs(d) >= 0.10), off >= 0.4)
     st = F.when(fail, "fail").when(warn, "warn").otherwise("pass")
     level = F.when(fail & high, "high").when(fail, "medium").when(warn, "low").otherwise("none")
-    return g.select("group", "n", F.round(v, 6).alias("value"), F.round(ref, 6).alias("reference"), F.round(measure, 6).alias("measure"), F.round(d, 6).alias("difference"), st.alias("status"), level.alias("level"))
+    return [F.round(v, 6).alias("value"), F.round(ref, 6).alias("reference"), F.round(kind(ratio, off), 6).alias("measure"), F.round(d, 6).alias("difference"), st.alias("status"), level.alias("level")]
+
+
+def disparities(groups: DataFrame, min_cell: int = 5) -> DataFrame:
+    """``disparity`` of every (stratifier, metric) of ``groups`` (with group, n, value, binary) against its mean over all groups."""
+    g = groups.where((F.col("n") >= min_cell) & F.col("value").isNotNull())
+    means = g.groupBy("stratifier", "metric").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("ref"))
+    return g.join(means, ["stratifier", "metric"]).select("stratifier", "metric", "group", "n", *_judged(F.col("value"), F.col("ref"), F.col("binary")))
 
 
 # ---- claims -------------------------------------------------------------------------
