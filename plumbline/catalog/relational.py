@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog import query
 from plumbline.operators import aggregates as A
 from plumbline.operators import joins as J
+from plumbline.operators import ordered_joins as O
 
 
 @query(
@@ -394,3 +395,39 @@ def sql_passthrough_range_join(t):
            FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
            JOIN region r ON r.r_regionkey = n.n_regionkey AND o.o_totalprice > c.c_acctbal GROUP BY r_name""",
     )
+
+
+@query(
+    "asof_last_view",
+    """WITH v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2), c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
+       SELECT c.event_id, CASE WHEN epoch_us(c.ts) - epoch_us(v.ts) <= 259200000000 THEN v.view_id END AS view_id FROM c ASOF LEFT JOIN v ON c.user_id = v.user_id AND c.ts >= v.ts""",
+)
+def asof_last_view(t):
+    """The last view of the same user within three days before each click."""
+    view = t.events.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view_id"))
+    click = t.events.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    return O.asof_join(click, view, "ts", "ts", ["user_id"], tolerance=86400 * 3).select("event_id", "view_id")
+
+
+@query(
+    "points_in_bands",
+    """SELECT s_suppkey, count(*) AS parts, CAST(sum(p_size) AS BIGINT) AS sizes FROM supplier JOIN part ON p_retailprice BETWEEN s_acctbal AND s_acctbal + 10 + s_suppkey % 7 * 40 GROUP BY 1""",
+)
+def points_in_bands(t):
+    """Parts whose price lies in a supplier's band, bands of seven widths."""
+    bands = t.supplier.select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 10 + F.col("s_suppkey") % 7 * 40).alias("high"))
+    met = O.points_in_intervals(t.part.select("p_partkey", "p_retailprice", "p_size"), bands, "p_retailprice", "low", "high")
+    return met.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("parts"), F.sum("p_size").alias("sizes"))
+
+
+@query(
+    "overlapping_stays",
+    """WITH s AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INTEGER) AS b FROM orders)
+       SELECT x.o_custkey, count(*) AS pairs, CAST(sum(x.o_orderkey * 3 + y.o_orderkey) AS BIGINT) AS keys FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.a <= y.b AND y.a <= x.b AND x.o_orderkey % 2 = 0 AND y.o_orderkey % 2 = 1 GROUP BY 1""",
+)
+def overlapping_stays(t):
+    """Stays of a customer that share a day, even order numbers against odd ones."""
+    day = F.col("o_orderdate").cast("date")
+    s = t.orders.select("o_orderkey", "o_custkey", day.alias("a"), F.date_add(day, (F.col("o_orderkey") % 30).cast("int")).alias("b"))
+    met = O.overlap_join(s.where("o_orderkey % 2 = 0"), s.where("o_orderkey % 2 = 1"), ("a", "b"), ("a", "b"), ["o_custkey"])
+    return met.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("o_orderkey") * 3 + F.col("o_orderkey_right")).alias("keys"))

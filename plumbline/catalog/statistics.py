@@ -194,6 +194,26 @@ def rows_to_break_gap(t):
     return g.withColumns({"gap": F.round("gap", 4), "fraction": F.round("fraction", 6)})
 
 
+@query(
+    "fewest_rows_to_break",
+    f"""WITH d AS {GAP_SQL}, s AS (SELECT avg(v) FILTER (WHERE grp = 'A') AS ma, avg(v) FILTER (WHERE grp = 'B') AS mb FROM d), g AS (SELECT ma - mb AS gap, CASE WHEN ma >= mb THEN 'A' ELSE 'B' END AS hi FROM s),
+         h AS (SELECT row_number() OVER (ORDER BY v DESC, o_orderkey) AS i, sum(v) OVER () AS t, count(*) OVER () AS n, sum(v) OVER (ORDER BY v DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS r FROM d, g WHERE grp = hi),
+         l AS (SELECT row_number() OVER (ORDER BY v, o_orderkey) AS j, sum(v) OVER () AS t, count(*) OVER () AS n, sum(v) OVER (ORDER BY v, o_orderkey ROWS UNBOUNDED PRECEDING) AS r FROM d, g WHERE grp <> hi),
+         a AS (SELECT 0 AS i, greatest(ma, mb) AS m FROM s UNION ALL SELECT i, (t - r) / (n - i) FROM h WHERE i < n), b AS (SELECT 0 AS j, least(ma, mb) AS m FROM s UNION ALL SELECT j, (t - r) / (n - j) FROM l WHERE j < n),
+         f AS (SELECT x.i, y.j, x.m - y.m AS remains FROM (SELECT i, m, m - 0.25 * abs(gap) AS need FROM a, g) x ASOF JOIN (SELECT min(j) AS j, m FROM b GROUP BY m) y ON x.need <= y.m),
+         k AS (SELECT * FROM f ORDER BY i + j, i LIMIT 1), n AS (SELECT count(*) AS n FROM d WHERE grp IN ('A', 'B')),
+         gone AS (SELECT v, o_orderkey, grp FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN grp = hi THEN -v ELSE v END, o_orderkey) AS p FROM d, g WHERE grp IN ('A', 'B')), k, g WHERE p <= CASE WHEN grp = g.hi THEN k.i ELSE k.j END),
+         seg AS (SELECT 'grp = ' || grp AS segment, count(*) AS c FROM gone GROUP BY grp ORDER BY count(*) DESC, 1 LIMIT 1)
+        SELECT round(gap, 4) AS gap, CAST(i + j AS BIGINT) AS rows_to_break, CAST(i AS BIGINT) AS from_higher, CAST(j AS BIGINT) AS from_lower, n AS "rows", round((i + j) / n, 6) AS fraction,
+               CASE WHEN remains < 0 THEN 'reverses' ELSE 'disappears' END AS mode, CASE WHEN (i + j) / n <= 0.1 THEN 'fragile' WHEN (i + j) / n <= 0.3 THEN 'moderate' ELSE 'robust' END AS severity,
+               segment, round(c / (i + j), 6) AS segment_share FROM g, k, n, seg""",
+)
+def fewest_rows_to_break(t):
+    """The fewest rows that carry the gap of two groups, and the group most of them are in."""
+    g = S.fewest_rows_to_break_gap(gap_table(t), "v", "grp", "A", "B", "o_orderkey", ["grp"])
+    return g.withColumns({"gap": F.round("gap", 4), "fraction": F.round("fraction", 6), "segment_share": F.round("segment_share", 6)})
+
+
 @query("robustness_verdict")
 def robustness_verdict(t):
     d = gap_table(t)

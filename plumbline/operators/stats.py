@@ -13,7 +13,8 @@ from plumbline.functions.distributions import chi_square_p_value, t_p_value
 from plumbline.functions.ordering import with_order
 from plumbline.functions.stats import quantile_map, scalar_row
 from plumbline.model import any_of, col, stack_structs
-from plumbline.session import spread
+from plumbline.operators.ordered_joins import asof_join
+from plumbline.session import cut_lineage, spread
 
 Z_SCORES = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 
@@ -207,6 +208,58 @@ def rows_to_break_gap(df: DataFrame, value: str, group: str, a, b, key: str, van
     )
 
 
+def fewest_rows_to_break_gap(df: DataFrame, value: str, group: str, a, b, key: str, segments: Sequence[str] = (), vanish: float = 0.25) -> DataFrame:
+    """The fewest rows whose removal erases or reverses the gap of two means, and who carries them.
+
+    To lower the higher mean its largest values go first, to raise the lower mean its smallest. With i
+    taken from the one side, the least j from the other falls as i grows, so a frontier of one
+    (i, j) for each i holds the least i + j: prefix sums in range buckets, and an as-of join of both
+    sides' means. Each group keeps a row. ``segment`` is the value of one of ``segments`` that most of
+    the rows taken have (``column = value``), ``segment_share`` its part of them; ties by name. Ties of
+    i + j go to the least i. Rows without a value play no part; where nothing breaks the gap,
+    or a group is empty or there is no gap, ``rows_to_break`` is null.
+    """
+    v = col(value).cast("double")
+    d = df.where(col(group).isin(a, b) & v.isNotNull() & ~F.isnan(v))
+    sums = [F.sum(F.when(col(group) == g, v)).alias(f"s{i}") for i, g in enumerate((a, b))] + [F.count(F.when(col(group) == g, v)).alias(f"n{i}") for i, g in enumerate((a, b))]
+    t = d.agg(*sums).first()
+    spark = df.sparkSession
+    schema = "gap double, rows_to_break long, from_higher long, from_lower long, rows long, fraction double, mode string, severity string, segment string, segment_share double"
+    if not t.n0 or not t.n1:
+        return spark.createDataFrame([(None, None, None, None, t.n0 + t.n1, None, "stable", "robust", None, None)], schema)
+    gap = t.s0 / t.n0 - t.s1 / t.n1
+    high, low = ((a, t.s0, t.n0), (b, t.s1, t.n1)) if gap >= 0 else ((b, t.s1, t.n1), (a, t.s0, t.n0))
+
+    def side(which: tuple, sign: int) -> DataFrame:
+        """The rows of one group in the order they go, with what is left of the mean after each."""
+        name, total, n = which
+        x = d.where(col(group) == name).select((v * sign).alias("_o"), v.alias("_v"), col(key).alias("_key"), *[col(c).cast("string").alias(f"_g{i}") for i, c in enumerate(segments)])
+        x = with_order(x, "_o", "_key", running_sum=["_v"])
+        return x.withColumn("_mean", F.when(F.col("_pos") < n, (F.lit(total) - F.col("run__v")) / (F.lit(n) - F.col("_pos"))))
+
+    tops, bottoms = cut_lineage(side(high, -1)), cut_lineage(side(low, 1))
+    steps = lambda x, which: x.where("_mean is not null").select(F.col("_pos").alias("k"), F.col("_mean").alias("m")).unionByName(spark.range(0, 1, 1, 1).select(F.lit(0).cast("long").alias("k"), F.lit(which[1] / which[2]).alias("m")))
+    left = steps(tops, high).select(F.col("k").alias("i"), (F.col("m") - vanish * abs(gap)).alias("need"))
+    right = steps(bottoms, low).groupBy(F.col("m").alias("have")).agg(F.min("k").alias("j"))
+    frontier = asof_join(left, right, "need", "have", direction="forward").where("j is not null")
+    best = frontier.agg(F.min(F.struct((F.col("i") + F.col("j")).alias("k"), "i", "j")).alias("b")).first().b if gap else None
+    n = t.n0 + t.n1
+    if best is None:
+        return spark.createDataFrame([(gap, None, None, None, n, None, "stable", "robust", None, None)], schema)
+    gone = tops.where(F.col("_pos") <= best.i).unionByName(bottoms.where(F.col("_pos") <= best.j))
+    out_h, out_l = (x.where(F.col("_pos") <= k).agg(F.coalesce(F.sum("_v"), F.lit(0.0))).first()[0] for x, k in ((tops, best.i), (bottoms, best.j)))
+    remains = (high[1] - out_h) / (high[2] - best.i) - (low[1] - out_l) / (low[2] - best.j)
+    share = best.k / n
+    level = "fragile" if share <= 0.10 else "moderate" if share <= 0.30 else "robust"
+    row = spark.createDataFrame([(gap, best.k, best.i, best.j, n, share, "reverses" if remains < 0 else "disappears", level)], schema.split(", segment")[0])
+    if not segments:
+        return row.select("*", F.lit(None).cast("string").alias("segment"), F.lit(None).cast("double").alias("segment_share"))
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"_g{i}").alias("g")) for i, c in enumerate(segments)])
+    counts = gone.select(F.explode(cells).alias("x")).where("x.g is not null").groupBy(F.concat_ws(" = ", "x.c", "x.g").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    most = counts.agg(F.min_by(F.struct("segment", "n"), F.struct(-F.col("n"), F.col("segment"))).alias("b"))
+    return row.join(most).select(*row.columns, F.col("b.segment").alias("segment"), (F.col("b.n") / best.k).alias("segment_share"))
+
+
 def robustness_verdict(stress: DataFrame, gap: DataFrame) -> DataFrame:
     """One verdict from the stress tests and the gap test."""
     s = stress.agg(F.count_if(~F.col("robust")).alias("weak_checks"))
