@@ -43,7 +43,9 @@ def op9_mixing(spark: SparkSession, root: str) -> DataFrame:
     from plumbline.llm import mixing
 
     mixed = mixing.mix(table(spark, root, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    # training positions: the times from 0 to 1 at which the first and the last copy are due
+    last = F.try_element_at("copies", F.lit(-1))["due"]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("due", 9).alias("due"), F.round(last, 9).alias("last_due"))
 
 
 SQL["op9_mixing"] = r"""
@@ -65,16 +67,30 @@ with docs as (
 ), level as (
   select arg_min(level, weights) as level from levels where next_ratio is null or next_ratio >= level
 ), shares as (
-  select s, source_size, case when 2.0 * source_size < weight * level then 2.0 * source_size else weight * level end as target
+  select s, weight, source_size, case when 2.0 * source_size < weight * level then 2.0 * source_size else weight * level end as target
   from sources, level
 ), placed as (
-  select doc_id, size, source_size, target, floor(target)::bigint as asked,
+  select doc_id, size, weight, source_size, target, floor(target)::bigint as asked,
     coalesce(sum(size) over (partition by s order by o, size rows between unbounded preceding and 1 preceding), 0) as start
   from docs join shares using (s)
+), walked as (
+  select *, asked // greatest(source_size, 1) as laps, greatest(0, least(size, asked % greatest(source_size, 1) - start)) as rest,
+    -- weights at times 0, 1/2 and 1
+    case weight when 5 then [1.5, 1, 0.5] when 2 then [1, 1, 1] else [0.5, 1, 1.5] end::double[] as w
+  from placed
+), parts as (
+  -- shares of the demand at the middle of the first and of the last copy
+  select *, case when laps > 0 and size > 0 then (start + size / 2) / asked when rest > 0 then (start + rest / 2) / asked end as p1,
+    case when rest > 0 then (laps * source_size + start + rest / 2) / asked when laps > 0 and size > 0 then ((laps - 1) * source_size + start + size / 2) / asked end as p2
+  from walked
+), due as (
+  select *, list_transform([p1, p2], lambda p: case
+    when p <= (w[1] + w[2]) / 4 then (p * 4 / (w[1] + w[2])) * (w[1] + w[2]) / (w[1] + sqrt(w[1] * w[1] + (p * 4 / (w[1] + w[2])) * (w[2] * w[2] - w[1] * w[1]))) / 2
+    else (1 + ((p - (w[1] + w[2]) / 4) * 4 / (w[2] + w[3])) * (w[2] + w[3]) / (w[2] + sqrt(w[2] * w[2] + ((p - (w[1] + w[2]) / 4) * 4 / (w[2] + w[3])) * (w[3] * w[3] - w[2] * w[2])))) / 2 end) as t
+  from parts
 )
-select doc_id, size::bigint as size, source_size, target::double as target,
-  ((asked // greatest(source_size, 1)) * size + greatest(0, least(size, asked % greatest(source_size, 1) - start)))::bigint as taken
-from placed
+select doc_id, size::bigint as size, source_size, target::double as target, (laps * size + rest)::bigint as taken, round(t[1], 9) as due, round(t[2], 9) as last_due
+from due
 """
 
 
