@@ -226,7 +226,8 @@ def op2_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     from plumbline.llm import secret_scan
 
     found = secret_scan.scan(table(spark, root, "documents"))
-    return found.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_owned", "n_copied")
+    verdicts = ["n_owned", "n_shared", "n_copied", "most_owners", "most_repositories"]
+    return found.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", *verdicts)
 
 
 def _secret_sql() -> str:
@@ -253,23 +254,28 @@ with texts as (
   select *, len(value) >= 16 and regexp_matches(value, '[A-Za-z]') and regexp_matches(value, '[0-9].*[0-9]') as candidate,
     kind <> 'token' and (kind <> 'assign' or len(value) >= 6) as base
   from valued
+), held as (
+  select distinct value, coalesce(source, chr(0)) as owner, doc_id from spans where candidate
 ), owners as (
-  select value, count(distinct coalesce(source, chr(0))) as n from spans where candidate group by value
+  select value, count(distinct owner) as n, count(*) as repositories, case when count(distinct owner) >= 3 or count(*) >= 10 then 'copied' when count(distinct owner) = 1 then 'owned' else 'shared' end as verdict
+  from held group by value
 ), listed as (
   select doc_id, "end" - len(m) as start, "end", kind, case kind when 'assign' then 0 when 'access' then 1 else 2 end as o from spans where base
   union
-  select doc_id, "end" - len(value), "end", 'owned', 3 from spans join owners using (value) where candidate and n = 1
+  select doc_id, "end" - len(value), "end", 'owned', 3 from spans join owners using (value) where candidate and verdict = 'owned'
 ), joined as (
   select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
     string_agg(kind || ':' || start::bigint || ':' || "end"::bigint, ',' order by start, o, "end") filter (o < 3) as base,
     string_agg(kind || ':' || start::bigint || ':' || "end"::bigint, ',' order by start, o, "end") as spans
   from listed group by doc_id
 ), counted as (
-  select doc_id, count(distinct value) filter (n = 1) as n_owned, count(distinct value) filter (n >= 3) as n_copied
+  select doc_id, count(distinct value) filter (verdict = 'owned') as n_owned, count(distinct value) filter (verdict = 'shared') as n_shared,
+    count(distinct value) filter (verdict = 'copied') as n_copied, max(n) as most_owners, max(repositories)::bigint as most_repositories
   from spans join owners using (value) where candidate group by doc_id
 )
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
-  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_owned, 0) as n_owned, coalesce(n_copied, 0) as n_copied
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_owned, 0) as n_owned, coalesce(n_shared, 0) as n_shared, coalesce(n_copied, 0) as n_copied,
+  coalesce(most_owners, 0) as most_owners, coalesce(most_repositories, 0) as most_repositories
 from documents left join joined using (doc_id) left join counted using (doc_id)
 """
 

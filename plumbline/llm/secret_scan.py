@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates are the base patterns' values and other long tokens that look random. Their digests are
-counted over the corpus by distinct repositories and owners. A candidate that several owners hold
-is an example that gets copied; one that a single owner holds looks live, and its place is added to
-the spans. Built-in functions only; no value is written anywhere, only digests and lengths.
+counted over the corpus by distinct repositories and owners. A candidate that several owners hold,
+or that stands in many repositories, is an example that gets copied; one that a single owner holds
+in few repositories looks live, and its place is added to the spans; the rest is shared. Built-in functions only; no value is written anywhere, only digests and lengths.
 """
 from __future__ import annotations
 
@@ -25,10 +25,11 @@ ASSIGN = f"""({KEYWORD})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # Runs are maximal, so a least length inside the pattern drops the same matches as a filter afterwards.
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+TOKEN = "[A-Za-z0-9+/_-]{20,}={0,2}"  # not across an equals sign: of key=value the value alone
 KINDS = ("assign", "access", "hex", "owned")
+VERDICTS = ("owned", "shared", "copied")
 LEAST_ASSIGNED, LEAST_LIVE = 6, 16
-ONE_OWNER, WIDE = 1, 3
+WIDE_OWNERS, WIDE_REPOSITORIES = 3, 10
 
 
 def looks_random(value: Column) -> Column:
@@ -81,20 +82,29 @@ def spans_of(table: DataFrame) -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """Per candidate digest the numbers of distinct owners and repositories. A missing owner counts as one owner."""
+    """Per candidate digest the numbers of distinct owners and repositories, and the ``verdict`` on it.
+
+    ``copied`` from ``WIDE_OWNERS`` owners or ``WIDE_REPOSITORIES`` repositories on, else ``owned`` by
+    one owner, else ``shared``. A missing owner counts as one owner, a missing repository of an owner
+    as one repository. Repositories are counted within their owner, so a value that one owner
+    holds in very many rows is pre-aggregated by owner and repository first.
+    """
     held = spans.where("candidate").select("digest", "owner", "repository").distinct()
     by_owner = held.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    return by_owner.groupBy("digest").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    found = by_owner.groupBy("digest").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    wide = (F.col("owners") >= WIDE_OWNERS) | (F.col("repositories") >= WIDE_REPOSITORIES)
+    return found.withColumn("verdict", F.when(wide, "copied").when(F.col("owners") == 1, "owned").otherwise("shared"))
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Per row: ``doc``, counts of base spans by kind, ``base``, ``spans``, ``n_owned``, ``n_copied``.
+    """Per row: ``doc``, counts of base spans by kind, ``base``, ``spans``, ``n_owned``, ``n_shared``, ``n_copied``, ``most_owners``, ``most_repositories``.
 
     Base spans are whole matches: ``assign`` with a value of 6 characters or more, ``access`` of 20,
     ``hex`` of 24; leftmost, not overlapping within a kind. ``owned`` spans are places of values (of
-    base spans and of other tokens of 20 characters or more) that look random and are held by one
-    owner only; the same place is given once. ``n_owned`` and ``n_copied`` count the row's distinct
-    candidates of one owner, and of ``WIDE`` owners or more. Spans are ``kind:start:end`` by start,
+    base spans and of other tokens of 20 characters or more) that look random and have that verdict
+    (see ``ownership``); the same place is given once. ``n_owned``, ``n_shared`` and ``n_copied`` count
+    the row's distinct candidates by verdict, ``most_owners`` and ``most_repositories`` are the largest
+    counts of any of them, 0 without candidates. Spans are ``kind:start:end`` by start,
     then kind as listed, in code points, the end not included. Null and empty texts have none;
     repeated rows are rows of their own in one repository.
     """
@@ -102,16 +112,15 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "s
     spans = written(spans_of(table), "secret-spans")
     known = ownership(spans)
     judged = spans.where("candidate").join(known, "digest").select(
-        "row", "digest", (F.col("end") - F.col("value_length")).alias("start"), "end", "owners"
+        "row", "digest", (F.col("end") - F.col("value_length")).alias("start"), "end", "owners", "repositories", "verdict"
     )
     place = lambda kind, order: F.struct(F.col("start").cast("long").alias("start"), order.alias("order"), kind.alias("kind"), F.col("end").cast("long").alias("end"))
     order = F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).otherwise(2)
-    base = spans.where("base").select("row", place(F.col("kind"), order).alias("s"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("owners"))
-    owned = judged.select("row", F.when(F.col("owners") <= ONE_OWNER, place(F.lit("owned"), F.lit(3))).alias("s"), "digest", "owners")
-    per_row = base.unionByName(owned).groupBy("row").agg(
-        F.array_sort(F.collect_set("s")).alias("s"),
-        F.size(F.collect_set(F.when(F.col("owners") <= ONE_OWNER, F.col("digest")))).cast("long").alias("n_owned"),
-        F.size(F.collect_set(F.when(F.col("owners") >= WIDE, F.col("digest")))).cast("long").alias("n_copied"),
+    base = spans.where("base").select("row", place(F.col("kind"), order).alias("s"))
+    owned = judged.select("row", F.when(F.col("verdict") == "owned", place(F.lit("owned"), F.lit(3))).alias("s"), "digest", "owners", "repositories", "verdict")
+    distinct = lambda v: F.size(F.collect_set(F.when(F.col("verdict") == v, F.col("digest")))).cast("long").alias(f"n_{v}")
+    per_row = base.unionByName(owned, allowMissingColumns=True).groupBy("row").agg(
+        F.array_sort(F.collect_set("s")).alias("s"), *map(distinct, VERDICTS), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories")
     )
     joined = table.select("row", "doc").join(per_row, "row", "left")
     all_spans = F.coalesce("s", F.array().cast(per_row.schema["s"].dataType))
@@ -123,6 +132,5 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "s
         *[number(k) for k in KINDS[:3]],
         shown(F.filter(all_spans, is_base)).alias("base"),
         shown(all_spans).alias("spans"),
-        F.coalesce("n_owned", F.lit(0)).cast("long").alias("n_owned"),
-        F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (*[f"n_{v}" for v in VERDICTS], "most_owners", "most_repositories")],
     )

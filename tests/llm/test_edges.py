@@ -116,7 +116,7 @@ def test_secrets(docs, no_docs):
     kinds = {"assign": secret_scan.ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
     least = {"assign": 6, "access": 20, "hex": 24}
     assert len(got) == len(rows())
-    for (doc, n_assign, n_access, n_hex, base, spans, _, _), (_, text, _) in zip(got, sorted(texts(), key=lambda r: (r[0] or 0, r[1]))):
+    for (doc, n_assign, n_access, n_hex, base, spans, *_), (_, text, _) in zip(got, sorted(texts(), key=lambda r: (r[0] or 0, r[1]))):
         found = []
         for order, (kind, pattern) in enumerate(kinds.items()):
             for m in re.finditer(pattern, text):
@@ -131,6 +131,23 @@ def test_secrets(docs, no_docs):
     assert secret_scan.scan(no_docs).collect() == []
 
 
+def test_secret_owners(spark):
+    """One owner in few and in many repositories, two and three owners, and a value behind an equals sign."""
+    value = lambda i: f"tok9en8value7number{i}abcdef"
+    data = [(1, "a", value(1)), (2, "a", value(2)), (2, "b", value(2)), (3, "a", value(3)), (4, "b", value(3)), (5, None, value(3))]
+    data += [(10 + i, "a", value(4)) for i in range(10)] + [(30 + i, "a", value(5)) for i in range(9)] + [(50, "c", f"key={value(6)}"), (51, "c", value(6))]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    got = {}
+    for r in secret_scan.scan(df).collect():
+        got.setdefault(r.doc, (r.n_owned, r.n_shared, r.n_copied, r.most_owners, r.most_repositories, r.spans))
+    assert got[1] == (1, 0, 0, 1, 1, f"owned:0:{len(value(1))}")
+    assert got[2] == (0, 1, 0, 2, 2, "")
+    assert got[3] == (0, 0, 1, 3, 3, "")
+    assert got[10] == (0, 0, 1, 1, 10, "")
+    assert got[30][:5] == (1, 0, 0, 1, 9)
+    assert got[50] == (1, 0, 0, 1, 2, f"owned:4:{4 + len(value(6))}")
+
+
 def test_bpe(docs, no_docs):
     tokenizers = pytest.importorskip("tokenizers")
     spec = tokenizer_spec()
