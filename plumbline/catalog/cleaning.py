@@ -32,7 +32,25 @@ def dirty(t):
       SELECT issue, "column", count, round(count / n * 100, 1) AS pct, fixes FROM i, n WHERE count > 0""",
 )
 def issue_scan(t):
-    return C.scan_issues(dirty(t))
+    return C.scan_issues(dirty(t), near_duplicates=False)
+
+
+@query(
+    "issue_scan_near_duplicates",
+    """WITH d AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN replace(v, 'a', 'e') WHEN p_partkey % 13 = 0 THEN NULL ELSE v END AS item_name
+                  FROM (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS v FROM part)),
+            f AS (SELECT item_name AS v, count(*) AS n FROM d WHERE item_name IS NOT NULL GROUP BY 1),
+            p AS (SELECT sum(a.n * b.n) AS c FROM f a JOIN f b ON a.v < b.v WHERE 1 - levenshtein(a.v, b.v) / greatest(length(a.v), length(b.v)) > 0.9),
+            i AS (SELECT 'nulls' AS issue, 'item_name' AS "column", count(*) FILTER (WHERE item_name IS NULL) AS count,
+                         round(count(*) FILTER (WHERE item_name IS NULL) / count(*) * 100, 1) AS pct, ['drop_rows', 'fill_mode'] AS fixes FROM d
+                  UNION ALL SELECT 'fuzzy_duplicates', 'item_name', CAST(coalesce(c, 0) AS BIGINT), NULL, CAST([] AS VARCHAR[]) FROM p)
+       SELECT * FROM i WHERE count > 0""",
+)
+def issue_scan_near_duplicates(t):
+    """The whole part table, some names misspelt, some missing."""
+    k, v = F.col("p_partkey"), F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    d = t.part.select("p_partkey", F.when(k % 7 == 0, F.replace(v, F.lit("a"), F.lit("e"))).when(k % 13 == 0, None).otherwise(v).alias("item_name"))
+    return C.scan_issues(d, threshold=0.9, metric="levenshtein")
 
 
 @query("fix_fill_mean", f"WITH d AS {DIRTY_SQL} SELECT c_custkey, round(coalesce(price_amount, (SELECT avg(price_amount) FROM d)), 4) AS price_amount FROM d")
@@ -171,7 +189,7 @@ def uncertain_imputations(t):
 def fix_confidence_material(t):
     d = dirty(t)
     stats = d.agg(F.stddev_pop("price_amount") / F.avg("price_amount")).scalar()
-    i = C.scan_issues(d, duplicates=False).select("issue", "column", "pct", F.explode("fixes").alias("fix"))
+    i = C.scan_issues(d, duplicates=False, near_duplicates=False).select("issue", "column", "pct", F.explode("fixes").alias("fix"))
     i = i.where(F.col("fix").isin("fill_mean", "fill_zero", "trim")).withColumns({"cv": stats, "mode_share": F.lit(None).cast("double")})
     return C.fix_confidence(C.material_issues(i, 1.0)).select("issue", "column", "fix", "pct", "score", "confidence")
 

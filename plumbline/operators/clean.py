@@ -10,8 +10,11 @@ from plumbline.functions.stats import scalar_row
 from plumbline.functions.text import parse_number
 from plumbline.model import col, kind_of, matching, numeric_columns, text_columns
 from plumbline.operators.aggregates import duplicate_rows
+from plumbline.operators.fuzzy import fuzzy_duplicates, is_identifier_name
 
 AMOUNT_NAME = r"amount|count|qty|quantity|price|cost|rate|los|stay"
+# Fixed value: names of columns most likely to hold misspelt names.
+NAME_LIKE = r"name|title|company|city|address|email|customer|vendor"
 # Texts that mean "missing".
 FAKE_NULLS = ("null", "n/a", "na", "none", "-", "unknown", "")
 DATE_SHAPES = {
@@ -23,10 +26,38 @@ DATE_SHAPES = {
 CURRENCY_SHAPE = r"^\$?[\d,]+\.?\d*$"
 
 
-def scan_issues(df: DataFrame, amount_columns: Sequence[str] | None = None, duplicates: bool = True) -> DataFrame:
-    """Nulls, padded text, negative amounts and duplicate rows with the fixes on offer.
+def spelling_column(df: DataFrame) -> str | None:
+    """The text column whose values are compared for misspellings: the first with a name-like name, else the first.
 
-    All column checks run as one aggregate over the table; duplicates need one grouping.
+    Identifier-like columns are left out: near-equal identifiers are different records.
+    """
+    names = [c for c in text_columns(df) if not is_identifier_name(c)]
+    return next(iter(matching(names, NAME_LIKE) or names), None)
+
+
+def near_duplicate_pairs(df: DataFrame, column: str, threshold: float = 0.85, metric: str = "both") -> DataFrame:
+    """One row ``near``: how many pairs of rows hold unequal values above a similarity.
+
+    Values are counted first, so a pair of values stands for the product of their rows; pairs of rows are never made.
+    """
+    pairs = fuzzy_duplicates(df, column, threshold, metric)
+    return pairs.agg(F.coalesce(F.sum(F.col("rows_a") * F.col("rows_b")), F.lit(0)).alias("near"))
+
+
+def scan_issues(
+    df: DataFrame,
+    amount_columns: Sequence[str] | None = None,
+    duplicates: bool = True,
+    near_duplicates: bool = True,
+    threshold: float = 0.85,
+    metric: str = "both",
+) -> DataFrame:
+    """Nulls, padded text, negative amounts, duplicate rows and near-duplicate values with the fixes on offer.
+
+    All column checks run as one aggregate over the table; duplicates need one grouping. Near duplicates are
+    sought in ``spelling_column`` and reported as one row without a fix, for review: its count is pairs of rows,
+    so it has no share of the rows. ``metric="levenshtein"`` is the choice for very large vocabularies. A table without
+    rows, or without a text column that is no identifier, gives no such row.
     """
     checks: list[tuple[str, str, list[str]]] = []
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -46,12 +77,16 @@ def scan_issues(df: DataFrame, amount_columns: Sequence[str] | None = None, dupl
     s = df.agg(*aggs)
     row = lambda kind, c, n, fixes: F.struct(
         F.lit(kind).alias("issue"), F.lit(c).cast("string").alias("column"), n.cast("long").alias("count"),
-        F.round(n / F.col("n") * 100, 1).alias("pct"), F.array(*[F.lit(x) for x in fixes]).alias("fixes"),
+        F.round(F.try_divide(n, F.col("n")) * 100, 1).alias("pct"), F.array(*[F.lit(x) for x in fixes]).cast("array<string>").alias("fixes"),
     )
     rows = [row(k, c, F.col(f"c{i}"), fx) for i, (k, c, fx) in enumerate(checks)]
     if duplicates:
         s = s.withColumn("dup", duplicate_rows(df).select("extra_rows").scalar())
         rows.append(row("duplicates", None, F.col("dup"), ["dedupe"]))
+    fuzzy = spelling_column(df) if near_duplicates else None
+    if fuzzy is not None:
+        s = s.withColumn("near", near_duplicate_pairs(df, fuzzy, threshold, metric).scalar())
+        rows.append(row("fuzzy_duplicates", fuzzy, F.col("near"), []).withField("pct", F.lit(None).cast("double")))
     return s.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where(F.col("count") > 0)
 
 

@@ -12,6 +12,7 @@ from plumbline.functions import stats as fstats
 from plumbline.functions.distributions import chi_square_tail, t_two_sided
 from plumbline.functions.ordering import with_order
 from plumbline.functions.text import _jaro_winkler, edit_signatures, jaro_signatures
+from plumbline.operators.clean import scan_issues, spelling_column
 from plumbline.operators.fuzzy import connected_components, fuzzy_duplicates, similar_values
 
 
@@ -137,6 +138,25 @@ def test_seeded_near_duplicates_found_and_ids_refused(spark):
         fuzzy_duplicates(df.withColumnRenamed("patient_name", "claim_id"), "claim_id")
 
 
+def test_issue_scan_reports_near_duplicates(spark):
+    names = ["Jonathan Meyer", "Jonathan Meyar", "Sarah Connor", "Sarha Connor", "Elizabeth Warren", "Priya Patel", "David Kim"]
+    rows = [(f"P{i:04}", n, "Springfield") for i, n in enumerate([*names, names[0], None, ""])]
+    df = spark.createDataFrame(rows, "patient_id string, patient_name string, city string")
+    got = {r.issue: r for r in scan_issues(df).collect()}
+    want = sum(
+        a != b and "" not in (a, b) and max(1 - edit_distance(a, b) / max(len(a), len(b)), _jaro_winkler(a, b)) > 0.85
+        for a, b in itertools.combinations([r[1] for r in rows if r[1] is not None], 2)
+    )
+    near = got["fuzzy_duplicates"]
+    assert (near.column, near["count"], near.pct, near.fixes) == ("patient_name", want, None, []) and want >= 3
+    assert set(got) == {"fuzzy_duplicates", "nulls"}
+    # nothing to report: identifiers only, equal values only, no rows
+    assert scan_issues(df.select("patient_id")).isEmpty()
+    assert scan_issues(df.select("patient_id", "city")).isEmpty()
+    assert scan_issues(df.limit(0)).isEmpty()
+    assert spelling_column(df.select("city", "patient_name")) == "city" and spelling_column(df.select("patient_id")) is None
+
+
 def test_tail_probabilities():
     assert t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-7)
     assert chi_square_tail(15.50731306, 8) == pytest.approx(0.05, abs=1e-7)
