@@ -65,6 +65,20 @@ def isolation_forest(t):
     return N.isolation_forest(d, ["l_quantity", "l_extendedprice", "l_discount"], "id")
 
 
+@query(
+    "gower_knn_scores",
+    """WITH e AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) - min(c_acctbal) AS span, least(greatest(3, least(10, count(*) - 1)), count(*) - 1) AS near FROM customer),
+            p AS (SELECT a.c_custkey, near, abs(a.c_acctbal - b.c_acctbal) / span AS t0, CAST(a.c_mktsegment IS DISTINCT FROM b.c_mktsegment AS INTEGER) AS t1,
+                         CAST(a.c_nationkey IS DISTINCT FROM b.c_nationkey AS INTEGER) AS t2 FROM e, customer a JOIN customer b ON a.c_custkey <> b.c_custkey),
+            r AS (SELECT *, (t0 + t1 + t2) / 3 AS dist, row_number() OVER (PARTITION BY c_custkey ORDER BY (t0 + t1 + t2) / 3, t0, t1, t2) AS rn FROM p)
+       SELECT c_custkey, round(avg(dist), 6) AS raw_score, round(sum(t0) / greatest(sum(t0 + t1 + t2), 1e-12), 4) AS acctbal_share FROM r WHERE rn <= near GROUP BY 1""",
+)
+def gower_knn_scores(t):
+    """Every customer against all others; the SQL forms all pairs."""
+    s = N.gower_knn(t.customer, "c_custkey", ["c_acctbal"], ["c_mktsegment", "c_nationkey"])
+    return s.select(F.col("key").alias("c_custkey"), F.round("raw_score", 6).alias("raw_score"), F.col("contributions")["c_acctbal"].alias("acctbal_share"))
+
+
 @query("gower_knn")
 def gower_knn(t):
     s = N.gower_knn(t.customer, "c_custkey", ["c_acctbal"], ["c_mktsegment", "c_nationkey"])

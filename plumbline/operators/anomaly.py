@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,7 +194,9 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], key: str, trees: int
 
 # ---- nearest-neighbour score --------------------------------------------------------
 
-TILE = 512
+TILE = 512  # points
+FAN = 8  # bits: 256 boxes in one
+TOP = 1024  # boxes that the driver may hold
 
 
 def _terms(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -220,13 +222,37 @@ def _reach(dist: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
     return np.where(total[:, -1] >= k, far, np.inf)
 
 
-def gower_knn(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 10) -> DataFrame:
+def _gaps(own: tuple, lo: np.ndarray, hi: np.ndarray, gaps: np.ndarray, one: np.ndarray, mask: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and widest distance (times the features) between a box and each of many boxes."""
+    own_lo, own_hi, own_gaps, own_one, own_mask = own
+    least, most = np.zeros(len(lo)), np.zeros(len(lo))
+    for i, s in enumerate(spans):
+        gap = gaps[:, i] | own_gaps[i]
+        if s > 0:
+            least += np.clip(np.maximum(lo[:, i] - own_hi[i], own_lo[i] - hi[:, i]) / s, 0, 1)
+            most += np.where(gap, 1.0, np.maximum(hi[:, i] - own_lo[i], own_hi[i] - lo[:, i]) / s)
+        else:
+            most += gap.astype(float)
+    for i in range(len(own_mask)):
+        both = np.array([v is not None for v in one[:, i]]) & (own_one[i] is not None)
+        differ = np.where(both, one[:, i] != own_one[i], (mask[:, i] & own_mask[i]) == 0)
+        least += differ
+        most += ~(both & ~differ)
+    return least, most
+
+
+def gower_knn(
+    df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 10, compared: Accumulator | None = None
+) -> DataFrame:
     """Mean Gower distance of every row to its k nearest other rows, with each feature's share.
 
     Exact at every size. Equal rows become one weighted point; points lie in tiles along a
-    space-filling order within their categories. A tile's own points, and the widest distances to
-    the tiles around it, bound how far a point's neighbours can be; the point is then joined to
-    just those tiles whose box comes nearer than that. Equal distances go by the features' terms.
+    space-filling order within their categories, and ``2 ** FAN`` boxes in a row have one box around
+    them, up to a level of at most ``TOP`` boxes: the only ones that the driver holds. A tile's own
+    points, and the widest distances to the boxes around it, bound how far its neighbours can be; the
+    tile goes down the tree level by level, each level a join, into just those boxes that come nearer
+    than that. At the tiles each point asks on its own bound. Equal distances go by the features' terms.
+    ``compared`` counts the pairs of points compared; a task that runs again adds again.
     """
     nums, cats = list(numeric), list(categorical)
     names, d, m = nums + cats, len(nums), len(nums) + len(cats)
@@ -274,67 +300,123 @@ def gower_knn(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequ
                 at += 1
             yield pd.DataFrame(out, columns=["tile", "x", "c", "w", "total", "lo", "hi", "gaps", "one", "mask"])
 
-    tiles = cut_lineage(laid.select(*fn, *fc, "w").mapInPandas(tile, "tile long, x array<double>, c array<string>, w array<long>, total long, lo array<double>, hi array<double>, gaps array<double>, one array<string>, mask array<long>"))
-    boxes = tiles.select("tile", "total", "lo", "hi", "gaps", "one", "mask").toPandas()  # one row per tile
-    grid = lambda c, n, t=float: np.array([list(v) for v in boxes[c]], dtype=t).reshape(len(boxes), n)
-    one = grid("one", len(cats), object)
-    codes = np.array([pd.factorize(one[:, i])[0] for i in range(len(cats))]).reshape(len(cats), len(boxes)).T
-    shared = df.sparkSession.sparkContext.broadcast((boxes["tile"].to_numpy(), boxes["total"].to_numpy(), grid("lo", d), grid("hi", d), grid("gaps", d) > 0, codes, grid("mask", len(cats), np.int64)))
+    box = "total long, lo array<double>, hi array<double>, gaps array<double>, one array<string>, mask array<long>"
+    tiles = cut_lineage(laid.select(*fn, *fc, "w").mapInPandas(tile, f"tile long, x array<double>, c array<string>, w array<long>, {box}"))
+    parts_of_box = ["total", "lo", "hi", "gaps", "one", "mask"]
+
+    def around(level: DataFrame) -> DataFrame:
+        """Boxes around runs of boxes, each with the boxes in it: at most ``2 ** FAN``, as tiles are numbered in order."""
+        at = lambda c, i: F.element_at(c, i + 1)
+        alike = lambda i: F.when((F.count(at("one", i)) == F.count(F.lit(1))) & (F.min(at("one", i)) == F.max(at("one", i))), F.min(at("one", i)))
+        up = level.groupBy(F.shiftright("node", FAN).alias("up")).agg(
+            F.sort_array(F.collect_list(F.struct("node", *parts_of_box))).alias("kids"),
+            F.sum("total").alias("total"),
+            *[F.array(*[of(at(c, i)) for i in range(n)]).cast(t).alias(c) for c, of, n, t in (
+                ("lo", F.min, d, "array<double>"), ("hi", F.max, d, "array<double>"), ("gaps", F.max, d, "array<double>"), ("mask", F.bit_or, len(cats), "array<long>"),
+            )],
+            F.array(*[alike(i) for i in range(len(cats))]).cast("array<string>").alias("one"),
+        )
+        flat = [F.col("kids.node").alias("k_node"), F.col("kids.total").alias("k_total"), *[F.flatten(f"kids.{c}").alias(f"k_{c}") for c in parts_of_box[1:]]]
+        return cut_lineage(up.select(F.col("up").alias("node"), *parts_of_box, *flat))
 
-    def points_of(r) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(r.x, dtype=float).reshape(-1, d), np.array(list(r.c), dtype=object).reshape(-1, len(cats))
+    levels = [around(tiles.select(F.col("tile").alias("node"), *parts_of_box))]
+    while levels[-1].count() > TOP:
+        levels.append(around(levels[-1].select("node", *parts_of_box)))
+    boxes = levels[-1].select("node", *parts_of_box).toPandas()  # at most TOP boxes
+    stacked = lambda c, n, t=float: np.array([list(v) for v in boxes[c]], dtype=t).reshape(len(boxes), n)
+    shared = df.sparkSession.sparkContext.broadcast((boxes["node"].to_numpy(), boxes["total"].to_numpy(), stacked("lo", d), stacked("hi", d), stacked("gaps", d) > 0, stacked("one", len(cats), object), stacked("mask", len(cats), np.int64)))
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, totals, lo, hi, gaps, code, mask = shared.value
-        place = {t: i for i, t in enumerate(ids)}
+    def points_of(x, c, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(x, dtype=float).reshape(n, d), np.array(list(c), dtype=object).reshape(n, len(cats))
+
+    def own_box(r) -> tuple:
+        return np.array(r.lo, dtype=float), np.array(r.hi, dtype=float), np.array(r.gaps, dtype=float) > 0, list(r.one), np.array(r.mask, dtype=np.int64)
+
+    def kids_of(r) -> tuple:
+        n = len(r.k_node)
+        flat = lambda v, w, t=float: np.array(list(v), dtype=t).reshape(n, w)
+        return np.array(r.k_node), np.array(r.k_total), flat(r.k_lo, d), flat(r.k_hi, d), flat(r.k_gaps, d) > 0, flat(r.k_one, len(cats), object), flat(r.k_mask, len(cats), np.int64)
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes, totals, *rest = shared.value
         for pdf in batches:
+            out = []
             for r in pdf.itertuples():
-                x, c = points_of(r)
+                x, c = points_of(r.x, r.c, len(r.w))
                 w = np.array(r.w)
-                own = place[r.tile]
                 weights = np.tile(w, (len(w), 1)) - np.eye(len(w), dtype=np.int64)
                 limit = _reach(_terms(x, x, c, c, spans).mean(axis=0), weights, near)
-                # a limit from whole tiles: the nearest of them that hold k rows besides the row itself
-                least, most = np.zeros(len(ids)), np.zeros(len(ids))
-                for i, s in enumerate(spans):
-                    if s > 0:
-                        least += np.clip(np.maximum(lo[:, i] - hi[own, i], lo[own, i] - hi[:, i]) / s, 0, 1)
-                        most += np.where(gaps[:, i] | gaps[own, i], 1.0, np.maximum(hi[:, i] - lo[own, i], hi[own, i] - lo[:, i]) / s)
-                    else:
-                        most += (gaps[:, i] | gaps[own, i]).astype(float)
-                for i in range(len(cats)):
-                    both = (code[:, i] >= 0) & (code[own, i] >= 0)
-                    differ = np.where(both, code[:, i] != code[own, i], (mask[:, i] & mask[own, i]) == 0)
-                    least += differ
-                    most += ~(both & ~differ)
-                limit = np.minimum(limit, _reach((most / m)[None, :], totals[None, :], near + 1)[0]) + 1e-9
-                some = np.flatnonzero((least / m <= limit.max()) | (ids == r.tile))
-                bound = np.zeros((len(x), len(some)))
+                # limits from whole boxes: the nearest of them that hold k rows besides the row itself
+                own = own_box(r)
+                least, most = _gaps(own, *rest, spans)
+                _, k_totals, *k_rest = kids_of(r)
+                for far, held in ((most, totals), (_gaps(own, *k_rest, spans)[1], k_totals)):
+                    limit = np.minimum(limit, _reach((far / m)[None, :], held[None, :], near + 1)[0])
+                limit += 1e-9
+                out.append((r.tile, limit, limit.max(), nodes[least / m <= limit.max()], r.lo, r.hi, r.gaps, r.one, r.mask))
+            yield pd.DataFrame(out, columns=["asker", "reach", "widest", "nodes", *parts_of_box[1:]])
+
+    names_in = box.removeprefix("total long, ")
+    siblings = levels[0].select("node", *[c for c in levels[0].columns if c.startswith("k_")])
+    homes = tiles.withColumn("node", F.shiftright("tile", FAN)).join(siblings, "node").drop("node", "total")
+    entered = cut_lineage(spread(homes).mapInPandas(enter, f"asker long, reach array<double>, widest double, nodes array<long>, {names_in}"))
+
+    def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                nodes, _, *rest = kids_of(r)
+                least, _ = _gaps(own_box(r), *rest, spans)
+                out.append((r.asker, r.widest, nodes[least / m <= r.widest], r.lo, r.hi, r.gaps, r.one, r.mask))
+            yield pd.DataFrame(out, columns=["asker", "widest", "nodes", *parts_of_box[1:]])
+
+    def met_boxes(front: DataFrame, level: DataFrame) -> DataFrame:
+        """Askers beside the boxes within the boxes they reached; few boxes are dealt out so that every task has some."""
+        salts = max(1, math.ceil(tasks(df) / level.count()))
+        kids = level.select("node", *[c for c in level.columns if c.startswith("k_")]).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return front.withColumn("_s", F.pmod(F.xxhash64("asker"), F.lit(salts)).cast("int")).join(kids, ["node", "_s"])
+
+    front = entered.select("asker", "widest", F.explode("nodes").alias("node"), *parts_of_box[1:])
+    for level in levels[:0:-1]:
+        down = met_boxes(front, level).mapInPandas(descend, f"asker long, widest double, nodes array<long>, {names_in}")
+        front = cut_lineage(down.select("asker", "widest", F.explode("nodes").alias("node"), *parts_of_box[1:]))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                x, c = points_of(r.x, r.c, len(r.reach))
+                limit = np.array(r.reach)
+                ids, _, lo, hi, _, _, mask = kids_of(r)
+                bound = np.zeros((len(x), len(ids)))
                 for i, s in enumerate(spans):
                     if s > 0:
                         v = x[:, i][:, None]
-                        bound += np.where(np.isnan(v), 1.0, np.clip(np.maximum(lo[some, i] - v, v - hi[some, i]) / s, 0, 1))
+                        bound += np.where(np.isnan(v), 1.0, np.clip(np.maximum(lo[:, i] - v, v - hi[:, i]) / s, 0, 1))
                 for i in range(len(cats)):
                     bit = np.array([0 if v is None else 1 << (zlib.crc32(v.encode()) % 63) for v in c[:, i]], dtype=np.int64)
-                    bound += (bit[:, None] & mask[some, i][None, :]) == 0
+                    bound += (bit[:, None] & mask[:, i][None, :]) == 0
                 wanted = bound / m <= limit[:, None]
-                wanted[:, some == own] = True
+                wanted[:, ids == r.asker] = True
                 out = []
-                for j, b in enumerate(some):
+                for j, b in enumerate(ids):
                     ix = np.flatnonzero(wanted[:, j])
                     if len(ix):
-                        out.append((ids[b], r.tile, ix, x[ix].ravel(), list(c[ix].ravel()), limit[ix]))
+                        out.append((b, r.asker, ix, x[ix].ravel(), list(c[ix].ravel()), limit[ix]))
                 for start in range(0, len(out), 256):
                     yield pd.DataFrame(out[start : start + 256], columns=["tile", "asker", "ix", "x", "c", "reach"])
 
-    asked = spread(tiles.select("tile", "x", "c", "w")).mapInPandas(ask, "tile long, asker long, ix array<long>, x array<double>, c array<string>, reach array<double>")
+    askers = entered.select("asker", "reach").join(tiles.select(F.col("tile").alias("asker"), "x", "c"), "asker")
+    asking = met_boxes(front.select("asker", "node").join(askers, "asker"), levels[0])
+    asked = asking.mapInPandas(ask, "tile long, asker long, ix array<long>, x array<double>, c array<string>, reach array<double>")
     met = asked.join(tiles.select("tile", F.col("x").alias("tx"), F.col("c").alias("tc"), F.col("w").alias("tw")), "tile")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                x, c = points_of(r)
-                y, e = np.array(r.tx, dtype=float).reshape(-1, d), np.array(list(r.tc), dtype=object).reshape(-1, len(cats))
+                x, c = points_of(r.x, r.c, len(r.ix))
+                y, e = points_of(r.tx, r.tc, len(r.tw))
+                if compared is not None:
+                    compared.add(len(x) * len(y))
                 terms = _terms(x, y, c, e, spans)
                 dist = terms.mean(axis=0)
                 weights = np.tile(np.array(r.tw), (len(x), 1))

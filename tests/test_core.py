@@ -284,3 +284,42 @@ def test_near_descriptions_lose_no_pair(spark):
     want = {(r.a, r.b) for r in p.where(bigram_dice(F.col("wa"), F.col("wb")) >= 0.9).collect()}
     got = [(r.a, r.b) for r in near_descriptions(d, "n", "w").collect()]
     assert (0, 1) in want and set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("copies", [1, 8])
+def test_neighbour_tree_of_many_levels(spark, monkeypatch, copies):
+    """Small boxes, so that the tree has several levels: nothing but the top at the driver, answers as by all pairs."""
+    from plumbline.operators import anomaly
+
+    for name, v in (("TILE", 16), ("FAN", 1), ("TOP", 2)):
+        monkeypatch.setattr(anomaly, name, v)
+    rng, n = np.random.default_rng(5), 400 * copies
+    # clusters far apart, the same number of rows in each; more rows, more clusters
+    at = rng.integers(0, 4 * copies, n)
+    a, b, c = at * 10.0 + rng.normal(size=n) / 10, at * -7.0 + rng.normal(size=n) / 10, np.array([f"k{i % 3}" for i in at], dtype=object)
+    a[:3], c[5:9] = np.nan, None
+    d = spark.createDataFrame([(i, None if np.isnan(a[i]) else float(a[i]), float(b[i]), c[i]) for i in range(n)], "id long, a double, b double, c string")
+    pairs = spark.sparkContext.accumulator(0)
+    got = {r.key: r.raw_score for r in anomaly.gower_knn(d, "id", ["a", "b"], ["c"], 5, pairs).collect()}
+    terms = [np.nan_to_num(np.abs(x[:, None] - x[None, :]) / np.ptp(x[~np.isnan(x)]), nan=1.0) for x in (a, b)]
+    terms.append(np.array([[0.0 if v is not None and v == u else 1.0 for v in c] for u in c]))
+    dist = np.mean(terms, axis=0)
+    np.fill_diagonal(dist, np.inf)
+    want = np.sort(dist, axis=1)[:, :5].mean(axis=1)
+    assert [got[i] for i in range(n)] == pytest.approx(list(want), abs=1e-12)
+    # pairs compared grow with the rows, not with their square
+    assert pairs.value < 300 * n
+
+
+def test_neighbours_of_one_kind_of_column(spark):
+    from plumbline.operators.anomaly import gower_knn
+
+    d = spark.createDataFrame([(i, float(i % 4), "xy"[i % 2]) for i in range(9)], "id long, a double, c string")
+    for nums, cats in ((["a"], []), ([], ["c"])):
+        rows = d.collect()
+        for r in gower_knn(d, "id", nums, cats, 3).collect():
+            me = rows[r.key]
+            far = sorted(abs(o.a - me.a) / 3 if nums else float(o.c != me.c) for o in rows if o.id != me.id)
+            assert r.raw_score == pytest.approx(sum(far[:3]) / 3)
+    assert gower_knn(d.limit(0), "id", ["a"], ["c"]).isEmpty()
+    assert gower_knn(d.limit(1), "id", ["a"], ["c"]).first().raw_score is None
