@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog import query
 from plumbline.functions import text as X
 from plumbline.operators import fuzzy as Z
+from plumbline.operators import vector_index as I
 from plumbline.operators import vectors as V
 from plumbline.session import spread
 
@@ -115,6 +116,18 @@ def vector_top_k(t):
     return V.top_k(t.embeddings, "vec_id", "embedding", q, "query_id", "qv", 5).withColumn("score", F.round("score", 6))
 
 
+@query(
+    "vector_top_k_indexed",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+            s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS score FROM e AS q, e WHERE q.vec_id % 50 = 0)
+       SELECT query_id, vec_id, round(score, 6) AS score, CAST(rk AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rk FROM s) WHERE rk <= 10""",
+)
+def vector_top_k_indexed(t):
+    """Nearest ten for every vector whose id is divisible by 50, among all, through the index."""
+    q = t.embeddings.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return I.indexed_top_k(t.embeddings, "vec_id", "embedding", q, "query_id", "qv", 10).withColumn("score", F.round("score", 6))
+
+
 @query(
     "chunk_documents",
     r"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents WHERE trim(text) <> ''),
