@@ -54,6 +54,33 @@ def noised_counts(t):
     return K.noised_counts(t.customer, "c_mktsegment", 0.5, SECRET).withColumn("noised", F.round("noised", 6))
 
 
+# Three orders of each customer, by keyed draw.
+BOUNDED_SQL = f"""(SELECT * FROM (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY {_draw("'row:' || CAST(o_orderkey AS VARCHAR)")}, o_orderkey) AS place FROM orders) WHERE place <= 3)"""
+
+
+@query("bounded_sums", f"SELECT o_orderpriority AS key, round(sum(least(150000.0, o_totalprice)), 2) AS total, count(*) AS n FROM {BOUNDED_SQL} GROUP BY 1")
+def bounded_sums(t):
+    """Order values by priority, each customer held to three orders of at most 150,000."""
+    return K.bounded_sums(t.orders, "o_orderpriority", "o_totalprice", "o_custkey", "o_orderkey", SECRET, 3, 150_000.0).withColumn("total", F.round("total", 2))
+
+
+@query(
+    "noised_sums",
+    f"""WITH r AS {BOUNDED_SQL}, c AS (SELECT CAST(ceil(log2(o_totalprice)) AS INTEGER) AS power, count(*) AS n FROM r GROUP BY 1),
+             u AS (SELECT power, {_draw("'bound:' || CAST(power AS VARCHAR)")} AS u, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(generate_series(-64, 64)) AS INTEGER) AS power) LEFT JOIN c USING (power)),
+             h AS (SELECT power, {_noised(15.0)} AS n FROM u), s AS (SELECT power, sum(n) OVER (ORDER BY power) AS upto, sum(n) OVER () AS total FROM h),
+             b AS (SELECT pow(2.0, min(power)) AS bound FROM s WHERE upto >= 0.95 * total),
+             g AS (SELECT o_orderpriority AS key, bound, sum(least(bound, o_totalprice)) AS total, count(*) AS n FROM r, b GROUP BY 1, 2),
+             d AS (SELECT *, {_draw("'total:g' || key")} - 0.5 AS ut, {_draw("'count:g' || key")} AS u FROM g),
+             f AS (SELECT key, bound, total - bound * 3 / 0.4 * sign(ut) * ln(1 - 2 * abs(ut)) AS total, {_noised(7.5)} AS n FROM d)
+        SELECT key, round(total, 1) AS total, round(n, 4) AS n, round(greatest(-bound, least(bound, total / greatest(1.0, n))), 4) AS mean, bound FROM f""",
+)
+def noised_sums(t):
+    """Sums, counts and means of order values by priority, with noise fitted to what one customer can change."""
+    s = K.noised_sums(t.orders, "o_orderpriority", "o_totalprice", "o_custkey", "o_orderkey", 1.0, SECRET, 3)
+    return s.select("key", F.round("total", 1).alias("total"), F.round("n", 4).alias("n"), F.round("mean", 4).alias("mean"), "bound")
+
+
 @query(
     "private_histogram",
     f"""WITH s AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 20 AS w FROM orders),

@@ -11,6 +11,8 @@ from plumbline.functions.stats import scalar_row
 from plumbline.model import col, kind_of, stack_structs
 from plumbline.session import cut_lineage
 
+GRID = (-64, 64)  # powers of two among which a bound of values is sought
+
 # The eighteen identifier categories, by column name and by value shape.
 IDENTIFIERS: list[tuple[str, str, str | None]] = [
     ("names", r"(^|_)(name|surname|first_?name|last_?name|full_?name|middle_?name|maiden|given|patient|provider_name)($|_)", None),
@@ -112,6 +114,101 @@ def noised_counts(df: DataFrame, group: str, epsilon: float, secret: str) -> Dat
     return g.select("key", F.greatest(F.lit(0.0), F.col("n") + laplace(1 / epsilon, secret, name)).alias("noised"))
 
 
+def bounded_rows(df: DataFrame, person: str, key: str, secret: str, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` rows of each person, those with the least keyed draw of ``key``.
+
+    Which rows stay depends on the person's own rows alone, so leaving a person out changes no one else's. Each task
+    keeps that many rows of a person before the shuffle, so a person with very many rows fills no task.
+    Rows without a person stand for a person each.
+    """
+    if max_rows < 1:
+        raise ValueError("max_rows must be at least 1")
+    names = fresh_names(df, "who", "draw", "place")
+    who, draw, place = (F.col(n) for n in names)
+    # a mark keeps a row without a person apart from a person named like its key
+    one = F.when(col(person).isNotNull(), F.concat(F.lit("p"), col(person).cast("string"))).otherwise(F.concat(F.lit("k"), F.coalesce(col(key).cast("string"), F.lit(""))))
+    drawn = df.withColumns({names[0]: one, names[1]: uniform(secret, F.lit("row"), F.coalesce(col(key).cast("string"), F.lit("(null)")))})
+    w = Window.partitionBy(who).orderBy(draw, col(key))
+    return drawn.withColumn(names[2], F.row_number().over(w)).where(place <= max_rows).drop(*names)
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"_{n}"
+        while n in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def value_bound(df: DataFrame, value: str, secret: str, epsilon: float, max_rows: int, share: float = 0.95) -> Column:
+    """A power of two that about ``share`` of the values do not exceed in size, found from noised counts.
+
+    The counts of a fixed grid of powers are noised for ``max_rows`` rows of a person in all, so the bound gives away
+    no more than ``epsilon``; it is 0 only where the grid's noised total is not above 0.
+    """
+    x = F.abs(col(value).cast("double"))
+    p = F.when(x <= 2.0**GRID[0], GRID[0]).when(x > 2.0 ** GRID[1], GRID[1]).otherwise(F.ceil(F.log2(x))).cast("int")
+    # rounding of the logarithm must not leave a value above its own power of two
+    p = F.when((x <= 2.0 ** GRID[1]) & (F.pow(F.lit(2.0), p) < x), p + 1).otherwise(p)
+    counts = df.where(usable(value)).groupBy(p.alias("power")).agg(F.count(F.lit(1)).alias("n"))
+    grid = df.sparkSession.range(GRID[0], GRID[1] + 1).select(F.col("id").cast("int").alias("power"))
+    noise = laplace(max_rows / epsilon, secret, F.lit("bound"), F.col("power").cast("string"))
+    noised = grid.join(counts, "power", "left").select("power", F.greatest(F.lit(0.0), F.coalesce("n", F.lit(0)) + noise).alias("n"))
+    # one row for each power of a fixed grid
+    ranked = noised.agg(F.sort_array(F.collect_list(F.struct("power", "n"))).alias("g"), F.sum("n").alias("total"))
+    upto = lambda i: F.aggregate(F.slice("g", 1, i + 1), F.lit(0.0), lambda s, e: s + e["n"])
+    reached = F.filter(F.col("g"), lambda e, i: upto(i) >= share * F.col("total"))
+    return ranked.select(F.when(F.col("total") > 0, F.pow(F.lit(2.0), F.element_at(reached, 1)["power"])).otherwise(0.0).alias("bound")).scalar()
+
+
+def usable(value: str) -> Column:
+    x = col(value).cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def bounded_sums(df: DataFrame, group: str, value: str, person: str, key: str, secret: str, max_rows: int, bound: Column | float) -> DataFrame:
+    """Sums and counts ``(key, total, n)`` of values clipped to the bound, from at most ``max_rows`` rows of a person.
+
+    Leaving out one person changes all totals together by at most ``max_rows * bound`` and all counts by ``max_rows``.
+    Nulls and non-finite values count as no row; the group null is a group.
+    """
+    return _clipped(bounded_rows(df.where(usable(value)), person, key, secret, max_rows), group, value, bound if isinstance(bound, Column) else F.lit(float(bound)))
+
+
+def _clipped(rows: DataFrame, group: str, value: str, b: Column) -> DataFrame:
+    x = col(value).cast("double")
+    return rows.groupBy(col(group).alias("key")).agg(F.sum(F.greatest(-b, F.least(b, x))).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def noised_sums(
+    df: DataFrame, group: str, value: str, person: str, key: str, epsilon: float, secret: str, max_rows: int = 5, bound: float | None = None, share: float = 0.95
+) -> DataFrame:
+    """Group sums, counts and means with Laplace noise fitted to what one person can change: ``(key, total, n, mean, bound)``.
+
+    A person's contribution is bounded first, to ``max_rows`` rows and to values within ``bound``; without a given bound
+    a fifth of ``epsilon`` finds one (``value_bound``). Sums and counts share the rest evenly; means are their quotient,
+    clipped to the bound. ``key`` tells rows apart. Group keys themselves are taken as public.
+    """
+    if epsilon <= 0:
+        raise ValueError("epsilon must be positive")
+    if bound is not None and bound <= 0:
+        raise ValueError("bound must be positive")
+    rows = bounded_rows(df.where(usable(value)), person, key, secret, max_rows)
+    b = F.lit(float(bound)) if bound is not None else value_bound(rows, value, secret, epsilon / 5, max_rows, share)
+    left = (epsilon if bound is not None else epsilon * 4 / 5) / 2
+    g = _clipped(rows, group, value, b).withColumn("bound", b)
+    name = F.coalesce(F.concat(F.lit("g"), F.col("key").cast("string")), F.lit("(null)"))
+    noised = g.select(
+        "key", (F.col("total") + laplace(F.col("bound") * max_rows / left, secret, F.lit("total"), name)).alias("total"),
+        F.greatest(F.lit(0.0), F.col("n") + laplace(max_rows / left, secret, F.lit("count"), name)).alias("n"), "bound",
+    )
+    mean = F.greatest(-F.col("bound"), F.least(F.col("bound"), F.col("total") / F.greatest(F.lit(1.0), F.col("n"))))
+    return noised.select("key", "total", "n", mean.alias("mean"), "bound")
+
+
 def private_histogram(df: DataFrame, column: str, secret: str, bins: int = 20, epsilon: float = 1.0) -> DataFrame:
     """Noised bins ``(bin, low, high, label, weight)`` of a number or category."""
     if epsilon <= 0:
