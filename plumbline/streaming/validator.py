@@ -56,8 +56,12 @@ class StreamValidator:
     """Validates each micro-batch against the last and appends findings under ``folder``.
 
     A batch writes its own ``batch_id`` folder in overwrite mode, and reads only smaller ids,
-    so a replayed batch gives the same rows and is never counted twice. The findings table
-    is also the baseline store.
+    so a replayed batch gives the same rows and is never counted twice.
+
+    The baseline is carried in two slots beside the findings, one row per watched column in each. A batch
+    judges against the later slot below its own id and then overwrites the other, so its work does not
+    grow with the batches before it, and a batch that fails halfway leaves the slot that it needs. A batch older
+    than both slots, which a stream does not replay by itself, is judged against the findings.
     """
 
     def __init__(self, spark: SparkSession, name: str, folder: str, watch: Sequence[str]):
@@ -75,11 +79,45 @@ class StreamValidator:
         except AnalysisException:
             return self.spark.createDataFrame([], FINDINGS)
 
+    def _slot(self, slot: int) -> str:
+        # names that start with an underscore are no data to a reader of the folder
+        return f"{self.folder}/_baseline/{self.name}/{slot}"
+
+    def _held(self) -> dict[int, int]:
+        """Batch id in each slot that is whole."""
+        from pyspark.errors import AnalysisException
+
+        held = {}
+        for slot in (0, 1):
+            try:
+                row = self.spark.read.schema(FINDINGS).parquet(self._slot(slot)).select("batch_id").head()
+            except AnalysisException:
+                row = None
+            if row is not None:
+                held[slot] = row.batch_id
+        return held
+
     def baseline(self, before: int) -> DataFrame:
+        held = self._held()
+        earlier = {i: slot for slot, i in held.items() if i < before}
+        if earlier:
+            return self.spark.read.schema(FINDINGS).parquet(self._slot(earlier[max(earlier)]))
+        # no slot: the first batch, one before both slots, or a folder written before there were slots
         f = self.findings().where(F.col("batch_id") < before)
         last = f.agg(F.max("batch_id")).scalar()
         return f.where(F.col("batch_id") == last)
 
+    def _carry(self, batch_id: int) -> None:
+        held = self._held()
+        if any(i > batch_id for i in held.values()):
+            return
+        same = [slot for slot, i in held.items() if i == batch_id]
+        free = [slot for slot in (0, 1) if slot not in held]
+        slot = (same or free or sorted(held, key=held.get))[0]
+        done = self.spark.read.schema(FINDINGS).parquet(self._path(batch_id))
+        carried = done.withColumns({"stream": F.lit(self.name), "batch_id": F.lit(batch_id).cast("long")})
+        carried.coalesce(1).write.mode("overwrite").parquet(self._slot(slot))  # one row per watched column
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
@@ -92,6 +130,7 @@ class StreamValidator:
         out = out.withColumns({"schema": F.lit(shape), "schema_drift": drift, "status": F.when(drift, "fail").otherwise(F.col("status"))})
         keep = [c.split()[0] for c in FINDINGS.split(", ") if c.split()[0] not in ("stream", "batch_id")]
         out.select(*keep).write.mode("overwrite").parquet(self._path(batch_id))
+        self._carry(batch_id)
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True):
         w = stream.writeStream.foreachBatch(lambda df, i: self.process(df, i)).option("checkpointLocation", checkpoint)
