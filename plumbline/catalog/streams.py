@@ -1,9 +1,11 @@
 """Stream validation and event-time windows over the events table."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plumbline.catalog import query
+from plumbline.functions.tables import map_frames, register_table_functions
 from plumbline.session import run_folder
 from plumbline.sources.files import watch_folder
 from plumbline.streaming import validator as V
@@ -109,3 +111,33 @@ def stream_windowed_to_table(t):
     folder = run_folder(t.spark, "windows")
     out = V.run_to_table(w, folder, folder + "-log")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query(
+    "session_numbers",
+    """WITH o AS (SELECT event_id, user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+       SELECT event_id, user_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS BIGINT) AS session FROM o""",
+)
+def session_numbers(t):
+    """A table function called from SQL over the whole table."""
+    register_table_functions(t.spark)
+    return t.spark.sql("SELECT event_id, user_id, session FROM number_sessions(TABLE(SELECT event_id, user_id, ts FROM {events}), 'user_id', 'ts', 1800)", events=t.events)
+
+
+@query(
+    "user_code_by_key",
+    """SELECT lang, count(*) AS documents, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, max(doc_id) FILTER (WHERE length(coalesce(text, '')) = m) AS longest
+       FROM (SELECT *, max(length(coalesce(text, ''))) OVER (PARTITION BY lang) AS m FROM documents) GROUP BY 1""",
+)
+def user_code_by_key(t):
+    """User code over all documents of each language, which it sees as data frames in batches."""
+
+    def totals(frames):
+        lang, n, chars, longest = None, 0, 0, (-1, -1)
+        for f in frames:
+            size = f["text"].fillna("").map(len)
+            lang, n, chars = f["lang"].iloc[0], n + len(f), chars + int(size.sum())
+            longest = max(longest, max(zip(size.tolist(), f["doc_id"].tolist())))
+        yield pd.DataFrame({"lang": pd.Series([lang], dtype=object), "documents": [n], "chars": [chars], "longest": [longest[1]]})
+
+    return map_frames(t.documents.select("lang", "doc_id", "text"), totals, "lang string, documents long, chars long, longest long", ["lang"])
