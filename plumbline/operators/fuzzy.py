@@ -34,7 +34,8 @@ def similar_values(
     v = v.repartition(n, "v")
     index = v.select("v", F.explode(signatures(threshold, False, metric)("v")).alias("sig"))
     probe = v.select(F.col("v").alias("w"), F.explode(signatures(threshold, True, metric)("v")).alias("sig"))
-    met = index.join(probe, "sig").where(F.col("v") != F.col("w"))
+    # signatures outnumber the values by far: neither side goes through the driver
+    met = index.join(probe.hint("merge"), "sig").where(F.col("v") != F.col("w"))
     if metric == "levenshtein":
         # cheap enough to settle where the values meet: only true pairs go on to be deduplicated
         near = levenshtein_similarity(F.col("v"), F.col("w"))
@@ -59,7 +60,7 @@ def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 0.85, metric
     pairs = similar_values(freq, "v", threshold, metric=metric)
     a = freq.select(F.col("v").alias("value_a"), F.col("n").alias("rows_a"))
     b = freq.select(F.col("v").alias("value_b"), F.col("n").alias("rows_b"))
-    return pairs.join(a, "value_a").join(b, "value_b").select(
+    return pairs.join(a.hint("merge"), "value_a").join(b.hint("merge"), "value_b").select(
         "value_a", "value_b", "rows_a", "rows_b", F.round("similarity", 3).alias("similarity")
     )
 
