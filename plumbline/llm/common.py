@@ -12,18 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import col
-from plumbline.session import run_folder
+from plumbline.session import written  # noqa: F401  (shared by the operators of this folder)
 
 SLICE_BYTES = 4 << 20
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder: computed once, safe when executors are lost."""
-    path = run_folder(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores put before those that ``df`` has already."""
     taken = {c.lower() for c in df.columns}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import expand_abbreviation, jaro_winkler, levenshtein_similarity, signatures
 from plumbline.model import col, matching
+from plumbline.operators.components import components
 from plumbline.session import cut_lineage, tasks
 
 IDENTIFIER_NAME = r"^(id|key|code)$|(_id|_key|_code|_no|_num|_number)$"
@@ -66,31 +67,10 @@ def fuzzy_duplicates(df: DataFrame, column: str, threshold: float = 0.85, metric
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Component label (the smallest member) of every node in an undirected edge list.
-
-    Each round takes the smallest label among a node's neighbours and then follows labels
-    one hop, so chains halve; rounds end when nothing changes. State is written to the
-    checkpoint folder each round.
-    """
-    fwd = edges.select(col(a).alias("u"), col(b).alias("w"))
-    both = cut_lineage(fwd.union(fwd.select("w", "u")).where(F.col("u") != F.col("w")).distinct())
-    loops = edges.select(F.explode(F.array(col(a), col(b))).alias("node")).distinct()
-    labels = cut_lineage(loops.select("node", F.col("node").alias("label")))
-    while True:
-        seen = both.join(labels, both["w"] == labels["node"]).groupBy("u").agg(F.min("label").alias("m"))
-        stepped = labels.join(seen, labels["node"] == seen["u"], "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label")
-        )
-        stepped = cut_lineage(stepped)
-        parent = stepped.select(F.col("node").alias("p"), F.col("label").alias("up"))
-        jumped = stepped.join(parent, stepped["label"] == parent["p"], "left").select(
-            "node", "old", F.least("label", F.coalesce("up", "label")).alias("label")
-        )
-        jumped = cut_lineage(jumped)
-        changed = not jumped.where(F.col("old") != F.col("label")).isEmpty()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels
+    """Component label (the smallest member) of every node in an undirected edge list, by contraction."""
+    links = edges.select(col(a).alias("a"), col(b).alias("b"))
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
 
 
 def category_clusters(df: DataFrame, column: str, threshold: float = 0.82, guard: bool = True) -> DataFrame:
@@ -187,16 +167,17 @@ def converge(sources: Sequence[Source], margin: float = 0.15) -> tuple[DataFrame
     """Link records of several sources by shared keys, transitively, and resolve disagreements.
 
     Returns clusters ``(cluster, sources, coverage, has_conflict, escalated)`` and resolutions
-    ``(cluster, column, resolved, value, source, margin)``. Records link to key-value nodes,
-    not to each other, so a key shared by very many records costs one edge per record.
+    ``(cluster, column, resolved, value, source, margin)``. Only key values are linked, by the records that
+    hold several; a record is in the cluster of its first one, so a key shared by very many records
+    costs no links. A cluster is one row of aggregates: for each source and column the greatest and the
+    least value, which tell the winner and whether another source or value disagrees.
     """
     if len({s.name for s in sources}) != len(sources):
         raise ValueError("duplicate source name")
-    columns = list(dict.fromkeys(c for s in sources for c in s.df.columns))
     records = None
-    for s in sources:
+    for i, s in enumerate(sources):
         body = F.to_json(F.struct(*[col(c).cast("string").alias(c) for c in s.df.columns]))
-        rid = F.concat(F.lit("r"), F.md5(F.concat(F.lit(s.name + "\u0001"), body)))
+        own = F.unhex(F.md5(F.concat(F.lit(s.name + "\u0001"), body)))
         signs = []
         for key in s.keys:
             if set(key) <= set(s.df.columns):
@@ -205,47 +186,61 @@ def converge(sources: Sequence[Source], margin: float = 0.15) -> tuple[DataFrame
                 present = parts[0].isNotNull()
                 for p in parts[1:]:
                     present = present & p.isNotNull()
-                signs.append(F.when(present, F.concat(F.lit("k"), F.md5(full))))
-        cells = [F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in s.df.columns]
-        part = s.df.select(
-            rid.alias("rid"), F.lit(s.name).alias("source"), F.lit(float(s.trust)).alias("trust"),
-            F.array_compact(F.array(*signs)).alias("keys") if signs else F.array().cast("array<string>").alias("keys"),
-            F.array(*cells).alias("cells"),
-        ).dropDuplicates(["rid"])
+                signs.append(F.when(present, F.unhex(F.md5(full))))
+        keys = F.array_compact(F.array(*signs)) if signs else F.array().cast("array<binary>")
+        part = s.df.select(keys.alias("keys"), own.alias("own"), F.lit(i).alias("source"), F.array(*[col(c).cast("string") for c in s.df.columns]).alias("values"))
         records = part if records is None else records.unionByName(part)
-    records = cut_lineage(records)
-    edges = records.select(F.col("rid").alias("a"), F.explode_outer("keys").alias("b")).withColumn("b", F.coalesce("b", "a"))
-    comp = connected_components(edges)
-    linked = records.join(comp, F.col("rid") == F.col("node")).select(F.col("label").alias("cluster"), "source", "trust", "cells")
-    cell = linked.select("cluster", "source", "trust", F.explode("cells").alias("c")).select(
-        "cluster", "source", "trust", "c.column", "c.value", normalise(F.col("c.value")).alias("norm")
-    )
-    options = cell.where(F.col("norm").isNotNull()).groupBy("cluster", "column", "norm").agg(
-        F.max(F.struct("trust", "source", "value")).alias("best")
+    first = F.get("keys", F.lit(0))
+    links = records.where(F.size("keys") > 1).select(first.alias("a"), F.explode(F.slice("keys", 2, 1 << 20)).alias("b"))
+    comp = components(links)
+    # records without a key stand for themselves
+    placed = records.select(F.coalesce(first, "own").alias("node"), first.isNotNull().alias("keyed"), "source", "values")
+    linked = placed.join(comp.hint("merge"), "node", "left").select(F.coalesce("component", "node").alias("label"), "keyed", "source", "values")
+
+    cells = [(i, j, c) for i, s in enumerate(sources) for j, c in enumerate(s.df.columns)]
+    of = lambda i, j: F.when(F.col("source") == i, F.get("values", F.lit(j)))
+    cell = linked.select("keyed", "label", "source", *[of(i, j).alias(f"v{i}_{j}") for i, j, _ in cells])
+    cell = cell.select("*", *[normalise(F.col(f"v{i}_{j}")).alias(f"n{i}_{j}") for i, j, _ in cells])
+    most = lambda i, j: F.max(F.when(F.col(f"n{i}_{j}").isNotNull(), F.struct(F.col(f"n{i}_{j}").alias("norm"), F.col(f"v{i}_{j}").alias("value"))))
+    wide = cell.groupBy("keyed", "label").agg(
+        *[F.max(F.col("source") == i).alias(f"s{i}") for i in range(len(sources))],
+        *[x for i, j, _ in cells for x in (most(i, j).alias(f"most{i}_{j}"), F.min(f"n{i}_{j}").alias(f"least{i}_{j}"))],
     )
-    top = options.groupBy("cluster", "column").agg(
-        F.max(F.struct(F.col("best.trust").alias("trust"), F.col("norm"), F.col("best"))).alias("w"), F.count(F.lit(1)).alias("values")
-    ).where("values > 1")
-    rest = options.join(top, ["cluster", "column"]).where(F.col("norm") != F.col("w.norm")).groupBy("cluster", "column").agg(
-        F.max("best.trust").alias("runner_up")
-    )
-    gap = F.col("w.trust") - F.col("runner_up")
-    ok = gap >= margin - 1e-12
-    resolutions = top.join(rest, ["cluster", "column"]).select(
-        "cluster", "column", ok.alias("resolved"), F.when(ok, F.col("w.best.value")).alias("value"),
-        F.when(ok, F.col("w.best.source")).alias("source"), F.round(gap, 6).alias("margin"),
-    )
-    flags = resolutions.groupBy("cluster").agg(F.lit(True).alias("has_conflict"), F.max(~F.col("resolved")).alias("escalated"))
-    clusters = linked.groupBy("cluster").agg(
-        # bounded: at most one entry per source
-        F.sort_array(F.collect_set("source")).alias("sources")
-    ).join(flags, "cluster", "left").select(
-        "cluster", "sources", F.size("sources").cast("long").alias("coverage"),
-        F.coalesce("has_conflict", F.lit(False)).alias("has_conflict"), F.coalesce("escalated", F.lit(False)).alias("escalated"),
+    columns = list(dict.fromkeys(c for _, _, c in cells))
+    tops, seconds = {}, {}
+    for k, column in enumerate(columns):
+        here = [(i, j) for i, j, c in cells if c == column]
+        trust = lambda i: F.lit(float(sources[i].trust))
+        held = lambda i, j: F.col(f"most{i}_{j}")
+        entry = lambda i, j: F.struct(trust(i).alias("trust"), held(i, j)["norm"].alias("norm"), F.lit(sources[i].name).alias("source"), held(i, j)["value"].alias("value"))  # noqa: E731, B023
+        tops[f"top{k}"] = _greatest([F.when(held(i, j).isNotNull(), entry(i, j)) for i, j in here])
+        other = lambda i, j: (held(i, j)["norm"] != F.col(f"top{k}.norm")) | (F.col(f"least{i}_{j}") != F.col(f"top{k}.norm"))  # noqa: E731, B023
+        seconds[f"second{k}"] = _greatest([F.when(other(i, j), trust(i)) for i, j in here])
+    wide = wide.withColumns(tops).withColumns(seconds)
+    name = F.concat(F.when(F.col("keyed"), "k").otherwise("r"), F.lower(F.hex("label"))).alias("cluster")
+    gap = lambda k: F.col(f"top{k}.trust") - F.col(f"second{k}")
+    ok = lambda k: gap(k) >= margin - 1e-12
+    found = [
+        F.when(F.col(f"second{k}").isNotNull(), F.struct(
+            F.lit(c).alias("column"), ok(k).alias("resolved"), F.when(ok(k), F.col(f"top{k}.value")).alias("value"),
+            F.when(ok(k), F.col(f"top{k}.source")).alias("source"), F.round(gap(k), 6).alias("margin"),
+        ))
+        for k, c in enumerate(columns)
+    ]
+    resolutions = wide.select(name, F.explode(F.array_compact(F.array(*found))).alias("r")).select("cluster", "r.*")
+    flags = F.array_compact(F.array(*[F.when(F.col(f"second{k}").isNotNull(), ok(k)) for k in range(len(columns))]))
+    present = F.sort_array(F.array_compact(F.array(*[F.when(F.col(f"s{i}"), s.name) for i, s in enumerate(sources)])))
+    clusters = wide.select(name, present.alias("sources"), flags.alias("f")).select(
+        "cluster", "sources", F.size("sources").cast("long").alias("coverage"), (F.size("f") > 0).alias("has_conflict"), F.exists("f", lambda x: ~x).alias("escalated"),
     )
     return clusters, resolutions
 
 
+def _greatest(values: Sequence[Column]) -> Column:
+    """The greatest of values that may be null, or be one alone."""
+    return F.array_max(F.array(*values))
+
+
 def convergence_summary(clusters: DataFrame) -> DataFrame:
     joined = F.col("coverage") >= 2
     return clusters.agg(
