@@ -266,11 +266,12 @@ def reconcile_claims(claims: DataFrame, trust: Mapping[str, float] | None = None
         best.alias("c1"), F.count(F.lit(1)).alias("claims"), F.count("confidence").alias("n_conf"), F.count("_t").alias("n_trust"),
         F.max(F.struct(F.col("_t"), F.col("source"), F.col("value"))).alias("t1"),
     )
-    rest = c.join(lead, keys).groupBy(*keys).agg(
+    # what leads comes along through the grouping, so no side is sorted a second time
+    j = c.join(lead.hint("merge"), keys).groupBy(*keys).agg(
         F.max(F.when(~F.struct("confidence", "_t", "source", "value").eqNullSafe(F.col("c1")), F.col("confidence"))).alias("conf2"),
         F.max(F.when(~F.struct("_t", "source", "value").eqNullSafe(F.col("t1")), F.col("_t"))).alias("trust2"),
+        *[F.first(x).alias(x) for x in ("c1", "t1", "claims", "n_conf", "n_trust")],
     )
-    j = lead.join(rest, keys)
     gap = F.col("c1.confidence") - F.col("conf2")
     by_conf = (F.col("n_conf") == F.col("claims")) & (gap > tie)
     by_trust = (F.col("n_trust") == F.col("claims")) & (F.col("t1._t") > F.col("trust2"))
