@@ -16,6 +16,7 @@ from plumbline.operators.joins import near_duplicates
 from plumbline.operators.windows import split_half
 from plumbline.plans.checks import name_tokens
 from plumbline.plans.scans import Part, scan
+from plumbline.session import tasks
 
 # Words that mark amount and date columns.
 AMOUNT_NAME = r"amount|price|cost|charge|salary|revenue|count|qty|quantity"
@@ -244,10 +245,13 @@ def table_digest(df: DataFrame) -> Column:
 
 
 def reproducibility(df: DataFrame, runs: int = 3) -> DataFrame:
-    """The same digest from independent runs over differently partitioned rows."""
-    out = None
+    """The same digest from independent runs over differently partitioned rows.
+
+    The numbers of partitions grow with those of the table, so no task reads a fixed share of it.
+    """
+    out, most = None, max(tasks(df), df.rdd.getNumPartitions())
     for i in range(runs):
-        one = (df if i == 0 else df.repartition(3 + 2 * i)).agg(table_digest(df).alias("digest"))
+        one = (df if i == 0 else df.repartition(most + 2 * i + 1)).agg(table_digest(df).alias("digest"))
         out = one if out is None else out.unionByName(one)
     s = out.agg(F.count_distinct("digest").alias("distinct_digests"), F.count(F.lit(1)).alias("runs"))
     return s.withColumn("status", F.when(F.col("distinct_digests") == 1, "pass").otherwise("fail"))
