@@ -416,8 +416,8 @@ def asof_last_view(t):
 def points_in_bands(t):
     """Parts whose price lies in a supplier's band, bands of seven widths."""
     bands = t.supplier.select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 10 + F.col("s_suppkey") % 7 * 40).alias("high"))
-    met = O.points_in_intervals(t.part.select("p_partkey", "p_retailprice", "p_size"), bands, "p_retailprice", "low", "high")
-    return met.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("parts"), F.sum("p_size").alias("sizes"))
+    met = O.sums_in_intervals(t.part, bands, "p_retailprice", "low", "high", "s_suppkey", ["p_size"])
+    return met.select("s_suppkey", F.col("points").alias("parts"), F.col("p_size").alias("sizes"))
 
 
 @query(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.ordering import range_buckets, sort_number
+from plumbline.functions.ordering import range_buckets, sort_number, with_order
 from plumbline.model import all_of, col
 
 POSITIVE = (1 << 62) - 1
@@ -96,6 +96,34 @@ def points_in_intervals(
     return met.select(*[F.col("_q")[c].alias(c) for c in points.columns], *[F.col("_i")[c].alias(n) for c, n in names])
 
 
+def sums_in_intervals(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, key: str, sums: Sequence[str] = ()) -> DataFrame:
+    """Per interval ``key``: ``points`` (how many points it holds, ends included) and the sum of each of ``sums`` over them.
+
+    The pairs of ``points_in_intervals`` added up without listing them: points are added up by place, and an
+    interval takes what lies at or before its end less what lies before its start, from one running sum over all
+    places. The work is a sort of both tables, however many points an interval holds. Intervals without
+    points, with nulls, or that end before they start have no row; rows of one key count together. Sums are of whole numbers.
+    """
+    place = lambda df, c, cast: sort_number(df, c).cast(cast)
+    whole = all(df.select(sort_number(df, c).alias("t")).schema["t"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") for df, c in ((points, at), (intervals, start), (intervals, end)))
+    cast = "long" if whole else "double"
+    named = [f"_s{i}" for i in range(len(sums))]
+    # minus zero equals zero, which a grouping by place knows and an order of doubles too
+    pts = points.select(place(points, at, cast).alias("_t"), *[col(c).cast("long").alias(n) for c, n in zip(sums, named)]).where("_t is not null")
+    pts = pts.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in named], *[F.count(n).alias(f"_c{n}") for n in named])
+    counted = ["_n", *named, *[f"_c{n}" for n in named]]
+    ends = intervals.select(col(key).alias("_key"), place(intervals, start, cast).alias("_a"), place(intervals, end, cast).alias("_b")).where("_b >= _a")
+    far = F.xxhash64("_key").bitwiseAND(F.lit(POSITIVE))
+    # at one place starts come before points, and ends behind them
+    sides = F.explode(F.array(F.struct(F.col("_a").alias("_t"), (-far - 1).alias("_tie"), F.lit(-1).alias("_sign")), F.struct(F.col("_b").alias("_t"), (far + 1).alias("_tie"), F.lit(1).alias("_sign"))))
+    asked = ends.select("_key", sides.alias("_e")).select("_key", "_e.*", *[F.lit(0).cast("long").alias(c) for c in counted])
+    both = asked.unionByName(pts.select("*", F.lit(0).cast("long").alias("_tie")), allowMissingColumns=True)
+    ran = with_order(both, "_t", "_tie", running_sum=counted, position=None).where("_sign is not null")
+    total = ran.groupBy("_key").agg(*[F.sum(F.col("_sign") * F.col(f"run_{c}")).alias(c) for c in counted]).where("_n > 0")
+    # a sum of nulls alone is null
+    return total.select(F.col("_key").alias(key), F.col("_n").alias("points"), *[F.when(F.col(f"_c{n}") > 0, F.col(n)).alias(c) for c, n in zip(sums, named)])
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], by: Sequence[str] = (), suffix: str = "_right") -> DataFrame:
     """All pairs of intervals of the same ``by`` that share a point, ends included, each pair once.
 
