@@ -130,7 +130,7 @@ def session_numbers(t):
        FROM (SELECT *, max(length(coalesce(text, ''))) OVER (PARTITION BY lang) AS m FROM documents) GROUP BY 1""",
 )
 def user_code_by_key(t):
-    """User code over all documents of each language, which it sees as data frames in batches."""
+    """User code over all documents of each language, a batch at a time where they lie, and code that merges what it tells."""
 
     def totals(frames):
         lang, n, chars, longest = None, 0, 0, (-1, -1)
@@ -138,6 +138,14 @@ def user_code_by_key(t):
             size = f["text"].fillna("").map(len)
             lang, n, chars = f["lang"].iloc[0], n + len(f), chars + int(size.sum())
             longest = max(longest, max(zip(size.tolist(), f["doc_id"].tolist())))
-        yield pd.DataFrame({"lang": pd.Series([lang], dtype=object), "documents": [n], "chars": [chars], "longest": [longest[1]]})
+        yield pd.DataFrame({"lang": pd.Series([lang], dtype=object), "documents": [n], "chars": [chars], "longest": [longest[1]], "size": [longest[0]]})
 
-    return map_frames(t.documents.select("lang", "doc_id", "text"), totals, "lang string, documents long, chars long, longest long", ["lang"])
+    def together(frames):
+        lang, n, chars, longest = None, 0, 0, (-1, -1)
+        for f in frames:
+            lang, n, chars = f["lang"].iloc[0], n + int(f["documents"].sum()), chars + int(f["chars"].sum())
+            longest = max(longest, max(zip(f["size"].tolist(), f["longest"].tolist())))
+        yield pd.DataFrame({"lang": pd.Series([lang], dtype=object), "documents": [n], "chars": [chars], "longest": [longest[1]], "size": [longest[0]]})
+
+    told = "lang string, documents long, chars long, longest long, size long"
+    return map_frames(t.documents.select("lang", "doc_id", "text"), totals, told, ["lang"], together).drop("size")

@@ -56,11 +56,15 @@ def register_table_functions(spark: SparkSession) -> None:
     spark.udtf.register("number_sessions", F.udtf(NumberSessions))
 
 
-def map_frames(df: DataFrame, fn: Callable[[Frames], Frames], schema: str, keys: Sequence[str] = ()) -> DataFrame:
+def map_frames(df: DataFrame, fn: Callable[[Frames], Frames], schema: str, keys: Sequence[str] = (), merge: Callable[[Frames], Frames] | None = None) -> DataFrame:
     """User code over a whole table, which it sees as data frames, a batch at a time.
 
     Without ``keys`` the code sees one partition; with keys, all rows of one key in a task of its own, in batches too, so
     no key has to fit into memory. Code that keeps what it has seen must bound that itself. No rows: no call.
+
+    With ``merge`` a key may hold much of the table: the code is called for the rows of a key in one batch, where they
+    lie, and tells of them in rows of ``schema``; ``merge`` sees all rows told of a key and gives its result, of the same
+    schema. No rows of the table are moved, and no task reads all rows of a key.
     """
     names = list(df.columns)
     # names with dots do not reach user code in Spark; positions do
@@ -73,4 +77,18 @@ def map_frames(df: DataFrame, fn: Callable[[Frames], Frames], schema: str, keys:
     named.__annotations__ = {"frames": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     if not keys:
         return plain.mapInPandas(named, schema)
-    return plain.groupBy(*[f"c{names.index(k)}" for k in keys]).applyInPandas(named, schema)
+    if merge is None:
+        return plain.groupBy(*[f"c{names.index(k)}" for k in keys]).applyInPandas(named, schema)
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for key, rows in f.groupby("_key", sort=False):
+                for out in fn(iter([rows.drop(columns="_key").set_axis(names, axis=1).reset_index(drop=True)])):
+                    yield out.assign(_key=key)
+
+    def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from merge(f.drop(columns="_key") for f in frames)
+
+    # keys as text: nulls and large numbers stay what they are
+    text = F.to_json(F.struct(*[F.col(f"c{names.index(k)}").alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"})
+    return map_frames(plain.withColumn("_key", text).mapInPandas(told, schema + ", _key string"), merged, schema, ["_key"])

@@ -65,3 +65,111 @@ def test_convergence_equals_a_plain_version(spark):
     assert sorted((r.sources, r.has_conflict, r.escalated) for r in clusters.collect()) == sorted(want)
     got = [(r.column, r.resolved, r.value, r.source, r.margin) for r in found.collect()]
     assert sorted(got, key=str) == sorted(settled, key=str) and any(x[1] for x in got) and not all(x[1] for x in got)
+
+
+def test_chains_at_block_borders(spark, monkeypatch):
+    """Against a plain check: forks, gaps, null and odd hashes, chains over several blocks; only hashes are shuffled."""
+    from plumbline.operators import audit as H
+
+    monkeypatch.setattr(H, "CHAIN_BLOCK", 4)
+    rnd, rows = random.Random(5), []
+    for d in range(40):
+        parent = H.GENESIS
+        for step in range(rnd.choice([1, 4, 5, 13])):
+            own = sha(parent, "op", f"s{step}", "")
+            odd = rnd.random()
+            row = [str(d), step, "op", f"s{step}", None, parent, own]
+            if odd < 0.02:
+                row[3] = "changed"
+            elif odd < 0.04:
+                row[5], row[6] = "no digest", sha("no digest", "op", f"s{step}", "")
+            elif odd < 0.06:
+                row[6] = None
+            elif odd < 0.08:
+                other = sha("f" * 64, "op", f"s{step}", "")
+                rows.append([str(d), step, "op", f"s{step}", None, "f" * 64, other])
+            if odd < 0.9 or step == 0 or odd > 0.92:
+                rows.append(row)
+            parent = own
+    log = spark.createDataFrame(rows, "dataset string, step long, op string, description string, content string, parent_hash string, hash string")
+    want = {}
+    for d in {r[0] for r in rows}:
+        mine, bad = [r for r in rows if r[0] == d], []
+        for r in mine:
+            prev = max((x[6] for x in mine if x[1] == r[1] - 1 and x[6]), default=H.GENESIS)
+            linked, honest = r[5] == prev, None if r[6] is None else r[6] == sha(r[5], r[2], r[3], "")
+            if not linked or honest is False:
+                bad.append(r[1])
+        want[d] = (len(mine), min(bad, default=None), not bad)
+    out = H.verify_chains(log)
+    assert {r.dataset: (r.steps, r.broken_at, r.valid) for r in out.collect()} == want
+    assert any(v for _, _, v in want.values()) and any(b and b > 4 for _, b, _ in want.values())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def sha(*parts):
+    import hashlib
+
+    return hashlib.sha256("\u0001".join(parts).encode()).hexdigest()
+
+
+def test_claims_are_sorted_once_on_each_side(spark):
+    """The leader comes along through the grouping: one join, and no side read a third time."""
+    rows = [("e1", "f", "X", "a", 0.6), ("e1", "f", "X", "a", 0.6), ("e1", "f", "Y", "b", 0.62), ("e2", "f", "X", "a", None), ("e2", "f", "Y", "b", 0.62), ("e3", "f", "X", "a", 0.2), ("e4", "f", "X", "c", 0.5), ("e4", "f", "Y", "c", 0.5)]
+    c = spark.createDataFrame(rows, "entity string, field string, value string, source string, confidence double")
+    out = Z.reconcile_claims(c, {"a": 0.9, "b": 0.5})
+    got = {r.entity: (r.decided_by, r.source, r.value) for r in out.collect()}
+    assert got == {"e1": ("source trust", "a", "X"), "e2": ("source trust", "a", "X"), "e3": ("single claim", "a", "X"), "e4": ("unresolved", None, None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_reproducibility_has_partitions_enough(spark, monkeypatch):
+    """No run deals the rows to fewer tasks than the table is read by."""
+    from plumbline.plans import layers as L
+
+    df, seen = spark.range(4000).repartition(29).withColumn("v", F.col("id") % 7), []
+    deal = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *c: (seen.append(n), deal(self, n, *c))[1])
+    r = L.reproducibility(df).first()
+    assert (r.distinct_digests, r.runs, r.status) == (1, 3, "pass")
+    assert len(set(seen)) == 2 and min(seen) >= 29
+
+
+def test_sums_in_intervals_equal_the_pairs(spark):
+    """Ties at both ends, hot places, nulls, empty and backward intervals; no pairs are formed."""
+    from plumbline.operators import ordered_joins as O
+
+    p = spark.range(3000).selectExpr("if(id % 50 = 0, null, if(id % 3 = 0, 5.0, cast(id % 40 as double) / 2 - 3)) as at", "if(id % 7 = 0, null, id) as v", "cast(id % 5 as int) as w")
+    i = spark.range(300).selectExpr("id as k", "if(id % 40 = 0, null, id % 30 / 2 - 4) as a", "if(id % 41 = 0, -99, id % 30 / 2 - 4 + id % 4 * 2) as b")
+    met = O.points_in_intervals(p, i, "at", "a", "b").groupBy("k").agg(F.count(F.lit(1)).alias("points"), F.sum("v").alias("v"), F.sum("w").alias("w"))
+    got = O.sums_in_intervals(p, i, "at", "a", "b", "k", ["v", "w"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, met.collect())) and met.count() > 200
+    assert "Join Inner" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert O.sums_in_intervals(p.limit(0), i, "at", "a", "b", "k", ["v"]).isEmpty()
+
+
+def test_user_code_merges_a_hot_key(spark):
+    """Rows of a key are seen where they lie; null keys and keys beyond doubles stay apart."""
+    import pandas as pd
+
+    from plumbline.functions.tables import map_frames
+
+    d = spark.range(0, 6000, 1, 6).selectExpr("if(id % 10 = 0, null, if(id % 2 = 0, 9007199254740993, 9007199254740992)) as `a.k`", "id")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+
+    def told(frames):
+        for f in frames:
+            assert len(f) <= 100
+            yield pd.DataFrame({"odd": [int(f["id"].iloc[0] % 2)], "n": [len(f)], "calls": [1], "ten": [int((f["id"] % 10 == 0).all())]})
+
+    def merged(frames):
+        f = pd.concat(list(frames))
+        yield pd.DataFrame({"odd": f["odd"][:1], "n": [f["n"].sum()], "calls": [f["calls"].sum()], "ten": f["ten"][:1]})
+
+    try:
+        got = {(r.odd, r.ten): (r.n, r.calls) for r in map_frames(d, told, "odd long, n long, calls long, ten long", ["a.k"], merged).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {(0, 1): (600, 60), (0, 0): (2400, 60), (1, 0): (3000, 60)}
