@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from plumbline.model import col
 
 TABLES, BITS = 64, 14
 TILE = 512
+SMALL = 24  # rows of a cell that is compared together with others
+SLICE = 1 << 19  # components of vectors in hand
 SEED = 7
 
 
@@ -81,60 +84,87 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
+def pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows that share a cell, of cells of these sizes that lie one after another."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    left = ends - np.arange(len(ends)) - 1
+    a = np.repeat(np.arange(len(ends)), left)
+    return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
+
+
 def blocks(cells: DataFrame, least: float) -> DataFrame:
     """Compare the rows of every cell: (cls, links, root) where a link was found.
 
     Rows come sorted by cell (label, dim, table, bucket, two tiles), so a cell is at most two tiles
-    of vectors in memory.
+    of vectors in memory. Small cells are compared many at a time.
     """
-
-    def compare(rows: list[dict], table: int) -> tuple[np.ndarray, np.ndarray]:
-        u = unit(np.array([r["embedding"] for r in rows], float))
-        tile = np.array([r["tile"] for r in rows])
-        lo, hi = tile.min(), rows[0]["other"]
-        one = np.flatnonzero(tile == lo)
-        two = np.flatnonzero(tile == hi)
-        a, b = np.nonzero(u[one] @ u[two].T >= least)
-        a, b = one[a], two[b]
-        if lo == hi:
-            a, b = a[a < b], b[a < b]
-        signs = np.array([r["signs"][:table] for r in rows], np.int16).reshape(len(rows), table)
+    key = ["label", "dim", "t", "bucket", "tile_lo", "other"]
+
+    def borders(part: pa.RecordBatch) -> np.ndarray:
+        """Where a cell begins."""
+        new = np.zeros(part.num_rows - 1, bool)
+        for c in key:
+            x = part.column(c)
+            new |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    def compared(part: pa.RecordBatch, dim: int) -> pa.RecordBatch:
+        """The links of whole cells of vectors of one length."""
+        column = lambda c: part.column(c).to_numpy(zero_copy_only=False)
+        u = unit(part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim))
+        signs = part.column("signs").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+        tile, table, n, across = column("tile"), column("t"), column("n"), column("tile_lo") != column("other")
+        begin = borders(part)
+        sizes = np.diff(np.append(begin, part.num_rows))
+        small = sizes <= SMALL
+        rows = np.flatnonzero(np.repeat(small, sizes))
+        a, b = (rows[x] for x in pairs_within(sizes[small]))
+        a, b = (x[~across[a] | (tile[a] != tile[b])] for x in (a, b))
+        step, near = max(1, SLICE // dim), np.zeros(len(a), bool)
+        for start in range(0, len(a), step):
+            s = slice(start, start + step)
+            near[s] = np.einsum("ij,ij->i", u[a[s]], u[b[s]]) >= least
+        found = [(a[near], b[near])]
+        for start, size in zip(begin[~small], sizes[~small]):
+            cell = np.arange(start, start + size)
+            one = cell[tile[cell] == tile[cell].min()] if across[start] else cell
+            two = cell[tile[cell] != tile[cell].min()] if across[start] else cell
+            x, y = np.nonzero(u[one] @ u[two].T >= least)
+            x, y = one[x], two[y]
+            found.append((x, y) if across[start] else (x[x < y], y[x < y]))
+        a, b = (np.concatenate(x) for x in zip(*found))
         new = np.ones(len(a), bool)
         for start in range(0, len(a), 20_000):
             s = slice(start, start + 20_000)
-            new[s] = ~(signs[a[s]] == signs[b[s]]).any(axis=1)
-        return a[new], b[new]
+            before = np.arange(signs.shape[1]) < table[a[s], None]
+            new[s] = ~((signs[a[s]] == signs[b[s]]) & before).any(axis=1)
+        a, b = a[new], b[new]
+        links = np.bincount(a, n[b], part.num_rows) + np.bincount(b, n[a], part.num_rows)
+        root, cls, at = roots(part.num_rows, a, b), column("cls"), np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(links[at].astype(np.int64)), pa.array(cls[root[at]])], names=["cls", "links", "root"])
+
+    def results(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        dims = part.column("dim").to_numpy(zero_copy_only=False)
+        lengths = np.unique(dims)
+        for dim in lengths:
+            yield compared(part if len(lengths) == 1 else part.take(pa.array(np.flatnonzero(dims == dim))), int(dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def results(rows: list[dict]) -> list[tuple[int, int, int]]:
-            if len(rows) < 2 or rows[0]["tile_lo"] != rows[0]["other"] and len({r["tile"] for r in rows}) < 2:
-                return []
-            a, b = compare(rows, rows[0]["t"])
-            if not len(a):
-                return []
-            n = np.array([r["n"] for r in rows], np.int64)
-            links = np.bincount(a, n[b], len(rows)) + np.bincount(b, n[a], len(rows))
-            root = roots(len(rows), a, b)
-            return [(rows[i]["cls"], int(links[i]), rows[root[i]]["cls"]) for i in np.flatnonzero(links)]
-
-        cell, rows, found = None, [], []
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                for r in batch.slice(start, 1000).to_pylist():
-                    key = (r["label"], r["dim"], r["t"], r["bucket"], r["tile_lo"], r["other"])
-                    if key != cell:
-                        found += results(rows)
-                        cell, rows = key, []
-                    rows.append(r)
-            if found:
-                yield as_batch(found)
-                found = []
-        found += results(rows)
-        yield as_batch(found)
-
-    def as_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        columns = list(zip(*found)) if found else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cls", "links", "root"])
+        rest = None
+        for whole in batches:
+            start = 0
+            while start < whole.num_rows:
+                rows = max(256, SLICE // whole.column("dim")[start].as_py())
+                part = whole.slice(start, rows)
+                start += rows
+                if rest is not None:
+                    part = pa.Table.from_batches([rest, part]).combine_chunks().to_batches()[0]
+                last = int(borders(part)[-1])
+                if last:
+                    yield from results(part.slice(0, last))
+                rest = part.slice(last)
+        if rest is not None:
+            yield from results(rest)
 
     return cells.mapInArrow(run, "cls long, links long, root long")
 

@@ -173,3 +173,38 @@ def test_user_code_merges_a_hot_key(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert got == {(0, 1): (600, 60), (0, 0): (2400, 60), (1, 0): (3000, 60)}
+
+
+def test_small_cells_are_compared_together(spark):
+    """Pairs of many cells at once; vectors of two lengths, copies, tiles and cells of every size against brute force."""
+    import numpy as np
+
+    from plumbline.llm import embedding_dedup as E
+
+    assert [x.tolist() for x in E.pairs_within(np.array([1, 3, 2]))] == [[1, 1, 2, 4], [2, 3, 3, 5]]
+    rng = np.random.default_rng(4)
+    at = {d: rng.normal(size=(40, d)) for d in (8, 12)}
+    rows = []
+    for i in range(700):
+        d = 8 if i % 3 else 12
+        v = at[d][0 if i % 4 == 0 else i % 40] + rng.normal(size=d) * (0 if i % 11 == 0 else 0.12)
+        rows.append((i, [float(x) for x in v], i % 2))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    old = E.TILE, E.SMALL, E.SLICE
+    got = {}
+    try:
+        for E.TILE, E.SMALL, E.SLICE in ((512, 24, 1 << 19), (16, 4, 1 << 11), (16, 0, 1 << 11)):
+            out = E.near_vectors(df, tables=40, bits=4).collect()
+            got[E.SMALL] = {r.id: (r.n_links, r.component_id) for r in out}
+    finally:
+        E.TILE, E.SMALL, E.SLICE = old
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    near = {i: [j for j in range(700) if j != i and len(unit[i]) == len(unit[j]) and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.93] for i in range(700)}
+    least = {}
+    for i in range(700):
+        seen, todo = {i}, [i]
+        while todo:
+            todo = [j for k in todo for j in near[k] if j not in seen and not seen.add(j)]
+        least[i] = min(seen)
+    want = {i: (len(near[i]), least[i]) for i in range(700)}
+    assert got[24] == want and got[4] == want and got[0] == want
