@@ -17,6 +17,7 @@ TILE = 512  # vectors
 BLOCK = 256  # query vectors
 TILES_TOGETHER = 8  # tiles of a cell that meet a block of queries under one key
 CELLS = 1024
+TOGETHER = 1 << 19  # numbers of queries in one frame of wants
 SLACK = 1e-7  # rounding of angles near zero, and of scores compared to nine digits
 
 
@@ -45,6 +46,21 @@ def _centroids(u: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _leading(s: np.ndarray, need: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where scores reach what their row needs, at most the k best of a row, to nine digits, ties by place.
+
+    Few scores reach what is needed once a row has its first k, so rows are sorted only where more than k do.
+    """
+    ok = s >= need[:, None]
+    many = np.flatnonzero(np.count_nonzero(ok, axis=1) > k)
+    if len(many):
+        best = np.argsort(-np.round(s[many], 9), axis=1, kind="stable")[:, :k]
+        first = np.zeros((len(many), s.shape[1]), dtype=bool)
+        np.put_along_axis(first, best, True, axis=1)
+        ok[many] &= first
+    return np.nonzero(ok)
+
+
 def indexed_top_k(
     vectors: DataFrame,
     key: str,
@@ -140,7 +156,9 @@ def indexed_top_k(
     def plan(begin: int, end: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, lo, hi, dealt = rings.value
+            names = ["cell", "block", "ix", "asked", "q", "need", "theta", "_s"]
             for pdf in batches:
+                out, size = [], 0
                 for r in pdf.itertuples():
                     m, need = np.array(r.m).reshape(r.n, d), np.array(r.need, dtype=float)
                     theta = np.arccos(np.clip(m @ middles.value[ids].T, -1, 1))
@@ -152,12 +170,21 @@ def indexed_top_k(
                     for j in np.flatnonzero(wanted.any(axis=0)):
                         ix = np.flatnonzero(wanted[:, j])
                         row = (int(ids[j]), r.block, ix, [r.asked[i] for i in ix], m[ix].ravel(), need[ix], theta[ix, j])
-                        yield pd.DataFrame([(*row, s) for s in range(dealt[j])], columns=["cell", "block", "ix", "asked", "q", "need", "theta", "_s"])
+                        for part in range(dealt[j]):
+                            out.append((*row, part))
+                            size += row[4].size
+                            if size > TOGETHER:
+                                yield pd.DataFrame(out, columns=names)
+                                out, size = [], 0
+                if out:
+                    yield pd.DataFrame(out, columns=names)
 
         return run
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["block", "i", "query", "key", "score"]
         for pdf in batches:
+            out = []
             for r in pdf.itertuples():
                 theta, need = np.array(r.theta), np.array(r.need)
                 some = np.flatnonzero(np.cos(np.maximum(0, np.maximum(theta - r.hi, r.lo - theta))) >= need - SLACK)
@@ -166,13 +193,13 @@ def indexed_top_k(
                 s = np.array(r.q).reshape(-1, d)[some] @ np.array(r.m).reshape(-1, d).T
                 if scored is not None:
                     scored.add(s.size)
-                best = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(s, best, axis=1)
-                i, j = np.nonzero(got >= need[some][:, None] - SLACK)
-                yield pd.DataFrame({
-                    "block": r.block, "i": np.array(r.ix)[some][i], "query": pd.Series([r.asked[x] for x in some[i]], dtype=object),
-                    "key": pd.Series([r.keys[x] for x in best[i, j]], dtype=object), "score": got[i, j],
-                })
+                i, j = _leading(s, need[some] - SLACK, k)
+                out += zip([r.block] * len(i), np.array(r.ix)[some][i].tolist(), [r.asked[x] for x in some[i]], [r.keys[x] for x in j], s[i, j].tolist())
+                if len(out) > TOGETHER >> 4:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     def leaders(df: DataFrame) -> DataFrame:
         w = Window.partitionBy("block", "i").orderBy(F.desc(F.round("score", 9)), F.asc("key"))
@@ -188,7 +215,7 @@ def indexed_top_k(
         least = best.groupBy("block", "i").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("s"))
         held = least.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("least"))  # at most BLOCK entries
         below = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.element_at("least", i.cast("long")), F.lit(-2.0)))
-        wanted = cut_lineage(blocks.join(held, "block", "left").withColumn("need", below).drop("least").mapInPandas(plan(begin, end), wanting))
+        wanted = cut_lineage(blocks.join(held, "block", "left").withColumn("need", below).drop("least").repartition(n, "block").mapInPandas(plan(begin, end), wanting))
         if not wanted.isEmpty():
             found = wanted.join(tiles, ["cell", "_s"]).mapInPandas(score, row)
             best = cut_lineage(leaders(best.select("block", "i", "query", "key", "score").union(found)).drop("rank"))

@@ -78,3 +78,16 @@ def test_a_bad_fit_and_small_tables(spark):
     assert answers(indexed_top_k(v.where("k < 2"), "k", "v", q.limit(1), "q", "w", 4)) == brute(rows[:2], [(5, vecs[5])], 4)
     assert indexed_top_k(v.limit(0), "k", "v", q, "q", "w", 4).isEmpty()
     assert indexed_top_k(v, "k", "v", q.limit(0), "q", "w", 4).isEmpty()
+
+
+def test_scores_below_need_are_not_sorted(monkeypatch):
+    """The k best of a row that reach what it needs, as a full sort finds them; rows with k at most are not sorted."""
+    rng, sorted_rows, sort = np.random.default_rng(9), [], np.argsort
+    s = np.round(rng.uniform(size=(40, 300)), 2)
+    need = np.where(np.arange(40) < 4, -2.0, np.sort(s, axis=1)[:, -3])
+    best = sort(-np.round(s, 9), axis=1, kind="stable")[:, :8]
+    want = sorted((i, j) for i in range(40) for j in best[i] if s[i, j] >= need[i])
+    few = sum((s >= need[:, None]).sum(axis=1) <= 8)
+    monkeypatch.setattr(np, "argsort", lambda a, **x: (sorted_rows.append(len(a)), sort(a, **x))[1])
+    assert sorted(zip(*vector_index._leading(s, need, 8))) == want
+    assert sum(sorted_rows) == 40 - few <= 12
