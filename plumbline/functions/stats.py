@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.model import any_of, col
+from plumbline.model import col
 
 # Narrow a quantile band until at most this many distinct rows remain to be ranked.
 BAND_ROWS = 50_000
@@ -100,9 +100,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     if not known:
         return spark.createDataFrame(settled, schema)
     cases = [F.when(within(t), F.struct(F.lit(i).alias("tag"), value[t[0]].alias("v"))) for i, t in enumerate(known)]
+    # no filter on the bands before this: it would be pushed down and work every column out once per check
     freq = (
-        df.where(any_of([F.coalesce(within(t), F.lit(False)) for t in known]))
-        .select(F.explode(F.array_compact(F.array(*cases))).alias("x"))
+        df.select(F.explode(F.array(*cases)).alias("x"))
+        .where(F.col("x").isNotNull())
         .groupBy("x.tag", "x.v")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -15,7 +15,7 @@ from plumbline.operators.aggregates import business_key_duplicates, duplicate_ro
 from plumbline.operators.joins import near_duplicates
 from plumbline.operators.windows import split_half
 from plumbline.plans.checks import name_tokens
-from plumbline.plans.scans import Part, scan
+from plumbline.plans.scans import Each, Part, scan
 from plumbline.session import tasks
 
 # Words that mark amount and date columns.
@@ -180,7 +180,7 @@ def correlation_part(pairs: Sequence[tuple[str, str]], previous: Mapping[tuple[s
             st = F.when(r.isNull() | F.isnan(r), "warn").when(old.isNull(), "pass").when(F.abs(r - old) > 0.3, "fail").otherwise("pass")
             yield F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), r.alias("r"), old.alias("previous"), st.alias("status"))
 
-    return Part({f"r{i}": F.corr(col(a), col(b)) for i, (a, b) in enumerate(pairs)}, tell)
+    return Part({}, tell, Each([{"x": col(a).cast("double"), "y": col(b).cast("double")} for a, b in pairs], {"r": F.corr("x", "y")}))
 
 
 def correlation_watchdog(df: DataFrame, pairs: Sequence[tuple[str, str]], previous: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
@@ -311,22 +311,25 @@ def benford(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return scan(df, benford_part(list(columns) if columns is not None else numeric_columns(df)))
 
 
+def _orders_seen(order: Column) -> Column:
+    """How many orders of magnitude (0 to 308, 319 for infinity) occur, as bits of five numbers: fixed buffers, no set."""
+    masks = [F.bit_or(F.when((order >= 64 * k) & (order < 64 * k + 64), F.call_function("shiftleft", F.lit(1).cast("long"), order - 64 * k))) for k in range(5)]
+    return sum((F.coalesce(F.bit_count(m), F.lit(0)) for m in masks), F.lit(0))
+
+
 def benford_part(cols: Sequence[str]) -> Part:
+    x, order, d = F.col("x"), F.col("o"), F.col("d")
+    big = x >= 1
     # the digit is a column of its own, so it is worked out once per value and not once per count
-    derived, wants = {}, {}
-    for i, c in enumerate(cols):
-        whole = F.abs(col(c).cast("double"))
-        derived |= {f"_x{i}": whole, f"_g{i}": F.when(whole >= 1, leading_digit(whole))}
-        x, d = F.col(f"_x{i}"), F.col(f"_g{i}")
-        big = x >= 1
-        # orders of magnitude of a double: at most a few hundred values
-        wants |= {f"n{i}": F.count_if(big), f"nn{i}": F.count(x), f"nb{i}": F.count_if((x != 0) & (x != 1)), f"o{i}": F.size(F.collect_set(F.when(big, F.floor(F.log10(x)))))}
-        wants |= {f"d{i}_{k}": F.count_if(d == k) for k in range(1, 10)}
+    derived = {"d": F.when(big, leading_digit(x)), "o": F.when(big, F.least(F.floor(F.log10(x)), F.lit(319)).cast("int"))}
+    wants = {"n": F.count_if(big), "nn": F.count(x), "nb": F.count_if((x != 0) & (x != 1)), "o": _orders_seen(order)}
+    wants |= {f"d{k}_": F.count_if(d == k) for k in range(1, 10)}
+    each = Each([{"x": F.abs(col(c).cast("double"))} for c in cols], wants, derived, dict.fromkeys(wants, 0))
 
     def tell(at):
         for i, c in enumerate(cols):
             n = at(f"n{i}")
-            off = lambda k: at(f"d{i}_{k}") - BENFORD[k - 1] * n  # noqa: E731, B023
+            off = lambda k: at(f"d{k}_{i}") - BENFORD[k - 1] * n  # noqa: E731, B023
             chi = sum((F.try_divide(off(k) * off(k), BENFORD[k - 1] * n) for k in range(1, 10)), F.lit(0.0))
             gate = (
                 F.when(F.lit(bool(BENFORD_BOUNDED & set(name_tokens(c)))), "bounded_name")
@@ -339,7 +342,7 @@ def benford_part(cols: Sequence[str]) -> Part:
                 F.when(gate.isNotNull(), "idle").when(chi > 15.51, "warn").otherwise("pass").alias("status"),
             )
 
-    return Part(wants, tell, derived)
+    return Part({}, tell, each)
 
 
 # ---- missingness, bias, equity ------------------------------------------------------

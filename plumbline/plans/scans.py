@@ -1,14 +1,17 @@
 """Shared scans: what layers want of a table, taken together.
 
 A layer states the aggregates that it wants of the whole table and how it tells their values as
-findings; all layers' aggregates are one pass. What layers want by the values of text columns is one
-stacked grouping. How often the table is read depends on neither the layers nor the columns.
+findings; all layers' aggregates share passes of a few aggregates each: with more side by side, the
+generated code is too large for the JVM to compile, and a row costs many times as much. What a layer
+wants alike of every column or pair of columns is one stacked grouping instead, and so is what layers
+want by the values of text columns.
 Observed metrics would save a pass more, but a repeated stage may count them twice.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -18,28 +21,53 @@ from plumbline.session import cut_lineage
 
 At = Callable[[str], Column]
 
+#: Aggregates in one pass.
+AT_ONCE = 20
+
 
 @dataclass(frozen=True)
-class Part:
-    """A layer's share of a scan: named aggregates, and its result structs made from their values.
+class Each:
+    """The same aggregates for each of several items, by a grouping of its own.
 
-    ``derived`` columns are worked out once per row, beside those of the table.
+    An item gives the columns that ``wants`` are over, named alike in all items; ``derived`` columns are
+    worked out from them once per row. A name not in ``empty`` is null where the table has no rows.
     """
 
+    items: Sequence[Mapping[str, Column]]
     wants: Mapping[str, Column]
-    tell: Callable[[At], Sequence[Column]]
     derived: Mapping[str, Column] = field(default_factory=dict)
+    empty: Mapping[str, int] = field(default_factory=dict)
+
+    def row(self, df: DataFrame, prefix: str) -> DataFrame:
+        """One row, ``<prefix><name><item>``."""
+        cells = F.array(*[F.struct(F.lit(i).alias("_item"), *[c.alias(n) for n, c in item.items()]) for i, item in enumerate(self.items)])
+        rows = df.select(F.explode(cells).alias("_c")).select("_c.*")
+        found = rows.select("*", *[c.alias(n) for n, c in self.derived.items()]).groupBy("_item").agg(*[c.alias(n) for n, c in self.wants.items()])
+        # one row an item is left
+        of = lambda n, i: F.max(F.when(F.col("_item") == i, F.col(n)))
+        told = lambda n, i: F.coalesce(of(n, i), F.lit(self.empty[n]).cast("long")) if n in self.empty else of(n, i)
+        return found.agg(*[told(n, i).alias(f"{prefix}{n}{i}") for i in range(len(self.items)) for n in self.wants])
+
+
+@dataclass(frozen=True)
+class Part:
+    """A layer's share of a scan: named aggregates, and its result structs made from their values."""
+
+    wants: Mapping[str, Column]
+    tell: Callable[[At], Sequence[Column]]
+    each: Each | None = None
 
     def told_as(self, convert: Callable[[Column], Column]) -> Part:
         """The same with every result struct converted."""
-        return Part(self.wants, lambda at: [convert(r) for r in self.tell(at)], self.derived)
+        return Part(self.wants, lambda at: [convert(r) for r in self.tell(at)], self.each)
 
 
 def totals(df: DataFrame, parts: Sequence[Part]) -> DataFrame:
     """The wanted aggregates of all parts as one row, ``p<part>_<name>``."""
-    derived = [c.alias(n) for p in parts for n, c in p.derived.items()]
-    rows = df.select(*[col(c) for c in df.columns], *derived) if derived else df
-    return rows.agg(*[c.alias(f"p{i}_{n}") for i, p in enumerate(parts) for n, c in p.wants.items()])
+    wants = [c.alias(f"p{i}_{n}") for i, p in enumerate(parts) for n, c in p.wants.items()]
+    rows = [df.agg(*wants[i : i + AT_ONCE]) for i in range(0, len(wants), AT_ONCE)]
+    rows += [p.each.row(df, f"p{i}_") for i, p in enumerate(parts) if p.each and p.each.items]
+    return reduce(DataFrame.crossJoin, rows)  # of one row each
 
 
 def told(row: DataFrame, parts: Sequence[Part]) -> DataFrame:

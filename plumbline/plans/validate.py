@@ -1,6 +1,7 @@
 """Run all layers of a table and grade the result.
 
-The layers share scans: one pass for every aggregate over the whole table, one stacked grouping for
+The layers share scans: passes of a few aggregates each over the whole table, one stacked grouping for
+the digits of numbers, one for their correlations, one for
 everything by the values of text columns (written down, and read by five layers), one more for its
 check, one for each of quantiles, duplicates, gaps by number and order. Only references, code
 conflicts and recorded history have passes of their own.
@@ -88,7 +89,7 @@ class Run:
     def tell(self, rows: DataFrame, *args) -> None:
         self.found.append(as_findings(rows, *args))
 
-    # ---- one pass over the table
+    # ---- shared passes over the table
 
     def total_layers(self, rules: Sequence[Rule], history: History) -> None:
         """Layers that want aggregates of the whole table."""
