@@ -12,7 +12,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -187,7 +186,7 @@ class PrefixTrie:
 
 
 class Codec:
-    """One vocabulary in a worker. Words are encoded once and kept, up to a bound."""
+    """One vocabulary in a task. Words are encoded once and kept, up to a bound."""
 
     def __init__(self, spec: str, max_words: int = 120_000, max_nodes: int = 150_000, max_pairs: int = 150_000):
         data = json.loads(spec)
@@ -240,12 +239,6 @@ class Codec:
             return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-@lru_cache(maxsize=1)
-def codec(spec: str) -> Codec:
-    """One codec for all tasks that a worker runs."""
-    return Codec(spec)
-
-
 def encode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
     """``ids`` (array of int) of every text, and ``decoded``, the text made from those ids.
 
@@ -261,8 +254,10 @@ def encode(df: DataFrame, spec: str, text: str = "text", keep: tuple[str, ...] =
     schema = f"{types}{', ' if kept else ''}ids array<int>" + (", decoded string" if decoded else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shared.value)
+        # made for the task and gone with it: workers wait beside other stages, each with all it has kept
+        own = None
         for batch in batches:
+            own = own or Codec(shared.value)
             for part in text_slices(batch, "text", 2 << 20):
                 ids = own.encode(part.column("text").to_pylist())
                 offsets = np.zeros(len(ids) + 1, dtype=np.int32)
